@@ -77,3 +77,195 @@ CLAIMS = O.claims_ctes()
 def q_pe_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
     return rounded(recap_matrix(st.pe, "PE", st.years))
+
+
+@register("taux_prec", O.with_ctes(BASE) + """
+SELECT Branche, """ + O.micro("Loss_Ratio") + """ AS Loss_Ratio, """ + O.cents("PE_Total") + """ AS PE_Total,
+       """ + O.cents("FG_Reparti") + """ AS FG_Reparti, """ + O.micro("Taux_PREC") + """ AS Taux_PREC
+FROM taux_final""")
+def q_taux_prec(spark, sf_dir):
+    return rounded(policy_stage(spark, sf_dir).taux)
+
+
+@register("date_anomalies", O.with_ctes(BASE) + """
+SELECT Police, Branche, Effet, Echeance FROM policies WHERE Effet > Echeance""")
+def q_date_anomalies(spark, sf_dir):
+    return premium.date_anomalies(policy_stage(spark, sf_dir).mapped)
+
+
+@register("prec_lines", O.with_ctes(BASE) + """
+SELECT Police, Branche, Exercice, Effet, Echeance, """ + O.cents("PN_ACC") + """ AS PE,
+       duree_totale, duree_restante, """ + O.micro("Taux_PREC") + """ AS Taux_PREC, """ + O.cents("PREC") + """ AS PREC
+FROM prec_lines""")
+def q_prec_lines(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(premium.prec_lines(st.mapped, st.taux, st.params.date_eval, st.params.taux_min))
+
+
+@register("prec_recap_matrix", O.matrix_sql([BASE], "prec_cells", "PREC"))
+def q_prec_recap_matrix(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.prec, "PREC", st.years))
+
+
+@register("pa_recap_matrix", O.matrix_sql([BASE], "pa_cells", "PA"))
+def q_pa_recap_matrix(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.pa, "PA", st.years))
+
+
+@register("split_params", O.with_ctes(BASE) + """
+SELECT Annee, """ + O.micro("Plateforme") + """ AS Plateforme, """ + O.micro("Hors") + """ AS Hors FROM plat
+UNION ALL
+SELECT Exercice AS Annee, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM years WHERE Exercice NOT IN (SELECT Annee FROM plat)""")
+def q_split_params(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(premium.split_params(st.pe, st.params.platform_shares))
+
+
+@register("pa_split_matrix", O.matrix_sql([BASE], "pa_split", "PA"))
+def q_pa_split_matrix(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.pa_split, "PA", st.years))
+
+
+@register("cu_matrix", O.matrix_sql([BASE], "cu_cells", "CU"))
+def q_cu_matrix(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.cu, "CU", st.years))
+
+
+_CU_AGG = """cu_agg AS (SELECT CASE WHEN Branche IN ('AUTO RC', 'AUTO AR') THEN 'AUTOMOBILE' ELSE Branche END AS Branche,
+                  Exercice, SUM(CU) AS CU FROM cu_cells GROUP BY 1, 2)"""
+
+
+@register("cu_aggregated", O.matrix_sql([BASE, _CU_AGG], "cu_agg", "CU"))
+def q_cu_aggregated(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(recap_matrix(reserves.cu_aggregated(st.cu), "CU", st.years))
+
+
+_HIDDEN = ", ".join(f"'{b}'" for b in HIDDEN_CU_BRANCHES)
+
+
+@register("cu_display", O.matrix_sql([BASE], "cu_cells", "CU", extra_filter=f"WHERE Branche NOT IN ({_HIDDEN})"))
+def q_cu_display(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(reserves.hide_branches(recap_matrix(st.cu, "CU", st.years)))
+
+
+@register("ibnr_by_exercice", O.with_ctes(BASE) + """
+SELECT Exercice, """ + O.cents("IBNR") + """ AS IBNR, """ + O.cents("Prime_Acquise") + """ AS Prime_Acquise,
+       """ + O.cents("Charge_Theorique") + """ AS Charge_Theorique, Nb_Contrats FROM ibnr""")
+def q_ibnr_by_exercice(spark, sf_dir):
+    return rounded(policy_stage(spark, sf_dir).ibnr)
+
+
+@register("ibnr_pivot", O.with_ctes(BASE) + """
+PIVOT (SELECT 'DOMMAGES CORPORELS' AS Branche, Exercice, """ + O.cents("IBNR") + """ AS v FROM ibnr
+       UNION ALL SELECT 'DOMMAGES CORPORELS', 'Total', """ + O.cents("SUM(IBNR)") + """ FROM ibnr)
+ON Exercice USING first(v) GROUP BY Branche""")
+def q_ibnr_pivot(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    ib = st.ibnr
+    return rounded(reserves.ibnr_pivot(ib, st.years).select(
+        "Branche", *[y for y in st.years if y in set(r[0] for r in ib.select("Exercice").collect())], "Total"))
+
+
+# ---------------------------------------------------------------------------
+# Claims side
+# ---------------------------------------------------------------------------
+@register("claims_agg", O.with_ctes(CLAIMS) + """
+SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
+       Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
+def q_claims_agg(spark, sf_dir):
+    return rounded(claims_stage(spark, sf_dir).cells)
+
+
+_CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
+
+
+@register("claims_nb_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Nombre_Sinistres", "claim_years", cast_int=True))
+def q_claims_nb_matrix(spark, sf_dir):
+    st = claims_stage(spark, sf_dir)
+    return recap_matrix(st.cells, "Nombre_Sinistres", st.years)
+
+
+@register("claims_cout_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Cout_Total", "claim_years"))
+def q_claims_cout_matrix(spark, sf_dir):
+    st = claims_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.cells, "Cout_Total", st.years))
+
+
+@register("claims_reg_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Total_Reglement", "claim_years"))
+def q_claims_reg_matrix(spark, sf_dir):
+    st = claims_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.cells, "Total_Reglement", st.years))
+
+
+@register("claims_sap_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "SAP", "claim_years"))
+def q_claims_sap_matrix(spark, sf_dir):
+    st = claims_stage(spark, sf_dir)
+    return rounded(recap_matrix(st.cells, "SAP", st.years))
+
+
+# ---------------------------------------------------------------------------
+# PSAP
+# ---------------------------------------------------------------------------
+def _manual_rows():
+    from provisio.params import MANUAL_PSAP_BRANCHES
+    rows = [(b, y, v) for b, y, v in fx.FIXTURE_PSAP_OVERRIDES if b in MANUAL_PSAP_BRANCHES]
+    return rows
+
+
+_PSAP = f"""
+sap_b AS (SELECT Exercice, SAP FROM claims_cells WHERE Branche = '{BODILY_BRANCH}'),
+corp AS (
+  SELECT y.Exercice, COALESCE(s.SAP, CAST(0 AS DOUBLE)) AS SAP, COALESCE(i.IBNR, CAST(0 AS DOUBLE)) AS IBNR,
+         COALESCE(s.SAP, CAST(0 AS DOUBLE)) + COALESCE(i.IBNR, CAST(0 AS DOUBLE)) AS PSAP
+  FROM years y LEFT JOIN sap_b s ON s.Exercice = y.Exercice LEFT JOIN ibnr i ON i.Exercice = y.Exercice
+  WHERE EXISTS (SELECT 1 FROM ibnr) AND EXISTS (SELECT 1 FROM sap_b)),
+manual_in AS {O._values(_manual_rows(), 'Branche, Exercice, PSAP')},
+manual AS (
+  SELECT b.Branche, y.Exercice, COALESCE(SUM(m.PSAP), CAST(0 AS DOUBLE)) AS PSAP
+  FROM (SELECT DISTINCT Branche FROM manual_in) b CROSS JOIN years y
+  LEFT JOIN manual_in m ON m.Branche = b.Branche AND m.Exercice = y.Exercice
+  GROUP BY b.Branche, y.Exercice),
+overrides AS (
+  SELECT Branche, Exercice, PSAP FROM manual
+  UNION ALL SELECT '{BODILY_BRANCH}' AS Branche, Exercice, PSAP FROM corp),
+{_CU_AGG},
+cu_grid AS (SELECT b.Branche, y.Exercice FROM (SELECT DISTINCT Branche FROM cu_agg) b CROSS JOIN years y),
+psap_base AS (
+  SELECT g.Branche, g.Exercice, COALESCE(c.CU, CAST(0 AS DOUBLE)) - COALESCE(r.Total_Reglement, CAST(0 AS DOUBLE)) AS PSAP
+  FROM cu_grid g LEFT JOIN cu_agg c ON c.Branche = g.Branche AND c.Exercice = g.Exercice
+  LEFT JOIN claims_cells r ON r.Branche = g.Branche AND r.Exercice = g.Exercice),
+psap_cells AS (
+  SELECT * FROM psap_base WHERE Branche NOT IN (SELECT Branche FROM overrides)
+  UNION ALL SELECT * FROM overrides)"""
+
+
+@register("psap_corporels", O.with_ctes(BASE, CLAIMS, _PSAP) + """
+SELECT Exercice, """ + O.cents("SAP") + """ AS SAP, """ + O.cents("IBNR") + """ AS IBNR, """ + O.cents("PSAP") + """ AS "PSAP (SAP+IBNR)" FROM corp
+UNION ALL
+SELECT 'TOTAL', """ + O.cents("SUM(SAP)") + ", " + O.cents("SUM(IBNR)") + ", " + O.cents("SUM(PSAP)") + """ FROM corp HAVING COUNT(*) > 0""")
+def q_psap_corporels(spark, sf_dir):
+    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
+    return rounded(reserves.psap_corporels_detail(corp))
+
+
+@register("psap_overrides", O.with_ctes(BASE, CLAIMS, _PSAP) + """
+SELECT Branche, Exercice, """ + O.cents("PSAP") + """ AS PSAP FROM overrides""")
+def q_psap_overrides(spark, sf_dir):
+    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
+    return rounded(reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years))
+
+
+@register("psap_matrix", O.matrix_sql([BASE, CLAIMS, _PSAP], "psap_cells", "PSAP"))
+def q_psap_matrix(spark, sf_dir):
+    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
+    over = reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years)
+    return rounded(recap_matrix(reserves.psap_cells(st.cu, cl.cells, over, st.years), "PSAP", st.years))
