@@ -269,3 +269,151 @@ def q_psap_matrix(spark, sf_dir):
     corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
     over = reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years)
     return rounded(recap_matrix(reserves.psap_cells(st.cu, cl.cells, over, st.years), "PSAP", st.years))
+
+
+# ---------------------------------------------------------------------------
+# Diagnostics before / after mapping (OP-A3..A7), dimensions (OP-A10, A11, S12)
+# ---------------------------------------------------------------------------
+from provisio.operators import mapping as mapping_ops  # noqa: E402
+from provisio.operators import recap as recap_ops  # noqa: E402
+from provisio.sources import dimensions as dim  # noqa: E402
+from provisio.sources import production as prod  # noqa: E402
+
+_RAW = f"policies_raw AS ({fx.POLICIES_RAW_SQL})"
+
+
+@register("pe_total", O.with_ctes(_RAW) + "SELECT " + O.cents("SUM(COALESCE(PN_ACC, 0))") + " AS PE_Total FROM policies_raw")
+def q_pe_total(spark, sf_dir):
+    return rounded(recap_ops.pe_total(fx.policies_raw(spark, sf_dir)))
+
+
+@register("pe_by_exercice", O.with_ctes(_RAW) + """
+SELECT COALESCE(Exercice, 'NR') AS Exercice, """ + O.cents("SUM(COALESCE(PN_ACC, 0))") + """ AS PE, COUNT(*) AS Nb_Lignes
+FROM policies_raw GROUP BY 1""")
+def q_pe_by_exercice(spark, sf_dir):
+    return rounded(recap_ops.pe_by(fx.policies_raw(spark, sf_dir), "Exercice"))
+
+
+@register("pe_by_branche", O.with_ctes(_RAW) + """
+SELECT Branche, """ + O.cents("SUM(COALESCE(PN_ACC, 0))") + """ AS PE, COUNT(*) AS Nb_Lignes
+FROM policies_raw GROUP BY 1""")
+def q_pe_by_branche(spark, sf_dir):
+    return rounded(recap_ops.pe_by(fx.policies_raw(spark, sf_dir), "Branche"))
+
+
+def _mapped_diag(spark, sf_dir):
+    raw = mapping_ops.fill_defaults(fx.policies_raw(spark, sf_dir))
+    return raw.withColumn("Branche_Mappee", mapping_ops.map_branch(F.col("Branche").cast("string"), fx.FIXTURE_MAPPING))
+
+
+@register("pe_after_mapping", O.with_ctes(BASE) + """
+SELECT Exercice, Branche AS Branche_Mappee, """ + O.cents("SUM(PN_ACC)") + """ AS PE, COUNT(*) AS Nb_Lignes
+FROM policies GROUP BY 1, 2""")
+def q_pe_after_mapping(spark, sf_dir):
+    return rounded(recap_ops.pe_by(_mapped_diag(spark, sf_dir), "Exercice", "Branche_Mappee"))
+
+
+@register("pe_after_mapping_pivot", O.with_ctes(BASE, """
+pm AS (SELECT Branche AS Branche_Mappee, Exercice, SUM(PN_ACC) AS PE FROM policies GROUP BY 1, 2),
+pm_dense AS (SELECT b.Branche_Mappee, y.Exercice, """ + O.cents("COALESCE(pm.PE, 0)") + """ AS PE
+             FROM (SELECT DISTINCT Branche_Mappee FROM pm) b CROSS JOIN years y
+             LEFT JOIN pm ON pm.Branche_Mappee = b.Branche_Mappee AND pm.Exercice = y.Exercice)""")
+          + "PIVOT pm_dense ON Exercice USING first(PE) GROUP BY Branche_Mappee")
+def q_pe_after_mapping_pivot(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    cells = st.pe.withColumnRenamed("Branche", "Branche_Mappee")
+    return rounded(recap_ops.pivot_no_totals(cells, "Branche_Mappee", "PE", st.years))
+
+
+@register("pe_by_exercice_mapped", O.with_ctes(BASE) + """
+SELECT Exercice, """ + O.cents("SUM(PN_ACC)") + """ AS PE_Total FROM policies GROUP BY 1""")
+def q_pe_by_exercice_mapped(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(st.pe.groupBy("Exercice").agg(F.sum("PE").alias("PE_Total")).orderBy("Exercice"))
+
+
+@register("distinct_branches", O.with_ctes(_RAW) + "SELECT DISTINCT Branche FROM policies_raw WHERE Branche IS NOT NULL")
+def q_distinct_branches(spark, sf_dir):
+    return mapping_ops.distinct_branches(fx.policies_raw(spark, sf_dir))
+
+
+@register("distinct_exercices", O.with_ctes(_RAW) + "SELECT DISTINCT COALESCE(Exercice, 'NR') AS Exercice FROM policies_raw")
+def q_distinct_exercices(spark, sf_dir):
+    return mapping_ops.distinct_exercices(fx.policies_raw(spark, sf_dir))
+
+
+@register("last_exercice", O.with_ctes(_RAW) + "SELECT max(COALESCE(Exercice, 'NR')) AS last_exercice FROM policies_raw")
+def q_last_exercice(spark, sf_dir):
+    return mapping_ops.last_exercice(fx.policies_raw(spark, sf_dir))
+
+
+@register("dataset_stats", O.with_ctes(_RAW) + """
+SELECT COUNT(*) AS rows, CAST(6 AS BIGINT) AS columns, 'Police,Branche,Exercice,Effet,Echeance,PN_ACC' AS column_names
+FROM policies_raw""")
+def q_dataset_stats(spark, sf_dir):
+    return prod.dataset_stats(fx.policies_raw(spark, sf_dir))
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    return prod.preview(fx.policies_raw(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Mapping helpers (OP-F12, F13), completeness (OP-S11), loss ratios (OP-F11)
+# ---------------------------------------------------------------------------
+_SET = f"settlements_raw AS ({fx.SETTLEMENTS_RAW_SQL})"
+
+
+def _targets_sql():
+    from provisio.params import TARGET_BRANCHES
+    return O._values([(t.upper(), t) for t in TARGET_BRANCHES], "u, target")
+
+
+@register("default_mapping", O.with_ctes(_SET, f"tg AS {_targets_sql()}") + f"""
+SELECT s.Branche_obs, COALESCE(tg.target, 'AUTOMOBILE') AS Branche, tg.target IS NOT NULL AS matched
+FROM (SELECT DISTINCT Branche AS Branche_obs FROM settlements_raw WHERE Branche IS NOT NULL) s
+LEFT JOIN tg ON tg.u = upper({O.ustrip('s.Branche_obs')})""")
+def q_default_mapping(spark, sf_dir):
+    return mapping_ops.default_mapping(fx.settlements_raw(spark, sf_dir))
+
+
+SAVED_MAPPING = dict(fx.FIXTURE_MAPPING, OBSOLETE="VOYAGE")
+
+
+@register("mapping_stale", O.with_ctes(_RAW, f"saved AS {O._values([(k,) for k in SAVED_MAPPING], 'key')}") + """
+SELECT key, 'observed_not_mapped' AS status FROM (SELECT DISTINCT Branche AS key FROM policies_raw WHERE Branche IS NOT NULL) o
+WHERE key NOT IN (SELECT key FROM saved)
+UNION ALL
+SELECT key, 'mapped_not_observed' FROM saved WHERE key NOT IN (SELECT Branche FROM policies_raw WHERE Branche IS NOT NULL)""")
+def q_mapping_stale(spark, sf_dir):
+    return mapping_ops.mapping_staleness(fx.policies_raw(spark, sf_dir), SAVED_MAPPING)
+
+
+EXPECTED_YEARS = [str(y) for y in range(1994, 2004)]
+
+
+@register("missing_years", O.with_ctes(_RAW, f"exp AS {O._values([(y,) for y in EXPECTED_YEARS], 'Exercice')}") + """
+SELECT Exercice FROM exp WHERE Exercice NOT IN (SELECT DISTINCT Exercice FROM policies_raw WHERE Exercice IS NOT NULL)""")
+def q_missing_years(spark, sf_dir):
+    return prod.missing_years(spark, EXPECTED_YEARS, fx.policies_raw(spark, sf_dir))
+
+
+@register("loss_ratio_resolved", O.with_ctes(BASE) + """
+SELECT COALESCE(b.Branche, lr.Branche) AS Branche, """ + O.micro("COALESCE(lr.Loss_Ratio, 0.65)") + """ AS Loss_Ratio
+FROM (SELECT DISTINCT Branche FROM policies WHERE Branche IS NOT NULL) b FULL OUTER JOIN lr ON b.Branche = lr.Branche""")
+def q_loss_ratio_resolved(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return rounded(dim.resolve_loss_ratios(st.pe, st.params.loss_ratios))
+
+
+@register("settlements_pivot", O.with_ctes(_SET, """
+sc AS (SELECT Branche, Exercice, SUM(Montant) AS Montant FROM settlements_raw GROUP BY 1, 2),
+sd AS (SELECT b.Branche, y.Exercice, """ + O.cents("COALESCE(sc.Montant, 0)") + """ AS Montant
+       FROM (SELECT DISTINCT Branche FROM sc) b CROSS JOIN (SELECT DISTINCT Exercice FROM sc) y
+       LEFT JOIN sc ON sc.Branche = b.Branche AND sc.Exercice = y.Exercice)""")
+          + "PIVOT sd ON Exercice USING first(Montant) GROUP BY Branche")
+def q_settlements_pivot(spark, sf_dir):
+    from provisio.session import materialize
+    cells = materialize(dim.settlements_cells(fx.settlements_raw(spark, sf_dir)))
+    return rounded(recap_ops.pivot_no_totals(cells, "Branche", "Montant", recap_ops.years_of(cells)))
