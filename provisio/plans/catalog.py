@@ -417,3 +417,126 @@ def q_settlements_pivot(spark, sf_dir):
     from provisio.session import materialize
     cells = materialize(dim.settlements_cells(fx.settlements_raw(spark, sf_dir)))
     return rounded(recap_ops.pivot_no_totals(cells, "Branche", "Montant", recap_ops.years_of(cells)))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning functions over whole tables (OP-F3..F9)
+# ---------------------------------------------------------------------------
+from provisio.functions import amounts as amt  # noqa: E402
+from provisio.functions import formatting as fmt  # noqa: E402
+from provisio.functions import text as txt  # noqa: E402
+from provisio.functions.dates import parse_date  # noqa: E402
+
+_CRAW = f"claims_raw AS ({fx.CLAIMS_RAW_SQL})"
+
+
+@register("claims_amount_parse", O.with_ctes(CLAIMS) + """
+SELECT raw_reglement AS REGLEMENT, raw_cout AS COUT_TOTAL, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total_num
+FROM claims_norm""")
+def q_claims_amount_parse(spark, sf_dir):
+    raw = fx.claims_raw(spark, sf_dir)
+    return rounded(raw.select("REGLEMENT", "COUT_TOTAL",
+                              amt.claims_amount("REGLEMENT").alias("Total_Reglement"),
+                              amt.claims_amount("COUT_TOTAL").alias("Cout_Total_num")))
+
+
+def _prod_amount_sql(c: str) -> str:
+    s = f"replace(regexp_replace(CAST({c} AS VARCHAR), '[{O.WS_CLASS}]+', '', 'g'), ',', '.')"
+    num = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+    return f"CASE WHEN regexp_full_match({s}, '{num}') THEN TRY_CAST({s} AS DOUBLE) END"
+
+
+@register("premium_amount_parse", O.with_ctes(_CRAW) + """
+SELECT COUT_TOTAL, """ + O.cents(_prod_amount_sql("COUT_TOTAL")) + """ AS PN_ACC FROM claims_raw""")
+def q_premium_amount_parse(spark, sf_dir):
+    raw = fx.claims_raw(spark, sf_dir)
+    return rounded(raw.select("COUT_TOTAL", amt.production_amount("COUT_TOTAL").alias("PN_ACC")))
+
+
+@register("branch_clean", O.with_ctes(_CRAW) + """
+SELECT BRANCHE, """ + O.ustrip("CAST(BRANCHE AS VARCHAR)") + """ AS Branche FROM claims_raw""")
+def q_branch_clean(spark, sf_dir):
+    raw = fx.claims_raw(spark, sf_dir)
+    return raw.select("BRANCHE", txt.clean_branch("BRANCHE").alias("Branche"))
+
+
+@register("year_clean", """
+SELECT o_orderkey, CAST(CAST(year(o_orderdate) AS DOUBLE) AS VARCHAR) AS Exercice_raw,
+       """ + O.ustrip("regexp_replace(CAST(CAST(year(o_orderdate) AS DOUBLE) AS VARCHAR), '\\.0$', '')") + """ AS Exercice
+FROM orders""")
+def q_year_clean(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    raw = F.year("o_orderdate").cast("double").cast("string")
+    return o.select("o_orderkey", raw.alias("Exercice_raw"), txt.clean_year(raw).alias("Exercice"))
+
+
+def _dated_text(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    d = F.col("o_orderdate").cast("date")
+    txt_col = (F.when(F.col("o_orderstatus") == "F", F.date_format(d, "dd/MM/yyyy"))
+               .when(F.col("o_orderstatus") == "O", F.date_format(d, "yyyy-MM-dd"))
+               .otherwise(F.lit("sans date")))
+    return o.select("o_orderkey", txt_col.alias("Date d'effet"))
+
+
+@register("date_coerce", """
+WITH t AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y')
+              WHEN o_orderstatus = 'O' THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')
+              ELSE 'sans date' END AS txt
+  FROM orders),
+p AS (SELECT o_orderkey, txt, COALESCE(CAST(try_strptime(txt, '%d/%m/%Y') AS DATE), CAST(try_strptime(txt, '%Y-%m-%d') AS DATE)) AS d FROM t),
+s AS (SELECT COUNT(d) AS ok, COUNT(*) AS n FROM p)
+SELECT o_orderkey, CASE WHEN (SELECT ok FROM s) > 0 AND (SELECT ok FROM s) >= 0.4 * (SELECT n FROM s) THEN d END AS "Date d'effet"
+FROM p""")
+def q_date_coerce(spark, sf_dir):
+    return prod.coerce_dates(_dated_text(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Formatting and text (OP-F19..F22)
+# ---------------------------------------------------------------------------
+def _fmt2(x: str) -> str:
+    return f"replace(format('{{:,.2f}}', {x}), ',', ' ')"
+
+
+@register("format_numbers", O.with_ctes(BASE) + """
+SELECT Branche, Exercice, """ + _fmt2(O.cents("PE")) + """ AS PE_fmt,
+       replace(format('{:,.0f}', CAST(n AS DOUBLE)), ',', ' ') AS Nb_fmt
+FROM (SELECT Branche, Exercice, SUM(PN_ACC) AS PE, COUNT(*) AS n FROM policies GROUP BY 1, 2)""")
+def q_format_numbers(spark, sf_dir):
+    st = policy_stage(spark, sf_dir)
+    return st.cells.select("Branche", "Exercice", fmt.fmt_amount(cents(F.col("PE"))).alias("PE_fmt"),
+                           fmt.fmt_integer(F.col("Nb")).alias("Nb_fmt"))
+
+
+def _report_sql(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '' WHEN abs({x}) >= 1 THEN {_fmt2(x)} "
+            f"WHEN {x} = 0 THEN '0,00' ELSE replace(format('{{:.4f}}', {x}), '.', ',') END")
+
+
+@register("format_report_numbers", O.with_ctes(BASE) + """
+SELECT Branche, """ + _report_sql(O.micro("Loss_Ratio")) + """ AS Loss_Ratio, """ + _report_sql(O.cents("PE_Total")) + """ AS PE_Total,
+       """ + _report_sql(O.cents("FG_Reparti")) + """ AS FG_Reparti, """ + _report_sql(O.micro("Taux_PREC")) + """ AS Taux_PREC,
+       format('{:.2f}', """ + O.micro("Taux_PREC") + """ * 100) || '%' AS Taux_PREC_pct
+FROM taux_final""")
+def q_format_report_numbers(spark, sf_dir):
+    t = rounded(policy_stage(spark, sf_dir).taux)
+    return t.select("Branche", *[fmt.fmt_report(c).alias(c) for c in ("Loss_Ratio", "PE_Total", "FG_Reparti", "Taux_PREC")],
+                    fmt.fmt_percent("Taux_PREC").alias("Taux_PREC_pct"))
+
+
+def _sanitize_sql(x: str) -> str:
+    src = "".join(a for a, _ in txt.SANITIZE_ONE_TO_ONE).replace("'", "''")
+    dst = "".join(b for _, b in txt.SANITIZE_ONE_TO_ONE).replace("'", "''")
+    out = f"translate({x}, '{src}', '{dst}')"
+    for a, b in txt.SANITIZE_ONE_TO_MANY:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"regexp_replace({out}, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')"
+
+
+@register("sanitize_text", "SELECT doc_id, " + _sanitize_sql("text") + " AS text FROM documents")
+def q_sanitize_text(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", txt.sanitize_text("text").alias("text"))

@@ -142,7 +142,7 @@ claims_raw AS ({fx.CLAIMS_RAW_SQL}),
 claims_norm AS (
   SELECT {ustrip("COALESCE(CAST(BRANCHE AS VARCHAR), '')")} AS b, Exercice,
          {amount('REGLEMENT')} AS Total_Reglement, {amount('COUT_TOTAL')} AS Cout_Total,
-         REGLEMENT, COUT_TOTAL, BRANCHE
+         REGLEMENT AS raw_reglement, COUT_TOTAL AS raw_cout
   FROM claims_raw),
 claims AS (SELECT CAST({m} AS VARCHAR) AS Branche, Exercice, Total_Reglement, Cout_Total FROM claims_norm),
 claims_cells AS (

@@ -94,9 +94,9 @@ def date_columns_decision(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([], "column string, parsed long, share double")
     agg = df.agg(*[F.count(parse_date(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(cands)],
                  F.count(F.lit(1)).alias("n"))
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(cands))
-    return agg.selectExpr(f"stack({len(cands)}, {stack}) AS (column, parsed)", "n").select(
-        "column", "parsed", F.try_divide(F.col("parsed").cast("double"), F.col("n").cast("double")).alias("share"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("parsed")) for i, c in enumerate(cands)])
+    return agg.select(F.explode(pairs).alias("p"), "n").select(
+        "p.column", "p.parsed", F.try_divide(F.col("p.parsed").cast("double"), F.col("n").cast("double")).alias("share"))
 
 
 def coerce_dates(df: DataFrame) -> DataFrame:
