@@ -540,3 +540,124 @@ def _sanitize_sql(x: str) -> str:
 def q_sanitize_text(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
     return d.select("doc_id", txt.sanitize_text("text").alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Report (OP-S5), relaxed union (OP-U1), landing round trips (OP-S1..S4, S10)
+# ---------------------------------------------------------------------------
+from provisio.plans import report as report_ops  # noqa: E402
+
+
+def _report_long_sql(no: int, title: str, cells: str, value: str) -> str:
+    v = O.cents(f"SUM({value})")
+    return f"""SELECT {no} AS section_no, '{title.replace("'", "''")}' AS section,
+       CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END AS Branche,
+       CASE WHEN grouping(Exercice) = 1 THEN 'Total' ELSE Exercice END AS col_name,
+       {v} AS value_double
+FROM {cells} GROUP BY CUBE (Branche, Exercice)"""
+
+
+_REPORT_CELLS = {"PE": ("pe_cells", "PE"), "PREC": ("prec_cells", "PREC"), "PA": ("pa_cells", "PA"),
+                 "PA split": ("pa_split", "PA"), "CU": ("cu_cells", "CU"), "PSAP": ("psap_cells", "PSAP")}
+_REPORT_SQL = " UNION ALL ".join(
+    _report_long_sql(no, title, *_REPORT_CELLS[key]) for no, (key, title, _) in enumerate(report_ops.SECTIONS, start=1))
+
+
+@register("report_cells", O.with_ctes(BASE, CLAIMS, _PSAP, "rep AS (" + _REPORT_SQL + ")") + """
+SELECT section_no, section, Branche, col_name, value_double, """ + _report_sql("value_double") + """ AS value_text FROM rep""")
+def q_report_cells(spark, sf_dir):
+    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
+    over = reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years)
+    sections = {"PE": st.pe, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split, "CU": st.cu,
+                "PSAP": reserves.psap_cells(st.cu, cl.cells, over, st.years)}
+    rep = report_ops.report_cells(sections)
+    rep = rep.withColumn("value_double", cents(F.col("value_double")))
+    return rep.withColumn("value_text", fmt.fmt_report(F.col("value_double")))
+
+
+def _year_files(spark, sf_dir):
+    """Production delivered as one frame per year slot; even years carry the
+    premium as dirty text and an extra column, odd years are typed."""
+    raw = fx.policies_raw(spark, sf_dir)
+    out = []
+    for y in range(1995, 2002):
+        part = raw.filter(F.col("Exercice") == str(y))
+        if y % 2 == 0:
+            part = part.select("Police", "Branche", "Effet", "Echeance",
+                               F.regexp_replace(F.col("PN_ACC").cast("decimal(18,2)").cast("string"), r"\.", ",").alias("PN_ACC"),
+                               F.lit("canal web").alias("Intermediaire"))
+        else:
+            part = part.drop("Exercice")
+        out.append((str(y), part))
+    return out
+
+
+@register("union_relaxed", O.with_ctes(_RAW) + """
+SELECT Exercice, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC,
+       COUNT(CASE WHEN CAST(Exercice AS INTEGER) % 2 = 0 THEN 1 END) AS Intermediaire
+FROM policies_raw GROUP BY Exercice""")
+def q_union_relaxed(spark, sf_dir):
+    u = prod.union_production(_year_files(spark, sf_dir))
+    return rounded(u.groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC"),
+                                             F.count("Intermediaire").alias("Intermediaire")))
+
+
+def _write_text_files(spark, sf_dir, root: str, encoding_by_year=None):
+    """Write the production as all-text CSV files, one folder per year slot."""
+    files = []
+    for year, part in _year_files(spark, sf_dir):
+        path = f"{root}/slot={year}"
+        enc = (encoding_by_year or {}).get(year, "UTF-8")
+        txt_part = part.select(*[F.col(c).cast("string").alias(c) for c in part.columns])
+        txt_part.write.mode("overwrite").option("header", True).option("encoding", enc).csv(path)
+        files.append((year, path))
+    return files
+
+
+def _landed_files(spark, folders):
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load([p for _, p in folders]).select("path")
+    year_of = {p.rstrip("/").split("slot=")[-1]: y for y, p in folders}
+    return [(year_of[r["path"].split("slot=")[-1].split("/")[0]], r["path"]) for r in listing.collect()]
+
+
+@register("landing_roundtrip", O.with_ctes(_RAW) + """
+SELECT Exercice, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC,
+       COUNT(Effet) AS n_effet, COUNT(Echeance) AS n_echeance, min(Effet) AS min_effet, max(Echeance) AS max_echeance
+FROM policies_raw GROUP BY Exercice""")
+def q_landing_roundtrip(spark, sf_dir):
+    root = prod.scratch_dir(spark, "landing")
+    files = _landed_files(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
+    target = prod.land_production(spark, files, f"{root}/out")
+    landed = spark.read.parquet(target)
+    return rounded(landed.groupBy("Exercice").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC"), F.count("Effet").alias("n_effet"),
+        F.count("Echeance").alias("n_echeance"), F.min("Effet").alias("min_effet"), F.max("Echeance").alias("max_echeance")))
+
+
+@register("csv_encoding_fallback", O.with_ctes(CLAIMS) + """
+SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
+       Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
+def q_csv_encoding_fallback(spark, sf_dir):
+    """Claims written as text files, odd years in Latin-1, even years in
+    UTF-8; read back with per-file encoding detection and aggregated."""
+    root = prod.scratch_dir(spark, "claims-csv")
+    raw = fx.claims_raw(spark, sf_dir)
+    years = [r[0] for r in raw.select("Exercice").distinct().collect()]
+    folders = []
+    for y in sorted(years):
+        path = f"{root}/slot={y}"
+        enc = "ISO-8859-1" if int(y) % 2 else "UTF-8"
+        raw.filter(F.col("Exercice") == y).drop("Exercice").write.mode("overwrite") \
+            .option("header", True).option("encoding", enc).csv(path)
+        folders.append((y, path))
+    files = _landed_files(spark, folders)
+    claims = dim.read_claims_files(spark, files, fx.FIXTURE_MAPPING)
+    return rounded(claims_ops.claims_agg(claims))
+
+
+@register("fingerprint")
+def q_fingerprint(spark, sf_dir):
+    root = prod.scratch_dir(spark, "fingerprint")
+    files = _landed_files(spark, _write_text_files(spark, sf_dir, root))
+    return prod.fingerprint(spark, files)
