@@ -16,12 +16,22 @@ from pyspark.sql import functions as F
 WS = r"(?U)\s+"
 STRIP = r"(?U)^\s+|\s+$"
 NON_LATIN1 = r"[^\x00-\xFF]"
+# The Unicode White_Space set (what (?U)\s matches), as plain
+# characters so strip/removal run as btrim/translate instead of regex
+WS_CHARS = ("\t\n\u000b\f\r \u0085\u00a0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 
 
 def ustrip(c: Column | str) -> Column:
     """Unicode strip (leading/trailing whitespace incl. NBSP)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def remove_ws(c: Column) -> Column:
+    """Delete every Unicode whitespace character."""
+    return F.translate(c, WS_CHARS, "")
 
 
 def clean_branch(c: Column | str) -> Column:
