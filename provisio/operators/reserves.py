@@ -62,11 +62,16 @@ def ibnr_pivot(ibnr: DataFrame, years: list[str]) -> DataFrame:
     return m.filter(F.col("Branche") != TOTAL_ROW)
 
 
+def small(df: DataFrame, broadcast: bool) -> DataFrame:
+    """Broadcast hint for a per-cell frame whose size the caller has checked."""
+    return F.broadcast(df) if broadcast else df
+
+
 def _grid(branches: DataFrame, years: list[str]) -> DataFrame:
     return branches.select("Branche", F.explode(F.array(*[F.lit(y) for y in sorted(years)])).alias("Exercice"))
 
 
-def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str]) -> DataFrame:
+def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str], broadcast: bool = False) -> DataFrame:
     """OP-R9: SAP + IBNR of the bodily-injury branch per CU year (missing = 0).
 
     Empty unless both an IBNR and a SAP row exist for the branch."""
@@ -74,7 +79,7 @@ def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str]) -> D
     sap_b = sap_cells.filter(F.col("Branche") == BODILY_BRANCH).select("Exercice", "SAP")
     ib = ibnr.select("Exercice", "IBNR")
     y = spark.createDataFrame([(v,) for v in sorted(years)], "Exercice string")
-    detail = (y.join(sap_b, "Exercice", "left").join(ib, "Exercice", "left")
+    detail = (y.join(small(sap_b, broadcast), "Exercice", "left").join(small(ib, broadcast), "Exercice", "left")
               .select("Exercice", F.coalesce("SAP", F.lit(0.0)).alias("SAP"),
                       F.coalesce("IBNR", F.lit(0.0)).alias("IBNR")))
     detail = detail.withColumn("PSAP", F.col("SAP") + F.col("IBNR"))
@@ -107,15 +112,17 @@ def assemble_overrides(spark, user_overrides: list, corp: DataFrame | None, year
     return manual.unionByName(corp.select(F.lit(BODILY_BRANCH).alias("Branche"), "Exercice", "PSAP"))
 
 
-def psap_cells(cu: DataFrame, paid: DataFrame, overrides: DataFrame | None, years: list[str]) -> DataFrame:
+def psap_cells(cu: DataFrame, paid: DataFrame, overrides: DataFrame | None, years: list[str],
+               broadcast: bool = False) -> DataFrame:
     """OP-R10: CU (AUTO RC+AR merged) - paid on the dense CU grid (negative
     allowed); override branches replace whole rows."""
     cu = cu_aggregated(cu.filter(F.col("Branche") != TOTAL_ROW))
     grid = _grid(cu.select("Branche").distinct(), years)
-    dense = grid.join(cu, KEYS, "left").select(*KEYS, F.coalesce("CU", F.lit(0.0)).alias("CU"))
+    dense = grid.join(small(cu, broadcast), KEYS, "left").select(*KEYS, F.coalesce("CU", F.lit(0.0)).alias("CU"))
     paid = paid.filter(F.col("Branche") != TOTAL_ROW).select(*KEYS, F.col("Total_Reglement").alias("paid"))
-    out = (dense.join(paid, KEYS, "left")
+    out = (dense.join(small(paid, broadcast), KEYS, "left")
            .select(*KEYS, (F.col("CU") - F.coalesce("paid", F.lit(0.0))).alias("PSAP")))
     if overrides is not None:
-        out = out.join(overrides.select("Branche").distinct(), "Branche", "left_anti").unionByName(overrides)
+        out = (out.join(small(overrides.select("Branche").distinct(), broadcast), "Branche", "left_anti")
+               .unionByName(overrides))
     return out

@@ -17,6 +17,7 @@ from provisio.operators import claims as claims_ops
 from provisio.operators import premium, reserves
 from provisio.operators.recap import recap_matrix
 from provisio.plans import oracle_sql as O
+from provisio.plans import pipeline
 from provisio.plans.pipeline import ClaimsStage, PolicyStage
 from provisio.params import BODILY_BRANCH, HIDDEN_CU_BRANCHES
 from provisio.sources import fixtures as fx
@@ -251,24 +252,20 @@ UNION ALL
 SELECT 'TOTAL', """ + O.cents("SUM(SAP)") + ", " + O.cents("SUM(IBNR)") + ", " + O.cents("SUM(PSAP)") + """ FROM corp HAVING COUNT(*) > 0""")
 def q_psap_corporels(spark, sf_dir):
     st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
-    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years, broadcast=st.small and cl.small)
     return rounded(reserves.psap_corporels_detail(corp))
 
 
 @register("psap_overrides", O.with_ctes(BASE, CLAIMS, _PSAP) + """
 SELECT Branche, Exercice, """ + O.cents("PSAP") + """ AS PSAP FROM overrides""")
 def q_psap_overrides(spark, sf_dir):
-    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
-    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
-    return rounded(reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years))
+    return rounded(pipeline.psap_overrides(policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)))
 
 
 @register("psap_matrix", O.matrix_sql([BASE, CLAIMS, _PSAP], "psap_cells", "PSAP"))
 def q_psap_matrix(spark, sf_dir):
     st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
-    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
-    over = reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years)
-    return rounded(recap_matrix(reserves.psap_cells(st.cu, cl.cells, over, st.years), "PSAP", st.years))
+    return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years))
 
 
 # ---------------------------------------------------------------------------
@@ -567,10 +564,8 @@ _REPORT_SQL = " UNION ALL ".join(
 SELECT section_no, section, Branche, col_name, value_double, """ + _report_sql("value_double") + """ AS value_text FROM rep""")
 def q_report_cells(spark, sf_dir):
     st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
-    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
-    over = reserves.assemble_overrides(spark, st.params.psap_overrides, corp, st.years)
     sections = {"PE": st.pe, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split, "CU": st.cu,
-                "PSAP": reserves.psap_cells(st.cu, cl.cells, over, st.years)}
+                "PSAP": pipeline.psap(st, cl)}
     rep = report_ops.report_cells(sections)
     rep = rep.withColumn("value_double", cents(F.col("value_double")))
     return rep.withColumn("value_text", fmt.fmt_report(F.col("value_double")))

@@ -18,30 +18,55 @@ from pyspark.sql import functions as F
 from provisio.operators import claims as claims_ops
 from provisio.operators import premium, reserves
 from provisio.operators.mapping import map_policies
-from provisio.operators.recap import recap_matrix, years_of
+from provisio.operators.recap import recap_matrix
 from provisio.params import ReservingParams
 from provisio.session import materialize
 
+# Per-cell frames (branches x years) up to this many rows are broadcast in
+# the reserve joins; larger ones (a mis-mapped, high-cardinality Branche
+# column) fall back to shuffled joins planned by AQE.
+MAX_BROADCAST_CELLS = 1_000_000
+
+
+def _checked(cells: DataFrame) -> tuple[list[str], bool]:
+    """Years of a checkpointed per-cell frame and whether it is small enough
+    to broadcast; one cheap job over the checkpoint."""
+    r = cells.agg(F.array_sort(F.collect_set("Exercice")).alias("y"), F.count(F.lit(1)).alias("n")).first()
+    return list(r["y"] or []), r["n"] <= MAX_BROADCAST_CELLS
+
 
 class PolicyStage:
     def __init__(self, policies_raw: DataFrame, params: ReservingParams, checkpoint: bool = True):
         self.params = params
+        self.checkpoint = checkpoint
         self.mapped = map_policies(policies_raw, params.mapping)
         cells = premium.policy_cells(self.mapped, params.date_eval, params.ibnr_loss_ratio())
         self.cells = materialize(cells) if checkpoint else cells
 
     @cached_property
+    def _check(self) -> tuple[list[str], bool]:
+        return _checked(self.cells)
+
+    @property
     def years(self) -> list[str]:
-        return years_of(self.cells)
+        return self._check[0]
+
+    @property
+    def small(self) -> bool:
+        return self._check[1]
 
     @cached_property
     def pe(self) -> DataFrame:
         return self.cells.select("Branche", "Exercice", "PE")
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self.checkpoint else df
+
     @cached_property
     def taux(self) -> DataFrame:
+        # one row per loss-ratio branch; reused by PREC, PA, split, CU, PSAP
         p = self.params
-        return premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, None, p.taux_min)
+        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, None, p.taux_min))
 
     @cached_property
     def prec(self) -> DataFrame:
@@ -58,7 +83,8 @@ class PolicyStage:
 
     @cached_property
     def cu(self) -> DataFrame:
-        return reserves.cu_cells(self.pa_split, self.params.loss_ratios_split)
+        # per-cell CU; the PSAP plan reads it twice (grid and values)
+        return self._cut(reserves.cu_cells(self.pa_split, self.params.loss_ratios_split))
 
     @cached_property
     def ibnr(self) -> DataFrame:
@@ -72,8 +98,27 @@ class ClaimsStage:
         self.cells = materialize(agg) if checkpoint else agg
 
     @cached_property
+    def _check(self) -> tuple[list[str], bool]:
+        return _checked(self.cells)
+
+    @property
     def years(self) -> list[str]:
-        return years_of(self.cells)
+        return self._check[0]
+
+    @property
+    def small(self) -> bool:
+        return self._check[1]
+
+
+def psap_overrides(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
+    years, b = policy.years, policy.small and claims.small
+    corp = reserves.psap_corporels(claims.cells, policy.ibnr, years, broadcast=b)
+    return reserves.assemble_overrides(policy.cells.sparkSession, policy.params.psap_overrides, corp, years)
+
+
+def psap(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
+    b = policy.small and claims.small
+    return reserves.psap_cells(policy.cu, claims.cells, psap_overrides(policy, claims), policy.years, broadcast=b)
 
 
 class ReservingPipeline:
@@ -84,13 +129,15 @@ class ReservingPipeline:
         self.policy = PolicyStage(policies_raw, params)
         self.claims = ClaimsStage(claims_raw, params)
 
+    @property
+    def small(self) -> bool:
+        return self.policy.small and self.claims.small
+
     def psap_overrides(self) -> DataFrame:
-        years = self.policy.years
-        corp = reserves.psap_corporels(self.claims.cells, self.policy.ibnr, years)
-        return reserves.assemble_overrides(self.policy.cells.sparkSession, self.params.psap_overrides, corp, years)
+        return psap_overrides(self.policy, self.claims)
 
     def psap(self) -> DataFrame:
-        return reserves.psap_cells(self.policy.cu, self.claims.cells, self.psap_overrides(), self.policy.years)
+        return psap(self.policy, self.claims)
 
     def run(self) -> dict[str, DataFrame]:
         pol, clm, years = self.policy, self.claims, self.policy.years

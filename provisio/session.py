@@ -64,3 +64,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Fan a scan out over the cores when it has fewer partitions than the
+    session's default parallelism (one unsplittable file, e.g. a single
+    Parquet row group) and the rows feed CPU-heavy per-row work.
+
+    On a cluster reading many files the scan already has far more partitions
+    than cores and the frame is returned unchanged, so no shuffle is added
+    where it would cost; counting partitions plans the scan but runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

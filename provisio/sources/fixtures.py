@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.params import ReservingParams
+from provisio.session import spread_small_input
 from datetime import date
 
 NBSP = "\u00a0"
@@ -117,8 +118,10 @@ def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text claims rows: BRANCHE, Exercice, REGLEMENT, COUT_TOTAL."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_linestatus", "l_shipdate")
+    # the amount text is parsed row by row downstream: spread an unsplittable scan
+    li = spread_small_input(li.filter(F.col("l_linestatus") == "F"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    j = li.filter(F.col("l_linestatus") == "F").join(p, li.l_partkey == p.p_partkey)
+    j = li.join(p, li.l_partkey == p.p_partkey)
     ln = F.col("l_linenumber")
     branche = (
         F.when(ln == 3, F.concat(F.lit(NBSP), F.col("p_type"), F.lit(" ")))
