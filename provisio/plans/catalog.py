@@ -54,6 +54,10 @@ def claims_stage(spark: SparkSession, sf_dir: str) -> ClaimsStage:
     return ClaimsStage(fx.claims_raw(spark, sf_dir), fx.fixture_params())
 
 
+def both_stages(spark: SparkSession, sf_dir: str) -> tuple[PolicyStage, ClaimsStage]:
+    return pipeline.build_stages(fx.policies_raw(spark, sf_dir), fx.claims_raw(spark, sf_dir), fx.fixture_params())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -251,7 +255,7 @@ SELECT Exercice, """ + O.cents("SAP") + """ AS SAP, """ + O.cents("IBNR") + """
 UNION ALL
 SELECT 'TOTAL', """ + O.cents("SUM(SAP)") + ", " + O.cents("SUM(IBNR)") + ", " + O.cents("SUM(PSAP)") + """ FROM corp HAVING COUNT(*) > 0""")
 def q_psap_corporels(spark, sf_dir):
-    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    st, cl = both_stages(spark, sf_dir)
     corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years, broadcast=st.small and cl.small)
     return rounded(reserves.psap_corporels_detail(corp))
 
@@ -259,12 +263,12 @@ def q_psap_corporels(spark, sf_dir):
 @register("psap_overrides", O.with_ctes(BASE, CLAIMS, _PSAP) + """
 SELECT Branche, Exercice, """ + O.cents("PSAP") + """ AS PSAP FROM overrides""")
 def q_psap_overrides(spark, sf_dir):
-    return rounded(pipeline.psap_overrides(policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)))
+    return rounded(pipeline.psap_overrides(*both_stages(spark, sf_dir)))
 
 
 @register("psap_matrix", O.matrix_sql([BASE, CLAIMS, _PSAP], "psap_cells", "PSAP"))
 def q_psap_matrix(spark, sf_dir):
-    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    st, cl = both_stages(spark, sf_dir)
     return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years))
 
 
@@ -563,7 +567,7 @@ _REPORT_SQL = " UNION ALL ".join(
 @register("report_cells", O.with_ctes(BASE, CLAIMS, _PSAP, "rep AS (" + _REPORT_SQL + ")") + """
 SELECT section_no, section, Branche, col_name, value_double, """ + _report_sql("value_double") + """ AS value_text FROM rep""")
 def q_report_cells(spark, sf_dir):
-    st, cl = policy_stage(spark, sf_dir), claims_stage(spark, sf_dir)
+    st, cl = both_stages(spark, sf_dir)
     sections = {"PE": st.pe, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split, "CU": st.cu,
                 "PSAP": pipeline.psap(st, cl)}
     rep = report_ops.report_cells(sections)

@@ -110,6 +110,21 @@ class ClaimsStage:
         return self._check[1]
 
 
+def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams,
+                 checkpoint: bool = True) -> tuple[PolicyStage, ClaimsStage]:
+    """Both scans are independent: submit them as concurrent jobs (two driver
+    threads) so the policy and the claims aggregation share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fp = pool.submit(lambda: PolicyStage(policies_raw, params, checkpoint))
+        fc = pool.submit(lambda: ClaimsStage(claims_raw, params, checkpoint))
+        policy, claims = fp.result(), fc.result()
+    # size checks of both checkpoints (tiny jobs)
+    policy.small, claims.small  # noqa: B018
+    return policy, claims
+
+
 def psap_overrides(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
     years, b = policy.years, policy.small and claims.small
     corp = reserves.psap_corporels(claims.cells, policy.ibnr, years, broadcast=b)
@@ -126,8 +141,7 @@ class ReservingPipeline:
 
     def __init__(self, policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams):
         self.params = params
-        self.policy = PolicyStage(policies_raw, params)
-        self.claims = ClaimsStage(claims_raw, params)
+        self.policy, self.claims = build_stages(policies_raw, claims_raw, params)
 
     @property
     def small(self) -> bool:
