@@ -628,7 +628,7 @@ def q_landing_roundtrip(spark, sf_dir):
     root = prod.scratch_dir(spark, "landing")
     files = _landed_files(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
     target = prod.land_production(spark, files, f"{root}/out")
-    landed = spark.read.parquet(target)
+    landed = prod.read_landed(spark, target)
     return rounded(landed.groupBy("Exercice").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC"), F.count("Effet").alias("n_effet"),
         F.count("Echeance").alias("n_echeance"), F.min("Effet").alias("min_effet"), F.max("Echeance").alias("max_echeance")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from provisio.functions.text import ustrip
 from provisio.operators.claims import load_claims
 from provisio.params import DEFAULT_LOSS_RATIO, MANUAL_PSAP_BRANCHES
-from provisio.sources.production import read_text_csv, read_text_csv_detect
+from provisio.sources.production import detect_encodings, read_text_csv, read_text_csv_detect
 
 MAX_PARAMETER_ROWS = 100_000
 
@@ -96,7 +96,6 @@ def read_claims_files(spark: SparkSession, files: list[tuple[str, str]], mapping
     by_year: dict[str, list[str]] = {}
     for y, p in files:
         by_year.setdefault(str(y), []).append(p)
-    frames = []
-    for y, ps in sorted(by_year.items()):
-        frames.append((read_text_csv_detect(spark, sorted(ps)), y))
+    enc = detect_encodings(spark, [p for _, p in files])          # one pass over all files
+    frames = [(read_text_csv_detect(spark, sorted(ps), encodings=enc), y) for y, ps in sorted(by_year.items())]
     return load_claims(frames, mapping)

@@ -38,13 +38,28 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/provisio-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def norm_path(p: str) -> str:
+    """Comparable form of a file path or URI ('file:/a//b' -> '/a/b')."""
+    import re as _re
+    if p.startswith("file:"):
+        p = p[len("file:"):]
+    return _re.sub(r"/+", "/", p.rstrip("/"))
+
+
+def _norm_path_col(c):
+    return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
+
+
 def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """OP-S3: per file, UTF-8 when the whole content is valid UTF-8, else Latin-1.
+    """OP-S3: per file, UTF-8 when every line is valid UTF-8, else Latin-1.
 
-    Validation runs on the executors; only (path, flag) returns."""
-    files = (spark.read.format("binaryFile").load(paths)
-             .select("path", F.expr("is_valid_utf8(CAST(content AS STRING))").alias("utf8")))
-    return {r["path"]: (ENCODINGS[0] if r["utf8"] else ENCODINGS[1]) for r in files.collect()}
+    The text source keeps each line's raw bytes, so validity is checked line
+    by line on the executors (files stay splittable, no per-file size cap);
+    one (path, flag) row per file returns to the driver."""
+    lines = spark.read.text(paths)
+    flags = (lines.groupBy(F.col("_metadata.file_path").alias("path"))
+             .agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8")))
+    return {r["path"]: (ENCODINGS[0] if r["utf8"] else ENCODINGS[1]) for r in flags.collect()}
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:
@@ -62,12 +77,15 @@ def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
     return _strip_bom(df)
 
 
-def read_text_csv_detect(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
+def read_text_csv_detect(spark: SparkSession, paths: list[str], sep: str = ",",
+                         encodings: dict[str, str] | None = None) -> DataFrame:
     """OP-S3 with fallback: group files by detected encoding, one scan per group."""
-    enc = detect_encodings(spark, paths)
+    enc = encodings if encodings is not None else detect_encodings(spark, paths)
+    wanted = {norm_path(p) for p in paths}
     groups: dict[str, list[str]] = {}
     for p, e in enc.items():
-        groups.setdefault(e, []).append(p)
+        if norm_path(p) in wanted:
+            groups.setdefault(e, []).append(p)
     frames = [read_text_csv(spark, sorted(ps), e, sep) for e, ps in sorted(groups.items())]
     out = frames[0]
     for f in frames[1:]:
@@ -179,7 +197,8 @@ def read_production_files(spark: SparkSession, files: list[tuple[str, str]]) ->
     by_year: dict[str, list[str]] = {}
     for y, p in files:
         by_year.setdefault(str(y), []).append(p)
-    frames = [(y, coerce_dates(read_text_csv_detect(spark, ps))) for y, ps in sorted(by_year.items())]
+    enc = detect_encodings(spark, [p for _, p in files])          # one pass over all files
+    frames = [(y, coerce_dates(read_text_csv_detect(spark, ps, encodings=enc))) for y, ps in sorted(by_year.items())]
     return union_production(frames)
 
 
@@ -194,18 +213,33 @@ def write_production(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .parquet(path))
 
 
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """OP-S9: scan a landed table with ``Exercice`` kept as text (partition
+    values such as '2024' would otherwise be inferred as integers)."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    inferred = spark.read.parquet(path).schema
+    schema = StructType([StructField(f.name, StringType(), True) if f.name == "Exercice" else f for f in inferred])
+    return spark.read.schema(schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """OP-S10: deterministic digest over (year, file name, bytes) of every
-    input file; content hashing runs on the executors, one row per file
-    reaches the final one-row aggregate."""
-    slots = spark.createDataFrame([(str(y), p) for y, p in files], "year string, slot_path string")
-    content = spark.read.format("binaryFile").load([p for _, p in files]).select(
-        "path", F.md5("content").alias("content_md5"))
-    name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    slot_name = F.regexp_extract(F.col("slot_path"), r"([^/]+)$", 1)
-    per_file = content.join(slots, name == slot_name).select(
-        F.concat_ws(":", "year", F.regexp_extract("path", r"([^/]+)$", 1), "content_md5").alias("part"))
-    return per_file.agg(
+    """OP-S10: deterministic digest over (year slot, file name, content).
+
+    Content is summarised per file on the executors as the line count and two
+    order-independent sums of 64-bit line hashes (splittable, streaming); the
+    per-file summaries (one row per file) are sorted and hashed once."""
+    slots = spark.createDataFrame([(str(y), norm_path(p), p.rstrip("/").split("/")[-1]) for y, p in files],
+                                  "year string, key string, name string")
+    lines = spark.read.text([p for _, p in files])
+    per_file = (lines.groupBy(_norm_path_col(F.col("_metadata.file_path")).alias("key"))
+                .agg(F.count(F.lit(1)).alias("n"),
+                     F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h1"),
+                     F.sum(F.xxhash64(F.lit("provisio"), "value").cast("decimal(38,0)")).alias("h2")))
+    parts = per_file.join(slots, "key").select(
+        F.concat_ws(":", "year", "name", F.col("n").cast("string"), F.col("h1").cast("string"),
+                    F.col("h2").cast("string")).alias("part"))
+    return parts.agg(
         F.substring(F.md5(F.concat_ws("|", F.array_sort(F.collect_list("part")))), 1, 16).alias("fingerprint"),
         F.count(F.lit(1)).alias("files"))
 
