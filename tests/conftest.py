@@ -21,3 +21,8 @@ def spark():
     ensure_checkpoint_dir(s)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def spark_session(spark):
+    return spark
