@@ -660,3 +660,9 @@ def q_fingerprint(spark, sf_dir):
     root = prod.scratch_dir(spark, "fingerprint")
     files = _landed_files(spark, _write_text_files(spark, sf_dir, root))
     return prod.fingerprint(spark, files)
+
+
+@register("claims_distinct_branches", O.with_ctes(CLAIMS) + "SELECT DISTINCT b AS Branche FROM claims_norm WHERE b IS NOT NULL")
+def q_claims_distinct_branches(spark, sf_dir):
+    """OP-A10 (claims): distinct stripped branches over all claims files, before mapping."""
+    return mapping_ops.distinct_branches(claims_ops.normalize_claims(fx.claims_raw(spark, sf_dir)))
