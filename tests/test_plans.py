@@ -77,3 +77,18 @@ def test_partition_count_independence(spark):
     ra = {(r.Branche, r.Exercice): (round(r.PE, 6), round(r.PREC_base, 6), r.Nb) for r in a.collect()}
     rb = {(r.Branche, r.Exercice): (round(r.PE, 6), round(r.PREC_base, 6), r.Nb) for r in b.collect()}
     assert ra == rb
+
+
+def test_last_year_filter_prunes_partitions(spark):
+    import tempfile
+
+    from provisio.sources import production as prod
+    path = tempfile.mkdtemp(prefix="provisio-landed-") + "/t"
+    prod.write_production(fx.policies_raw(spark, SF), path)
+    landed = prod.read_landed(spark, path)
+    last = premium.last_year_filter(landed, "2001")
+    sp = last._jdf.queryExecution().sparkPlan().toString()
+    import re
+    part = re.search(r"PartitionFilters: \[([^\]]*)\]", sp).group(1)
+    assert "Exercice" in part and "2001" in part
+    assert last.count() == fx.policies_raw(spark, SF).filter(F.col("Exercice") == "2001").count()
