@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from provisio.functions.amounts import claims_amount
 from provisio.functions.text import resolve_claims_columns, ustrip
 from provisio.operators.mapping import map_branch
+from provisio.operators.recap import sort_small
 
 
 def normalize_claims(df: DataFrame, keep: tuple[str, ...] = ("Exercice",)) -> DataFrame:
@@ -56,5 +57,9 @@ def claims_agg(claims: DataFrame) -> DataFrame:
             .agg(F.sum("Total_Reglement").alias("Total_Reglement"),
                  F.sum("Cout_Total").alias("Cout_Total"),
                  F.count(F.lit(1)).cast("bigint").alias("Nombre_Sinistres"))
-            .withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement"))
-            .orderBy("Branche", "Exercice"))
+            .withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement")))
+
+
+def claims_agg_sorted(claims: DataFrame) -> DataFrame:
+    """OP-A8 as presented: sorted by (Branche, Exercice); per-cell sized."""
+    return sort_small(claims_agg(claims), "Branche", "Exercice")

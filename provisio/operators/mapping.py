@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
+from provisio.operators.literal import literal_frame
 from provisio.params import NULL_EXERCICE, TARGET_BRANCHES
 
 
@@ -71,7 +72,7 @@ def mapping_staleness(observed: DataFrame, saved_mapping: dict) -> DataFrame:
     Empty result = the saved mapping is still valid."""
     spark = observed.sparkSession
     obs = observed.select(F.col("Branche").alias("key")).filter(F.col("key").isNotNull()).distinct()
-    saved = spark.createDataFrame([(str(k),) for k in saved_mapping], "key string")
+    saved = literal_frame(spark, [(str(k),) for k in saved_mapping], "key string")
     new = obs.join(saved, "key", "left_anti").withColumn("status", F.lit("observed_not_mapped"))
     gone = saved.join(obs, "key", "left_anti").withColumn("status", F.lit("mapped_not_observed"))
     return new.unionByName(gone)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.dates import days_between
+from provisio.operators.literal import literal_frame
+from provisio.operators.recap import sort_small
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, FG_LOADING, IBNR_LF_BASE, IBNR_LF_EXPIRED, IBNR_LF_SLOPE,
     IBNR_LOSS_RATIO, NULL_EXERCICE, PLATFORM_SHARE_MISSING_CALC, PLATFORM_SHARE_OTHER_YEAR,
@@ -93,8 +95,8 @@ def taux_prec(pe_cells: DataFrame, loss_ratios: dict, frais_generaux: float,
     ``total_pe`` covers every branch of the last year (also those without a
     ratio) and is a scalar subquery over the per-cell frame."""
     spark = pe_cells.sparkSession
-    lr = spark.createDataFrame([(str(k), float(v)) for k, v in loss_ratios.items()],
-                               "Branche string, Loss_Ratio double")
+    lr = literal_frame(spark, [(str(k), float(v)) for k, v in loss_ratios.items()],
+                       "Branche string, Loss_Ratio double")
     pe_last = (last_year_filter(pe_cells, last_exercice)
                .groupBy("Branche").agg(F.sum("PE").alias("PE_Total")))
     total_pe = pe_last.agg(F.sum("PE_Total")).scalar()
@@ -105,7 +107,7 @@ def taux_prec(pe_cells: DataFrame, loss_ratios: dict, frais_generaux: float,
     loaded = F.col("Loss_Ratio") + F.try_divide(F.lit(FG_LOADING) * F.col("FG_Reparti"), F.col("PE_Total"))
     rate = (F.when(F.col("PE_Total") == 0, F.greatest(floor, F.col("Loss_Ratio")))
             .otherwise(F.greatest(floor, loaded)))
-    return out.select("Branche", "Loss_Ratio", "PE_Total", "FG_Reparti", rate.alias("Taux_PREC")).orderBy("Branche")
+    return sort_small(out.select("Branche", "Loss_Ratio", "PE_Total", "FG_Reparti", rate.alias("Taux_PREC")), "Branche")
 
 
 def _rates(taux: DataFrame) -> DataFrame:
@@ -150,8 +152,8 @@ def split_params(years_df: DataFrame, platform_shares: list = PLATFORM_SHARE_DEF
     """OP-R5: platform shares for every data year; years without a given
     share get the parameter-layer default (0 / 1)."""
     spark = years_df.sparkSession
-    given = spark.createDataFrame([(str(y), float(p), float(h)) for y, p, h in platform_shares],
-                                  "Annee string, Plateforme double, Hors double")
+    given = literal_frame(spark, [(str(y), float(p), float(h)) for y, p, h in platform_shares],
+                          "Annee string, Plateforme double, Hors double")
     extra = (years_df.select(F.col("Exercice").alias("Annee")).distinct()
              .join(given, "Annee", "left_anti")
              .select("Annee", F.lit(PLATFORM_SHARE_OTHER_YEAR[0]).alias("Plateforme"),

@@ -50,10 +50,15 @@ def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None
     per_year = [F.coalesce(F.sum(F.when(ex == y, v)), zero).alias(y) for y in years]
     total = F.coalesce(F.sum(F.when(ex.isin(years), v)), zero).alias(TOTAL_COL)
     out = cells_df.rollup(branch).agg(*per_year, total, F.grouping_id().alias("_is_total"))
-    return (out.select(F.when(F.col("_is_total") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch),
-                       *years, TOTAL_COL, "_is_total")
-            .orderBy("_is_total", F.col(branch).asc_nulls_first())
-            .drop("_is_total"))
+    out = out.select(F.when(F.col("_is_total") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch),
+                     *years, TOTAL_COL, "_is_total")
+    return sort_small(out, "_is_total", F.col(branch).asc_nulls_first()).drop("_is_total")
+
+
+def sort_small(df: DataFrame, *keys) -> DataFrame:
+    """Total order of a result bounded by #branches x #years rows: one
+    partition sorted locally (no range-partition sampling job, no shuffle)."""
+    return df.coalesce(1).sortWithinPartitions(*keys)
 
 
 def recap_long(cells_df: DataFrame, value: str, branch: str = "Branche") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
+from provisio.operators.literal import literal_frame
 from provisio.operators.recap import KEYS, merge_branches, recap_matrix
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, BODILY_BRANCH, HIDDEN_CU_BRANCHES, MANUAL_PSAP_BRANCHES, TOTAL_ROW,
@@ -78,7 +79,7 @@ def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str], broa
     spark = sap_cells.sparkSession
     sap_b = sap_cells.filter(F.col("Branche") == BODILY_BRANCH).select("Exercice", "SAP")
     ib = ibnr.select("Exercice", "IBNR")
-    y = spark.createDataFrame([(v,) for v in sorted(years)], "Exercice string")
+    y = literal_frame(spark, [(v,) for v in sorted(years)], "Exercice string")
     detail = (y.join(small(sap_b, broadcast), "Exercice", "left").join(small(ib, broadcast), "Exercice", "left")
               .select("Exercice", F.coalesce("SAP", F.lit(0.0)).alias("SAP"),
                       F.coalesce("IBNR", F.lit(0.0)).alias("IBNR")))
@@ -102,9 +103,9 @@ def assemble_overrides(spark, user_overrides: list, corp: DataFrame | None, year
     rows = [(str(b), str(y), float(v)) for b, y, v in user_overrides if str(b) in MANUAL_PSAP_BRANCHES]
     if not rows:
         rows = [(b, y, 0.0) for b in MANUAL_PSAP_BRANCHES for y in sorted(years)]
-    manual = spark.createDataFrame(rows, "Branche string, Exercice string, PSAP double")
+    manual = literal_frame(spark, rows, "Branche string, Exercice string, PSAP double")
     manual = manual.filter(F.col("Exercice").isin(sorted(years)))
-    manual_grid = _grid(spark.createDataFrame(sorted({(r[0],) for r in rows}), "Branche string"), years)
+    manual_grid = _grid(literal_frame(spark, sorted({(r[0],) for r in rows}), "Branche string"), years)
     manual = (manual_grid.join(manual.groupBy(*KEYS).agg(F.sum("PSAP").alias("PSAP")), KEYS, "left")
               .select(*KEYS, F.coalesce("PSAP", F.lit(0.0)).alias("PSAP")))
     if corp is None:

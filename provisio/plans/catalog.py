@@ -184,7 +184,7 @@ def q_ibnr_pivot(spark, sf_dir):
 SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
        Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
 def q_claims_agg(spark, sf_dir):
-    return rounded(claims_stage(spark, sf_dir).cells)
+    return rounded(recap_ops.sort_small(claims_stage(spark, sf_dir).cells, "Branche", "Exercice"))
 
 
 _CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
@@ -652,7 +652,7 @@ def q_csv_encoding_fallback(spark, sf_dir):
         folders.append((y, path))
     files = _landed_files(spark, folders)
     claims = dim.read_claims_files(spark, files, fx.FIXTURE_MAPPING)
-    return rounded(claims_ops.claims_agg(claims))
+    return rounded(claims_ops.claims_agg_sorted(claims))
 
 
 @register("fingerprint")

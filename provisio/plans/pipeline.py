@@ -66,7 +66,8 @@ class PolicyStage:
     def taux(self) -> DataFrame:
         # one row per loss-ratio branch; reused by PREC, PA, split, CU, PSAP
         p = self.params
-        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, None, p.taux_min))
+        last = self.years[-1] if self.years else None        # lexicographic max, as the method
+        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min))
 
     @cached_property
     def prec(self) -> DataFrame:
@@ -170,6 +171,7 @@ class ReservingPipeline:
             "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears),
             "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears),
             "SAP": recap_matrix(clm.cells, "SAP", cyears),
+            "Sinistres": claims_ops.claims_agg_sorted(clm.rows),
             "IBNR": pol.ibnr,
             "PSAP": recap_matrix(self.psap(), "PSAP", years),
         }

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
+from provisio.operators.literal import literal_frame
 from provisio.operators.claims import load_claims
 from provisio.params import DEFAULT_LOSS_RATIO, MANUAL_PSAP_BRANCHES
 from provisio.sources.production import detect_encodings, read_text_csv, read_text_csv_detect
@@ -55,8 +56,8 @@ def read_loss_ratios(spark: SparkSession, path: str, branches: list[str]) -> dic
 def resolve_loss_ratios(branches: DataFrame, loss_ratios: dict) -> DataFrame:
     """OP-F11: every branch gets its ratio or 0.65; extra ratio branches kept."""
     spark = branches.sparkSession
-    lr = spark.createDataFrame([(str(k), float(v)) for k, v in loss_ratios.items()],
-                               "Branche string, Loss_Ratio double")
+    lr = literal_frame(spark, [(str(k), float(v)) for k, v in loss_ratios.items()],
+                       "Branche string, Loss_Ratio double")
     b = branches.select("Branche").filter(F.col("Branche").isNotNull()).distinct()
     return (b.join(lr, "Branche", "full_outer")
             .select("Branche", F.coalesce("Loss_Ratio", F.lit(DEFAULT_LOSS_RATIO)).alias("Loss_Ratio"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from provisio.functions.amounts import production_amount
 from provisio.functions.dates import DATE_MIN_PARSED_SHARE, name_suggests_date, parse_date
 from provisio.functions.text import clean_branch, clean_year
+from provisio.operators.literal import literal_frame
 from provisio.params import PARQUET_COMPRESSION, PARQUET_ROW_GROUP_ROWS
 from provisio.session import ensure_checkpoint_dir
 
@@ -229,8 +230,8 @@ def fingerprint(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     Content is summarised per file on the executors as the line count and two
     order-independent sums of 64-bit line hashes (splittable, streaming); the
     per-file summaries (one row per file) are sorted and hashed once."""
-    slots = spark.createDataFrame([(str(y), norm_path(p), p.rstrip("/").split("/")[-1]) for y, p in files],
-                                  "year string, key string, name string")
+    slots = literal_frame(spark, [(str(y), norm_path(p), p.rstrip("/").split("/")[-1]) for y, p in files],
+                          "year string, key string, name string")
     lines = spark.read.text([p for _, p in files])
     per_file = (lines.groupBy(_norm_path_col(F.col("_metadata.file_path")).alias("key"))
                 .agg(F.count(F.lit(1)).alias("n"),
@@ -262,7 +263,7 @@ def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str
 # ---------------------------------------------------------------------------
 def missing_years(spark: SparkSession, expected: list[str], present: DataFrame) -> DataFrame:
     """OP-S11: expected year slots without data (left anti join)."""
-    exp = spark.createDataFrame([(str(y),) for y in expected], "Exercice string")
+    exp = literal_frame(spark, [(str(y),) for y in expected], "Exercice string")
     return exp.join(present.select("Exercice").distinct(), "Exercice", "left_anti").orderBy("Exercice")
 
 
