@@ -224,14 +224,26 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def fingerprint(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+def fingerprint(spark: SparkSession, files: list[tuple[str, str]], content: bool = True) -> DataFrame:
     """OP-S10: deterministic digest over (year slot, file name, content).
 
     Content is summarised per file on the executors as the line count and two
     order-independent sums of 64-bit line hashes (splittable, streaming); the
-    per-file summaries (one row per file) are sorted and hashed once."""
+    per-file summaries (one row per file) are sorted and hashed once.  With
+    ``content=False`` only file metadata (length, modification time) is used,
+    which reads no data at all: the cheap choice when re-landing a very large
+    delivery must be decided quickly."""
     slots = literal_frame(spark, [(str(y), norm_path(p), p.rstrip("/").split("/")[-1]) for y, p in files],
                           "year string, key string, name string")
+    if not content:
+        meta = (spark.read.format("binaryFile").load([p for _, p in files])
+                .select(_norm_path_col(F.col("path")).alias("key"), "length",
+                        F.col("modificationTime").cast("string").alias("mtime")))
+        parts = meta.join(slots, "key").select(
+            F.concat_ws(":", "year", "name", F.col("length").cast("string"), "mtime").alias("part"))
+        return parts.agg(
+            F.substring(F.md5(F.concat_ws("|", F.array_sort(F.collect_list("part")))), 1, 16).alias("fingerprint"),
+            F.count(F.lit(1)).alias("files"))
     lines = spark.read.text([p for _, p in files])
     per_file = (lines.groupBy(_norm_path_col(F.col("_metadata.file_path")).alias("key"))
                 .agg(F.count(F.lit(1)).alias("n"),
@@ -245,10 +257,11 @@ def fingerprint(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
         F.count(F.lit(1)).alias("files"))
 
 
-def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str) -> str:
+def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str, by_content: bool = True) -> str:
     """Idempotent landing: the target folder is named by the fingerprint and
-    the conversion is skipped when it already holds a landed table."""
-    fp = fingerprint(spark, files).first()["fingerprint"]
+    the conversion is skipped when it already holds a landed table (its
+    ``_SUCCESS`` marker is written last, so a job lost mid-write re-lands)."""
+    fp = fingerprint(spark, files, content=by_content).first()["fingerprint"]
     target = f"{root.rstrip('/')}/production_{fp}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")

@@ -69,6 +69,8 @@ def test_fingerprint_sensitivity(spark, tmp):
     assert fp([("2023", a), ("2024", b)])["fingerprint"] == base["fingerprint"]
     assert fp([("2024", a), ("2023", b)])["fingerprint"] == base["fingerprint"]    # same (year, name, bytes) set
     assert fp([("2023", a), ("2025", b)])["fingerprint"] != base["fingerprint"]    # year matters
+    meta = prod.fingerprint(spark, [("2023", a), ("2024", b)], content=False).first()
+    assert meta["files"] == 2
     _write(b, "a,b\n1,3\n")
     assert fp([("2023", a), ("2024", b)])["fingerprint"] != base["fingerprint"]    # bytes matter
 
