@@ -75,6 +75,9 @@ def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
     df = (spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
           .option("inferSchema", False).option("emptyValue", "").option("nullValue", NEVER_NULL)
           .option("mode", "PERMISSIVE").csv(paths))
+    # all-text contract: folder partition values (e.g. Exercice=2024) come back typed by discovery
+    df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t != "string" else F.col(f"`{c}`")
+                     for c, t in df.dtypes])
     return _strip_bom(df)
 
 

@@ -17,11 +17,13 @@ from provisio.sources.production import NEVER_NULL, scratch_dir
 
 
 def claims_stream(spark: SparkSession, source: str, header: list[str], mapping: dict) -> DataFrame:
-    # the slot year is a partition folder: declared in the schema, filled from the path
-    schema = ", ".join([f"`{h}` string" for h in header] + ["Exercice string"])
+    # the slot year is a partition folder: declared in the schema, filled from the path;
+    # CSV columns are positional under a user schema, so a source year keeps its place
+    cols = [f"_source_{h}" if h == "Exercice" else h for h in header]
+    schema = ", ".join([f"`{h}` string" for h in cols] + ["Exercice string"])
     raw = (spark.readStream.schema(schema).option("header", True).option("emptyValue", "")
            .option("nullValue", NEVER_NULL).csv(source))
-    return map_claims(raw, mapping)
+    return map_claims(raw.drop(*[c for c in cols if c.startswith("_source_")]), mapping)
 
 
 def land_claims(spark: SparkSession, source: str, header: list[str], mapping: dict, target: str,
@@ -33,3 +35,53 @@ def land_claims(spark: SparkSession, source: str, header: list[str], mapping: di
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def production_stream(spark: SparkSession, source: str, header: list[str]) -> DataFrame:
+    """Production files under ``<source>/Exercice=YYYY/`` as a stream of
+    normalised policy rows (slot year from the folder, source year dropped)."""
+    from provisio.sources.production import normalize_production
+
+    # CSV columns are positional under a user schema: keep the file order and
+    # park a source year column under another name; the slot year is the folder
+    cols = [f"_source_{h}" if h == "Exercice" else h for h in header]
+    schema = ", ".join([f"`{h}` string" for h in cols] + ["Exercice string"])
+    raw = (spark.readStream.schema(schema).option("header", True).option("emptyValue", "")
+           .option("nullValue", NEVER_NULL).csv(source))
+    return normalize_production(raw.drop(*[c for c in cols if c.startswith("_source_")]))
+
+
+def land_production_stream(spark: SparkSession, source: str, header: list[str], target: str,
+                           checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """OP-S1 + OP-S4 incrementally: new yearly files appended to the landed
+    Parquet table partitioned by Exercice."""
+    writer = (production_stream(spark, source, header).writeStream.format("parquet").option("path", target)
+              .option("checkpointLocation", checkpoint or scratch_dir(spark, "production-stream"))
+              .partitionBy("Exercice").outputMode("append"))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def maintain_claims_cells(spark: SparkSession, source: str, header: list[str], mapping: dict, target: str,
+                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """OP-A8 maintained incrementally: paid, cost and count per (Branche,
+    Exercice) kept in streaming state (partial aggregation per micro-batch,
+    state keyed by cell), the full per-cell table rewritten to ``target``
+    after each batch (it is bounded by branches x years)."""
+    from pyspark.sql import functions as F
+
+    cells = (claims_stream(spark, source, header, mapping)
+             .groupBy("Branche", "Exercice")
+             .agg(F.sum("Total_Reglement").alias("Total_Reglement"), F.sum("Cout_Total").alias("Cout_Total"),
+                  F.count(F.lit(1)).alias("Nombre_Sinistres")))
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        (batch.withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement"))
+         .write.mode("overwrite").parquet(target))
+
+    writer = (cells.writeStream.outputMode("complete").foreachBatch(publish)
+              .option("checkpointLocation", checkpoint or scratch_dir(spark, "claims-cells-stream")))
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
