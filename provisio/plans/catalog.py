@@ -666,3 +666,21 @@ def q_fingerprint(spark, sf_dir):
 def q_claims_distinct_branches(spark, sf_dir):
     """OP-A10 (claims): distinct stripped branches over all claims files, before mapping."""
     return mapping_ops.distinct_branches(claims_ops.normalize_claims(fx.claims_raw(spark, sf_dir)))
+
+
+@register("claims_cells_stream", O.with_ctes(CLAIMS) + """
+SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
+       Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
+def q_claims_cells_stream(spark, sf_dir):
+    """Claims delivered as text files under Exercice=YYYY/ folders and
+    aggregated incrementally (streaming state per cell, availableNow)."""
+    from provisio.streaming.landing import maintain_claims_cells
+    root = prod.scratch_dir(spark, "claims-stream")
+    raw = fx.claims_raw(spark, sf_dir)
+    raw.write.mode("overwrite").partitionBy("Exercice").option("header", True).csv(f"{root}/in")
+    q = maintain_claims_cells(spark, f"{root}/in", ["BRANCHE", "REGLEMENT", "COUT_TOTAL"], fx.FIXTURE_MAPPING,
+                              f"{root}/cells", f"{root}/checkpoint")
+    q.awaitTermination()
+    cells = spark.read.parquet(f"{root}/cells")
+    return rounded(cells.select("Branche", "Exercice", "Total_Reglement", "Cout_Total",
+                                F.col("Nombre_Sinistres").cast("bigint").alias("Nombre_Sinistres"), "SAP"))
