@@ -64,16 +64,32 @@ def ibnr_terms(date_eval: date, pn_acc: Column, loss_ratio: float) -> dict[str,
 def policy_cells(policies: DataFrame, date_eval: date, ibnr_loss_ratio: float = IBNR_LOSS_RATIO) -> DataFrame:
     """Single aggregation of mapped policy rows into per-cell measures:
     PE, PREC_base (= sum PE*remaining/total), Prime_Acquise, Charge_Theorique,
-    IBNR, Nb (rows)."""
-    pe = F.col("PN_ACC")
-    terms = prec_terms(date_eval)
-    ib = ibnr_terms(date_eval, pe, ibnr_loss_ratio)
-    return policies.groupBy("Branche", "Exercice").agg(
-        F.sum(pe).alias("PE"),
-        F.sum(unexpired_weight(pe, terms["duree_totale"], terms["duree_restante"])).alias("PREC_base"),
-        F.sum(ib["Prime_Acquise"]).alias("Prime_Acquise"),
-        F.sum(ib["Charge_Theorique"]).alias("Charge_Theorique"),
-        F.sum(ib["IBNR"]).alias("IBNR"),
+    IBNR, Nb (rows).
+
+    The per-row terms are staged in projections (durations, then maturity,
+    then the weighted amounts) so each is computed once per row inside the
+    same codegen stage; the aggregate only sums columns."""
+    ev = F.lit(date_eval)
+    k = ["Branche", "Exercice"]
+    t = policies.select(*k, F.col("PN_ACC").alias("pe"), _d("Effet").alias("eff"), _d("Echeance").alias("ech"))
+    t = t.select(*k, "pe", (ev >= F.col("ech")).alias("expired"),
+                 days_between("ech", "eff").alias("total"),
+                 F.when(ev > F.col("ech"), F.lit(0)).when(F.col("eff") > ev, days_between("ech", "eff"))
+                 .otherwise(days_between("ech", ev)).alias("remaining"),
+                 days_between(ev, "eff").cast("double").alias("t_raw"))
+    d = F.col("total").cast("double")
+    maturity = F.when(d > 0, F.try_divide(F.greatest(F.lit(0.0), F.least(d, F.col("t_raw"))), d)).otherwise(F.lit(0.0))
+    t = t.select(*k, "pe", "expired", "total", "remaining", maturity.alias("M"))
+    lag = F.when(F.col("expired"), F.lit(IBNR_LF_EXPIRED)).otherwise(F.lit(IBNR_LF_BASE) - F.lit(IBNR_LF_SLOPE) * F.col("M"))
+    t = t.select(*k, "pe", unexpired_weight(F.col("pe"), F.col("total"), F.col("remaining")).alias("unexpired"),
+                 (F.col("pe") * F.col("M")).alias("earned"), lag.alias("LF"))
+    t = t.select(*k, "pe", "unexpired", "earned", (F.col("earned") * F.lit(float(ibnr_loss_ratio))).alias("charge"), "LF")
+    return t.groupBy(*k).agg(
+        F.sum("pe").alias("PE"),
+        F.sum("unexpired").alias("PREC_base"),
+        F.sum("earned").alias("Prime_Acquise"),
+        F.sum("charge").alias("Charge_Theorique"),
+        F.sum(F.col("charge") * F.col("LF")).alias("IBNR"),
         F.count(F.lit(1)).alias("Nb"),
     )
 

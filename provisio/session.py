@@ -29,6 +29,7 @@ def build_session(master: str | None = None, app: str = "provisio",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("PROVISIO_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
