@@ -106,15 +106,33 @@ def resolve_claims_columns(columns: list[str]) -> dict[str, str]:
 # ---------------------------------------------------------------------------
 # Report text sanitiser (OP-F22)
 # ---------------------------------------------------------------------------
-# One-to-one replacements, then one-to-many replacements
-SANITIZE_ONE_TO_ONE = [
-    ("—", "-"), ("–", "-"), ("‘", "'"), ("’", "'"),
-    ("“", '"'), ("”", '"'), ("•", "-"), ("·", "-"),
-    ("×", "x"), ("é", "e"), ("è", "e"), ("ê", "e"),
-    ("à", "a"), ("ô", "o"), ("ç", "c"), ("û", "u"),
-    ("î", "i"),
+# Report text replacements, in their natural order
+SANITIZE_REPLACEMENTS = [
+    ("\u2014", "-"),    # em dash
+    ("\u2013", "-"),    # en dash
+    ("\u2018", "'"),    # left single quote
+    ("\u2019", "'"),    # right single quote
+    ("\u201c", '"'),    # left double quote
+    ("\u201d", '"'),    # right double quote
+    ("\u2026", "..."),  # ellipsis
+    ("\u2022", "-"),    # bullet
+    ("\u00b7", "-"),    # middle dot
+    ("\u2265", ">="),   # greater or equal
+    ("\u2264", "<="),   # less or equal
+    ("\u00d7", "x"),    # multiplication sign
+    ("\u2192", "->"),   # right arrow
+    ("\u00e9", "e"),
+    ("\u00e8", "e"),
+    ("\u00ea", "e"),
+    ("\u00e0", "a"),
+    ("\u00f4", "o"),
+    ("\u00e7", "c"),
+    ("\u00fb", "u"),
+    ("\u00ee", "i"),
 ]
-SANITIZE_ONE_TO_MANY = [("…", "..."), ("≥", ">="), ("≤", "<="), ("→", "->")]
+# single characters go through one translate, longer replacements through replace
+SANITIZE_ONE_TO_ONE = [(a, b) for a, b in SANITIZE_REPLACEMENTS if len(b) == 1]
+SANITIZE_ONE_TO_MANY = [(a, b) for a, b in SANITIZE_REPLACEMENTS if len(b) != 1]
 
 
 def sanitize_text(c: Column | str) -> Column:
