@@ -21,6 +21,14 @@ from provisio.plans import pipeline
 from provisio.plans.pipeline import ClaimsStage, PolicyStage
 from provisio.params import BODILY_BRANCH, HIDDEN_CU_BRANCHES
 from provisio.sources import fixtures as fx
+from provisio.operators import mapping as mapping_ops
+from provisio.operators import recap as recap_ops
+from provisio.sources import dimensions as dim
+from provisio.sources import production as prod
+from provisio.functions import amounts as amt
+from provisio.functions import formatting as fmt
+from provisio.functions import text as txt
+from provisio.plans import report as report_ops
 
 RATE_COLS = {"Loss_Ratio", "Taux_PREC", "Plateforme", "Hors", "M", "LF", "share"}
 
@@ -275,10 +283,6 @@ def q_psap_matrix(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Diagnostics before / after mapping (OP-A3..A7), dimensions (OP-A10, A11, S12)
 # ---------------------------------------------------------------------------
-from provisio.operators import mapping as mapping_ops  # noqa: E402
-from provisio.operators import recap as recap_ops  # noqa: E402
-from provisio.sources import dimensions as dim  # noqa: E402
-from provisio.sources import production as prod  # noqa: E402
 
 _RAW = f"policies_raw AS ({fx.POLICIES_RAW_SQL})"
 
@@ -423,10 +427,6 @@ def q_settlements_pivot(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Cleaning functions over whole tables (OP-F3..F9)
 # ---------------------------------------------------------------------------
-from provisio.functions import amounts as amt  # noqa: E402
-from provisio.functions import formatting as fmt  # noqa: E402
-from provisio.functions import text as txt  # noqa: E402
-from provisio.functions.dates import parse_date  # noqa: E402
 
 _CRAW = f"claims_raw AS ({fx.CLAIMS_RAW_SQL})"
 
@@ -546,7 +546,6 @@ def q_sanitize_text(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Report (OP-S5), relaxed union (OP-U1), landing round trips (OP-S1..S4, S10)
 # ---------------------------------------------------------------------------
-from provisio.plans import report as report_ops  # noqa: E402
 
 
 def _report_long_sql(no: int, title: str, cells: str, value: str) -> str:
@@ -576,13 +575,13 @@ def q_report_cells(spark, sf_dir):
 
 
 def _year_files(spark, sf_dir):
-    """Production delivered as one frame per year slot; even years carry the
-    premium as dirty text and an extra column, odd years are typed."""
+    """Production delivered as one frame per year slot; slots up to 1998 carry
+    the premium as dirty text and an extra column, later slots are typed."""
     raw = fx.policies_raw(spark, sf_dir)
     out = []
     for y in range(1995, 2002):
         part = raw.filter(F.col("Exercice") == str(y))
-        if y % 2 == 0:
+        if y <= 1998:
             part = part.select("Police", "Branche", "Effet", "Echeance",
                                F.regexp_replace(F.col("PN_ACC").cast("decimal(18,2)").cast("string"), r"\.", ",").alias("PN_ACC"),
                                F.lit("canal web").alias("Intermediaire"))
@@ -594,7 +593,7 @@ def _year_files(spark, sf_dir):
 
 @register("union_relaxed", O.with_ctes(_RAW) + """
 SELECT Exercice, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC,
-       COUNT(CASE WHEN CAST(Exercice AS INTEGER) % 2 = 0 THEN 1 END) AS Intermediaire
+       COUNT(CASE WHEN Exercice <= '1998' THEN 1 END) AS Intermediaire
 FROM policies_raw GROUP BY Exercice""")
 def q_union_relaxed(spark, sf_dir):
     u = prod.union_production(_year_files(spark, sf_dir))
@@ -638,15 +637,15 @@ def q_landing_roundtrip(spark, sf_dir):
 SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
        Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
 def q_csv_encoding_fallback(spark, sf_dir):
-    """Claims written as text files, odd years in Latin-1, even years in
-    UTF-8; read back with per-file encoding detection and aggregated."""
+    """Claims written as text files, years up to 1998 in Latin-1, later
+    years in UTF-8; read back with per-file encoding detection and aggregated."""
     root = prod.scratch_dir(spark, "claims-csv")
     raw = fx.claims_raw(spark, sf_dir)
     years = [r[0] for r in raw.select("Exercice").distinct().collect()]
     folders = []
     for y in sorted(years):
         path = f"{root}/slot={y}"
-        enc = "ISO-8859-1" if int(y) % 2 else "UTF-8"
+        enc = "ISO-8859-1" if y <= "1998" else "UTF-8"
         raw.filter(F.col("Exercice") == y).drop("Exercice").write.mode("overwrite") \
             .option("header", True).option("encoding", enc).csv(path)
         folders.append((y, path))

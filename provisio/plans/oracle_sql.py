@@ -7,10 +7,7 @@ both sides: money to cents as floor(x*100+0.5)/100, ratios to 1e-6.
 
 from __future__ import annotations
 
-from provisio.params import (
-    AUTO_AR, AUTO_BRANCH, AUTO_RC, BODILY_BRANCH, DEFAULT_FRAIS_GENERAUX, GUARANTEE_SHARE_DEFAULTS,
-    HIDDEN_CU_BRANCHES, TAUX_PREC_MIN,
-)
+from provisio.params import AUTO_BRANCH, BODILY_BRANCH, DEFAULT_FRAIS_GENERAUX, GUARANTEE_SHARE_DEFAULTS, TAUX_PREC_MIN
 from provisio.sources import fixtures as fx
 
 EVAL = f"DATE '{fx.FIXTURE_DATE_EVAL.isoformat()}'"
