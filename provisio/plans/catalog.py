@@ -574,21 +574,17 @@ def q_report_cells(spark, sf_dir):
     return rep.withColumn("value_text", fmt.fmt_report(F.col("value_double")))
 
 
-def _year_files(spark, sf_dir):
-    """Production delivered as one frame per year slot; slots up to 1998 carry
-    the premium as dirty text and an extra column, later slots are typed."""
-    raw = fx.policies_raw(spark, sf_dir)
-    out = []
-    for y in range(1995, 2002):
-        part = raw.filter(F.col("Exercice") == str(y))
-        if y <= 1998:
-            part = part.select("Police", "Branche", "Effet", "Echeance",
-                               F.regexp_replace(F.col("PN_ACC").cast("decimal(18,2)").cast("string"), r"\.", ",").alias("PN_ACC"),
-                               F.lit("canal web").alias("Intermediaire"))
-        else:
-            part = part.drop("Exercice")
-        out.append((str(y), part))
-    return out
+def _deliveries(spark, sf_dir):
+    """Production delivered in two layouts, each carrying its slot year:
+    slots up to 1998 have the premium as dirty text and an extra column,
+    later slots are typed.  Two scans of the adapter in total."""
+    raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
+    old = raw.filter(F.col("slot") <= "1998").select(
+        "slot", "Police", "Branche", "Effet", "Echeance",
+        F.regexp_replace(F.col("PN_ACC").cast("decimal(18,2)").cast("string"), r"\.", ",").alias("PN_ACC"),
+        F.lit("canal web").alias("Intermediaire"))
+    new = raw.filter(F.col("slot") > "1998")
+    return [old, new]
 
 
 @register("union_relaxed", O.with_ctes(_RAW) + """
@@ -596,27 +592,28 @@ SELECT Exercice, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC,
        COUNT(CASE WHEN Exercice <= '1998' THEN 1 END) AS Intermediaire
 FROM policies_raw GROUP BY Exercice""")
 def q_union_relaxed(spark, sf_dir):
-    u = prod.union_production(_year_files(spark, sf_dir))
+    u = prod.union_production([(F.col("slot"), d) for d in _deliveries(spark, sf_dir)]).drop("slot")
     return rounded(u.groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC"),
                                              F.count("Intermediaire").alias("Intermediaire")))
 
 
-def _write_text_files(spark, sf_dir, root: str, encoding_by_year=None):
-    """Write the production as all-text CSV files, one folder per year slot."""
-    files = []
-    for year, part in _year_files(spark, sf_dir):
-        path = f"{root}/slot={year}"
-        enc = (encoding_by_year or {}).get(year, "UTF-8")
-        txt_part = part.select(*[F.col(c).cast("string").alias(c) for c in part.columns])
-        txt_part.write.mode("overwrite").option("header", True).option("encoding", enc).csv(path)
-        files.append((year, path))
-    return files
+def _write_text_files(spark, sf_dir, root: str):
+    """Write the production deliveries as all-text CSV folders slot=YYYY/ (one
+    partitioned write per layout) and return the roots."""
+    roots = []
+    for k, d in enumerate(_deliveries(spark, sf_dir)):
+        path = f"{root}/layout{k}"
+        d.select(*[F.col(c).cast("string").alias(c) for c in d.columns]) \
+            .write.mode("overwrite").partitionBy("slot").option("header", True).csv(path)
+        roots.append(path)
+    return roots
 
 
-def _landed_files(spark, folders):
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load([p for _, p in folders]).select("path")
-    year_of = {p.rstrip("/").split("slot=")[-1]: y for y, p in folders}
-    return [(year_of[r["path"].split("slot=")[-1].split("/")[0]], r["path"]) for r in listing.collect()]
+def _landed_files(spark, roots):
+    """(slot year, file) pairs of the CSV files under slot=YYYY/ folders."""
+    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+               .option("recursiveFileLookup", "true").load(roots).select("path"))
+    return [(r["path"].split("slot=")[-1].split("/")[0], r["path"]) for r in listing.collect()]
 
 
 @register("landing_roundtrip", O.with_ctes(_RAW) + """
@@ -640,16 +637,11 @@ def q_csv_encoding_fallback(spark, sf_dir):
     """Claims written as text files, years up to 1998 in Latin-1, later
     years in UTF-8; read back with per-file encoding detection and aggregated."""
     root = prod.scratch_dir(spark, "claims-csv")
-    raw = fx.claims_raw(spark, sf_dir)
-    years = [r[0] for r in raw.select("Exercice").distinct().collect()]
-    folders = []
-    for y in sorted(years):
-        path = f"{root}/slot={y}"
-        enc = "ISO-8859-1" if y <= "1998" else "UTF-8"
-        raw.filter(F.col("Exercice") == y).drop("Exercice").write.mode("overwrite") \
-            .option("header", True).option("encoding", enc).csv(path)
-        folders.append((y, path))
-    files = _landed_files(spark, folders)
+    raw = fx.claims_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
+    for name, enc, cond in (("latin1", "ISO-8859-1", F.col("slot") <= "1998"), ("utf8", "UTF-8", F.col("slot") > "1998")):
+        raw.filter(cond).write.mode("overwrite").partitionBy("slot") \
+            .option("header", True).option("encoding", enc).csv(f"{root}/{name}")
+    files = _landed_files(spark, [f"{root}/latin1", f"{root}/utf8"])
     claims = dim.read_claims_files(spark, files, fx.FIXTURE_MAPPING)
     return rounded(claims_ops.claims_agg_sorted(claims))
 

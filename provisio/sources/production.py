@@ -181,16 +181,20 @@ def derive_pn_acc(df: DataFrame) -> DataFrame:
     return df.withColumn("PN_ACC", pn)
 
 
-def union_production(files: list[tuple[str, DataFrame]]) -> DataFrame:
+def union_production(files: list[tuple[str | Column, DataFrame]]) -> DataFrame:
     """OP-S1 / OP-U1: normalise each file, replace Exercice by its slot year,
     union by name (missing columns null).  Types are canonical before the
-    union, so no run-time widening is needed."""
+    union, so no run-time widening is needed.
+
+    The slot is a year string, or a column expression when one delivery
+    carries several slots (e.g. a folder partitioned by slot)."""
     out = None
     for year, df in files:
-        n = normalize_production(df)
+        slot = F.lit(str(year)) if isinstance(year, str) else year.cast("string")
+        n = normalize_production(df.withColumn("__slot", slot))
         if "Exercice" in n.columns:
             n = n.drop("Exercice")
-        n = n.withColumn("Exercice", F.lit(str(year)))
+        n = n.withColumnRenamed("__slot", "Exercice")
         out = n if out is None else out.unionByName(n, allowMissingColumns=True)
     return out
 
