@@ -44,3 +44,18 @@ def test_sanitize_cells_and_derive_pn_acc(spark):
     r = prod.sanitize_cells(df).first()
     assert (r.t, r.d, r.x) == ("", "2024-01-02", 3.0)
     assert prod.derive_pn_acc(df).first().PN_ACC == 105.0
+
+
+def test_broadcast_bound_fallback(spark, monkeypatch):
+    """Above the cell bound the reserve joins drop their broadcast hints and
+    the result is unchanged."""
+    from provisio.plans import pipeline
+
+    with_hints = catalog.QUERIES["psap_matrix"](spark, SF)
+    monkeypatch.setattr(pipeline, "MAX_BROADCAST_CELLS", 0)
+    st, cl = catalog.both_stages(spark, SF)
+    assert not st.small and not cl.small
+    without = catalog.rounded(catalog.recap_matrix(pipeline.psap(st, cl), "PSAP", st.years))
+    hints = without._jdf.queryExecution().optimizedPlan().toString()
+    assert "BROADCAST" not in hints.upper().replace("BROADCASTHASHJOIN", "")
+    assert [tuple(r) for r in without.collect()] == [tuple(r) for r in with_hints.collect()]
