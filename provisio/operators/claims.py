@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provisio.functions.amounts import claims_amount
+from provisio.functions.amounts import amount_parse_failed, claims_amount
 from provisio.functions.text import resolve_claims_columns, ustrip
 from provisio.operators.mapping import map_branch
 from provisio.operators.recap import sort_small
@@ -63,3 +63,17 @@ def claims_agg(claims: DataFrame) -> DataFrame:
 def claims_agg_sorted(claims: DataFrame) -> DataFrame:
     """OP-A8 as presented: sorted by (Branche, Exercice); per-cell sized."""
     return sort_small(claims_agg(claims), "Branche", "Exercice")
+
+
+def parse_quality(raw: DataFrame, year_col: str = "Exercice") -> DataFrame:
+    """Warning metric for silent amount failures (e.g. the wrong header picked
+    by the contains-match): per year slot, non-empty amount cells that fail to
+    parse and their share of all rows."""
+    found = resolve_claims_columns([c for c in raw.columns if c != year_col])
+    reg = amount_parse_failed(F.col(f"`{found['Total_Reglement']}`"))
+    cost = amount_parse_failed(F.col(f"`{found['Cout_Total']}`"))
+    return (raw.groupBy(year_col)
+            .agg(F.count(F.lit(1)).alias("rows"),
+                 F.count(F.when(reg, 1)).alias("reglement_failed"),
+                 F.count(F.when(cost, 1)).alias("cout_failed"))
+            .withColumn("share", (F.col("reglement_failed") + F.col("cout_failed")) / (F.col("rows") * 2)))

@@ -164,6 +164,17 @@ def pa_cells(prec_cells_df: DataFrame) -> DataFrame:
             .select("Branche", "Exercice", (F.col("PE") - F.col("PREC")).alias("PA")))
 
 
+def null_branch_drop(prec_cells_df: DataFrame) -> DataFrame:
+    """Diagnostic for the PA step: PE, PREC and PA of rows without a branch
+    (or literally named 'TOTAL'), which the matrix subtraction drops, so
+    that sum(PE) - sum(PREC) - sum(PA) is explained."""
+    dropped = F.col("Branche").isNull() | (F.col("Branche") == TOTAL_ROW)
+    return prec_cells_df.agg(
+        F.coalesce(F.sum(F.when(dropped, F.col("PE"))), F.lit(0.0)).alias("PE_dropped"),
+        F.coalesce(F.sum(F.when(dropped, F.col("PREC"))), F.lit(0.0)).alias("PREC_dropped"),
+        F.coalesce(F.sum(F.when(dropped, F.col("PE") - F.col("PREC"))), F.lit(0.0)).alias("PA_dropped"))
+
+
 def split_params(years_df: DataFrame, platform_shares: list = PLATFORM_SHARE_DEFAULTS) -> DataFrame:
     """OP-R5: platform shares for every data year; years without a given
     share get the parameter-layer default (0 / 1)."""

@@ -675,3 +675,25 @@ def q_claims_cells_stream(spark, sf_dir):
     cells = spark.read.parquet(f"{root}/cells")
     return rounded(cells.select("Branche", "Exercice", "Total_Reglement", "Cout_Total",
                                 F.col("Nombre_Sinistres").cast("bigint").alias("Nombre_Sinistres"), "SAP"))
+
+
+def _failed_sql(c: str) -> str:
+    s = O.ustrip(f"CAST({c} AS VARCHAR)")
+    from provisio.functions.amounts import AMOUNT_NULL_TOKENS
+    toks = ", ".join("'" + t + "'" for t in AMOUNT_NULL_TOKENS)
+    blank = (f"({s} IS NULL OR length({s}) = 0 OR lower({s}) IN ({toks}) "
+             f"OR regexp_full_match({s}, '[{O.WS_CLASS}\\-\\x{{2013}}\\x{{2014}}]+'))")
+    norm = f"regexp_replace(regexp_replace({s}, '^([^,]*),', '\\1.'), '[{O.WS_CLASS}]+', '', 'g')"
+    num = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+    return f"(NOT {blank} AND NOT COALESCE(regexp_full_match({norm}, '{num}') AND TRY_CAST({norm} AS DOUBLE) IS NOT NULL, false))"
+
+
+@register("claims_parse_quality", O.with_ctes(_CRAW) + f"""
+SELECT Exercice, COUNT(*) AS rows, COUNT(CASE WHEN {_failed_sql('REGLEMENT')} THEN 1 END) AS reglement_failed,
+       COUNT(CASE WHEN {_failed_sql('COUT_TOTAL')} THEN 1 END) AS cout_failed,
+       """ + O.micro(f"CAST(COUNT(CASE WHEN {_failed_sql('REGLEMENT')} THEN 1 END) + COUNT(CASE WHEN {_failed_sql('COUT_TOTAL')} THEN 1 END) AS DOUBLE) / (COUNT(*) * 2)") + """ AS share
+FROM claims_raw GROUP BY Exercice""")
+def q_claims_parse_quality(spark, sf_dir):
+    """SURVEY trap T12: share of non-empty amount cells that silently parse to 0."""
+    q = claims_ops.parse_quality(fx.claims_raw(spark, sf_dir))
+    return q.select("Exercice", "rows", "reglement_failed", "cout_failed", micro(F.col("share")).alias("share"))

@@ -65,3 +65,17 @@ def test_format_half_even(spark):
 def test_sanitize_text(spark):
     r = spark.createDataFrame([("é≥→—😀",)], "t string").select(text.sanitize_text("t").alias("t")).first()
     assert r.t == "e>=->-?"
+
+
+def test_parse_failure_flag(spark):
+    df = spark.createDataFrame([("1,234,567",), ("-",), ("",), (None,), ("12,5",), ("abc",), ("N/A",)], "s string")
+    got = [r[0] for r in df.select(amounts.amount_parse_failed("s")).collect()]
+    assert got == [True, False, False, False, False, True, False]
+
+
+def test_null_branch_drop(spark):
+    from provisio.operators import premium
+    cells = spark.createDataFrame([(None, "2024", 10.0, 4.0), ("A", "2024", 5.0, 1.0)],
+                                  "Branche string, Exercice string, PE double, PREC double")
+    r = premium.null_branch_drop(cells).first()
+    assert (r.PE_dropped, r.PREC_dropped, r.PA_dropped) == (10.0, 4.0, 6.0)
