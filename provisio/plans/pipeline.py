@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from provisio.operators import claims as claims_ops
 from provisio.operators import premium, reserves
 from provisio.operators.mapping import map_policies
-from provisio.operators.recap import recap_matrix
+from provisio.operators.recap import recap_matrix, sort_small
 from provisio.params import ReservingParams
 from provisio.session import materialize
 
@@ -171,7 +171,7 @@ class ReservingPipeline:
             "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears),
             "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears),
             "SAP": recap_matrix(clm.cells, "SAP", cyears),
-            "Sinistres": claims_ops.claims_agg_sorted(clm.rows),
+            "Sinistres": sort_small(clm.cells, "Branche", "Exercice"),
             "IBNR": pol.ibnr,
             "PSAP": recap_matrix(self.psap(), "PSAP", years),
         }
