@@ -548,29 +548,49 @@ def q_sanitize_text(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def _report_long_sql(no: int, title: str, cells: str, value: str) -> str:
-    v = O.cents(f"SUM({value})")
-    return f"""SELECT {no} AS section_no, '{title.replace("'", "''")}' AS section,
+def _report_matrix_sql(no: int, title: str, cells: str, value: str) -> str:
+    return f"""SELECT {no} AS section_no, '{title}' AS table_title,
        CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END AS Branche,
        CASE WHEN grouping(Exercice) = 1 THEN 'Total' ELSE Exercice END AS col_name,
-       {v} AS value_double
+       CAST(SUM({value}) AS DOUBLE) AS v
 FROM {cells} GROUP BY CUBE (Branche, Exercice)"""
 
 
-_REPORT_CELLS = {"PE": ("pe_cells", "PE"), "PREC": ("prec_cells", "PREC"), "PA": ("pa_cells", "PA"),
-                 "PA split": ("pa_split", "PA"), "CU": ("cu_cells", "CU"), "PSAP": ("psap_cells", "PSAP")}
-_REPORT_SQL = " UNION ALL ".join(
-    _report_long_sql(no, title, *_REPORT_CELLS[key]) for no, (key, title, _) in enumerate(report_ops.SECTIONS, start=1))
+def _report_table_sql(no: int, title: str, table: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {no}, '{title}', Branche, '{c}', CAST({c} AS DOUBLE) FROM {table}" for c in cols)
 
 
-@register("report_cells", O.with_ctes(BASE, CLAIMS, _PSAP, "rep AS (" + _REPORT_SQL + ")") + """
-SELECT section_no, section, Branche, col_name, value_double, """ + _report_sql("value_double") + """ AS value_text FROM rep""")
+_REPORT_SOURCES = {"PE": "pe_cells", "Taux PREC": "taux_final", "PREC": "prec_cells", "PA": "pa_cells",
+                   "PA split": "pa_split", "CU": "cu_cells", "CU agrege": "cu_agg", "Sinistres nombre": "claims_cells",
+                   "Sinistres cout": "claims_cells", "Reglements": "claims_cells", "SAP": "claims_cells",
+                   "PSAP": "psap_cells"}
+
+
+def _report_cells_sql() -> str:
+    parts = []
+    for no, (key, title, kind, value) in enumerate(report_ops.SECTIONS, start=1):
+        plain = title.replace("é", "e").replace("è", "e")       # sanitised titles
+        if kind == "matrix":
+            parts.append(_report_matrix_sql(no, plain, _REPORT_SOURCES[key], value))
+        else:
+            parts.append(_report_table_sql(no, plain, _REPORT_SOURCES[key], value))
+    rounded_v = f"CASE WHEN col_name IN ('Loss_Ratio', 'Taux_PREC') THEN {O.micro('v')} ELSE {O.cents('v')} END"
+    return (O.with_ctes(BASE, CLAIMS, _PSAP, "rep AS (" + " UNION ALL ".join(parts) + ")",
+                        f"rep_r AS (SELECT section_no, table_title, Branche, col_name, {rounded_v} AS value_double FROM rep)")
+            + """SELECT section_no, table_title,
+       DENSE_RANK() OVER (PARTITION BY section_no ORDER BY (Branche = 'TOTAL') NULLS FIRST, Branche NULLS FIRST) AS row_no,
+       Branche, col_name, value_double, """ + _report_sql("value_double") + """ AS value_text FROM rep_r""")
+
+
+@register("report_cells", _report_cells_sql())
 def q_report_cells(spark, sf_dir):
     st, cl = both_stages(spark, sf_dir)
-    sections = {"PE": st.pe, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split, "CU": st.cu,
-                "PSAP": pipeline.psap(st, cl)}
-    rep = report_ops.report_cells(sections)
-    rep = rep.withColumn("value_double", cents(F.col("value_double")))
+    frames = {"PE": st.pe, "Taux PREC": st.taux, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split,
+              "CU": st.cu, "CU agrege": reserves.cu_aggregated(st.cu), "Sinistres nombre": cl.cells,
+              "Sinistres cout": cl.cells, "Reglements": cl.cells, "SAP": cl.cells, "PSAP": pipeline.psap(st, cl)}
+    rep = report_ops.report_cells(frames)
+    v = F.col("value_double")
+    rep = rep.withColumn("value_double", F.when(F.col("col_name").isin("Loss_Ratio", "Taux_PREC"), micro(v)).otherwise(cents(v)))
     return rep.withColumn("value_text", fmt.fmt_report(F.col("value_double")))
 
 

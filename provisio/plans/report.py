@@ -1,56 +1,81 @@
 """Report dataset (OP-S5, OP-R12): every titled table of the run stacked in
 order as long cells, plus comments, written once for humans.
 
-Cells keep both the number and its report text (OP-F21), titles and comments
-go through the text sanitiser (OP-F22).  The report is tiny (sections x
-branches x years), so a single output file is fine.
+Each cell keeps its number and its report text (OP-F21); section titles and
+comments go through the text sanitiser (OP-F22).  Matrix sections get their
+margins from grouping sets over the per-cell frames; plain tables (the rate
+table) are unpivoted.  The report is tiny (sections x branches x years), so a
+single output file is fine.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.formatting import fmt_report
 from provisio.functions.text import sanitize_text
 from provisio.operators.recap import recap_long
+from provisio.params import TOTAL_ROW
 
+# Report sections in their natural order
+# (key, title, kind, value column(s))
 SECTIONS = [
-    ("PE", "Production emise (PE)", "PE"),
-    ("PREC", "Provision pour risques en cours (PREC)", "PREC"),
-    ("PA", "Primes acquises (PA)", "PA"),
-    ("PA split", "Primes acquises eclatees", "PA"),
-    ("CU", "Charge a l'ultime (CU)", "CU"),
-    ("PSAP", "Provision pour sinistres a payer (PSAP)", "PSAP"),
+    ("PE", "Production (PE)", "matrix", "PE"),
+    ("Taux PREC", "Taux PREC", "table", ["Loss_Ratio", "PE_Total", "FG_Reparti", "Taux_PREC"]),
+    ("PREC", "PREC", "matrix", "PREC"),
+    ("PA", "PA Globale", "matrix", "PA"),
+    ("PA split", "PA Split", "matrix", "PA"),
+    ("CU", "CU Detail", "matrix", "CU"),
+    ("CU agrege", "CU Auto Agrégé", "matrix", "CU"),
+    ("Sinistres nombre", "Sinistres - Nombre", "matrix", "Nombre_Sinistres"),
+    ("Sinistres cout", "Sinistres - Cout Total", "matrix", "Cout_Total"),
+    ("Reglements", "Sinistres - Règlements", "matrix", "Total_Reglement"),
+    ("SAP", "Sinistres - SAP", "matrix", "SAP"),
+    ("PSAP", "PSAP Final", "matrix", "PSAP"),
 ]
 
 
-def report_cells(cells_by_section: dict[str, DataFrame], comments: dict[str, str] | None = None) -> DataFrame:
-    """Long report: (section_no, section, Branche, col_name, value_double,
-    value_text); margins come from grouping sets over the per-cell frames."""
+def _section(no: int, title: str, kind: str, value, df: DataFrame) -> DataFrame:
+    head = [F.lit(no).alias("section_no"), sanitize_text(F.lit(title)).alias("table_title")]
+    if kind == "matrix":
+        long = recap_long(df, value)
+        return long.select(*head, "Branche", F.col("Exercice").alias("col_name"),
+                           F.col(value).cast("double").alias("value_double"))
+    cells = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("value_double"))
+                      for c in value])
+    return df.select(*head, "Branche", F.explode(cells).alias("c")).select(
+        *[c for c in ("section_no", "table_title", "Branche")], "c.col_name", "c.value_double")
+
+
+def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None = None) -> DataFrame:
+    """Long report: (section_no, table_title, row_no, Branche, col_name,
+    value_double, value_text) for every section present in ``frames``."""
     out = None
-    for no, (key, title, value) in enumerate(SECTIONS, start=1):
-        if key not in cells_by_section:
+    for no, (key, title, kind, value) in enumerate(SECTIONS, start=1):
+        if key not in frames:
             continue
-        long = recap_long(cells_by_section[key], value).select(
-            F.lit(no).alias("section_no"), sanitize_text(F.lit(title)).alias("section"),
-            "Branche", F.col("Exercice").alias("col_name"), F.col(value).alias("value_double"))
-        out = long if out is None else out.unionByName(long)
+        part = _section(no, title, kind, value, frames[key])
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("section_no").orderBy((F.col("Branche") == TOTAL_ROW).asc_nulls_first(),
+                                                     F.col("Branche").asc_nulls_first())
+    out = out.withColumn("row_no", F.dense_rank().over(order))
     out = out.withColumn("value_text", fmt_report(F.col("value_double")))
     if comments:
-        spark = out.sparkSession
-        rows = [(no, k, v) for no, (k, _, _) in enumerate(SECTIONS, start=1) for kk, v in comments.items() if kk == k]
+        rows = [(no, title, text) for no, (key, title, _, _) in enumerate(SECTIONS, start=1)
+                for k, text in comments.items() if k == key]
         if rows:
-            c = spark.createDataFrame(rows, "section_no int, section string, comment string").select(
-                "section_no", sanitize_text("section").alias("section"), F.lit(None).cast("string").alias("Branche"),
-                F.lit("comment").alias("col_name"), F.lit(None).cast("double").alias("value_double"),
-                sanitize_text("comment").alias("value_text"))
+            from provisio.operators.literal import literal_frame
+            c = literal_frame(out.sparkSession, rows, "section_no int, table_title string, comment string").select(
+                "section_no", sanitize_text("table_title").alias("table_title"), F.lit(0).alias("row_no"),
+                F.lit(None).cast("string").alias("Branche"), F.lit("comment").alias("col_name"),
+                F.lit(None).cast("double").alias("value_double"), sanitize_text("comment").alias("value_text"))
             out = out.unionByName(c)
-    return out
+    return out.select("section_no", "table_title", "row_no", "Branche", "col_name", "value_double", "value_text")
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
-    ordered = report.orderBy("section_no", F.col("Branche").asc_nulls_first(), "col_name")
+    ordered = report.orderBy("section_no", "row_no", "col_name")
     w = ordered.coalesce(1).write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
