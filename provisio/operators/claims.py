@@ -60,9 +60,10 @@ def claims_agg(claims: DataFrame) -> DataFrame:
             .withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement")))
 
 
-def claims_agg_sorted(claims: DataFrame) -> DataFrame:
-    """OP-A8 as presented: sorted by (Branche, Exercice); per-cell sized."""
-    return sort_small(claims_agg(claims), "Branche", "Exercice")
+def claims_agg_sorted(claims: DataFrame, bounded: bool = False) -> DataFrame:
+    """OP-A8 as presented: sorted by (Branche, Exercice); a local sort only
+    when the caller has checked the cell count."""
+    return sort_small(claims_agg(claims), "Branche", "Exercice", bounded=bounded)
 
 
 def parse_quality(raw: DataFrame, year_col: str = "Exercice") -> DataFrame:

@@ -33,7 +33,7 @@ def years_of(cells_df: DataFrame) -> list[str]:
 
 
 def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None,
-                 branch: str = "Branche") -> DataFrame:
+                 branch: str = "Branche", bounded: bool = True) -> DataFrame:
     """OP-A2: Branche x sorted years + Total column, TOTAL row last.
 
     ``cells_df`` holds one row per (branch, Exercice).  Missing cells are 0.
@@ -52,12 +52,15 @@ def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None
     out = cells_df.rollup(branch).agg(*per_year, total, F.grouping_id().alias("_is_total"))
     out = out.select(F.when(F.col("_is_total") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch),
                      *years, TOTAL_COL, "_is_total")
-    return sort_small(out, "_is_total", F.col(branch).asc_nulls_first()).drop("_is_total")
+    return sort_small(out, "_is_total", F.col(branch).asc_nulls_first(), bounded=bounded).drop("_is_total")
 
 
-def sort_small(df: DataFrame, *keys) -> DataFrame:
-    """Total order of a result bounded by #branches x #years rows: one
-    partition sorted locally (no range-partition sampling job, no shuffle)."""
+def sort_small(df: DataFrame, *keys, bounded: bool = True) -> DataFrame:
+    """Total order of a result known to be small (``bounded``, e.g. checked
+    per-cell counts): one partition sorted locally, no range-partition
+    sampling job and no shuffle.  Otherwise a distributed ``orderBy``."""
+    if not bounded:
+        return df.orderBy(*keys)
     return df.coalesce(1).sortWithinPartitions(*keys)
 
 

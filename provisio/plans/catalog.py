@@ -89,7 +89,7 @@ CLAIMS = O.claims_ctes()
 @register("pe_recap_matrix", O.matrix_sql([BASE], "pe_cells", "PE"))
 def q_pe_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pe, "PE", st.years))
+    return rounded(recap_matrix(st.pe, "PE", st.years, bounded=st.small))
 
 
 @register("taux_prec", O.with_ctes(BASE) + """
@@ -118,13 +118,13 @@ def q_prec_lines(spark, sf_dir):
 @register("prec_recap_matrix", O.matrix_sql([BASE], "prec_cells", "PREC"))
 def q_prec_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.prec, "PREC", st.years))
+    return rounded(recap_matrix(st.prec, "PREC", st.years, bounded=st.small))
 
 
 @register("pa_recap_matrix", O.matrix_sql([BASE], "pa_cells", "PA"))
 def q_pa_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pa, "PA", st.years))
+    return rounded(recap_matrix(st.pa, "PA", st.years, bounded=st.small))
 
 
 @register("split_params", O.with_ctes(BASE) + """
@@ -139,13 +139,13 @@ def q_split_params(spark, sf_dir):
 @register("pa_split_matrix", O.matrix_sql([BASE], "pa_split", "PA"))
 def q_pa_split_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pa_split, "PA", st.years))
+    return rounded(recap_matrix(st.pa_split, "PA", st.years, bounded=st.small))
 
 
 @register("cu_matrix", O.matrix_sql([BASE], "cu_cells", "CU"))
 def q_cu_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cu, "CU", st.years))
+    return rounded(recap_matrix(st.cu, "CU", st.years, bounded=st.small))
 
 
 _CU_AGG = """cu_agg AS (SELECT CASE WHEN Branche IN ('AUTO RC', 'AUTO AR') THEN 'AUTOMOBILE' ELSE Branche END AS Branche,
@@ -155,7 +155,7 @@ _CU_AGG = """cu_agg AS (SELECT CASE WHEN Branche IN ('AUTO RC', 'AUTO AR') THEN
 @register("cu_aggregated", O.matrix_sql([BASE, _CU_AGG], "cu_agg", "CU"))
 def q_cu_aggregated(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(reserves.cu_aggregated(st.cu), "CU", st.years))
+    return rounded(recap_matrix(reserves.cu_aggregated(st.cu), "CU", st.years, bounded=st.small))
 
 
 _HIDDEN = ", ".join(f"'{b}'" for b in HIDDEN_CU_BRANCHES)
@@ -164,7 +164,7 @@ _HIDDEN = ", ".join(f"'{b}'" for b in HIDDEN_CU_BRANCHES)
 @register("cu_display", O.matrix_sql([BASE], "cu_cells", "CU", extra_filter=f"WHERE Branche NOT IN ({_HIDDEN})"))
 def q_cu_display(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(reserves.hide_branches(recap_matrix(st.cu, "CU", st.years)))
+    return rounded(reserves.hide_branches(recap_matrix(st.cu, "CU", st.years, bounded=st.small)))
 
 
 @register("ibnr_by_exercice", O.with_ctes(BASE) + """
@@ -192,7 +192,8 @@ def q_ibnr_pivot(spark, sf_dir):
 SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
        Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
 def q_claims_agg(spark, sf_dir):
-    return rounded(recap_ops.sort_small(claims_stage(spark, sf_dir).cells, "Branche", "Exercice"))
+    cl = claims_stage(spark, sf_dir)
+    return rounded(recap_ops.sort_small(cl.cells, "Branche", "Exercice", bounded=cl.small))
 
 
 _CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
@@ -201,25 +202,25 @@ _CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
 @register("claims_nb_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Nombre_Sinistres", "claim_years", cast_int=True))
 def q_claims_nb_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return recap_matrix(st.cells, "Nombre_Sinistres", st.years)
+    return recap_matrix(st.cells, "Nombre_Sinistres", st.years, bounded=st.small)
 
 
 @register("claims_cout_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Cout_Total", "claim_years"))
 def q_claims_cout_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "Cout_Total", st.years))
+    return rounded(recap_matrix(st.cells, "Cout_Total", st.years, bounded=st.small))
 
 
 @register("claims_reg_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Total_Reglement", "claim_years"))
 def q_claims_reg_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "Total_Reglement", st.years))
+    return rounded(recap_matrix(st.cells, "Total_Reglement", st.years, bounded=st.small))
 
 
 @register("claims_sap_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "SAP", "claim_years"))
 def q_claims_sap_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "SAP", st.years))
+    return rounded(recap_matrix(st.cells, "SAP", st.years, bounded=st.small))
 
 
 # ---------------------------------------------------------------------------
@@ -277,7 +278,7 @@ def q_psap_overrides(spark, sf_dir):
 @register("psap_matrix", O.matrix_sql([BASE, CLAIMS, _PSAP], "psap_cells", "PSAP"))
 def q_psap_matrix(spark, sf_dir):
     st, cl = both_stages(spark, sf_dir)
-    return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years))
+    return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years, bounded=st.small and cl.small))
 
 
 # ---------------------------------------------------------------------------

@@ -156,23 +156,22 @@ class ReservingPipeline:
 
     def run(self) -> dict[str, DataFrame]:
         pol, clm, years = self.policy, self.claims, self.policy.years
-        cyears = clm.years
+        cyears, b, cb = clm.years, pol.small, clm.small
         cu = pol.cu
-        out = {
-            "PE": recap_matrix(pol.pe, "PE", years),
+        return {
+            "PE": recap_matrix(pol.pe, "PE", years, bounded=b),
             "Taux PREC": pol.taux,
-            "PREC": recap_matrix(pol.prec, "PREC", years),
+            "PREC": recap_matrix(pol.prec, "PREC", years, bounded=b),
             "Anomalies dates": premium.date_anomalies(pol.mapped),
-            "PA": recap_matrix(pol.pa, "PA", years),
-            "PA split": recap_matrix(pol.pa_split, "PA", years),
-            "CU": reserves.hide_branches(recap_matrix(cu, "CU", years)),
-            "CU agrege": reserves.hide_branches(recap_matrix(reserves.cu_aggregated(cu), "CU", years)),
-            "Sinistres nombre": recap_matrix(clm.cells, "Nombre_Sinistres", cyears),
-            "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears),
-            "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears),
-            "SAP": recap_matrix(clm.cells, "SAP", cyears),
-            "Sinistres": sort_small(clm.cells, "Branche", "Exercice"),
+            "PA": recap_matrix(pol.pa, "PA", years, bounded=b),
+            "PA split": recap_matrix(pol.pa_split, "PA", years, bounded=b),
+            "CU": reserves.hide_branches(recap_matrix(cu, "CU", years, bounded=b)),
+            "CU agrege": reserves.hide_branches(recap_matrix(reserves.cu_aggregated(cu), "CU", years, bounded=b)),
+            "Sinistres": sort_small(clm.cells, "Branche", "Exercice", bounded=cb),
+            "Sinistres nombre": recap_matrix(clm.cells, "Nombre_Sinistres", cyears, bounded=cb),
+            "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears, bounded=cb),
+            "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears, bounded=cb),
+            "SAP": recap_matrix(clm.cells, "SAP", cyears, bounded=cb),
             "IBNR": pol.ibnr,
-            "PSAP": recap_matrix(self.psap(), "PSAP", years),
+            "PSAP": recap_matrix(self.psap(), "PSAP", years, bounded=b and cb),
         }
-        return out
