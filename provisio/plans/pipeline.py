@@ -21,6 +21,7 @@ from provisio.operators.mapping import map_policies
 from provisio.operators.recap import recap_matrix, sort_small
 from provisio.params import ReservingParams
 from provisio.session import materialize
+from provisio.sources.production import require_columns
 
 # Per-cell frames (branches x years) up to this many rows are broadcast in
 # the reserve joins; larger ones (a mis-mapped, high-cardinality Branche
@@ -35,8 +36,14 @@ def _checked(cells: DataFrame) -> tuple[list[str], bool]:
     return list(r["y"] or []), r["n"] <= MAX_BROADCAST_CELLS
 
 
+# columns the computation reads (OP-S14); the landing contract is wider
+POLICY_REQUIRED = ["Police", "Branche", "Exercice", "Effet", "Echeance", "PN_ACC"]
+CLAIMS_REQUIRED_NOTE = "claims headers are resolved by name (BRANCHE, REGLEMENT, COUT_TOTAL)"
+
+
 class PolicyStage:
     def __init__(self, policies_raw: DataFrame, params: ReservingParams, checkpoint: bool = True):
+        require_columns(policies_raw, POLICY_REQUIRED, "production")
         self.params = params
         self.checkpoint = checkpoint
         self.mapped = map_policies(policies_raw, params.mapping)
@@ -93,8 +100,13 @@ class PolicyStage:
 
 
 class ClaimsStage:
-    def __init__(self, claims_raw: DataFrame, params: ReservingParams, checkpoint: bool = True):
-        self.rows = claims_ops.map_claims(claims_raw, params.mapping)
+    """``claims_raw`` holds text rows with their year slot; with
+    ``prepared=True`` it is already normalised and mapped (e.g. the output of
+    ``read_claims_files``)."""
+
+    def __init__(self, claims_raw: DataFrame, params: ReservingParams, checkpoint: bool = True,
+                 prepared: bool = False):
+        self.rows = claims_raw if prepared else claims_ops.map_claims(claims_raw, params.mapping)
         agg = claims_ops.claims_agg(self.rows)
         self.cells = materialize(agg) if checkpoint else agg
 
@@ -112,14 +124,14 @@ class ClaimsStage:
 
 
 def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams,
-                 checkpoint: bool = True) -> tuple[PolicyStage, ClaimsStage]:
+                 checkpoint: bool = True, claims_prepared: bool = False) -> tuple[PolicyStage, ClaimsStage]:
     """Both scans are independent: submit them as concurrent jobs (two driver
     threads) so the policy and the claims aggregation share the executors."""
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=2) as pool:
         fp = pool.submit(lambda: PolicyStage(policies_raw, params, checkpoint))
-        fc = pool.submit(lambda: ClaimsStage(claims_raw, params, checkpoint))
+        fc = pool.submit(lambda: ClaimsStage(claims_raw, params, checkpoint, claims_prepared))
         policy, claims = fp.result(), fc.result()
     # size checks of both checkpoints (tiny jobs)
     policy.small, claims.small  # noqa: B018
@@ -140,9 +152,10 @@ def psap(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
 class ReservingPipeline:
     """Runs every step of the method and returns the presented tables."""
 
-    def __init__(self, policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams):
+    def __init__(self, policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams,
+                 claims_prepared: bool = False):
         self.params = params
-        self.policy, self.claims = build_stages(policies_raw, claims_raw, params)
+        self.policy, self.claims = build_stages(policies_raw, claims_raw, params, claims_prepared=claims_prepared)
 
     @property
     def small(self) -> bool:

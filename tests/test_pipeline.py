@@ -59,3 +59,12 @@ def test_broadcast_bound_fallback(spark, monkeypatch):
     hints = without._jdf.queryExecution().optimizedPlan().toString()
     assert "BROADCAST" not in hints.upper().replace("BROADCASTHASHJOIN", "")
     assert [tuple(r) for r in without.collect()] == [tuple(r) for r in with_hints.collect()]
+
+
+def test_policy_contract(spark):
+    import pytest
+
+    from provisio.plans.pipeline import PolicyStage
+    df = fx.policies_raw(spark, SF).drop("PN_ACC")
+    with pytest.raises(ValueError, match="PN_ACC"):
+        PolicyStage(df, fx.fixture_params())
