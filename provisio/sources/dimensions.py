@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
 from provisio.operators.literal import literal_frame
-from provisio.operators.claims import load_claims
 from provisio.params import DEFAULT_LOSS_RATIO, MANUAL_PSAP_BRANCHES
-from provisio.sources.production import detect_encodings, read_text_csv, read_text_csv_detect
+from provisio.operators.claims import normalize_claims
+from provisio.operators.mapping import map_branch
+from provisio.sources.production import FILE_COL, SLOT_COL, read_slotted_groups, read_text_csv
 
 MAX_PARAMETER_ROWS = 100_000
 
@@ -94,9 +95,9 @@ def overrides_long(df: DataFrame, years: list[str]) -> DataFrame:
 def read_claims_files(spark: SparkSession, files: list[tuple[str, str]], mapping: dict) -> DataFrame:
     """OP-S2 from files: [(year slot, path)], text read with encoding
     fallback; files of one slot share a scan when their headers agree."""
-    by_year: dict[str, list[str]] = {}
-    for y, p in files:
-        by_year.setdefault(str(y), []).append(p)
-    enc = detect_encodings(spark, [p for _, p in files])          # one pass over all files
-    frames = [(read_text_csv_detect(spark, sorted(ps), encodings=enc), y) for y, ps in sorted(by_year.items())]
-    return load_claims(frames, mapping)
+    out = None
+    for g in read_slotted_groups(spark, files):                    # one scan per (encoding, layout)
+        n = normalize_claims(g.drop(FILE_COL), keep=(SLOT_COL,))    # headers resolved per layout
+        n = n.withColumn("Branche", map_branch(F.col("Branche"), mapping)).withColumnRenamed(SLOT_COL, "Exercice")
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -51,16 +51,29 @@ def _norm_path_col(c):
     return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
 
 
-def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """OP-S3: per file, UTF-8 when every line is valid UTF-8, else Latin-1.
+def inspect_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str, str]]:
+    """One text pass over every file: UTF-8 validity of all lines and the raw
+    header line.  The text source keeps each line's bytes, so files stay
+    splittable and nothing but one row per file reaches the driver.
+
+    Returns {normalised path: (uri, encoding, header text)}."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        "value", F.monotonically_increasing_id().alias("pos"))
+    per_file = lines.groupBy("path").agg(
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"),
+        F.min_by(F.col("value").cast("binary"), F.when(F.col("start") == 0, F.col("pos"))).alias("header"))
+    out = {}
+    for r in per_file.collect():
+        enc = ENCODINGS[0] if r["utf8"] else ENCODINGS[1]
+        header = bytes(r["header"] or b"").decode("utf-8" if r["utf8"] else "latin-1")
+        out[norm_path(r["path"])] = (r["path"], enc, header)
+    return out
 
-    The text source keeps each line's raw bytes, so validity is checked line
-    by line on the executors (files stay splittable, no per-file size cap);
-    one (path, flag) row per file returns to the driver."""
-    lines = spark.read.text(paths)
-    flags = (lines.groupBy(F.col("_metadata.file_path").alias("path"))
-             .agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8")))
-    return {r["path"]: (ENCODINGS[0] if r["utf8"] else ENCODINGS[1]) for r in flags.collect()}
+
+def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """OP-S3: per file, UTF-8 when every line is valid UTF-8, else Latin-1."""
+    return {uri: enc for uri, enc, _ in inspect_files(spark, paths).values()}
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:
@@ -70,30 +83,49 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
-    """All-string CSV, header on, empty stays '' (no NA inference)."""
+FILE_COL = "__file"
+SLOT_COL = "__slot"
+
+
+def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", sep: str = ",",
+                  with_file: bool = False) -> DataFrame:
+    """All-string CSV, header on, empty stays '' (no NA inference); with
+    ``with_file`` a normalised source-file column is added."""
     df = (spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
           .option("inferSchema", False).option("emptyValue", "").option("nullValue", NEVER_NULL)
           .option("mode", "PERMISSIVE").csv(paths))
     # all-text contract: folder partition values (e.g. Exercice=2024) come back typed by discovery
-    df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t != "string" else F.col(f"`{c}`")
-                     for c, t in df.dtypes])
-    return _strip_bom(df)
-
-
-def read_text_csv_detect(spark: SparkSession, paths: list[str], sep: str = ",",
-                         encodings: dict[str, str] | None = None) -> DataFrame:
-    """OP-S3 with fallback: group files by detected encoding, one scan per group."""
-    enc = encodings if encodings is not None else detect_encodings(spark, paths)
-    wanted = {norm_path(p) for p in paths}
-    groups: dict[str, list[str]] = {}
-    for p, e in enc.items():
-        if norm_path(p) in wanted:
-            groups.setdefault(e, []).append(p)
-    frames = [read_text_csv(spark, sorted(ps), e, sep) for e, ps in sorted(groups.items())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    cols = [F.col(f"`{c}`").cast("string").alias(c) if t != "string" else F.col(f"`{c}`") for c, t in df.dtypes]
+    if with_file:
+        cols.append(_norm_path_col(F.col("_metadata.file_path")).alias(FILE_COL))
+    return _strip_bom(df.select(*cols))
+
+
+def read_slotted_groups(spark: SparkSession, files: list[tuple[str, str]], sep: str = ",") -> list[DataFrame]:
+    """Files of any number of year slots, one all-text scan per (encoding,
+    header layout): files sharing a layout share a scan whatever their slot,
+    files with another column order never share one (CSV columns are
+    positional).  Each frame carries the source file and its slot year."""
+    info = inspect_files(spark, [p for _, p in files])
+    year_of = {norm_path(p): str(y) for y, p in files}
+    groups: dict[tuple[str, str], list[str]] = {}
+    for key, (uri, enc, header) in info.items():
+        groups.setdefault((enc, header), []).append(key)
+    frames = []
+    for (enc, _header), keys in sorted(groups.items()):
+        slots = F.create_map(*[F.lit(x) for k in sorted(keys) for x in (k, year_of[k])])  # bounded by #files
+        df = read_text_csv(spark, [info[k][0] for k in sorted(keys)], enc, sep, with_file=True)
+        frames.append(df.withColumn(SLOT_COL, F.try_element_at(slots, F.col(FILE_COL))))
+    return frames
+
+
+def read_text_csv_detect(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
+    """OP-S3 with fallback: per-file encoding, one scan per (encoding, layout)."""
+    frames = read_slotted_groups(spark, [("", p) for p in paths], sep)
+    out = None
+    for f in frames:
+        f = f.drop(FILE_COL, SLOT_COL)
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
 
 
@@ -137,6 +169,31 @@ def coerce_dates(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def coerce_dates_by_file(df: DataFrame, file_col: str = FILE_COL) -> DataFrame:
+    """OP-F8 decided per source file, as the method does: one aggregate over
+    all files (one row per file returns).  A column accepted by every file
+    becomes DATE; accepted by none stays text; mixed stays text with ISO
+    dates for the files that accepted it (the common type of a date and a
+    text column)."""
+    cands = [c for c, t in df.dtypes if t == "string" and name_suggests_date(c) and c != file_col]
+    if not cands:
+        return df
+    stats = df.groupBy(file_col).agg(*[F.count(parse_date(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(cands)],
+                                     F.count(F.lit(1)).alias("n")).collect()
+    cols = []
+    for c in df.columns:
+        col = F.col(f"`{c}`")
+        if c in cands:
+            i = cands.index(c)
+            ok = [r[file_col] for r in stats if r[f"c{i}"] > 0 and r[f"c{i}"] >= DATE_MIN_PARSED_SHARE * r["n"]]
+            if len(ok) == len(stats):
+                col = parse_date(col)
+            elif ok:
+                col = F.when(F.col(file_col).isin(ok), F.date_format(parse_date(col), "yyyy-MM-dd")).otherwise(col)
+        cols.append(col.alias(c))
+    return df.select(*cols)
+
+
 def sanitize_cells(df: DataFrame) -> DataFrame:
     """OP-F9: text cells: null -> '', dates -> ISO text; numbers left as is."""
     out = []
@@ -200,14 +257,18 @@ def union_production(files: list[tuple[str | Column, DataFrame]]) -> DataFrame:
 
 
 def read_production_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """OP-S1 from CSV files: [(year slot, path)] -> normalised union.  Files
-    of one slot and encoding share one scan."""
-    by_year: dict[str, list[str]] = {}
-    for y, p in files:
-        by_year.setdefault(str(y), []).append(p)
-    enc = detect_encodings(spark, [p for _, p in files])          # one pass over all files
-    frames = [(y, coerce_dates(read_text_csv_detect(spark, ps, encodings=enc))) for y, ps in sorted(by_year.items())]
-    return union_production(frames)
+    """OP-S1 from CSV files: [(year slot, path)] -> normalised union.
+
+    One inspection pass (encoding, header), one scan per (encoding, layout),
+    one aggregate for the per-file date rule; the slot year replaces any
+    source Exercice."""
+    text = None
+    for g in read_slotted_groups(spark, files):
+        text = g if text is None else text.unionByName(g, allowMissingColumns=True)
+    typed = coerce_dates_by_file(text)
+    if "Exercice" in typed.columns:
+        typed = typed.drop("Exercice")
+    return normalize_production(typed).withColumnRenamed(SLOT_COL, "Exercice").drop(FILE_COL)
 
 
 # ---------------------------------------------------------------------------

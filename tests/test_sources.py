@@ -131,3 +131,27 @@ def test_claims_files_and_stream(spark, tmp):
     per_year = {r.Exercice: (r.n, r.cost) for r in landed.groupBy("Exercice").agg(
         F.count(F.lit(1)).alias("n"), F.sum("Cout_Total").alias("cost")).collect()}
     assert per_year == {"2023": (2, 2500.0), "2024": (1, 0.0)}
+
+
+def test_mixed_layouts_in_one_slot(spark, tmp):
+    a = _write(f"{tmp}/mix/2024/a.csv", "Police,Branche,PN_ACC,Effet,Echeance\nA,X,10,01/01/2024,31/12/2024\n")
+    b = _write(f"{tmp}/mix/2024/b.csv", "Echeance,Effet,PN_ACC,Branche,Police\n31/12/2024,01/01/2024,20,Y,B\n")
+    c = _write(f"{tmp}/mix/2023/c.csv", "Police,Branche,PN_ACC,Effet,Echeance\nC,X,5,01/01/2023,31/12/2023\n")
+    groups = prod.read_slotted_groups(spark, [("2024", a), ("2024", b), ("2023", c)])
+    assert len(groups) == 2                                   # a and c share a layout across slots
+    rows = {r.Police: r for r in prod.read_production_files(spark, [("2024", a), ("2024", b), ("2023", c)]).collect()}
+    assert (rows["A"].PN_ACC, rows["B"].PN_ACC, rows["C"].PN_ACC) == (10.0, 20.0, 5.0)
+    assert (rows["A"].Branche, rows["B"].Branche) == ("X", "Y")
+    assert (rows["A"].Exercice, rows["B"].Exercice, rows["C"].Exercice) == ("2024", "2024", "2023")
+    assert str(rows["B"].Echeance) == "2024-12-31"
+
+
+def test_date_rule_per_file(spark, tmp):
+    a = _write(f"{tmp}/dr/a.csv", "Police,Date souscription\nA,01/02/2024\nB,03/04/2024\n")
+    b = _write(f"{tmp}/dr/b.csv", "Police,Date souscription\nC,inconnue\nD,?\n")
+    g = prod.read_slotted_groups(spark, [("2024", a), ("2024", b)])
+    assert len(g) == 1
+    out = prod.coerce_dates_by_file(g[0])
+    got = {r.Police: r["Date souscription"] for r in out.collect()}
+    assert dict(out.dtypes)["Date souscription"] == "string"  # accepted by one file only
+    assert got == {"A": "2024-02-01", "B": "2024-04-03", "C": "inconnue", "D": "?"}
