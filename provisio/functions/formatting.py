@@ -39,3 +39,20 @@ def fmt_report(c: Column | str) -> Column:
         .when(x == 0, F.lit("0,00"))
         .otherwise(F.replace(F.format_number(x, 4), F.lit("."), F.lit(",")))
     )
+
+
+NUMERIC_TYPES = ("double", "float", "bigint", "int")
+
+
+def format_numeric_columns(df, exclude: tuple[str, ...] = ()):
+    """OP-F19 over a table: every double/float/bigint/int column (except
+    ``exclude``) rendered as '1 234.50', other columns unchanged."""
+    return df.select(*[
+        fmt_amount(F.col(f"`{c}`")).alias(c) if t in NUMERIC_TYPES and c not in exclude else F.col(f"`{c}`")
+        for c, t in df.dtypes])
+
+
+def taux_display(taux):
+    """Rate table as displayed: ratios as percentages, FG share as amount."""
+    return taux.select("Branche", fmt_percent("Loss_Ratio").alias("Loss_Ratio"), "PE_Total",
+                       fmt_amount("FG_Reparti").alias("FG_Reparti"), fmt_percent("Taux_PREC").alias("Taux_PREC"))

@@ -718,3 +718,26 @@ def q_claims_parse_quality(spark, sf_dir):
     """SURVEY trap T12: share of non-empty amount cells that silently parse to 0."""
     q = claims_ops.parse_quality(fx.claims_raw(spark, sf_dir))
     return q.select("Exercice", "rows", "reglement_failed", "cout_failed", micro(F.col("share")).alias("share"))
+
+
+@register("pe_matrix_formatted", O.with_ctes(BASE, """
+fm_grid AS (SELECT b.Branche, y.Exercice FROM (SELECT DISTINCT Branche FROM pe_cells) b CROSS JOIN years y),
+fm_dense AS (SELECT g.Branche, g.Exercice, COALESCE(c.PE, CAST(0 AS DOUBLE)) AS v FROM fm_grid g
+             LEFT JOIN pe_cells c ON c.Branche = g.Branche AND c.Exercice = g.Exercice),
+fm_cube AS (SELECT CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END AS Branche,
+                   CASE WHEN grouping(Exercice) = 1 THEN 'Total' ELSE Exercice END AS Exercice,
+                   """ + _fmt2(O.cents("SUM(v)")) + """ AS v
+            FROM fm_dense GROUP BY CUBE (Branche, Exercice))""") + "PIVOT fm_cube ON Exercice USING first(v) GROUP BY Branche")
+def q_pe_matrix_formatted(spark, sf_dir):
+    """OP-F19 over a presented table: the PE matrix with every amount formatted."""
+    st = policy_stage(spark, sf_dir)
+    return fmt.format_numeric_columns(rounded(recap_matrix(st.pe, "PE", st.years, bounded=st.small)))
+
+
+@register("taux_display", O.with_ctes(BASE) + """
+SELECT Branche, format('{:.2f}', """ + O.micro("Loss_Ratio") + """ * 100) || '%' AS Loss_Ratio, """ + O.cents("PE_Total") + """ AS PE_Total,
+       """ + _fmt2(O.cents("FG_Reparti")) + """ AS FG_Reparti, format('{:.2f}', """ + O.micro("Taux_PREC") + """ * 100) || '%' AS Taux_PREC
+FROM taux_final""")
+def q_taux_display(spark, sf_dir):
+    """OP-F20: the rate table as displayed (percentages, formatted FG share)."""
+    return fmt.taux_display(rounded(policy_stage(spark, sf_dir).taux))
