@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from provisio.functions.formatting import fmt_report
 from provisio.functions.text import sanitize_text
-from provisio.operators.recap import recap_long
 from provisio.params import TOTAL_ROW
 
 # Report sections in their natural order
@@ -36,27 +35,44 @@ SECTIONS = [
 ]
 
 
-def _section(no: int, title: str, kind: str, value, df: DataFrame) -> DataFrame:
-    head = [F.lit(no).alias("section_no"), sanitize_text(F.lit(title)).alias("table_title")]
-    if kind == "matrix":
-        long = recap_long(df, value)
-        return long.select(*head, "Branche", F.col("Exercice").alias("col_name"),
-                           F.col(value).cast("double").alias("value_double"))
+def _matrices(cells: DataFrame) -> DataFrame:
+    """Margins of every matrix section in one aggregate: grouping sets
+    (section, Branche, Exercice), (section, Branche), (section, Exercice),
+    (section) over the union of all per-cell frames (one shuffle)."""
+    s, b, e = "section_no", "Branche", "Exercice"
+    agg = cells.groupingSets([[s, b, e], [s, b], [s, e], [s]], s, b, e).agg(
+        F.sum("v").alias("value_double"), F.grouping(b).alias("_gb"), F.grouping(e).alias("_ge"))
+    return agg.select(
+        s, F.when(F.col("_gb") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(b)).alias("Branche"),
+        F.when(F.col("_ge") == 1, F.lit("Total")).otherwise(F.col(e)).alias("col_name"), "value_double")
+
+
+def _table(no: int, value: list[str], df: DataFrame) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("double").alias("value_double"))
                       for c in value])
-    return df.select(*head, "Branche", F.explode(cells).alias("c")).select(
-        *[c for c in ("section_no", "table_title", "Branche")], "c.col_name", "c.value_double")
+    return df.select(F.lit(no).alias("section_no"), "Branche", F.explode(cells).alias("c")).select(
+        "section_no", "Branche", "c.col_name", "c.value_double")
 
 
 def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None = None) -> DataFrame:
     """Long report: (section_no, table_title, row_no, Branche, col_name,
     value_double, value_text) for every section present in ``frames``."""
-    out = None
+    cells, tables, titles = None, [], []
     for no, (key, title, kind, value) in enumerate(SECTIONS, start=1):
         if key not in frames:
             continue
-        part = _section(no, title, kind, value, frames[key])
-        out = part if out is None else out.unionByName(part)
+        titles.append((no, title))
+        if kind == "matrix":
+            part = frames[key].select(F.lit(no).alias("section_no"), "Branche", "Exercice",
+                                      F.col(value).cast("double").alias("v"))
+            cells = part if cells is None else cells.unionByName(part)
+        else:
+            tables.append(_table(no, value, frames[key]))
+    out = _matrices(cells) if cells is not None else None
+    for t in tables:
+        out = t if out is None else out.unionByName(t)
+    title_of = F.create_map(*[F.lit(x) for no, t in titles for x in (no, t)])
+    out = out.withColumn("table_title", sanitize_text(F.try_element_at(title_of, F.col("section_no"))))
     order = Window.partitionBy("section_no").orderBy((F.col("Branche") == TOTAL_ROW).asc_nulls_first(),
                                                      F.col("Branche").asc_nulls_first())
     out = out.withColumn("row_no", F.dense_rank().over(order))
