@@ -148,7 +148,8 @@ def prec_lines(policies: DataFrame, taux: DataFrame, date_eval: date,
     prec = F.coalesce(unexpired_weight(F.col("PN_ACC"), terms["duree_totale"], terms["duree_restante"]) * rate,
                       F.lit(0.0))
     return j.select("Police", "Branche", "Exercice", "Effet", "Echeance", F.col("PN_ACC").alias("PE"),
-                    terms["duree_totale"].alias("duree_totale"), terms["duree_restante"].alias("duree_restante"),
+                    terms["duree_totale"].cast("bigint").alias("duree_totale"),
+                    terms["duree_restante"].cast("bigint").alias("duree_restante"),
                     rate.alias("Taux_PREC"), prec.alias("PREC"))
 
 

@@ -75,7 +75,7 @@ def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None =
     out = out.withColumn("table_title", sanitize_text(F.try_element_at(title_of, F.col("section_no"))))
     order = Window.partitionBy("section_no").orderBy((F.col("Branche") == TOTAL_ROW).asc_nulls_first(),
                                                      F.col("Branche").asc_nulls_first())
-    out = out.withColumn("row_no", F.dense_rank().over(order))
+    out = out.withColumn("row_no", F.dense_rank().over(order).cast("bigint"))
     out = out.withColumn("value_text", fmt_report(F.col("value_double")))
     if comments:
         rows = [(no, title, text) for no, (key, title, _, _) in enumerate(SECTIONS, start=1)
@@ -83,7 +83,7 @@ def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None =
         if rows:
             from provisio.operators.literal import literal_frame
             c = literal_frame(out.sparkSession, rows, "section_no int, table_title string, comment string").select(
-                "section_no", sanitize_text("table_title").alias("table_title"), F.lit(0).alias("row_no"),
+                "section_no", sanitize_text("table_title").alias("table_title"), F.lit(0).cast("bigint").alias("row_no"),
                 F.lit(None).cast("string").alias("Branche"), F.lit("comment").alias("col_name"),
                 F.lit(None).cast("double").alias("value_double"), sanitize_text("comment").alias("value_text"))
             out = out.unionByName(c)
