@@ -51,29 +51,33 @@ def _norm_path_col(c):
     return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
 
 
-def inspect_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str, str]]:
-    """One text pass over every file: UTF-8 validity of all lines and the raw
-    header line.  The text source keeps each line's bytes, so files stay
-    splittable and nothing but one row per file reaches the driver.
+def inspect_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple]:
+    """One text pass over every file: UTF-8 validity of all lines, the raw
+    header line, and a content summary (line count and two order-independent
+    sums of 64-bit line hashes).  The text source keeps each line's bytes,
+    so files stay splittable and one row per file reaches the driver.
 
-    Returns {normalised path: (uri, encoding, header text)}."""
+    Returns {normalised path: (uri, encoding, header text, summary)}."""
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         "value", F.monotonically_increasing_id().alias("pos"))
     per_file = lines.groupBy("path").agg(
         F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"),
-        F.min_by(F.col("value").cast("binary"), F.when(F.col("start") == 0, F.col("pos"))).alias("header"))
+        F.min_by(F.col("value").cast("binary"), F.when(F.col("start") == 0, F.col("pos"))).alias("header"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h1"),
+        F.sum(F.xxhash64(F.lit("provisio"), "value").cast("decimal(38,0)")).alias("h2"))
     out = {}
     for r in per_file.collect():
         enc = ENCODINGS[0] if r["utf8"] else ENCODINGS[1]
         header = bytes(r["header"] or b"").decode("utf-8" if r["utf8"] else "latin-1")
-        out[norm_path(r["path"])] = (r["path"], enc, header)
+        out[norm_path(r["path"])] = (r["path"], enc, header, f"{r['n']}:{r['h1']}:{r['h2']}")
     return out
 
 
 def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """OP-S3: per file, UTF-8 when every line is valid UTF-8, else Latin-1."""
-    return {uri: enc for uri, enc, _ in inspect_files(spark, paths).values()}
+    return {v[0]: v[1] for v in inspect_files(spark, paths).values()}
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:
@@ -101,15 +105,17 @@ def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
     return _strip_bom(df.select(*cols))
 
 
-def read_slotted_groups(spark: SparkSession, files: list[tuple[str, str]], sep: str = ",") -> list[DataFrame]:
+def read_slotted_groups(spark: SparkSession, files: list[tuple[str, str]], sep: str = ",",
+                        info: dict | None = None) -> list[DataFrame]:
     """Files of any number of year slots, one all-text scan per (encoding,
     header layout): files sharing a layout share a scan whatever their slot,
     files with another column order never share one (CSV columns are
-    positional).  Each frame carries the source file and its slot year."""
-    info = inspect_files(spark, [p for _, p in files])
+    positional).  Each frame carries the source file and its slot year.
+    ``info`` (from ``inspect_files``) is reused when the caller has it."""
+    info = info if info is not None else inspect_files(spark, [p for _, p in files])
     year_of = {norm_path(p): str(y) for y, p in files}
     groups: dict[tuple[str, str], list[str]] = {}
-    for key, (uri, enc, header) in info.items():
+    for key, (uri, enc, header, _summary) in info.items():
         groups.setdefault((enc, header), []).append(key)
     frames = []
     for (enc, _header), keys in sorted(groups.items()):
@@ -169,15 +175,15 @@ def coerce_dates(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def coerce_dates_by_file(df: DataFrame, file_col: str = FILE_COL) -> DataFrame:
+def coerce_dates_by_file(df: DataFrame, file_col: str = FILE_COL, skip: tuple[str, ...] = ()) -> DataFrame:
     """OP-F8 decided per source file, as the method does: one aggregate over
     all files (one row per file returns).  A column accepted by every file
     becomes DATE; accepted by none stays text; mixed stays text with ISO
     dates for the files that accepted it (the common type of a date and a
     text column)."""
-    cands = [c for c, t in df.dtypes if t == "string" and name_suggests_date(c) and c != file_col]
+    cands = [c for c, t in df.dtypes if t == "string" and name_suggests_date(c) and c != file_col and c not in skip]
     if not cands:
-        return df
+        return df                      # no decision pass needed
     stats = df.groupBy(file_col).agg(*[F.count(parse_date(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(cands)],
                                      F.count(F.lit(1)).alias("n")).collect()
     cols = []
@@ -256,16 +262,17 @@ def union_production(files: list[tuple[str | Column, DataFrame]]) -> DataFrame:
     return out
 
 
-def read_production_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+def read_production_files(spark: SparkSession, files: list[tuple[str, str]], info: dict | None = None) -> DataFrame:
     """OP-S1 from CSV files: [(year slot, path)] -> normalised union.
 
-    One inspection pass (encoding, header), one scan per (encoding, layout),
-    one aggregate for the per-file date rule; the slot year replaces any
-    source Exercice."""
+    One inspection pass (encoding, header; reused when given), one scan per
+    (encoding, layout); the per-file date rule needs an aggregate only for
+    date-named columns other than Effet/Echeance, which are parsed anyway.
+    The slot year replaces any source Exercice."""
     text = None
-    for g in read_slotted_groups(spark, files):
+    for g in read_slotted_groups(spark, files, info=info):
         text = g if text is None else text.unionByName(g, allowMissingColumns=True)
-    typed = coerce_dates_by_file(text)
+    typed = coerce_dates_by_file(text, skip=("Effet", "Echeance"))
     if "Exercice" in typed.columns:
         typed = typed.drop("Exercice")
     return normalize_production(typed).withColumnRenamed(SLOT_COL, "Exercice").drop(FILE_COL)
@@ -292,50 +299,51 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _digest(parts: list[str]) -> str:
+    import hashlib
+    return hashlib.md5("|".join(sorted(parts)).encode("utf-8")).hexdigest()[:16]
+
+
+def fingerprint_from(files: list[tuple[str, str]], info: dict) -> str:
+    """Digest over (year slot, file name, content summary) of every file."""
+    parts = []
+    for y, p in files:
+        key = norm_path(p)
+        parts.append(f"{y}:{p.rstrip('/').split('/')[-1]}:{info[key][3]}")
+    return _digest(parts)
+
+
 def fingerprint(spark: SparkSession, files: list[tuple[str, str]], content: bool = True) -> DataFrame:
     """OP-S10: deterministic digest over (year slot, file name, content).
 
-    Content is summarised per file on the executors as the line count and two
-    order-independent sums of 64-bit line hashes (splittable, streaming); the
-    per-file summaries (one row per file) are sorted and hashed once.  With
-    ``content=False`` only file metadata (length, modification time) is used,
-    which reads no data at all: the cheap choice when re-landing a very large
-    delivery must be decided quickly."""
-    slots = literal_frame(spark, [(str(y), norm_path(p), p.rstrip("/").split("/")[-1]) for y, p in files],
-                          "year string, key string, name string")
-    if not content:
+    Content is summarised per file on the executors (line count and two
+    order-independent sums of 64-bit line hashes, the same pass that finds
+    encodings and headers); one row per file returns and the digest of the
+    sorted summaries is taken on the driver.  With ``content=False`` only
+    file metadata (length, modification time) is used and no data is read."""
+    if content:
+        fp = fingerprint_from(files, inspect_files(spark, [p for _, p in files]))
+    else:
         meta = (spark.read.format("binaryFile").load([p for _, p in files])
-                .select(_norm_path_col(F.col("path")).alias("key"), "length",
-                        F.col("modificationTime").cast("string").alias("mtime")))
-        parts = meta.join(slots, "key").select(
-            F.concat_ws(":", "year", "name", F.col("length").cast("string"), "mtime").alias("part"))
-        return parts.agg(
-            F.substring(F.md5(F.concat_ws("|", F.array_sort(F.collect_list("part")))), 1, 16).alias("fingerprint"),
-            F.count(F.lit(1)).alias("files"))
-    lines = spark.read.text([p for _, p in files])
-    per_file = (lines.groupBy(_norm_path_col(F.col("_metadata.file_path")).alias("key"))
-                .agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h1"),
-                     F.sum(F.xxhash64(F.lit("provisio"), "value").cast("decimal(38,0)")).alias("h2")))
-    parts = per_file.join(slots, "key").select(
-        F.concat_ws(":", "year", "name", F.col("n").cast("string"), F.col("h1").cast("string"),
-                    F.col("h2").cast("string")).alias("part"))
-    return parts.agg(
-        F.substring(F.md5(F.concat_ws("|", F.array_sort(F.collect_list("part")))), 1, 16).alias("fingerprint"),
-        F.count(F.lit(1)).alias("files"))
+                .select("path", "length", F.col("modificationTime").cast("string").alias("mtime")).collect())
+        by_key = {norm_path(r["path"]): f"{r['length']}:{r['mtime']}" for r in meta}
+        fp = _digest([f"{y}:{p.rstrip('/').split('/')[-1]}:{by_key[norm_path(p)]}" for y, p in files])
+    return literal_frame(spark, [(fp, len(files))], "fingerprint string, files bigint")
 
 
 def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str, by_content: bool = True) -> str:
     """Idempotent landing: the target folder is named by the fingerprint and
     the conversion is skipped when it already holds a landed table (its
     ``_SUCCESS`` marker is written last, so a job lost mid-write re-lands)."""
-    fp = fingerprint(spark, files, content=by_content).first()["fingerprint"]
+    info = inspect_files(spark, [p for _, p in files]) if by_content else None
+    fp = fingerprint_from(files, info) if by_content else fingerprint(spark, files, content=False).first()["fingerprint"]
     target = f"{root.rstrip('/')}/production_{fp}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
-        write_production(read_production_files(spark, files), target)
+        # the inspection pass that produced the fingerprint also gives encodings and headers
+        write_production(read_production_files(spark, files, info=info), target)
     return target
 
 
