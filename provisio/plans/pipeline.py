@@ -38,7 +38,6 @@ def _checked(cells: DataFrame) -> tuple[list[str], bool]:
 
 # columns the computation reads (OP-S14); the landing contract is wider
 POLICY_REQUIRED = ["Police", "Branche", "Exercice", "Effet", "Echeance", "PN_ACC"]
-CLAIMS_REQUIRED_NOTE = "claims headers are resolved by name (BRANCHE, REGLEMENT, COUT_TOTAL)"
 
 
 class PolicyStage:
