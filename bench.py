@@ -44,14 +44,20 @@ def main():
     only = os.environ.get("BENCH_QUERIES")
     names = only.split(",") if only else HEADLINE
     spark = build_session(master=f"local[{cpus}]", app="provisio-bench", shuffle_partitions=cpus)
-    per_query = {}
+    per_query, failed = {}, {}
     for name in names:
-        run(spark, name, sf_dir)                    # untimed warm-up of this query's code paths
-        times = [run(spark, name, sf_dir) for _ in range(reps)]
-        per_query[name] = round(statistics.median(times), 3)
+        try:
+            run(spark, name, sf_dir)                # untimed warm-up of this query's code paths
+            times = [run(spark, name, sf_dir) for _ in range(reps)]
+            per_query[name] = round(statistics.median(times), 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the others
+            failed[name] = str(e).splitlines()[0][:200]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(per_query.values()), 3),
-                      "unit": "sec", "queries": per_query, "sf": sf, "cpus": cpus, "reps": reps}))
+    out = {"metric": "sum_of_median_query_seconds", "value": round(sum(per_query.values()), 3),
+           "unit": "sec", "queries": per_query, "sf": sf, "cpus": cpus, "reps": reps}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
