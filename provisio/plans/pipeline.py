@@ -128,13 +128,14 @@ def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: Reservi
     threads) so the policy and the claims aggregation share the executors."""
     from concurrent.futures import ThreadPoolExecutor
 
+    def ready(stage):
+        stage.small  # noqa: B018 - size check of the checkpoint (tiny job) in the same thread
+        return stage
+
     with ThreadPoolExecutor(max_workers=2) as pool:
-        fp = pool.submit(lambda: PolicyStage(policies_raw, params, checkpoint))
-        fc = pool.submit(lambda: ClaimsStage(claims_raw, params, checkpoint, claims_prepared))
-        policy, claims = fp.result(), fc.result()
-    # size checks of both checkpoints (tiny jobs)
-    policy.small, claims.small  # noqa: B018
-    return policy, claims
+        fp = pool.submit(lambda: ready(PolicyStage(policies_raw, params, checkpoint)))
+        fc = pool.submit(lambda: ready(ClaimsStage(claims_raw, params, checkpoint, claims_prepared)))
+        return fp.result(), fc.result()
 
 
 def psap_overrides(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:

@@ -82,3 +82,10 @@ def test_rate_example(spark):
     assert t["A"]["FG_Reparti"] == pytest.approx(60.0) and t["A"]["Taux_PREC"] == pytest.approx(0.75)
     assert t["B"]["FG_Reparti"] == pytest.approx(40.0) and t["B"]["Taux_PREC"] == pytest.approx(0.72)
     assert t["C"]["PE_Total"] == 0.0 and t["C"]["Taux_PREC"] == pytest.approx(0.90)
+
+
+def test_rate_total_includes_branches_without_ratio(spark):
+    """total_pe covers every last-year branch, even when no ratio branch has premium."""
+    cells = spark.createDataFrame([("X", "2024", 1000.0)], "Branche string, Exercice string, PE double")
+    r = premium.taux_prec(cells, {"A": 0.70}, 100.0).first()
+    assert (r.PE_Total, r.FG_Reparti, r.Taux_PREC) == (0.0, 0.0, 0.72)
