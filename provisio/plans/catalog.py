@@ -692,7 +692,9 @@ def q_claims_cells_stream(spark, sf_dir):
     raw.write.mode("overwrite").partitionBy("Exercice").option("header", True).csv(f"{root}/in")
     q = maintain_claims_cells(spark, f"{root}/in", ["BRANCHE", "REGLEMENT", "COUT_TOTAL"], fx.FIXTURE_MAPPING,
                               f"{root}/cells", f"{root}/checkpoint")
-    q.awaitTermination()
+    if not q.awaitTermination(900):          # availableNow ends by itself; never wait unbounded
+        q.stop()
+        raise TimeoutError("claims stream did not finish within 900 s")
     cells = spark.read.parquet(f"{root}/cells")
     return rounded(cells.select("Branche", "Exercice", "Total_Reglement", "Cout_Total",
                                 F.col("Nombre_Sinistres").cast("bigint").alias("Nombre_Sinistres"), "SAP"))
