@@ -155,3 +155,11 @@ def test_date_rule_per_file(spark, tmp):
     got = {r.Police: r["Date souscription"] for r in out.collect()}
     assert dict(out.dtypes)["Date souscription"] == "string"  # accepted by one file only
     assert got == {"A": "2024-02-01", "B": "2024-04-03", "C": "inconnue", "D": "?"}
+
+
+def test_claims_file_with_unresolvable_headers(spark, tmp):
+    bad = _write(f"{tmp}/badclaims/2024/c.csv", "Branche produit,Reglement,cout_total\nX,1,2\n")
+    with pytest.raises(ValueError) as e:
+        dim.read_claims_files(spark, [("2024", bad)], {})
+    msg = str(e.value)
+    assert "Colonnes manquantes: BRANCHE" in msg and "Reglement='Reglement'" in msg and "Colonnes disponibles" in msg

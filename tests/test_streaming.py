@@ -46,3 +46,13 @@ def test_production_stream_landing(spark):
     assert (r.Exercice, r.Branche, r.PN_ACC, str(r.Effet)) == ("2024", "AUTO", 1234.5, "2024-02-01")
     assert dict(prod.read_landed(spark, f"{root}/out").dtypes)["Effet"] == "date"
     assert prod.read_landed(spark, f"{root}/out").filter(F.col("Police") == "P1").count() == 1
+
+
+def test_restart_without_new_files_is_idempotent(spark):
+    root = tempfile.mkdtemp(prefix="provisio-restart-")
+    _write(f"{root}/in/Exercice=2023/a.csv", "BRANCHE,GARANTIE,REGLEMENT,COUT_TOTAL\nAUTO,RC,100,150\n")
+    for _ in range(2):                              # second run: same checkpoint, no new file
+        q = maintain_claims_cells(spark, f"{root}/in", HEADER, {}, f"{root}/cells", f"{root}/ck")
+        q.awaitTermination(120)
+    rows = [(r.Branche, r.Exercice, r.Nombre_Sinistres, r.SAP) for r in spark.read.parquet(f"{root}/cells").collect()]
+    assert rows == [("AUTO", "2023", 1, 50.0)]
