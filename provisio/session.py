@@ -42,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when nothing is configured (local tests) a private scratch
-    folder is created.
+    as is.  Only a local master (tests, bench), whose tasks all see this
+    machine's disk, may go without: it gets a private scratch folder.  Any
+    other master without a configured folder is refused.
     """
     try:
         sc = spark.sparkContext
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="provisio-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
