@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import host_rules, packing
+from . import bpe, host_rules, packing
 from .common import table
 
 
@@ -23,9 +23,15 @@ def op3_ss_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_forced_bpe(spark, sf_dir):
+    """Every document encoded and decoded."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_ss_packing": op3_ss_packing,
+    "op4_forced_bpe": op4_forced_bpe,
 }
 
 #: The same by nested lists: words, equal lines, and word positions that any repeated window covers.

@@ -5,6 +5,7 @@ anew when it passes its limit, so memory is bounded; results never depend on it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -14,9 +15,9 @@ MAX_CHUNKS = 300_000
 
 
 class ChunkPool:
-    """encode: list of chunk bytes -> list of id sequences, in order."""
+    """encode: list of chunk bytes -> their ids end to end, and the number of ids of each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], max_chunks: int = MAX_CHUNKS):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], max_chunks: int = MAX_CHUNKS):
         self.encode, self.max_chunks = encode, max_chunks
         self.clear()
 
@@ -41,14 +42,12 @@ class ChunkPool:
             n0 = len(self.seen)
             for i, k in enumerate(new):
                 at[k] = self.seen[keys[k]] = n0 + i
-            self._add(n0, got)
+            self._add(n0, *got)
         at = np.array(at)[inverse]
         length = self.length[at]
         return gather(self.pool, self.start[at], length), length
 
-    def _add(self, n0: int, got: list) -> None:
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((x for g in got for x in g), np.uint32, int(lens.sum()))
+    def _add(self, n0: int, ids: np.ndarray, lens: np.ndarray) -> None:
         self.start, self.length = _room(self.start, n0 + len(lens)), _room(self.length, n0 + len(lens))
         self.pool = _room(self.pool, self.used + len(ids))
         self.start[n0:n0 + len(lens)] = self.used + np.cumsum(lens) - lens
@@ -57,6 +56,12 @@ class ChunkPool:
         self.used += len(ids)
 
 
+def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and their lengths."""
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum())), lens
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a

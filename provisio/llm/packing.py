@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .chunks import ChunkPool
+from .chunks import ChunkPool, joined
 from .common import flat, fresh_name, slices
 from .textvec import words
 
@@ -50,7 +50,7 @@ class ByteBpe:
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pool = ChunkPool(lambda chunks: [own.encode_ordinary(c.decode()) for c in chunks])
+        self.pool = ChunkPool(lambda chunks: joined([own.encode_ordinary(c.decode()) for c in chunks]))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
