@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, packing
+from . import bpe, host_rules, packing, warc_bundles
 from .common import table
 
 
+def op1_warc_bundles(spark, sf_dir):
+    """Every page written as a WARC record and read back."""
+    return warc_bundles.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_host_rules(spark, sf_dir):
     """Quality rules and host verdicts over every document."""
     judged = host_rules.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -29,6 +34,7 @@ def op4_forced_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op2_host_rules": op2_host_rules,
     "op3_ss_packing": op3_ss_packing,
     "op4_forced_bpe": op4_forced_bpe,
@@ -68,4 +74,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_
 FROM f LEFT JOIN b ON f.source = b.source
 """
 
-ORACLES = {"op2_host_rules": OP2_SQL}
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM l
+"""
+
+ORACLES = {"op1_warc_bundles": OP1_SQL, "op2_host_rules": OP2_SQL}
