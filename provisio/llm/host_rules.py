@@ -7,8 +7,8 @@ its documents.
 
 Defined cases: null or empty text has no word and fails the base rule; a null host has no verdict of its own (its
 documents are judged by the base rule alone); repeated rows are measured and counted each; an empty table gives an empty
-result; columns that are not carried play no part.  A hot host is aggregated map-side, and the join back is by host on
-rows that AQE can split; both sides are sized at run time.
+result; columns that are not carried play no part.  A hot host is aggregated map-side, and the join back deals each
+host's rows over SALTS groups.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import flat, fresh_name, slices, stored
 from .textvec import SPACE, U, Spans, count_in, lines, mix, words
 
 WINDOW = 8
+#: A host's rows meet its verdict in so many groups.
+SALTS = 64
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -118,11 +120,13 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", car
         p, strength = beta_prior(tot.n or 0, tot[r] or 0, tot[f"{r}_sq"] or 0, tot.n2 or 0, tot.hosts)
         rate = F.lit(p) if math.isinf(strength) else (F.col(r) + p * strength) / (F.col("n") + strength)
         bad = bad | (rate > max_host_rate)
-    told, verdict = fresh_name(docs.columns, "host_key"), fresh_name(docs.columns, "host_bad")
-    verdicts = hosts.select(F.col(host).alias(told), bad.alias(verdict)).where(verdict)
+    told, verdict, salt, told_salt = (fresh_name(docs.columns, x) for x in ("host_key", "host_bad", "salt", "told_salt"))
+    verdicts = (hosts.select(F.col(host).alias(told), bad.alias(verdict)).where(verdict)
+                .withColumn(told_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     base = fails["few_words"] | fails["repeats"]
     rejected = F.coalesce(F.col(verdict), F.lit(False))
-    return (measured.join(verdicts, F.col(host) == F.col(told), "left")
+    spread = measured.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return (spread.join(verdicts, (F.col(host) == F.col(told)) & (F.col(salt) == F.col(told_salt)), "left")
             .select(*carry, F.struct(*(m[x].alias(x) for x in MEASURES), *(fails[r].alias(r) for r in RULES),
                                      base.alias("base_failed"), rejected.alias("host_rejected"),
                                      (~base & ~rejected).alias("kept")).alias(key)))
