@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, packing, warc_bundles
+from . import bpe, host_rules, packing, superminhash, warc_bundles
 from .common import table
 
 
@@ -33,11 +33,17 @@ def op4_forced_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_superminhash(spark, sf_dir):
+    """Near copies among all documents."""
+    return superminhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_host_rules": op2_host_rules,
     "op3_ss_packing": op3_ss_packing,
     "op4_forced_bpe": op4_forced_bpe,
+    "op7_superminhash": op7_superminhash,
 }
 
 #: The same by nested lists: words, equal lines, and word positions that any repeated window covers.
