@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, packing, superminhash, warc_bundles
+from . import bpe, host_rules, packing, ppm_language, superminhash, warc_bundles
 from .common import table
 
 
@@ -38,12 +38,18 @@ def op7_superminhash(spark, sf_dir):
     return superminhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_ppm_language(spark, sf_dir):
+    """The language of every document."""
+    return ppm_language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_host_rules": op2_host_rules,
     "op3_ss_packing": op3_ss_packing,
     "op4_forced_bpe": op4_forced_bpe,
     "op7_superminhash": op7_superminhash,
+    "op8_ppm_language": op8_ppm_language,
 }
 
 #: The same by nested lists: words, equal lines, and word positions that any repeated window covers.
