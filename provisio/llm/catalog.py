@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, packing, ppm_language, superminhash, warc_bundles
+from . import bpe, host_rules, main_text, packing, ppm_language, superminhash, warc_bundles
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op4_forced_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_main_text(spark, sf_dir):
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages, main_text.learn(pages))
+
+
 def op7_superminhash(spark, sf_dir):
     """Near copies among all documents."""
     return superminhash.near_copies(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_ss_packing": op3_ss_packing,
     "op4_forced_bpe": op4_forced_bpe,
+    "op5_main_text": op5_main_text,
     "op7_superminhash": op7_superminhash,
     "op8_ppm_language": op8_ppm_language,
 }

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, stored
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+FRAMES_PER_TASK = 32
 SAFE = "".join(chr(c) for c in range(0x21, 0x7F))
 INDEX = "record_id string, bundle string, frame long, frame_offset long, record_bytes long"
 RECORD = "record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -198,7 +199,9 @@ def _frames(wanted: DataFrame, only_ids: bool, payloads: bool) -> DataFrame:
 
 def read_archive(index: DataFrame, payloads: bool = False) -> DataFrame:
     """All records of the bundles that the index names, frame by frame; each payload is held against its digest."""
-    return _frames(index.select("bundle", "frame").distinct(), False, payloads)
+    frames = index.select("bundle", "frame").distinct()
+    tasks = -(-frames.count() // FRAMES_PER_TASK)  # the rows are tiny, the frames behind them aren't
+    return _frames(frames.repartition(max(1, tasks), "bundle", "frame"), False, payloads)
 
 
 def lookup(index: DataFrame, ids: DataFrame, payloads: bool = True) -> DataFrame:
