@@ -7,7 +7,7 @@ dropped element decides (dom.Page.decode).  Blocks of the kept elements are join
 No page is labelled, so the model learns from pages laid out anew: `max_pages` pages, drawn by hash, give their text
 blocks to a layout writer, which wraps some as article in varied ways and others as menus, headers, footers, sidebars,
 notices, adverts, forms, related links and reader comments, and marks which is which.  A page's own blocks count as
-article if they stand in paragraphs or headings outside link lists.  The trees are fitted on the driver from a bounded
+article if they stand in paragraphs; the page itself teaches what its article, nav, footer, aside and form tags tell.  The trees are fitted on the driver from a bounded
 number of element rows.
 
 Defined cases: null or empty html gives the empty text; a page of any length is read whole; text without any element is
@@ -126,8 +126,17 @@ def marked(page: Page) -> np.ndarray:
     return np.array(y, np.float32)
 
 
+def told(page: Page) -> np.ndarray:
+    """What the page's own tags tell of its elements: 0 in nav, footer, aside and form, else 1 in article, else -1."""
+    y = [-1] * len(page.tag)
+    for i in range(1, len(y)):
+        above, tag = y[page.parent[i]], page.tag[i]
+        y[i] = 0 if above == 0 or tag in ("nav", "footer", "aside", "form") else 1 if above == 1 or tag == "article" else -1
+    return np.array(y, np.float32)
+
+
 def teaching_rows(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and marks of the elements of a page's new layouts."""
+    """Features and marks of the elements of a page's new layouts, and of the page itself as far as its tags tell."""
     page = Page(source)
     article, others = [], []
     for block in page.blocks:
@@ -138,6 +147,8 @@ def teaching_rows(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros((0, 0), np.float32), np.zeros(0, np.float32)
     others += [article[0][:80], article[-1][-60:]]
     rows = [(p.features()[1:], marked(p)[1:]) for k in range(LAYOUTS) for p in [Page(lay_out(article, others, seed + k))]]
+    y = told(page)
+    rows.append((page.features()[y >= 0], y[y >= 0]))
     return np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows])
 
 
