@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, main_text, packing, ppm_language, superminhash, warc_bundles
+from . import bpe, host_rules, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op8_ppm_language(spark, sf_dir):
     return ppm_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_net(spark, sf_dir):
+    """The quality score of every document."""
+    return quality_net.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_host_rules": op2_host_rules,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_main_text": op5_main_text,
     "op7_superminhash": op7_superminhash,
     "op8_ppm_language": op8_ppm_language,
+    "op10_quality_net": op10_quality_net,
 }
 
 #: The same by nested lists: words, equal lines, and word positions that any repeated window covers.
