@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
+from . import bpe, host_rules, iblt, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op5_main_text(spark, sf_dir):
     return main_text.extract(pages, main_text.learn(pages))
 
 
+def op6_iblt(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return iblt.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_superminhash(spark, sf_dir):
     """Near copies among all documents."""
     return superminhash.near_copies(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_ss_packing": op3_ss_packing,
     "op4_forced_bpe": op4_forced_bpe,
     "op5_main_text": op5_main_text,
+    "op6_iblt": op6_iblt,
     "op7_superminhash": op7_superminhash,
     "op8_ppm_language": op8_ppm_language,
     "op10_quality_net": op10_quality_net,
