@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, iblt, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
+from . import bpe, host_rules, iblt, licences, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op8_ppm_language(spark, sf_dir):
     return ppm_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark, sf_dir):
+    """Licences named or quoted in every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_net(spark, sf_dir):
     """The quality score of every document."""
     return quality_net.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op6_iblt": op6_iblt,
     "op7_superminhash": op7_superminhash,
     "op8_ppm_language": op8_ppm_language,
+    "op9_licences": op9_licences,
     "op10_quality_net": op10_quality_net,
 }
 
