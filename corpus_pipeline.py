@@ -1,13 +1,18 @@
 """Corpus pipeline: language, quality, near copies, packing.  Each stage takes (spark, docs, sf_dir) and returns a
-DataFrame, which is written as Parquet and read again as the next stage's documents."""
+DataFrame, which is written as Parquet and read again as the next stage's documents.  All but the last return the columns
+of `documents`; the last returns the pieces of packed sequences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
-from provisio.llm import host_rules, packing
+from provisio.llm import host_rules, packing, ppm_language, superminhash
 from provisio.llm.common import stored, table
+from pyspark.sql import DataFrame, SparkSession
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; texts without a letter go."""
+    return ppm_language.keep_known(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +20,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_rules.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.  A link takes a similarity of 0.8 over
+    five-word shingles."""
+    return superminhash.keep_one(docs, percent=80)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 1024-token sequences."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality), ("packing", packed)]
+STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near_dedup), ("packing", packed)]
 
 #: Tokenization can't be said in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
