@@ -7,8 +7,9 @@ number.  Signatures of SLOTS values are banded (ROWS values each); members of a
 by their signatures, which gives candidate groups; inside these, links are confirmed on the full sets.  Linked nodes are
 joined by a distributed union (see grouping).
 
-A link needs 100 * |both| >= percent * |either|.  At 85 % a pair shares one of 32 bands of 8 values with a probability of
-0.99996, and its signatures agree in at least FLOOR of the slots but for six standard deviations.
+A link needs 100 * |both| >= percent * |either|.  Bands have as many rows as leave a pair at that very likeness a chance
+below MISS to share none (85 %: 32 bands of 8 rows), and signatures are only set aside when they agree in so few slots
+that the likeness would have to be six standard deviations off.
 
 Defined cases: a text with fewer than five words has one shingle, the whole sequence; a null, empty or wordless text has
 an empty set and is linked with nothing; a null id never is a component's id unless all its ids are null; rows with the
@@ -27,7 +28,7 @@ from .common import flat, fresh_name, slices, stored
 from .grouping import components, linked
 from .textvec import LOWER, U, Spans, mix, words
 
-SHINGLE, SLOTS, ROWS, FLOOR = 5, 256, 8, 0.72
+SHINGLE, SLOTS, MISS = 5, 256, 1e-4
 #: Rows of a group in one task: signatures take 256 bytes each, sets some kilobytes.
 SIGNATURE_CHUNK, SET_CHUNK = 4096, 1024
 
@@ -84,10 +85,21 @@ def set_keys(sets: list[np.ndarray]) -> list[bytes]:
     return [(total(s, 0x5851F42D4C957F2D) ^ len(s)).to_bytes(8, "big") + total(s, 0x14057B7EF767814F).to_bytes(8, "big") for s in sets]
 
 
-def signature_likeness(payloads: list[bytes]):
-    m = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), SLOTS)
-    least = round(FLOOR * SLOTS)
-    return lambda i, rows: np.count_nonzero(m[rows] == m[i], axis=1) >= least
+def band_rows(percent: int) -> int:
+    """The most rows a band may have."""
+    s = percent / 100
+    return max(r for r in range(1, 33) if r == 1 or (1 - s ** r) ** (SLOTS // r) <= MISS)
+
+
+def signature_likeness(percent: int):
+    s = percent / 100
+    least = int(SLOTS * (s - 6 * (s * (1 - s) / SLOTS) ** 0.5))
+
+    def measure(payloads: list[bytes]):
+        m = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), SLOTS)
+        return lambda i, rows: np.count_nonzero(m[rows] == m[i], axis=1) >= least
+
+    return measure
 
 
 def set_link(percent: int):
@@ -121,15 +133,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     body = fresh_name([doc_id], "body")
     kind = docs.schema[doc_id].dataType
     source = docs.select(doc_id, F.col(text).alias(body))
+    rows_each = band_rows(percent)
+    n_bands = SLOTS // rows_each
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, body, 1 << 19):
                 sets = shingle_sets(*flat(part.column(1)))
                 best = mix(signatures(sets).view(U))
-                bands = best.reshape(len(sets), SLOTS // ROWS, ROWS)
-                key = np.zeros(bands.shape[:2], U) + np.arange(SLOTS // ROWS, dtype=U) * U(0xD1342543DE82EF95)
-                for r in range(ROWS):
+                bands = best[:, :n_bands * rows_each].reshape(len(sets), n_bands, rows_each)
+                key = np.zeros(bands.shape[:2], U) + np.arange(n_bands, dtype=U) * U(0xD1342543DE82EF95)
+                for r in range(rows_each):
                     key = mix(key ^ bands[:, :, r])
                 low = (best & U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
@@ -147,7 +161,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
               .where("n > 1").groupBy("n", "x", "s").agg(F.min("grp").alias("grp")).select("grp"))
     node = full.groupBy("node").agg(F.first("signature").alias("payload"))
     rows = stored(member.join(bucket, "grp", "left_semi").join(node, "node"), "buckets")
-    candidate = stored(components(linked(rows, signature_likeness, SIGNATURE_CHUNK)), "candidates")
+    candidate = stored(components(linked(rows, signature_likeness(percent), SIGNATURE_CHUNK)), "candidates")
 
     # one row of each candidate node brings its text back for the full set
     first = full.join(candidate, "node").groupBy("node").agg(F.min(doc_id).alias(doc_id), F.first("label").alias("grp"))
