@@ -7,14 +7,10 @@ switches Java regex classes to Unicode semantics.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java regex patterns (as seen by the engine)
-WS = r"(?U)\s+"
-STRIP = r"(?U)^\s+|\s+$"
+# Java regex pattern (as seen by the engine)
 NON_LATIN1 = r"[^\x00-\xFF]"
 # The Unicode White_Space set (what (?U)\s matches), as plain
 # characters so strip/removal run as btrim/translate instead of regex
@@ -49,58 +45,54 @@ def clean_year(c: Column | str) -> Column:
 # ---------------------------------------------------------------------------
 # Header resolution (schema metadata, evaluated once per file layout)
 # ---------------------------------------------------------------------------
-# Accent folding of header names and the claims header contract
-HEADER_ACCENT_FOLD = [("û", "u"), ("é", "e"), ("è", "e"), ("ê", "e")]
-CLAIMS_BRANCHE_EXACT = ["branche"]
-CLAIMS_REGLEMENT_EXACT = ["reglement", "règlement"]
-CLAIMS_REGLEMENT_PARTIAL = ["reglement", "règlement"]
-CLAIMS_COUT_EXACT = ["cout_total", "cout total", "coût_total", "coût total"]
-CLAIMS_COUT_PARTIAL = ["couttotal", "coutotal"]
+# Accent folding of header names and the claims header contract:
+# canonical name, label, names that match whole, parts that match inside
+HEADER_FOLD = {"û": "u", "é": "e", "è": "e", "ê": "e"}
+CLAIMS_CONTRACT = [
+    ("Branche", "BRANCHE", ["branche"], []),
+    ("Total_Reglement", "REGLEMENT", ["reglement", "règlement"], ["reglement", "règlement"]),
+    ("Cout_Total", "COUT_TOTAL", ["cout_total", "cout total", "coût_total", "coût total"], ["couttotal", "coutotal"]),
+]
+_FOLD = str.maketrans(HEADER_FOLD)
+
+
+class HeaderError(ValueError):
+    """A file's headers miss part of the contract: ``missing`` labels, ``found``
+    (canonical name, header) pairs and the ``available`` headers."""
+
+    def __init__(self, missing: list[str], found: list[tuple[str, str]], available: list[str]):
+        self.missing, self.found, self.available = missing, found, available
+        hits = ", ".join(f"{canonical.split('_')[-1]}='{header}'" for canonical, header in found)
+        super().__init__(f"Colonnes manquantes: {', '.join(missing)}. Colonnes trouvées: {hits or 'aucune'}. "
+                         f"Colonnes disponibles: {', '.join(available)}")
 
 
 def normalize_header(name: str) -> str:
-    """OP-F1: lower, strip, fold four accents, collapse whitespace."""
-    n = name.lower().strip()
-    for a, b in HEADER_ACCENT_FOLD:
-        n = n.replace(a, b)
-    return re.sub(r"\s+", " ", n).strip()
-
-
-def find_column(columns: list[str], exact: list[str], partial: list[str] | None = None) -> str | None:
-    """OP-F2: exact match on the normalised name (first column in file order),
-    then 'contains' on the normalised name without spaces."""
-    targets = [e.lower() for e in exact]
-    for col in columns:
-        if normalize_header(col) in targets:
-            return col
-    for col in columns if partial else []:
-        squashed = normalize_header(col).replace(" ", "")
-        if any(p in squashed for p in partial):
-            return col
-    return None
+    """OP-F1: lower case, four accents folded, runs of white space as one space, none at the ends."""
+    return " ".join(name.lower().translate(_FOLD).split())
+
+
+def header_rank(header: str, whole: list[str], parts: list[str]) -> int | None:
+    """How well a header fits: 0 as a whole name, 1 by containing a part once spaces are gone, None not at all."""
+    key = normalize_header(header)
+    if key in whole:
+        return 0
+    return 1 if any(part in key.replace(" ", "") for part in parts) else None
+
+
+def best_header(columns: list[str], whole: list[str], parts: list[str] | None = None) -> str | None:
+    """OP-F2: the best-fitting header, the first in file order among equals."""
+    ranked = [(rank, at) for at, c in enumerate(columns) if (rank := header_rank(c, whole, parts or [])) is not None]
+    return columns[min(ranked)[1]] if ranked else None
 
 
 def resolve_claims_columns(columns: list[str]) -> dict[str, str]:
-    """OP-F3 schema step: map canonical names to the file's real headers.
-
-    Raises ``ValueError`` listing missing, found and available columns.
-    """
-    found = {
-        "Branche": find_column(columns, CLAIMS_BRANCHE_EXACT, None),
-        "Total_Reglement": find_column(columns, CLAIMS_REGLEMENT_EXACT, CLAIMS_REGLEMENT_PARTIAL),
-        "Cout_Total": find_column(columns, CLAIMS_COUT_EXACT, CLAIMS_COUT_PARTIAL),
-    }
-    labels = {"Branche": "BRANCHE", "Total_Reglement": "REGLEMENT", "Cout_Total": "COUT_TOTAL"}
-    if not all(found.values()):
-        missing = [labels[k] for k, v in found.items() if v is None]
-        short = {"Branche": "Branche", "Total_Reglement": "Reglement", "Cout_Total": "Cout"}
-        present = [f"{short[k]}='{v}'" for k, v in found.items() if v is not None]
-        raise ValueError(
-            f"Colonnes manquantes: {', '.join(missing)}. "
-            f"Colonnes trouvées: {', '.join(present) if present else 'aucune'}. "
-            f"Colonnes disponibles: {', '.join(columns)}"
-        )
-    return found
+    """OP-F3 schema step: the file's header for each canonical name, or a ``HeaderError``."""
+    best = {canonical: best_header(columns, whole, parts) for canonical, _, whole, parts in CLAIMS_CONTRACT}
+    missing = [label for canonical, label, _, _ in CLAIMS_CONTRACT if best[canonical] is None]
+    if missing:
+        raise HeaderError(missing, [(k, v) for k, v in best.items() if v is not None], list(columns))
+    return best
 
 
 # ---------------------------------------------------------------------------
