@@ -1,34 +1,23 @@
 """Dimension and parameter files: loss ratios (OP-S6, OP-F11), settlements
 (OP-S7, OP-A12), PSAP overrides (OP-S8), claims files (OP-S2).
 
-Parameter tables have one row per branch (or per branch and year).  Where a
-parameter must become a driver value (a ratio dictionary feeding a map
-literal), its row count is checked against ``MAX_PARAMETER_ROWS`` before it
-is read, so nothing unbounded reaches the driver.
+Parameter tables stay DataFrames, whatever their size, and are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
-from provisio.operators.literal import literal_frame
+from provisio.operators.literal import literal_frame, ratio_frame
 from provisio.params import DEFAULT_LOSS_RATIO, MANUAL_PSAP_BRANCHES
 from provisio.operators.claims import normalize_claims
 from provisio.operators.mapping import map_branch
+from provisio.session import materialize
 from provisio.sources.production import FILE_COL, SLOT_COL, read_slotted_groups, read_text_csv
 
-MAX_PARAMETER_ROWS = 100_000
-
-
-def _bounded_collect(df: DataFrame, what: str):
-    n = df.count()
-    if n > MAX_PARAMETER_ROWS:
-        raise ValueError(f"{what}: {n} rows exceed the parameter bound {MAX_PARAMETER_ROWS}")
-    return df.collect()
-
-
 def loss_ratio_frame(df: DataFrame) -> DataFrame | None:
     """OP-S6 core: requires Branche and Loss_Ratio; Branche stripped; the
     last duplicate (file order) wins; None when the contract is not met."""
@@ -37,28 +26,30 @@ def loss_ratio_frame(df: DataFrame) -> DataFrame | None:
     ordered = df.select(ustrip(F.col("Branche").cast("string")).alias("Branche"),
                         F.col("Loss_Ratio").cast("string").try_cast("double").alias("Loss_Ratio"),
                         F.monotonically_increasing_id().alias("_pos"))
-    w = Window.partitionBy("Branche").orderBy(F.col("_pos").desc())
-    return (ordered.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
-            .select("Branche", "Loss_Ratio"))
-
-
-def read_loss_ratios(spark: SparkSession, path: str, branches: list[str]) -> dict:
-    """OP-S6: a bad file (missing columns) gives every branch the default."""
-    frame = loss_ratio_frame(read_text_csv(spark, [path]))
+    # a cell that is no number counts even when a later row replaces it
+    return ordered.groupBy("Branche").agg(F.max_by("Loss_Ratio", "_pos").alias("last"), F.bool_and(F.col("Loss_Ratio").isNotNull()).alias("good")).select(
+        "Branche", F.when(F.col("good"), F.col("last")).alias("Loss_Ratio"))
+
+
+def read_loss_ratios(spark: SparkSession, path: str, branches: DataFrame) -> DataFrame:
+    """OP-S6: (Branche, Loss_Ratio) for every branch.  One bad file or cell
+    gives all branches the default: a missing column, a ratio that is no
+    number, or a file that can't be read."""
+    try:
+        frame = loss_ratio_frame(read_text_csv(spark, [path]))
+    except AnalysisException:          # no such file, or nothing in it
+        frame = None
     if frame is None:
-        return {b: DEFAULT_LOSS_RATIO for b in branches}
-    out = {b: DEFAULT_LOSS_RATIO for b in branches}
-    for r in _bounded_collect(frame, "loss ratios"):
-        if r["Loss_Ratio"] is not None:
-            out[r["Branche"]] = float(r["Loss_Ratio"])
-    return out
+        return resolve_loss_ratios(branches, {})
+    frame = materialize(frame)
+    if not frame.filter(F.col("Loss_Ratio").isNull()).isEmpty():
+        return resolve_loss_ratios(branches, {})
+    return resolve_loss_ratios(branches, frame)
 
 
-def resolve_loss_ratios(branches: DataFrame, loss_ratios: dict) -> DataFrame:
+def resolve_loss_ratios(branches: DataFrame, loss_ratios: dict | DataFrame) -> DataFrame:
     """OP-F11: every branch gets its ratio or 0.65; extra ratio branches kept."""
-    spark = branches.sparkSession
-    lr = literal_frame(spark, [(str(k), float(v)) for k, v in loss_ratios.items()],
-                       "Branche string, Loss_Ratio double")
+    lr = ratio_frame(branches.sparkSession, loss_ratios)
     b = branches.select("Branche").filter(F.col("Branche").isNotNull()).distinct()
     return (b.join(lr, "Branche", "full_outer")
             .select("Branche", F.coalesce("Loss_Ratio", F.lit(DEFAULT_LOSS_RATIO)).alias("Loss_Ratio"))
@@ -92,9 +83,27 @@ def overrides_long(df: DataFrame, years: list[str]) -> DataFrame:
         "Branche", "v.Exercice", F.coalesce("v.PSAP", F.lit(0.0)).alias("PSAP"))
 
 
+def read_overrides(spark: SparkSession, path: str, years: list[str]) -> DataFrame:
+    """OP-S8 from a file: its manual branches, or a zero per manual branch and
+    year when the file can't be read, lacks ``Branche``, has no manual branch
+    or holds a cell that is no number."""
+    zeros = literal_frame(spark, [(b, y, 0.0) for b in MANUAL_PSAP_BRANCHES for y in sorted(years)], "Branche string, Exercice string, PSAP double")
+    try:
+        raw = read_text_csv(spark, [path])
+        found = overrides_long(raw, years)
+    except (AnalysisException, ValueError):
+        return zeros
+    cells = [F.col(f"`{c}`") for c in raw.columns if (c[:-2] if c.endswith(".0") else c) in years]
+    bad = [F.coalesce(F.length(c) > 0, F.lit(False)) & c.try_cast("double").isNull() for c in cells]
+    told = raw.filter(F.col("Branche").isin(MANUAL_PSAP_BRANCHES)).agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(b).alias(f"b{i}") for i, b in enumerate(bad)]).first()
+    return zeros if not told["n"] or any(told[f"b{i}"] for i in range(len(bad))) else found
+
+
 def read_claims_files(spark: SparkSession, files: list[tuple[str, str]], mapping: dict) -> DataFrame:
     """OP-S2 from files: [(year slot, path)], text read with encoding
     fallback; files of one slot share a scan when their headers agree."""
+    if not files:
+        raise ValueError("claims: at least one file is needed")
     out = None
     for g in read_slotted_groups(spark, files):                    # one scan per (encoding, layout)
         n = normalize_claims(g.drop(FILE_COL), keep=(SLOT_COL,))    # headers resolved per layout

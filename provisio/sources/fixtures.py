@@ -3,7 +3,7 @@
 The driver tables carry no insurance data, so every registered query reads
 these projections.  Their work grows with the tables: ``policies_raw`` is
 lineitem joined to orders and part (one policy row per line item),
-``claims_raw`` is the shipped ('F') line items joined to part, with amounts
+``claims_raw`` is the line items joined to part, with amounts
 rendered as dirty spreadsheet text.
 
 Each view has a DuckDB twin (``*_SQL``) used by the independent oracle.
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provisio.params import ReservingParams
-from provisio.session import spread_small_input
 from datetime import date
 
 NBSP = "\u00a0"
@@ -134,9 +133,9 @@ def _dirty(x: Column, ln: Column) -> Column:
 def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text claims rows: BRANCHE, Exercice, REGLEMENT, COUT_TOTAL."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_linestatus", "l_shipdate")
-    # the amount text is parsed row by row downstream: spread an unsplittable scan
-    li = spread_small_input(li.filter(F.col("l_linestatus") == "F"))
+        "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    # the join's own partitioning, asked for before it: the rows' text work is spread even from one unsplittable file
+    li = li.repartition("l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey)
     ln = F.col("l_linenumber")
@@ -204,7 +203,6 @@ SELECT CASE WHEN l.l_linenumber = 3 THEN chr(160) || p.p_type || ' '
        {_dirty_sql('(l.l_extendedprice - l.l_quantity * 10)')} AS REGLEMENT,
        {_dirty_sql('l.l_extendedprice')} AS COUT_TOTAL
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-WHERE l.l_linestatus = 'F'
 """
 
 SETTLEMENTS_RAW_SQL = """

@@ -11,9 +11,7 @@ value-level step runs on the executors.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provisio.functions.amounts import production_amount
@@ -21,10 +19,12 @@ from provisio.functions.dates import DATE_MIN_PARSED_SHARE, name_suggests_date,
 from provisio.functions.text import clean_branch, clean_year
 from provisio.operators.literal import literal_frame
 from provisio.params import PARQUET_COMPRESSION, PARQUET_ROW_GROUP_ROWS
-from provisio.session import ensure_checkpoint_dir
+from provisio.session import scratch_dir  # noqa: F401 - part of this module's interface
 
 AMOUNT_COLUMNS = ["PN_ACC", "Prime_Nette", "Accessoires"]
 PRODUCTION_REQUIRED = ["Exercice", "Police", "Client", "Branche", "Categorie", "Intermediaire", "PN_ACC", "Effet", "Echeance"]
+#: what every landed table must have, whatever the file (OP-S14)
+LANDING_REQUIRED = ["Exercice", "Police", "Branche", "PN_ACC", "Effet", "Echeance"]
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 BOM = "\ufeff"
 NEVER_NULL = "\u0001<null>\u0001"  # no text cell is ever read as null
@@ -33,12 +33,6 @@ NEVER_NULL = "\u0001<null>\u0001"  # no text cell is ever read as null
 # ---------------------------------------------------------------------------
 # Reading
 # ---------------------------------------------------------------------------
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder inside the cluster's shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/provisio-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def norm_path(p: str) -> str:
     """Comparable form of a file path or URI ('file:/a//b' -> '/a/b')."""
     import re as _re
@@ -52,26 +46,37 @@ def _norm_path_col(c):
 
 
 def inspect_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple]:
-    """One text pass over every file: UTF-8 validity of all lines, the raw
-    header line, and a content summary (line count and two order-independent
-    sums of 64-bit line hashes).  The text source keeps each line's bytes,
-    so files stay splittable and one row per file reaches the driver.
-
-    Returns {normalised path: (uri, encoding, header text, summary)}."""
+    """One text pass over every file: UTF-8 validity of all lines, the first
+    line, whether a quoted cell spans lines (a line with an odd number of
+    quotes), and a content digest of the file's length, its first line and the
+    sum of its lines' hashes, plain and weighted by line number.  Files stay
+    splittable: line numbers are summed per block and put together per file,
+    so the digest doesn't depend on how files were split.  One row per file
+    reaches the driver, which holds the list of files anyway.
+
+    Returns {normalised path: (uri, encoding, header text, digest, multi-line)}."""
+    h = F.xxhash64("value").bitwiseAND(F.lit(0x7FFFFFFF)).cast("decimal(38,0)")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        "value", F.monotonically_increasing_id().alias("pos"))
-    per_file = lines.groupBy("path").agg(
-        F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"),
-        F.min_by(F.col("value").cast("binary"), F.when(F.col("start") == 0, F.col("pos"))).alias("header"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h1"),
-        F.sum(F.xxhash64(F.lit("provisio"), "value").cast("decimal(38,0)")).alias("h2"))
+        F.col("_metadata.file_size").alias("size"), "value", h.alias("h"), (quotes % 2 == 1).alias("odd"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
+    number = F.col("pos").cast("decimal(38,0)")
+    blocks = lines.groupBy("path", "start", "size").agg(
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"), F.min_by(F.col("value").cast("binary"), "pos").alias("first"),
+        F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.sum(F.col("h") * number).alias("hp"),
+        F.min(number).alias("p0"), F.bool_or("odd").alias("odd"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("weighted", F.col("hp") + (before - F.col("p0")) * F.col("h"))
+    files = placed.groupBy("path", "size").agg(
+        F.bool_and("utf8").alias("utf8"), F.min_by("first", "start").alias("header"), F.sum("n").alias("n"), F.sum("h").alias("h"),
+        F.sum("weighted").alias("weighted"), F.bool_or("odd").alias("odd"))
     out = {}
-    for r in per_file.collect():
+    for r in files.collect():
         enc = ENCODINGS[0] if r["utf8"] else ENCODINGS[1]
-        header = bytes(r["header"] or b"").decode("utf-8" if r["utf8"] else "latin-1")
-        out[norm_path(r["path"])] = (r["path"], enc, header, f"{r['n']}:{r['h1']}:{r['h2']}")
+        raw = bytes(r["header"] or b"")
+        out[norm_path(r["path"])] = (r["path"], enc, raw.decode("utf-8" if r["utf8"] else "latin-1"),
+                                     f"{r['size']}:{r['n']}:{raw.hex()}:{r['h']}:{r['weighted']}", r["odd"])
     return out
 
 
@@ -92,10 +97,13 @@ SLOT_COL = "__slot"
 
 
 def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", sep: str = ",",
-                  with_file: bool = False) -> DataFrame:
-    """All-string CSV, header on, empty stays '' (no NA inference); with
-    ``with_file`` a normalised source-file column is added."""
+                  with_file: bool = False, multi_line: bool = False) -> DataFrame:
+    """All-string CSV, header on, empty stays '' (no NA inference), a quote in
+    a quoted cell is doubled; with ``with_file`` a normalised source-file
+    column is added.  ``multi_line`` is for files whose quoted cells span
+    lines: such a file is read by one task."""
     df = (spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
+          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
           .option("inferSchema", False).option("emptyValue", "").option("nullValue", NEVER_NULL)
           .option("mode", "PERMISSIVE").csv(paths))
     # all-text contract: folder partition values (e.g. Exercice=2024) come back typed by discovery
@@ -108,20 +116,21 @@ def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
 def read_slotted_groups(spark: SparkSession, files: list[tuple[str, str]], sep: str = ",",
                         info: dict | None = None) -> list[DataFrame]:
     """Files of any number of year slots, one all-text scan per (encoding,
-    header layout): files sharing a layout share a scan whatever their slot,
-    files with another column order never share one (CSV columns are
-    positional).  Each frame carries the source file and its slot year.
+    header layout, quoting): files sharing a layout share a scan whatever
+    their slot, files with another column order never share one (CSV columns
+    are positional).  Each frame carries the source file and its slot year,
+    joined from a table of the files, so a plan doesn't grow with their number.
     ``info`` (from ``inspect_files``) is reused when the caller has it."""
     info = info if info is not None else inspect_files(spark, [p for _, p in files])
-    year_of = {norm_path(p): str(y) for y, p in files}
-    groups: dict[tuple[str, str], list[str]] = {}
-    for key, (uri, enc, header, _summary) in info.items():
-        groups.setdefault((enc, header), []).append(key)
+    slots = spark.createDataFrame([(norm_path(p), str(y)) for y, p in files], f"{FILE_COL} string, {SLOT_COL} string")
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for key, (uri, enc, header, _digest, multi) in info.items():
+        # a header may itself span lines, so its first line tells no layout
+        groups.setdefault((enc, f"{header}\n{key}" if multi else header, multi), []).append(uri)
     frames = []
-    for (enc, _header), keys in sorted(groups.items()):
-        slots = F.create_map(*[F.lit(x) for k in sorted(keys) for x in (k, year_of[k])])  # bounded by #files
-        df = read_text_csv(spark, [info[k][0] for k in sorted(keys)], enc, sep, with_file=True)
-        frames.append(df.withColumn(SLOT_COL, F.try_element_at(slots, F.col(FILE_COL))))
+    for (enc, _header, multi), uris in sorted(groups.items()):
+        df = read_text_csv(spark, sorted(uris), enc, sep, with_file=True, multi_line=multi)
+        frames.append(df.join(slots, FILE_COL, "left").select(*df.columns, SLOT_COL))
     return frames
 
 
@@ -184,28 +193,37 @@ def coerce_dates_by_file(df: DataFrame, file_col: str = FILE_COL, skip: tuple[st
     cands = [c for c, t in df.dtypes if t == "string" and name_suggests_date(c) and c != file_col and c not in skip]
     if not cands:
         return df                      # no decision pass needed
-    stats = df.groupBy(file_col).agg(*[F.count(parse_date(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(cands)],
-                                     F.count(F.lit(1)).alias("n")).collect()
+    n = F.count(F.lit(1))
+    parsed = [F.count(parse_date(F.col(f"`{c}`"))) for c in cands]
+    stats = df.groupBy(file_col).agg(*[((k > 0) & (k >= DATE_MIN_PARSED_SHARE * n)).alias(f"__ok{i}") for i, k in enumerate(parsed)])
+    told = stats.agg(*[f(f"__ok{i}").alias(f"{f.__name__}{i}") for i in range(len(cands)) for f in (F.bool_and, F.bool_or)]).first()
+    mixed = [i for i in range(len(cands)) if told[f"bool_or{i}"] and not told[f"bool_and{i}"]]
+    if mixed:
+        df = df.join(stats.select(file_col, *[f"__ok{i}" for i in mixed]), file_col, "left")
     cols = []
     for c in df.columns:
         col = F.col(f"`{c}`")
+        if c.startswith("__ok"):
+            continue
         if c in cands:
             i = cands.index(c)
-            ok = [r[file_col] for r in stats if r[f"c{i}"] > 0 and r[f"c{i}"] >= DATE_MIN_PARSED_SHARE * r["n"]]
-            if len(ok) == len(stats):
+            if told[f"bool_and{i}"]:
                 col = parse_date(col)
-            elif ok:
-                col = F.when(F.col(file_col).isin(ok), F.date_format(parse_date(col), "yyyy-MM-dd")).otherwise(col)
+            elif i in mixed:
+                col = F.when(F.col(f"__ok{i}"), F.date_format(parse_date(col), "yyyy-MM-dd")).otherwise(col)
         cols.append(col.alias(c))
     return df.select(*cols)
 
 
-def sanitize_cells(df: DataFrame) -> DataFrame:
-    """OP-F9: text cells: null -> '', dates -> ISO text; numbers left as is."""
+def sanitize_cells(df: DataFrame, keep: tuple[str, ...] = ("Effet", "Echeance")) -> DataFrame:
+    """OP-F9: text cells: null -> '', dates -> ISO text; numbers and the typed
+    dates of the contract (``keep``) left as is."""
     out = []
     for c, t in df.dtypes:
         col = F.col(f"`{c}`")
-        if t == "string":
+        if c in keep:
+            pass
+        elif t == "string":
             col = F.coalesce(col, F.lit(""))
         elif t in ("date",):
             col = F.coalesce(F.date_format(col, "yyyy-MM-dd"), F.lit(""))
@@ -282,8 +300,10 @@ def read_production_files(spark: SparkSession, files: list[tuple[str, str]], inf
 # Sink and fingerprint
 # ---------------------------------------------------------------------------
 def write_production(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """OP-S4: zstd Parquet partitioned by Exercice, ~100k-row groups (by bytes)."""
-    (df.write.mode(mode).partitionBy("Exercice")
+    """OP-S4: zstd Parquet partitioned by Exercice, ~100k-row groups (by bytes).
+    Rows are dealt by year first, large years over several tasks and small
+    ones together (rebalanced at run time), so a year has few, full files."""
+    (df.hint("rebalance", "Exercice").write.mode(mode).partitionBy("Exercice")
      .option("compression", PARQUET_COMPRESSION)
      .option("parquet.block.size", str(PARQUET_ROW_GROUP_ROWS * 256))
      .parquet(path))
@@ -305,21 +325,16 @@ def _digest(parts: list[str]) -> str:
 
 
 def fingerprint_from(files: list[tuple[str, str]], info: dict) -> str:
-    """Digest over (year slot, file name, content summary) of every file."""
-    parts = []
-    for y, p in files:
-        key = norm_path(p)
-        parts.append(f"{y}:{p.rstrip('/').split('/')[-1]}:{info[key][3]}")
-    return _digest(parts)
+    """Digest over (year slot, file name, content digest) of every file; an empty file has no content digest."""
+    return _digest([f"{y}:{p.rstrip('/').split('/')[-1]}:{info[norm_path(p)][3] if norm_path(p) in info else 'empty'}" for y, p in files])
 
 
 def fingerprint(spark: SparkSession, files: list[tuple[str, str]], content: bool = True) -> DataFrame:
     """OP-S10: deterministic digest over (year slot, file name, content).
 
-    Content is summarised per file on the executors (line count and two
-    order-independent sums of 64-bit line hashes, the same pass that finds
-    encodings and headers); one row per file returns and the digest of the
-    sorted summaries is taken on the driver.  With ``content=False`` only
+    Content is digested per file on the executors (see ``inspect_files``, the
+    same pass that finds encodings and headers); one row per file returns and
+    the digest of the sorted rows is taken on the driver.  With ``content=False`` only
     file metadata (length, modification time) is used and no data is read."""
     if content:
         fp = fingerprint_from(files, inspect_files(spark, [p for _, p in files]))
@@ -331,10 +346,14 @@ def fingerprint(spark: SparkSession, files: list[tuple[str, str]], content: bool
     return literal_frame(spark, [(fp, len(files))], "fingerprint string, files bigint")
 
 
-def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str, by_content: bool = True) -> str:
+def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str, by_content: bool = True,
+                    required: list[str] = LANDING_REQUIRED, sanitise: bool = False) -> str:
     """Idempotent landing: the target folder is named by the fingerprint and
     the conversion is skipped when it already holds a landed table (its
-    ``_SUCCESS`` marker is written last, so a job lost mid-write re-lands)."""
+    ``_SUCCESS`` marker is written last, so a job lost mid-write re-lands).
+    A file set that lacks a required column is refused before anything is
+    written (OP-S14); ``sanitise`` turns missing text cells into '' (OP-F9).
+    With ``by_content=False`` nothing is read when the table is there already."""
     info = inspect_files(spark, [p for _, p in files]) if by_content else None
     fp = fingerprint_from(files, info) if by_content else fingerprint(spark, files, content=False).first()["fingerprint"]
     target = f"{root.rstrip('/')}/production_{fp}"
@@ -343,7 +362,9 @@ def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         # the inspection pass that produced the fingerprint also gives encodings and headers
-        write_production(read_production_files(spark, files, info=info), target)
+        rows = read_production_files(spark, files, info=info)
+        require_columns(rows, required, "production")
+        write_production(sanitize_cells(rows) if sanitise else rows, target)
     return target
 
 
@@ -363,6 +384,6 @@ def dataset_stats(df: DataFrame) -> DataFrame:
         F.lit(",".join(df.columns)).alias("column_names"))
 
 
-def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """OP-S13 / OP-O4: first rows (the limit is the feature)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
+    """OP-S13 / OP-O4: first rows (the limit is the feature), by ``order`` if given."""
+    return (df.orderBy(*order) if order else df).limit(n)

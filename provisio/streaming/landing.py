@@ -16,12 +16,13 @@ from provisio.operators.claims import map_claims
 from provisio.sources.production import NEVER_NULL, scratch_dir
 
 
-def claims_stream(spark: SparkSession, source: str, header: list[str], mapping: dict) -> DataFrame:
+def claims_stream(spark: SparkSession, source: str, header: list[str], mapping: dict, multi_line: bool = False) -> DataFrame:
     # the slot year is a partition folder: declared in the schema, filled from the path;
     # CSV columns are positional under a user schema, so a source year keeps its place
     cols = [f"_source_{h}" if h == "Exercice" else h for h in header]
     schema = ", ".join([f"`{h}` string" for h in cols] + ["Exercice string"])
     raw = (spark.readStream.schema(schema).option("header", True).option("emptyValue", "")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", NEVER_NULL).csv(source))
     return map_claims(raw.drop(*[c for c in cols if c.startswith("_source_")]), mapping)
 
@@ -37,7 +38,7 @@ def land_claims(spark: SparkSession, source: str, header: list[str], mapping: di
     return writer.start()
 
 
-def production_stream(spark: SparkSession, source: str, header: list[str]) -> DataFrame:
+def production_stream(spark: SparkSession, source: str, header: list[str], multi_line: bool = False) -> DataFrame:
     """Production files under ``<source>/Exercice=YYYY/`` as a stream of
     normalised policy rows (slot year from the folder, source year dropped)."""
     from provisio.sources.production import normalize_production
@@ -47,6 +48,7 @@ def production_stream(spark: SparkSession, source: str, header: list[str]) -> Da
     cols = [f"_source_{h}" if h == "Exercice" else h for h in header]
     schema = ", ".join([f"`{h}` string" for h in cols] + ["Exercice string"])
     raw = (spark.readStream.schema(schema).option("header", True).option("emptyValue", "")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", NEVER_NULL).csv(source))
     return normalize_production(raw.drop(*[c for c in cols if c.startswith("_source_")]))
 
@@ -67,8 +69,10 @@ def maintain_claims_cells(spark: SparkSession, source: str, header: list[str], m
                           checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """OP-A8 maintained incrementally: paid, cost and count per (Branche,
     Exercice) kept in streaming state (partial aggregation per micro-batch,
-    state keyed by cell), the full per-cell table rewritten to ``target``
-    after each batch (it is bounded by branches x years)."""
+    state keyed by cell).  After each batch the per-cell table (branches x
+    years) is written to a folder of its own under ``target``; readers take
+    the newest finished one (``read_cells``), so they never see a table that
+    is being replaced."""
     from pyspark.sql import functions as F
 
     cells = (claims_stream(spark, source, header, mapping)
@@ -76,12 +80,23 @@ def maintain_claims_cells(spark: SparkSession, source: str, header: list[str], m
              .agg(F.sum("Total_Reglement").alias("Total_Reglement"), F.sum("Cout_Total").alias("Cout_Total"),
                   F.count(F.lit(1)).alias("Nombre_Sinistres")))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
+    def publish(batch: DataFrame, epoch: int) -> None:
         (batch.withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement"))
-         .write.mode("overwrite").parquet(target))
+         .write.mode("overwrite").parquet(f"{target}/epoch={epoch:012d}"))
 
     writer = (cells.writeStream.outputMode("complete").foreachBatch(publish)
               .option("checkpointLocation", checkpoint or scratch_dir(spark, "claims-cells-stream")))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def read_cells(spark: SparkSession, target: str) -> DataFrame:
+    """The per-cell table of the newest finished epoch (its ``_SUCCESS`` marker is written last)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(conf)
+    done = sorted(str(x.getPath().getParent()) for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{target}/epoch=*/_SUCCESS")))
+    if not done:
+        raise FileNotFoundError(f"no finished epoch under {target}")
+    return spark.read.parquet(done[-1])

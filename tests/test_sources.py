@@ -98,10 +98,13 @@ def test_date_coercion_rule(spark):
 
 def test_loss_ratio_file(spark, tmp):
     f = _write(f"{tmp}/lr.csv", "Branche,Loss_Ratio\n AUTO ,0.5\nSANTE,0.7\nAUTO,0.6\n")
-    lr = dim.read_loss_ratios(spark, f, ["AUTO", "SANTE", "VOYAGE"])
-    assert lr == {"AUTO": 0.6, "SANTE": 0.7, "VOYAGE": 0.65}
-    bad = _write(f"{tmp}/bad.csv", "Branch,LR\nAUTO,0.5\n")
-    assert dim.read_loss_ratios(spark, bad, ["AUTO"]) == {"AUTO": 0.65}
+    names = spark.createDataFrame([("AUTO",), ("SANTE",), ("VOYAGE",)], "Branche string")
+    read = lambda path: {r.Branche: r.Loss_Ratio for r in dim.read_loss_ratios(spark, path, names).collect()}
+    assert read(f) == {"AUTO": 0.6, "SANTE": 0.7, "VOYAGE": 0.65}
+    default = {"AUTO": 0.65, "SANTE": 0.65, "VOYAGE": 0.65}
+    assert read(_write(f"{tmp}/bad.csv", "Branch,LR\nAUTO,0.5\n")) == default
+    assert read(_write(f"{tmp}/cell.csv", "Branche,Loss_Ratio\nAUTO,x\nAUTO,0.5\nSANTE,0.7\n")) == default   # one bad cell
+    assert read(f"{tmp}/nowhere.csv") == default
     res = {r.Branche: r.Loss_Ratio for r in dim.resolve_loss_ratios(
         spark.createDataFrame([("AUTO",), ("X",)], "Branche string"), {"AUTO": 0.5, "EXTRA": 0.9}).collect()}
     assert res == {"AUTO": 0.5, "X": 0.65, "EXTRA": 0.9}
@@ -116,6 +119,60 @@ def test_override_and_settlement_files(spark, tmp):
     assert cells == {("A", "2024"): 3.5, ("B", "2025"): 3.0}
 
 
+def test_override_file_falls_back_to_zeros(spark, tmp):
+    zeros = {("SANTE", "2024"): 0.0, ("SANTE", "2025"): 0.0}
+    for name, text in (("a", "B,2024\nSANTE,1\n"), ("b", "Branche,2024\nAUTO,1\n"), ("c", "Branche,2024\nSANTE,x\n")):
+        path = _write(f"{tmp}/{name}.csv", text)
+        assert {(r.Branche, r.Exercice): r.PSAP for r in dim.read_overrides(spark, path, ["2024", "2025"]).collect()} == zeros
+    assert dim.read_overrides(spark, f"{tmp}/none.csv", ["2024"]).count() == 1
+
+
+def test_quoted_cells(spark, tmp):
+    a = _write(f"{tmp}/q/a.csv", 'Branche,Montant\n"AUTO ""VIP"" x",10\n"two\nlines",20\n"a, b",30\n')
+    b = _write(f"{tmp}/q/b.csv", 'Branche,Montant\nplain,40\n"say ""hi""",50\n')
+    c = _write(f"{tmp}/q/c.csv", '"Bran\nche",Montant\nx,60\n')
+    got = {(r.Branche, r.Montant) for r in prod.read_text_csv_detect(spark, [a, b]).collect()}
+    assert got == {('AUTO "VIP" x', "10"), ("two\nlines", "20"), ("a, b", "30"), ("plain", "40"), ('say "hi"', "50")}
+    assert prod.read_text_csv_detect(spark, [c]).columns == ["Bran\nche", "Montant"]
+    info = prod.inspect_files(spark, [a, b])
+    assert {k.rsplit("/", 1)[-1]: v[4] for k, v in info.items()} == {"a.csv": True, "b.csv": False}
+
+
+def test_fingerprint_tells_header_from_body_and_line_order(spark, tmp):
+    digest = lambda text: prod.inspect_files(spark, [_write(f"{tmp}/d/{abs(hash(text))}.csv", text)])
+    base, swapped, moved = (next(iter(digest(t).values()))[3] for t in ("A,B\n1,2\n", "1,2\nA,B\n", "A,B\n1,2\n3,4\n"))
+    other = next(iter(digest("A,B\n3,4\n1,2\n").values()))[3]
+    assert len({base, swapped, moved, other}) == 4
+    # block sizes make no difference
+    path = _write(f"{tmp}/d/long.csv", "A,B\n" + "".join(f"{i},{i * 7}\n" for i in range(4000)))
+    whole = next(iter(prod.inspect_files(spark, [path]).values()))[3]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert next(iter(prod.inspect_files(spark, [path]).values()))[3] == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_landing_refuses_a_file_without_required_columns(spark, tmp):
+    f = _write(f"{tmp}/in/2024/a.csv", "Police,Branche,PN_ACC,Echeance\nA,X,1,2024-12-31\n")
+    with pytest.raises(ValueError, match="Effet"):
+        prod.land_production(spark, [("2024", f)], f"{tmp}/out")
+    with pytest.raises(ValueError, match="at least one file"):
+        dim.read_claims_files(spark, [], {})
+
+
+def test_plan_does_not_grow_with_files(spark, tmp):
+    size = []
+    for n in (2, 12):
+        files = [(str(2000 + i), _write(f"{tmp}/g{n}/{i}/a.csv", f"Police,Branche,PN_ACC,Effet,Echeance\nP{i},X,1,2024-01-01,2024-12-31\n")) for i in range(n)]
+        df = prod.read_production_files(spark, files)
+        assert {r.Exercice for r in df.collect()} == {y for y, _ in files}
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        size.append(len(plan.replace("\n", "")))
+    assert abs(size[0] - size[1]) < 200
+
+
 def test_claims_files_and_stream(spark, tmp):
     from provisio.operators.claims import claims_agg
     from provisio.streaming.landing import land_claims

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provisio.operators.claims import claims_agg, map_claims
 from provisio.sources import production as prod
-from provisio.streaming.landing import land_production_stream, maintain_claims_cells
+from provisio.streaming.landing import land_production_stream, maintain_claims_cells, read_cells
 
 HEADER = ["BRANCHE", "GARANTIE", "REGLEMENT", "COUT_TOTAL"]
 
@@ -27,7 +27,7 @@ def test_incremental_claims_cells_equal_batch(spark):
     q = maintain_claims_cells(spark, f"{root}/in", HEADER, {"AUTO": "AUTOMOBILE"}, f"{root}/cells", f"{root}/ck")
     q.awaitTermination(120)
     got = {(r.Branche, r.Exercice): (r.Total_Reglement, r.Cout_Total, r.Nombre_Sinistres, r.SAP)
-           for r in spark.read.parquet(f"{root}/cells").collect()}
+           for r in read_cells(spark, f"{root}/cells").collect()}
     batch_in = prod.read_text_csv(spark, [f"{root}/in"])
     want = {(r.Branche, r.Exercice): (r.Total_Reglement, r.Cout_Total, r.Nombre_Sinistres, r.SAP)
             for r in claims_agg(map_claims(batch_in, {"AUTO": "AUTOMOBILE"})).collect()}
@@ -54,5 +54,5 @@ def test_restart_without_new_files_is_idempotent(spark):
     for _ in range(2):                              # second run: same checkpoint, no new file
         q = maintain_claims_cells(spark, f"{root}/in", HEADER, {}, f"{root}/cells", f"{root}/ck")
         q.awaitTermination(120)
-    rows = [(r.Branche, r.Exercice, r.Nombre_Sinistres, r.SAP) for r in spark.read.parquet(f"{root}/cells").collect()]
+    rows = [(r.Branche, r.Exercice, r.Nombre_Sinistres, r.SAP) for r in read_cells(spark, f"{root}/cells").collect()]
     assert rows == [("AUTO", "2023", 1, 50.0)]
