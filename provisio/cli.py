@@ -59,7 +59,7 @@ def run(spark: SparkSession, production: str, claims: str, params: ReservingPara
     tables = pipe.run()
     for name, df in tables.items():
         safe = name.replace(" ", "_").lower()
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/tables/{safe}")
+        df.write.mode("overwrite").option("header", True).csv(f"{out}/tables/{safe}")
     pol, clm = pipe.policy, pipe.claims
     frames = {"PE": pol.pe, "Taux PREC": pol.taux, "PREC": pol.prec, "PA": pol.pa, "PA split": pol.pa_split,
               "CU": pol.cu, "CU agrege": reserves.cu_aggregated(pol.cu), "Sinistres nombre": clm.cells,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from provisio.functions.amounts import amount_parse_failed, claims_amount
 from provisio.functions.text import resolve_claims_columns, ustrip
 from provisio.operators.mapping import map_branch
-from provisio.operators.recap import sort_small
 
 
 def normalize_claims(df: DataFrame, keep: tuple[str, ...] = ("Exercice",)) -> DataFrame:
@@ -31,20 +30,6 @@ def normalize_claims(df: DataFrame, keep: tuple[str, ...] = ("Exercice",)) -> Da
     )
 
 
-def load_claims(files: list[tuple[DataFrame, str]], mapping: dict) -> DataFrame:
-    """OP-S2: each (frame, year slot) normalised, mapped and year-tagged, then
-    unioned.  Frames with equal headers can be passed as one frame."""
-    parts = []
-    for df, year in files:
-        n = normalize_claims(df, keep=())
-        n = n.withColumn("Branche", map_branch(F.col("Branche"), mapping))
-        parts.append(n.withColumn("Exercice", F.lit(str(year))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def map_claims(df: DataFrame, mapping: dict) -> DataFrame:
     """Normalise + map a claims frame that already carries its year slot."""
     n = normalize_claims(df)
@@ -60,10 +45,9 @@ def claims_agg(claims: DataFrame) -> DataFrame:
             .withColumn("SAP", F.col("Cout_Total") - F.col("Total_Reglement")))
 
 
-def claims_agg_sorted(claims: DataFrame, bounded: bool = False) -> DataFrame:
-    """OP-A8 as presented: sorted by (Branche, Exercice); a local sort only
-    when the caller has checked the cell count."""
-    return sort_small(claims_agg(claims), "Branche", "Exercice", bounded=bounded)
+def claims_agg_sorted(claims: DataFrame) -> DataFrame:
+    """OP-A8 as presented: sorted by (Branche, Exercice)."""
+    return claims_agg(claims).orderBy("Branche", "Exercice")
 
 
 def parse_quality(raw: DataFrame, year_col: str = "Exercice") -> DataFrame:

@@ -21,3 +21,10 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     names = [f.name for f in st.fields]
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
     return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
+
+
+def ratio_frame(spark: SparkSession, ratios: dict | DataFrame) -> DataFrame:
+    """Loss ratios as (Branche, Loss_Ratio), from a dictionary or a table that holds them."""
+    if isinstance(ratios, DataFrame):
+        return ratios.select("Branche", "Loss_Ratio")
+    return literal_frame(spark, [(str(k), float(v)) for k, v in ratios.items()], "Branche string, Loss_Ratio double")

@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.dates import days_between
-from provisio.operators.literal import literal_frame
-from provisio.operators.recap import sort_small
+from provisio.operators.literal import literal_frame, ratio_frame
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, FG_LOADING, IBNR_LF_BASE, IBNR_LF_EXPIRED, IBNR_LF_SLOPE,
     IBNR_LOSS_RATIO, NULL_EXERCICE, PLATFORM_SHARE_MISSING_CALC, PLATFORM_SHARE_OTHER_YEAR,
@@ -47,20 +46,6 @@ def unexpired_weight(pe: Column, total: Column, remaining: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(pe * F.try_divide(remaining, total))
 
 
-def ibnr_terms(date_eval: date, pn_acc: Column, loss_ratio: float) -> dict[str, Column]:
-    """Row-level IBNR terms (OP-R8): maturity M, lag factor LF, earned
-    premium, theoretical charge and IBNR."""
-    ev, eff, ech = F.lit(date_eval), _d("Effet"), _d("Echeance")
-    d = days_between(ech, eff).cast("double")
-    t_raw = days_between(ev, eff).cast("double")
-    t = F.greatest(F.lit(0.0), F.least(d, t_raw))          # null-skipping, like the method
-    m = F.when(d > 0, F.try_divide(t, d)).otherwise(F.lit(0.0))
-    lf = F.when(ev >= ech, F.lit(IBNR_LF_EXPIRED)).otherwise(F.lit(IBNR_LF_BASE) - F.lit(IBNR_LF_SLOPE) * m)
-    earned = pn_acc * m
-    charge = earned * F.lit(float(loss_ratio))
-    return {"M": m, "LF": lf, "Prime_Acquise": earned, "Charge_Theorique": charge, "IBNR": charge * lf}
-
-
 def policy_cells(policies: DataFrame, date_eval: date, ibnr_loss_ratio: float = IBNR_LOSS_RATIO) -> DataFrame:
     """Single aggregation of mapped policy rows into per-cell measures:
     PE, PREC_base (= sum PE*remaining/total), Prime_Acquise, Charge_Theorique,
@@ -103,16 +88,14 @@ def last_year_filter(df: DataFrame, last_exercice: str | None) -> DataFrame:
     return df.filter(ex == F.lit(last_exercice))
 
 
-def taux_prec(pe_cells: DataFrame, loss_ratios: dict, frais_generaux: float,
+def taux_prec(pe_cells: DataFrame, loss_ratios: dict | DataFrame, frais_generaux: float,
               last_exercice: str | None = None, taux_min: float = TAUX_PREC_MIN) -> DataFrame:
     """OP-R1: per loss-ratio branch: Loss_Ratio, PE_Total (last year),
     FG_Reparti = PE_Total / total_pe * FG, Taux_PREC.
 
     ``total_pe`` covers every branch of the last year (also those without a
     ratio) and is a scalar subquery over the per-cell frame."""
-    spark = pe_cells.sparkSession
-    lr = literal_frame(spark, [(str(k), float(v)) for k, v in loss_ratios.items()],
-                       "Branche string, Loss_Ratio double")
+    lr = ratio_frame(pe_cells.sparkSession, loss_ratios)
     pe_last = (last_year_filter(pe_cells, last_exercice)
                .groupBy("Branche").agg(F.sum("PE").alias("PE_Total")))
     total_pe = pe_last.agg(F.sum("PE_Total")).scalar()
@@ -123,18 +106,13 @@ def taux_prec(pe_cells: DataFrame, loss_ratios: dict, frais_generaux: float,
     loaded = F.col("Loss_Ratio") + F.try_divide(F.lit(FG_LOADING) * F.col("FG_Reparti"), F.col("PE_Total"))
     rate = (F.when(F.col("PE_Total") == 0, F.greatest(floor, F.col("Loss_Ratio")))
             .otherwise(F.greatest(floor, loaded)))
-    return sort_small(out.select("Branche", "Loss_Ratio", "PE_Total", "FG_Reparti", rate.alias("Taux_PREC")), "Branche")
-
-
-def _rates(taux: DataFrame) -> DataFrame:
-    # one row per loss-ratio branch: bounded by the parameter, safe to broadcast
-    return F.broadcast(taux.select("Branche", "Taux_PREC"))
+    return out.select("Branche", "Loss_Ratio", "PE_Total", "FG_Reparti", rate.alias("Taux_PREC")).orderBy("Branche")
 
 
 def prec_cells(cells_df: DataFrame, taux: DataFrame, taux_min: float = TAUX_PREC_MIN) -> DataFrame:
     """OP-R2 per cell: PREC = rate(branch, default floor) * PREC_base; the
     rate of the last year applies to every year."""
-    j = cells_df.join(_rates(taux), "Branche", "left")
+    j = cells_df.join(taux.select("Branche", "Taux_PREC"), "Branche", "left")
     prec = F.col("PREC_base") * F.coalesce(F.col("Taux_PREC"), F.lit(float(taux_min)))
     return j.select("Branche", "Exercice", "PE", F.coalesce(prec, F.lit(0.0)).alias("PREC"))
 
@@ -143,7 +121,7 @@ def prec_lines(policies: DataFrame, taux: DataFrame, date_eval: date,
                taux_min: float = TAUX_PREC_MIN) -> DataFrame:
     """OP-R2 per policy row (audit view): durations, rate and PREC."""
     terms = prec_terms(date_eval)
-    j = policies.join(_rates(taux), "Branche", "left")
+    j = policies.join(taux.select("Branche", "Taux_PREC"), "Branche", "left")
     rate = F.coalesce(F.col("Taux_PREC"), F.lit(float(taux_min)))
     prec = F.coalesce(unexpired_weight(F.col("PN_ACC"), terms["duree_totale"], terms["duree_restante"]) * rate,
                       F.lit(0.0))

@@ -33,12 +33,13 @@ def years_of(cells_df: DataFrame) -> list[str]:
 
 
 def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None,
-                 branch: str = "Branche", bounded: bool = True) -> DataFrame:
+                 branch: str = "Branche", part: str | None = None) -> DataFrame:
     """OP-A2: Branche x sorted years + Total column, TOTAL row last.
 
     ``cells_df`` holds one row per (branch, Exercice).  Missing cells are 0.
-    When ``years`` is not given the cells are checkpointed first and the
-    years read from them, so the upstream scan still runs once.
+    When ``years`` is not given the cells are stored first and the years read
+    from them, so the upstream scan still runs once.  Rows of one branch that
+    differ in ``part`` stay rows of their own.
     """
     if years is None:
         cells_df = materialize(cells_df)
@@ -49,32 +50,11 @@ def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None
     v, ex = F.col(value), F.col("Exercice")
     per_year = [F.coalesce(F.sum(F.when(ex == y, v)), zero).alias(y) for y in years]
     total = F.coalesce(F.sum(F.when(ex.isin(years), v)), zero).alias(TOTAL_COL)
-    out = cells_df.rollup(branch).agg(*per_year, total, F.grouping_id().alias("_is_total"))
-    out = out.select(F.when(F.col("_is_total") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch),
-                     *years, TOTAL_COL, "_is_total")
-    return sort_small(out, "_is_total", F.col(branch).asc_nulls_first(), bounded=bounded).drop("_is_total")
-
-
-def sort_small(df: DataFrame, *keys, bounded: bool = True) -> DataFrame:
-    """Total order of a result known to be small (``bounded``, e.g. checked
-    per-cell counts): one partition sorted locally, no range-partition
-    sampling job and no shuffle.  Otherwise a distributed ``orderBy``."""
-    if not bounded:
-        return df.orderBy(*keys)
-    return df.coalesce(1).sortWithinPartitions(*keys)
-
-
-def recap_long(cells_df: DataFrame, value: str, branch: str = "Branche") -> DataFrame:
-    """Long form of the matrix with its margins: (Branche, Exercice, value),
-    where Branche='TOTAL' / Exercice='Total' mark the margins (grouping sets,
-    not null tests, tell them apart from null keys)."""
-    out = cells_df.cube(branch, "Exercice").agg(F.sum(value).alias(value),
-                                                F.grouping(branch).alias("_gb"),
-                                                F.grouping("Exercice").alias("_ge"))
-    return out.select(
-        F.when(F.col("_gb") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch),
-        F.when(F.col("_ge") == 1, F.lit(TOTAL_COL)).otherwise(F.col("Exercice")).alias("Exercice"),
-        value)
+    keys = [branch, part] if part else [branch]
+    out = cells_df.groupingSets([keys, []], *keys).agg(*per_year, total, F.grouping(branch).alias("_is_total"))
+    name = F.when(F.col("_is_total") == 1, F.lit(TOTAL_ROW)).otherwise(F.col(branch)).alias(branch)
+    out = out.select(name, *years, TOTAL_COL, "_is_total", *keys[1:])
+    return out.orderBy("_is_total", F.col(branch).asc_nulls_first(), *keys[1:]).drop("_is_total", *keys[1:])
 
 
 # ---------------------------------------------------------------------------
@@ -99,10 +79,3 @@ def pivot_no_totals(cells_df: DataFrame, index: str, value: str, years: list[str
     ex, v = F.col("Exercice"), F.col(value)
     zero = F.lit(0).cast(dict(cells_df.dtypes)[value])
     return cells_df.groupBy(index).agg(*[F.coalesce(F.sum(F.when(ex == y, v)), zero).alias(y) for y in sorted(years)])
-
-
-def merge_branches(cells_df: DataFrame, members: list[str], target: str, value_cols: list[str]) -> DataFrame:
-    """OP-A13: relabel ``members`` as ``target`` and re-sum per cell."""
-    b = F.col("Branche")
-    relabelled = cells_df.withColumn("Branche", F.when(b.isin(members), F.lit(target)).otherwise(b))
-    return relabelled.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in value_cols])

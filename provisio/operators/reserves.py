@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
 from provisio.operators.literal import literal_frame
-from provisio.operators.recap import KEYS, merge_branches, recap_matrix
+from provisio.operators.recap import KEYS, recap_matrix
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, BODILY_BRANCH, HIDDEN_CU_BRANCHES, MANUAL_PSAP_BRANCHES, TOTAL_ROW,
 )
@@ -39,8 +39,13 @@ def cu_cells(pa: DataFrame, loss_ratios: dict, value: str = "PA") -> DataFrame:
 
 
 def cu_aggregated(cu: DataFrame) -> DataFrame:
-    """OP-R7: AUTO RC + AUTO AR -> AUTOMOBILE, other rows unchanged."""
-    return merge_branches(cu, [AUTO_RC, AUTO_AR], AUTO_BRANCH, ["CU"])
+    """OP-R7: AUTO RC + AUTO AR -> one AUTOMOBILE row, other rows unchanged; a
+    branch that is called AUTOMOBILE already stays a row of its own, told
+    apart by ``_merged``."""
+    split = F.col("Branche").isin([AUTO_RC, AUTO_AR])
+    name = F.when(split, F.lit(AUTO_BRANCH)).otherwise(F.col("Branche"))
+    return (cu.select(name.alias("Branche"), "Exercice", split.alias("_merged"), "CU")
+            .groupBy("Branche", "Exercice", "_merged").agg(F.sum("CU").alias("CU")))
 
 
 def hide_branches(matrix: DataFrame, hidden: list[str] = HIDDEN_CU_BRANCHES) -> DataFrame:
@@ -63,35 +68,46 @@ def ibnr_pivot(ibnr: DataFrame, years: list[str]) -> DataFrame:
     return m.filter(F.col("Branche") != TOTAL_ROW)
 
 
-def small(df: DataFrame, broadcast: bool) -> DataFrame:
-    """Broadcast hint for a per-cell frame whose size the caller has checked."""
-    return F.broadcast(df) if broadcast else df
-
-
 def _grid(branches: DataFrame, years: list[str]) -> DataFrame:
     return branches.select("Branche", F.explode(F.array(*[F.lit(y) for y in sorted(years)])).alias("Exercice"))
 
 
-def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str], broadcast: bool = False) -> DataFrame:
+def _per_year(value: str, kind: str, years: list[str]) -> list:
+    """The sums of one kind of tagged rows, a column per year."""
+    own = (F.col("_kind") == kind)
+    return [F.sum(F.when(own & (F.col("Exercice") == y), F.col(value))).alias(f"{kind}_{i}") for i, y in enumerate(years)]
+
+
+def _has(kind: str):
+    return F.max(F.when(F.col("_kind") == kind, F.lit(True))).alias(f"has_{kind}")
+
+
+def _tagged(df: DataFrame, kind: str, value: str, branch=None, merged=None) -> DataFrame:
+    return df.select((F.col("Branche") if branch is None else branch).alias("Branche"), "Exercice", F.col(value).cast("double").alias("v"),
+                     (F.lit(False) if merged is None else merged).alias("_merged"), F.lit(kind).alias("_kind"))
+
+
+def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str]) -> DataFrame:
     """OP-R9: SAP + IBNR of the bodily-injury branch per CU year (missing = 0).
 
-    Empty unless both an IBNR and a SAP row exist for the branch."""
-    spark = sap_cells.sparkSession
-    sap_b = sap_cells.filter(F.col("Branche") == BODILY_BRANCH).select("Exercice", "SAP")
-    ib = ibnr.select("Exercice", "IBNR")
-    y = literal_frame(spark, [(v,) for v in sorted(years)], "Exercice string")
-    detail = (y.join(small(sap_b, broadcast), "Exercice", "left").join(small(ib, broadcast), "Exercice", "left")
-              .select("Exercice", F.coalesce("SAP", F.lit(0.0)).alias("SAP"),
-                      F.coalesce("IBNR", F.lit(0.0)).alias("IBNR")))
-    detail = detail.withColumn("PSAP", F.col("SAP") + F.col("IBNR"))
-    return detail.filter(ib.exists() & sap_b.exists())
+    Empty unless both an IBNR and a SAP row exist for the branch.  One
+    aggregate over the tagged rows of both sides."""
+    years = sorted(years)
+    rows = _tagged(sap_cells.filter(F.col("Branche") == BODILY_BRANCH), "sap", "SAP").unionByName(
+        _tagged(ibnr, "ibnr", "IBNR", branch=F.lit(BODILY_BRANCH)))
+    wide = rows.groupBy("Branche").agg(*_per_year("v", "sap", years), *_per_year("v", "ibnr", years), _has("sap"), _has("ibnr"))
+    zero = F.lit(0.0)
+    cells = [F.struct(F.lit(y).alias("Exercice"), F.coalesce(f"sap_{i}", zero).alias("SAP"), F.coalesce(f"ibnr_{i}", zero).alias("IBNR"))
+             for i, y in enumerate(years)]
+    return (wide.filter("has_sap AND has_ibnr").select(F.inline(F.array(*cells)))
+            .withColumn("PSAP", F.col("SAP") + F.col("IBNR")))
 
 
 def psap_corporels_detail(corp: DataFrame) -> DataFrame:
     """OP-R9 display table: years then a TOTAL row."""
     out = corp.rollup("Exercice").agg(F.sum("SAP").alias("SAP"), F.sum("IBNR").alias("IBNR"),
                                       F.sum("PSAP").alias("PSAP (SAP+IBNR)"), F.grouping_id().alias("_g"))
-    out = out.filter(corp.exists())
+    out = out.filter(F.col("PSAP (SAP+IBNR)").isNotNull())     # no row at all without a year
     return (out.select(F.when(F.col("_g") == 1, F.lit(TOTAL_ROW)).otherwise(F.col("Exercice")).alias("Exercice"),
                        "SAP", "IBNR", "PSAP (SAP+IBNR)", "_g")
             .orderBy("_g", "Exercice").drop("_g"))
@@ -113,17 +129,33 @@ def assemble_overrides(spark, user_overrides: list, corp: DataFrame | None, year
     return manual.unionByName(corp.select(F.lit(BODILY_BRANCH).alias("Branche"), "Exercice", "PSAP"))
 
 
-def psap_cells(cu: DataFrame, paid: DataFrame, overrides: DataFrame | None, years: list[str],
-               broadcast: bool = False) -> DataFrame:
+def psap_cells(cu: DataFrame, paid: DataFrame, overrides: DataFrame | None, years: list[str]) -> DataFrame:
     """OP-R10: CU (AUTO RC+AR merged) - paid on the dense CU grid (negative
-    allowed); override branches replace whole rows."""
-    cu = cu_aggregated(cu.filter(F.col("Branche") != TOTAL_ROW))
-    grid = _grid(cu.select("Branche").distinct(), years)
-    dense = grid.join(small(cu, broadcast), KEYS, "left").select(*KEYS, F.coalesce("CU", F.lit(0.0)).alias("CU"))
-    paid = paid.filter(F.col("Branche") != TOTAL_ROW).select(*KEYS, F.col("Total_Reglement").alias("paid"))
-    out = (dense.join(small(paid, broadcast), KEYS, "left")
-           .select(*KEYS, (F.col("CU") - F.coalesce("paid", F.lit(0.0))).alias("PSAP")))
+    allowed); override branches replace whole rows.
+
+    One aggregate: CU, paid and override rows are tagged, summed per branch
+    with a column per year, and the years are unfolded again."""
+    years = sorted(years)
+    total = F.col("Branche") != TOTAL_ROW
+    split = F.col("Branche").isin([AUTO_RC, AUTO_AR])
+    rows = _tagged(cu.filter(total), "cu", "CU", F.when(split, F.lit(AUTO_BRANCH)).otherwise(F.col("Branche")), split)
+    settled = _tagged(paid.filter(total), "paid", "Total_Reglement")
+    also = settled.filter(F.col("Branche") == AUTO_BRANCH).withColumn("_merged", F.lit(True))   # for the merged row
+    rows = rows.unionByName(settled).unionByName(also)
+    kinds = ["cu", "paid"]
     if overrides is not None:
-        out = (out.join(small(overrides.select("Branche").distinct(), broadcast), "Branche", "left_anti")
-               .unionByName(overrides))
-    return out
+        given = _tagged(overrides, "over", "PSAP")
+        rows = rows.unionByName(given).unionByName(given.filter(F.col("Branche") == AUTO_BRANCH).withColumn("_merged", F.lit(True)))
+        kinds.append("over")
+    wide = rows.groupBy("Branche", "_merged").agg(*[c for k in kinds for c in _per_year("v", k, years)], *[_has(k) for k in kinds])
+    zero, none = F.lit(0.0), F.lit(None).cast("boolean")
+    over = F.coalesce(F.col("has_over") if overrides is not None else none, F.lit(False))
+    cells = []
+    for i, y in enumerate(years):
+        value = F.coalesce(f"cu_{i}", zero) - F.coalesce(f"paid_{i}", zero)
+        if overrides is not None:
+            value = F.when(over, F.coalesce(f"over_{i}", zero)).otherwise(value)
+        cells.append(F.struct(F.lit(y).alias("Exercice"), value.alias("PSAP")))
+    # a replaced branch has one row, whatever rows it had
+    kept = wide.filter((over & ~F.col("_merged")) | (~over & F.coalesce(F.col("has_cu"), F.lit(False))))
+    return kept.select("Branche", "_merged", F.inline(F.array(*cells)))

@@ -52,7 +52,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Stages (one checkpointed aggregation per scan)
+# Stages (one stored aggregation per scan)
 # ---------------------------------------------------------------------------
 def policy_stage(spark: SparkSession, sf_dir: str) -> PolicyStage:
     return PolicyStage(fx.policies_raw(spark, sf_dir), fx.fixture_params())
@@ -89,7 +89,7 @@ CLAIMS = O.claims_ctes()
 @register("pe_recap_matrix", O.matrix_sql([BASE], "pe_cells", "PE"))
 def q_pe_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pe, "PE", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.pe, "PE", st.years))
 
 
 @register("taux_prec", O.with_ctes(BASE) + """
@@ -103,7 +103,7 @@ def q_taux_prec(spark, sf_dir):
 @register("date_anomalies", O.with_ctes(BASE) + """
 SELECT Police, Branche, Effet, Echeance FROM policies WHERE Effet > Echeance""")
 def q_date_anomalies(spark, sf_dir):
-    return premium.date_anomalies(policy_stage(spark, sf_dir).mapped)
+    return premium.date_anomalies(policy_stage(spark, sf_dir).mapped)   # no per-cell table is made for it
 
 
 @register("prec_lines", O.with_ctes(BASE) + """
@@ -118,13 +118,13 @@ def q_prec_lines(spark, sf_dir):
 @register("prec_recap_matrix", O.matrix_sql([BASE], "prec_cells", "PREC"))
 def q_prec_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.prec, "PREC", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.prec, "PREC", st.years))
 
 
 @register("pa_recap_matrix", O.matrix_sql([BASE], "pa_cells", "PA"))
 def q_pa_recap_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pa, "PA", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.pa, "PA", st.years))
 
 
 @register("split_params", O.with_ctes(BASE) + """
@@ -133,19 +133,19 @@ UNION ALL
 SELECT Exercice AS Annee, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM years WHERE Exercice NOT IN (SELECT Annee FROM plat)""")
 def q_split_params(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(premium.split_params(st.pe, st.params.platform_shares))
+    return rounded(premium.split_params(st.mapped, st.params.platform_shares))
 
 
 @register("pa_split_matrix", O.matrix_sql([BASE], "pa_split", "PA"))
 def q_pa_split_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.pa_split, "PA", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.pa_split, "PA", st.years))
 
 
 @register("cu_matrix", O.matrix_sql([BASE], "cu_cells", "CU"))
 def q_cu_matrix(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cu, "CU", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.cu, "CU", st.years))
 
 
 _CU_AGG = """cu_agg AS (SELECT CASE WHEN Branche IN ('AUTO RC', 'AUTO AR') THEN 'AUTOMOBILE' ELSE Branche END AS Branche,
@@ -155,7 +155,7 @@ _CU_AGG = """cu_agg AS (SELECT CASE WHEN Branche IN ('AUTO RC', 'AUTO AR') THEN
 @register("cu_aggregated", O.matrix_sql([BASE, _CU_AGG], "cu_agg", "CU"))
 def q_cu_aggregated(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(recap_matrix(reserves.cu_aggregated(st.cu), "CU", st.years, bounded=st.small))
+    return rounded(recap_matrix(reserves.cu_aggregated(st.cu), "CU", st.years, part="_merged"))
 
 
 _HIDDEN = ", ".join(f"'{b}'" for b in HIDDEN_CU_BRANCHES)
@@ -164,7 +164,7 @@ _HIDDEN = ", ".join(f"'{b}'" for b in HIDDEN_CU_BRANCHES)
 @register("cu_display", O.matrix_sql([BASE], "cu_cells", "CU", extra_filter=f"WHERE Branche NOT IN ({_HIDDEN})"))
 def q_cu_display(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(reserves.hide_branches(recap_matrix(st.cu, "CU", st.years, bounded=st.small)))
+    return rounded(reserves.hide_branches(recap_matrix(st.cu, "CU", st.years)))
 
 
 @register("ibnr_by_exercice", O.with_ctes(BASE) + """
@@ -177,7 +177,7 @@ def q_ibnr_by_exercice(spark, sf_dir):
 @register("ibnr_pivot", O.with_ctes(BASE) + """
 PIVOT (SELECT 'DOMMAGES CORPORELS' AS Branche, Exercice, """ + O.cents("IBNR") + """ AS v FROM ibnr
        UNION ALL SELECT 'DOMMAGES CORPORELS', 'Total', """ + O.cents("SUM(IBNR)") + """ FROM ibnr)
-ON Exercice USING first(v) GROUP BY Branche""")
+ON """ + O.pivot_in() + """ USING first(v) GROUP BY Branche""")
 def q_ibnr_pivot(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
     ib = st.ibnr
@@ -193,7 +193,7 @@ SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglem
        Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
 def q_claims_agg(spark, sf_dir):
     cl = claims_stage(spark, sf_dir)
-    return rounded(recap_ops.sort_small(cl.cells, "Branche", "Exercice", bounded=cl.small))
+    return rounded(cl.cells.orderBy("Branche", "Exercice"))
 
 
 _CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
@@ -202,25 +202,25 @@ _CY = "claim_years AS (SELECT DISTINCT Exercice FROM claims_cells)"
 @register("claims_nb_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Nombre_Sinistres", "claim_years", cast_int=True))
 def q_claims_nb_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return recap_matrix(st.cells, "Nombre_Sinistres", st.years, bounded=st.small)
+    return recap_matrix(st.cells, "Nombre_Sinistres", st.years)
 
 
 @register("claims_cout_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Cout_Total", "claim_years"))
 def q_claims_cout_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "Cout_Total", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.cells, "Cout_Total", st.years))
 
 
 @register("claims_reg_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "Total_Reglement", "claim_years"))
 def q_claims_reg_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "Total_Reglement", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.cells, "Total_Reglement", st.years))
 
 
 @register("claims_sap_matrix", O.matrix_sql([CLAIMS, _CY], "claims_cells", "SAP", "claim_years"))
 def q_claims_sap_matrix(spark, sf_dir):
     st = claims_stage(spark, sf_dir)
-    return rounded(recap_matrix(st.cells, "SAP", st.years, bounded=st.small))
+    return rounded(recap_matrix(st.cells, "SAP", st.years))
 
 
 # ---------------------------------------------------------------------------
@@ -265,7 +265,7 @@ UNION ALL
 SELECT 'TOTAL', """ + O.cents("SUM(SAP)") + ", " + O.cents("SUM(IBNR)") + ", " + O.cents("SUM(PSAP)") + """ FROM corp HAVING COUNT(*) > 0""")
 def q_psap_corporels(spark, sf_dir):
     st, cl = both_stages(spark, sf_dir)
-    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years, broadcast=st.small and cl.small)
+    corp = reserves.psap_corporels(cl.cells, st.ibnr, st.years)
     return rounded(reserves.psap_corporels_detail(corp))
 
 
@@ -278,7 +278,7 @@ def q_psap_overrides(spark, sf_dir):
 @register("psap_matrix", O.matrix_sql([BASE, CLAIMS, _PSAP], "psap_cells", "PSAP"))
 def q_psap_matrix(spark, sf_dir):
     st, cl = both_stages(spark, sf_dir)
-    return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years, bounded=st.small and cl.small))
+    return rounded(recap_matrix(pipeline.psap(st, cl), "PSAP", st.years, part="_merged"))
 
 
 # ---------------------------------------------------------------------------
@@ -324,7 +324,7 @@ pm AS (SELECT Branche AS Branche_Mappee, Exercice, SUM(PN_ACC) AS PE FROM polici
 pm_dense AS (SELECT b.Branche_Mappee, y.Exercice, """ + O.cents("COALESCE(pm.PE, 0)") + """ AS PE
              FROM (SELECT DISTINCT Branche_Mappee FROM pm) b CROSS JOIN years y
              LEFT JOIN pm ON pm.Branche_Mappee = b.Branche_Mappee AND pm.Exercice = y.Exercice)""")
-          + "PIVOT pm_dense ON Exercice USING first(PE) GROUP BY Branche_Mappee")
+          + f"PIVOT pm_dense ON {O.pivot_in(False)} USING first(PE) GROUP BY Branche_Mappee")
 def q_pe_after_mapping_pivot(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
     cells = st.pe.withColumnRenamed("Branche", "Branche_Mappee")
@@ -335,7 +335,7 @@ def q_pe_after_mapping_pivot(spark, sf_dir):
 SELECT Exercice, """ + O.cents("SUM(PN_ACC)") + """ AS PE_Total FROM policies GROUP BY 1""")
 def q_pe_by_exercice_mapped(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(st.pe.groupBy("Exercice").agg(F.sum("PE").alias("PE_Total")).orderBy("Exercice"))
+    return rounded(st.mapped.groupBy("Exercice").agg(F.sum("PN_ACC").alias("PE_Total")).orderBy("Exercice"))
 
 
 @register("distinct_branches", O.with_ctes(_RAW) + "SELECT DISTINCT Branche FROM policies_raw WHERE Branche IS NOT NULL")
@@ -360,9 +360,10 @@ def q_dataset_stats(spark, sf_dir):
     return prod.dataset_stats(fx.policies_raw(spark, sf_dir))
 
 
-@register("preview")
+@register("preview", O.with_ctes(_RAW) + """
+SELECT Police, Branche, Exercice, Effet, Echeance, """ + O.cents("PN_ACC") + """ AS PN_ACC FROM policies_raw ORDER BY Police LIMIT 10""")
 def q_preview(spark, sf_dir):
-    return prod.preview(fx.policies_raw(spark, sf_dir))
+    return rounded(prod.preview(fx.policies_raw(spark, sf_dir), order=["Police"]))
 
 
 # ---------------------------------------------------------------------------
@@ -410,7 +411,7 @@ SELECT COALESCE(b.Branche, lr.Branche) AS Branche, """ + O.micro("COALESCE(lr.Lo
 FROM (SELECT DISTINCT Branche FROM policies WHERE Branche IS NOT NULL) b FULL OUTER JOIN lr ON b.Branche = lr.Branche""")
 def q_loss_ratio_resolved(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return rounded(dim.resolve_loss_ratios(st.pe, st.params.loss_ratios))
+    return rounded(dim.resolve_loss_ratios(st.mapped, st.params.loss_ratios))
 
 
 @register("settlements_pivot", O.with_ctes(_SET, """
@@ -418,7 +419,7 @@ sc AS (SELECT Branche, Exercice, SUM(Montant) AS Montant FROM settlements_raw GR
 sd AS (SELECT b.Branche, y.Exercice, """ + O.cents("COALESCE(sc.Montant, 0)") + """ AS Montant
        FROM (SELECT DISTINCT Branche FROM sc) b CROSS JOIN (SELECT DISTINCT Exercice FROM sc) y
        LEFT JOIN sc ON sc.Branche = b.Branche AND sc.Exercice = y.Exercice)""")
-          + "PIVOT sd ON Exercice USING first(Montant) GROUP BY Branche")
+          + f"PIVOT sd ON {O.pivot_in(False)} USING first(Montant) GROUP BY Branche")
 def q_settlements_pivot(spark, sf_dir):
     from provisio.session import materialize
     cells = materialize(dim.settlements_cells(fx.settlements_raw(spark, sf_dir)))
@@ -456,10 +457,10 @@ def q_premium_amount_parse(spark, sf_dir):
 
 
 @register("branch_clean", O.with_ctes(_CRAW) + """
-SELECT BRANCHE, """ + O.ustrip("CAST(BRANCHE AS VARCHAR)") + """ AS Branche FROM claims_raw""")
+SELECT BRANCHE AS Branche_raw, """ + O.ustrip("CAST(BRANCHE AS VARCHAR)") + """ AS Branche FROM claims_raw""")
 def q_branch_clean(spark, sf_dir):
     raw = fx.claims_raw(spark, sf_dir)
-    return raw.select("BRANCHE", txt.clean_branch("BRANCHE").alias("Branche"))
+    return raw.select(F.col("BRANCHE").alias("Branche_raw"), txt.clean_branch("BRANCHE").alias("Branche"))
 
 
 @register("year_clean", """
@@ -509,7 +510,8 @@ SELECT Branche, Exercice, """ + _fmt2(O.cents("PE")) + """ AS PE_fmt,
 FROM (SELECT Branche, Exercice, SUM(PN_ACC) AS PE, COUNT(*) AS n FROM policies GROUP BY 1, 2)""")
 def q_format_numbers(spark, sf_dir):
     st = policy_stage(spark, sf_dir)
-    return st.cells.select("Branche", "Exercice", fmt.fmt_amount(cents(F.col("PE"))).alias("PE_fmt"),
+    cells = st.mapped.groupBy("Branche", "Exercice").agg(F.sum("PN_ACC").alias("PE"), F.count(F.lit(1)).alias("Nb"))
+    return cells.select("Branche", "Exercice", fmt.fmt_amount(cents(F.col("PE"))).alias("PE_fmt"),
                            fmt.fmt_integer(F.col("Nb")).alias("Nb_fmt"))
 
 
@@ -686,16 +688,14 @@ SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglem
 def q_claims_cells_stream(spark, sf_dir):
     """Claims delivered as text files under Exercice=YYYY/ folders and
     aggregated incrementally (streaming state per cell, availableNow)."""
-    from provisio.streaming.landing import maintain_claims_cells
+    from provisio.streaming.landing import maintain_claims_cells, read_cells
     root = prod.scratch_dir(spark, "claims-stream")
     raw = fx.claims_raw(spark, sf_dir)
     raw.write.mode("overwrite").partitionBy("Exercice").option("header", True).csv(f"{root}/in")
     q = maintain_claims_cells(spark, f"{root}/in", ["BRANCHE", "REGLEMENT", "COUT_TOTAL"], fx.FIXTURE_MAPPING,
                               f"{root}/cells", f"{root}/checkpoint")
-    if not q.awaitTermination(900):          # availableNow ends by itself; never wait unbounded
-        q.stop()
-        raise TimeoutError("claims stream did not finish within 900 s")
-    cells = spark.read.parquet(f"{root}/cells")
+    q.awaitTermination()                      # an availableNow query ends by itself
+    cells = read_cells(spark, f"{root}/cells")
     return rounded(cells.select("Branche", "Exercice", "Total_Reglement", "Cout_Total",
                                 F.col("Nombre_Sinistres").cast("bigint").alias("Nombre_Sinistres"), "SAP"))
 
@@ -729,11 +729,11 @@ fm_dense AS (SELECT g.Branche, g.Exercice, COALESCE(c.PE, CAST(0 AS DOUBLE)) AS
 fm_cube AS (SELECT CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END AS Branche,
                    CASE WHEN grouping(Exercice) = 1 THEN 'Total' ELSE Exercice END AS Exercice,
                    """ + _fmt2(O.cents("SUM(v)")) + """ AS v
-            FROM fm_dense GROUP BY CUBE (Branche, Exercice))""") + "PIVOT fm_cube ON Exercice USING first(v) GROUP BY Branche")
+            FROM fm_dense GROUP BY CUBE (Branche, Exercice))""") + f"PIVOT fm_cube ON {O.pivot_in()} USING first(v) GROUP BY Branche")
 def q_pe_matrix_formatted(spark, sf_dir):
     """OP-F19 over a presented table: the PE matrix with every amount formatted."""
     st = policy_stage(spark, sf_dir)
-    return fmt.format_numeric_columns(rounded(recap_matrix(st.pe, "PE", st.years, bounded=st.small)))
+    return fmt.format_numeric_columns(rounded(recap_matrix(st.pe, "PE", st.years)))
 
 
 @register("taux_display", O.with_ctes(BASE) + """
@@ -743,3 +743,141 @@ FROM taux_final""")
 def q_taux_display(spark, sf_dir):
     """OP-F20: the rate table as displayed (percentages, formatted FG share)."""
     return fmt.taux_display(rounded(policy_stage(spark, sf_dir).taux))
+
+
+# ---------------------------------------------------------------------------
+# File operators over files written from the tables
+# ---------------------------------------------------------------------------
+def _write_csv(df: DataFrame, path: str, **options) -> str:
+    w = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).options(**options)
+    w.csv(path)
+    return path
+
+
+@register("csv_quoted_cells", """
+SELECT doc_id, '"' || text || '", ' || lang || chr(160) AS cell, 'a ""' || source || '"' AS other FROM documents""")
+def q_csv_quoted_cells(spark, sf_dir):
+    """OP-S3: cells with quotes, commas, line feeds and NBSP, written as CSV and read back."""
+    d = fx.table(spark, sf_dir, "documents")
+    cells = d.select(F.col("doc_id").cast("string").alias("doc_id"),
+                     F.concat(F.lit('"'), "text", F.lit('", '), "lang", F.lit("\u00a0")).alias("cell"),
+                     F.concat(F.lit('a ""'), "source", F.lit('"')).alias("other"))
+    root = _write_csv(cells, prod.scratch_dir(spark, "quoted"))
+    back = prod.read_text_csv_detect(spark, [p for _, p in _landed_files(spark, [root])])
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "cell", "other")
+
+
+_DELIVERED = "SELECT true AS same, true AS year, true AS name, true AS header, true AS body, true AS line_order, count(*) AS rows FROM policies_raw"
+
+
+@register("fingerprint_sensitivity", O.with_ctes(_RAW) + _DELIVERED)
+def q_fingerprint_sensitivity(spark, sf_dir):
+    """OP-S10: which changes of the delivered files change their digest: each but a second look at the same files."""
+    root = prod.scratch_dir(spark, "fingerprint")
+    raw = fx.policies_raw(spark, sf_dir).select("Exercice", "Police", "Branche", F.col("PN_ACC").cast("string").alias("PN_ACC"))
+    first = F.col("Police") == raw.agg(F.min("Police")).first()[0]
+    rows = raw.repartition("Exercice").sortWithinPartitions("Exercice", "Police")
+    versions = {"base": rows, "header": rows.withColumnRenamed("PN_ACC", "Prime"),
+                "body": rows.withColumn("PN_ACC", F.when(first, F.lit("-1")).otherwise(F.col("PN_ACC"))),
+                "line_order": raw.repartition("Exercice").sortWithinPartitions("Exercice", F.desc("Police"))}
+    files, info = {}, {}
+    for name, df in versions.items():
+        df.withColumnRenamed("Exercice", "slot").write.mode("overwrite").partitionBy("slot").option("header", True).csv(f"{root}/{name}")
+        files[name] = _landed_files(spark, [f"{root}/{name}"])
+        info[name] = prod.inspect_files(spark, [p for _, p in files[name]])
+    base = prod.fingerprint_from(files["base"], info["base"])
+    content = {name: sorted(v[3] for v in i.values()) for name, i in info.items()}
+    moved = {f"{key}.old": v for key, v in info["base"].items()}
+    told = {"same": prod.fingerprint(spark, files["base"]).first()["fingerprint"] == base,
+            "year": prod.fingerprint_from([(f"{y}x", p) for y, p in files["base"]], info["base"]) != base,
+            "name": prod.fingerprint_from([(y, f"{p}.old") for y, p in files["base"]], moved) != base,
+            **{name: content[name] != content["base"] for name in ("header", "body", "line_order")}}
+    return raw.agg(F.count(F.lit(1)).alias("rows")).select(*[F.lit(told[k]).alias(k) for k in told], "rows")
+
+
+_RATIOS = """
+ratio_rows AS (SELECT p_type AS Branche, CAST(sum(p_size) % 90 + 10 AS DOUBLE) / 100 AS Loss_Ratio FROM part WHERE p_type <> 'PROMO' GROUP BY 1),
+ratio_branches AS (SELECT DISTINCT p_type AS Branche FROM part)"""
+
+
+@register("loss_ratio_file", O.with_ctes(_RATIOS) + """
+SELECT 'good' AS file, b.Branche, """ + O.micro("COALESCE(r.Loss_Ratio, 0.65)") + """ AS Loss_Ratio FROM ratio_branches b LEFT JOIN ratio_rows r ON b.Branche = r.Branche
+UNION ALL SELECT f.file, b.Branche, """ + O.micro("0.65") + """ FROM ratio_branches b CROSS JOIN (VALUES ('bad cell'), ('no column'), ('no file')) f(file)""")
+def q_loss_ratio_file(spark, sf_dir):
+    """OP-S6: ratios from a file; one bad cell, a missing column or a missing file gives every branch the default."""
+    part = fx.table(spark, sf_dir, "part")
+    branches = part.select(F.col("p_type").alias("Branche")).distinct()
+    ratios = (part.filter(F.col("p_type") != "PROMO").groupBy("p_type").agg((F.sum("p_size") % 90 + 10).alias("n"))
+              .select(F.concat(F.lit("\u00a0"), "p_type", F.lit(" ")).alias("Branche"), (F.col("n") / 100).cast("decimal(4,2)").cast("string").alias("Loss_Ratio")))
+    root = prod.scratch_dir(spark, "ratios")
+    bad = ratios.withColumn("Loss_Ratio", F.when(F.col("Branche").contains("SMALL"), F.lit("n/a")).otherwise(F.col("Loss_Ratio")))
+    paths = {"good": _write_csv(ratios, f"{root}/good"), "bad cell": _write_csv(bad, f"{root}/bad"),
+             "no column": _write_csv(ratios.withColumnRenamed("Loss_Ratio", "LR"), f"{root}/other"), "no file": f"{root}/none.csv"}
+    out = None
+    for name, path in paths.items():
+        got = dim.read_loss_ratios(spark, path, branches).select(F.lit(name).alias("file"), "Branche", "Loss_Ratio")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
+@register("override_file", """
+WITH y AS (SELECT unnest(['1999', '2000', '2001', '2002']) AS Exercice),
+s AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS Exercice, sum(CAST(o_orderkey % 1000 AS BIGINT)) AS v FROM orders GROUP BY 1)
+SELECT 'good' AS file, 'SANTE' AS Branche, y.Exercice, """ + O.cents("CASE WHEN y.Exercice IN ('1999', '2000') THEN COALESCE(s.v, 0) ELSE 0 END") + """ AS PSAP
+FROM y LEFT JOIN s ON s.Exercice = y.Exercice
+UNION ALL SELECT f.file, 'SANTE', y.Exercice, """ + O.cents("0") + """ FROM y CROSS JOIN (VALUES ('no branch column'), ('no manual branch')) f(file)""")
+def q_override_file(spark, sf_dir):
+    """OP-S8: manual rows from a file, year headers as text or number; a file without its branch column gives zeros."""
+    o = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), (F.col("o_orderkey") % 1000).alias("v"))
+    sums = o.agg(F.sum(F.when(F.col("y") == 1999, F.col("v"))).alias("1999"), F.sum(F.when(F.col("y") == 2000, F.col("v"))).alias("2000.0"))
+    rows = sums.select(F.explode(F.array(F.lit("SANTE"), F.lit("TRANSPORT"))).alias("Branche"), "1999", "`2000.0`")
+    root, years = prod.scratch_dir(spark, "overrides"), ["1999", "2000", "2001", "2002"]
+    paths = {"good": _write_csv(rows, f"{root}/good"), "no branch column": _write_csv(rows.withColumnRenamed("Branche", "B"), f"{root}/none"),
+             "no manual branch": _write_csv(rows.filter(F.col("Branche") == "TRANSPORT"), f"{root}/other")}
+    out = None
+    for name, path in paths.items():
+        got = dim.read_overrides(spark, path, years).select(F.lit(name).alias("file"), "Branche", "Exercice", "PSAP")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
+@register("settlements_file", O.with_ctes(_SET) + """
+SELECT Branche, Exercice, """ + O.cents("SUM(Montant)") + """ AS Montant FROM settlements_raw GROUP BY 1, 2""")
+def q_settlements_file(spark, sf_dir):
+    """OP-S7: settlements written as a text file, read back and summed per cell."""
+    path = _write_csv(fx.settlements_raw(spark, sf_dir), prod.scratch_dir(spark, "settlements"))
+    return rounded(dim.read_settlements(spark, path))
+
+
+@register("landing_sanitised", O.with_ctes(_RAW) + """
+SELECT Exercice, COUNT(*) AS rows, COUNT(CASE WHEN Exercice > '1998' THEN 1 END) AS empty_text, CAST(0 AS BIGINT) AS null_text, COUNT(Echeance) AS n_echeance
+FROM policies_raw GROUP BY Exercice""")
+def q_landing_sanitised(spark, sf_dir):
+    """OP-F9 in the landing: text a file doesn't have becomes '', typed columns stay typed."""
+    root = prod.scratch_dir(spark, "sanitised")
+    files = _landed_files(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
+    landed = prod.read_landed(spark, prod.land_production(spark, files, f"{root}/out", sanitise=True))
+    return landed.groupBy("Exercice").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("Intermediaire") == "", 1)).alias("empty_text"),
+        F.count(F.when(F.col("Intermediaire").isNull() | F.col("Police").isNull(), 1)).alias("null_text"), F.count("Echeance").alias("n_echeance"))
+
+
+#: header spellings of a claims file by the last digit of its year
+_SPELLINGS = [["BRANCHE", "REGLEMENT", "COUT_TOTAL"], ["Branche", "Total  Règlement", "Coût  Total"], ["branche", "Montant reglement net", "Cout total brut"]]
+
+
+@register("claims_header_variants", O.with_ctes(CLAIMS) + """
+SELECT Branche, Exercice, """ + O.cents("Total_Reglement") + """ AS Total_Reglement, """ + O.cents("Cout_Total") + """ AS Cout_Total,
+       Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
+def q_claims_header_variants(spark, sf_dir):
+    """OP-F1..F3: claims files whose headers are spelled in three ways, resolved per layout."""
+    root = prod.scratch_dir(spark, "headers")
+    raw = fx.claims_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
+    roots = []
+    for i, names in enumerate(_SPELLINGS):
+        own = raw.filter(F.col("slot").cast("int") % len(_SPELLINGS) == i)
+        df = own.select(F.col("BRANCHE").alias(names[0]), F.col("REGLEMENT").alias(names[1]), F.col("COUT_TOTAL").alias(names[2]), "slot")
+        df.write.mode("overwrite").partitionBy("slot").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{i}")
+        roots.append(f"{root}/{i}")
+    return rounded(claims_ops.claims_agg_sorted(dim.read_claims_files(spark, _landed_files(spark, roots), fx.FIXTURE_MAPPING)))

@@ -152,6 +152,14 @@ def with_ctes(*parts: str) -> str:
     return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
+# The years of the driver tables (orders and shipments), so that a PIVOT has its columns from the text
+YEARS = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
+
+
+def pivot_in(total: bool = True) -> str:
+    return "Exercice IN (" + ", ".join(f"'{y}'" for y in [*YEARS, *(["Total"] if total else [])]) + ")"
+
+
 def matrix_sql(ctes: list[str], cells: str, value: str, years_src: str = "years", money: bool = True,
                cast_int: bool = False, extra_filter: str = "") -> str:
     """Matrix with margins: dense grid, GROUP BY CUBE, PIVOT."""
@@ -171,4 +179,4 @@ mx_cube AS (SELECT CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END
                    CASE WHEN grouping(Exercice) = 1 THEN 'Total' ELSE Exercice END AS Exercice,
                    {agg} AS v
             FROM mx_dense GROUP BY CUBE (Branche, Exercice))"""
-    return with_ctes(*ctes, mx) + f"PIVOT (SELECT * FROM mx_cube {extra_filter}) ON Exercice USING first(v) GROUP BY Branche\n"
+    return with_ctes(*ctes, mx) + f"PIVOT (SELECT * FROM mx_cube {extra_filter}) ON {pivot_in()} USING first(v) GROUP BY Branche\n"

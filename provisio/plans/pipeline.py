@@ -2,9 +2,9 @@
 
 Two scans in total: the policy rows are aggregated once into per-cell
 measures (``PolicyStage``), the claim rows once into per-cell sums
-(``ClaimsStage``).  Both per-cell frames are checkpointed to the session's
-reliable checkpoint directory; every table of the run is then a small plan
-over those checkpoints, so an executor lost late in the run never replays a
+(``ClaimsStage``).  Both per-cell frames are stored in the session's
+shared folder; every table of the run is then a small plan over those
+tables, so an executor lost late in the run never replays a
 full scan.
 """
 
@@ -18,48 +18,32 @@ from pyspark.sql import functions as F
 from provisio.operators import claims as claims_ops
 from provisio.operators import premium, reserves
 from provisio.operators.mapping import map_policies
-from provisio.operators.recap import recap_matrix, sort_small
+from provisio.operators.recap import recap_matrix, years_of
 from provisio.params import ReservingParams
 from provisio.session import materialize
 from provisio.sources.production import require_columns
 
-# Per-cell frames (branches x years) up to this many rows are broadcast in
-# the reserve joins; larger ones (a mis-mapped, high-cardinality Branche
-# column) fall back to shuffled joins planned by AQE.
-MAX_BROADCAST_CELLS = 1_000_000
-
-
-def _checked(cells: DataFrame) -> tuple[list[str], bool]:
-    """Years of a checkpointed per-cell frame and whether it is small enough
-    to broadcast; one cheap job over the checkpoint."""
-    r = cells.agg(F.array_sort(F.collect_set("Exercice")).alias("y"), F.count(F.lit(1)).alias("n")).first()
-    return list(r["y"] or []), r["n"] <= MAX_BROADCAST_CELLS
-
-
 # columns the computation reads (OP-S14); the landing contract is wider
 POLICY_REQUIRED = ["Police", "Branche", "Exercice", "Effet", "Echeance", "PN_ACC"]
 
 
 class PolicyStage:
+    """Nothing runs before a result is asked for; the per-cell table is stored
+    when it is first needed."""
+
     def __init__(self, policies_raw: DataFrame, params: ReservingParams, checkpoint: bool = True):
         require_columns(policies_raw, POLICY_REQUIRED, "production")
         self.params = params
         self.checkpoint = checkpoint
         self.mapped = map_policies(policies_raw, params.mapping)
-        cells = premium.policy_cells(self.mapped, params.date_eval, params.ibnr_loss_ratio())
-        self.cells = materialize(cells) if checkpoint else cells
 
     @cached_property
-    def _check(self) -> tuple[list[str], bool]:
-        return _checked(self.cells)
+    def cells(self) -> DataFrame:
+        return self._cut(premium.policy_cells(self.mapped, self.params.date_eval, self.params.ibnr_loss_ratio()))
 
-    @property
+    @cached_property
     def years(self) -> list[str]:
-        return self._check[0]
-
-    @property
-    def small(self) -> bool:
-        return self._check[1]
+        return years_of(self.cells)
 
     @cached_property
     def pe(self) -> DataFrame:
@@ -70,10 +54,9 @@ class PolicyStage:
 
     @cached_property
     def taux(self) -> DataFrame:
-        # one row per loss-ratio branch; reused by PREC, PA, split, CU, PSAP
         p = self.params
         last = self.years[-1] if self.years else None        # lexicographic max, as the method
-        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min))
+        return premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min)
 
     @cached_property
     def prec(self) -> DataFrame:
@@ -90,8 +73,7 @@ class PolicyStage:
 
     @cached_property
     def cu(self) -> DataFrame:
-        # per-cell CU; the PSAP plan reads it twice (grid and values)
-        return self._cut(reserves.cu_cells(self.pa_split, self.params.loss_ratios_split))
+        return reserves.cu_cells(self.pa_split, self.params.loss_ratios_split)
 
     @cached_property
     def ibnr(self) -> DataFrame:
@@ -106,20 +88,16 @@ class ClaimsStage:
     def __init__(self, claims_raw: DataFrame, params: ReservingParams, checkpoint: bool = True,
                  prepared: bool = False):
         self.rows = claims_raw if prepared else claims_ops.map_claims(claims_raw, params.mapping)
-        agg = claims_ops.claims_agg(self.rows)
-        self.cells = materialize(agg) if checkpoint else agg
+        self.checkpoint = checkpoint
 
     @cached_property
-    def _check(self) -> tuple[list[str], bool]:
-        return _checked(self.cells)
+    def cells(self) -> DataFrame:
+        agg = claims_ops.claims_agg(self.rows)
+        return materialize(agg) if self.checkpoint else agg
 
-    @property
+    @cached_property
     def years(self) -> list[str]:
-        return self._check[0]
-
-    @property
-    def small(self) -> bool:
-        return self._check[1]
+        return years_of(self.cells)
 
 
 def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams,
@@ -129,7 +107,7 @@ def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: Reservi
     from concurrent.futures import ThreadPoolExecutor
 
     def ready(stage):
-        stage.small  # noqa: B018 - size check of the checkpoint (tiny job) in the same thread
+        stage.years  # noqa: B018 - stores the cells and reads their years in this thread
         return stage
 
     with ThreadPoolExecutor(max_workers=2) as pool:
@@ -139,14 +117,12 @@ def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: Reservi
 
 
 def psap_overrides(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
-    years, b = policy.years, policy.small and claims.small
-    corp = reserves.psap_corporels(claims.cells, policy.ibnr, years, broadcast=b)
-    return reserves.assemble_overrides(policy.cells.sparkSession, policy.params.psap_overrides, corp, years)
+    corp = reserves.psap_corporels(claims.cells, policy.ibnr, policy.years)
+    return reserves.assemble_overrides(policy.cells.sparkSession, policy.params.psap_overrides, corp, policy.years)
 
 
 def psap(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
-    b = policy.small and claims.small
-    return reserves.psap_cells(policy.cu, claims.cells, psap_overrides(policy, claims), policy.years, broadcast=b)
+    return reserves.psap_cells(policy.cu, claims.cells, psap_overrides(policy, claims), policy.years)
 
 
 class ReservingPipeline:
@@ -157,10 +133,6 @@ class ReservingPipeline:
         self.params = params
         self.policy, self.claims = build_stages(policies_raw, claims_raw, params, claims_prepared=claims_prepared)
 
-    @property
-    def small(self) -> bool:
-        return self.policy.small and self.claims.small
-
     def psap_overrides(self) -> DataFrame:
         return psap_overrides(self.policy, self.claims)
 
@@ -169,22 +141,22 @@ class ReservingPipeline:
 
     def run(self) -> dict[str, DataFrame]:
         pol, clm, years = self.policy, self.claims, self.policy.years
-        cyears, b, cb = clm.years, pol.small, clm.small
+        cyears = clm.years
         cu = pol.cu
         return {
-            "PE": recap_matrix(pol.pe, "PE", years, bounded=b),
+            "PE": recap_matrix(pol.pe, "PE", years),
             "Taux PREC": pol.taux,
-            "PREC": recap_matrix(pol.prec, "PREC", years, bounded=b),
+            "PREC": recap_matrix(pol.prec, "PREC", years),
             "Anomalies dates": premium.date_anomalies(pol.mapped),
-            "PA": recap_matrix(pol.pa, "PA", years, bounded=b),
-            "PA split": recap_matrix(pol.pa_split, "PA", years, bounded=b),
-            "CU": reserves.hide_branches(recap_matrix(cu, "CU", years, bounded=b)),
-            "CU agrege": reserves.hide_branches(recap_matrix(reserves.cu_aggregated(cu), "CU", years, bounded=b)),
-            "Sinistres": sort_small(clm.cells, "Branche", "Exercice", bounded=cb),
-            "Sinistres nombre": recap_matrix(clm.cells, "Nombre_Sinistres", cyears, bounded=cb),
-            "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears, bounded=cb),
-            "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears, bounded=cb),
-            "SAP": recap_matrix(clm.cells, "SAP", cyears, bounded=cb),
+            "PA": recap_matrix(pol.pa, "PA", years),
+            "PA split": recap_matrix(pol.pa_split, "PA", years),
+            "CU": reserves.hide_branches(recap_matrix(cu, "CU", years)),
+            "CU agrege": reserves.hide_branches(recap_matrix(reserves.cu_aggregated(cu), "CU", years, part="_merged")),
+            "Sinistres": clm.cells.orderBy("Branche", "Exercice"),
+            "Sinistres nombre": recap_matrix(clm.cells, "Nombre_Sinistres", cyears),
+            "Sinistres cout": recap_matrix(clm.cells, "Cout_Total", cyears),
+            "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears),
+            "SAP": recap_matrix(clm.cells, "SAP", cyears),
             "IBNR": pol.ibnr,
-            "PSAP": recap_matrix(self.psap(), "PSAP", years, bounded=b and cb),
+            "PSAP": recap_matrix(self.psap(), "PSAP", years, part="_merged"),
         }

@@ -4,8 +4,8 @@ order as long cells, plus comments, written once for humans.
 Each cell keeps its number and its report text (OP-F21); section titles and
 comments go through the text sanitiser (OP-F22).  Matrix sections get their
 margins from grouping sets over the per-cell frames; plain tables (the rate
-table) are unpivoted.  The report is tiny (sections x branches x years), so a
-single output file is fine.
+table) are unpivoted.  The report is written in its order; how many files that takes
+is left to the sort's ranges.
 """
 
 from __future__ import annotations
@@ -54,6 +54,23 @@ def _table(no: int, value: list[str], df: DataFrame) -> DataFrame:
         "section_no", "Branche", "c.col_name", "c.value_double")
 
 
+def _ranked(cells: DataFrame) -> DataFrame:
+    """row_no: the place of a branch in its section, nulls first and TOTAL last.
+    Ranked over one row per (section, branch), each section's branches dealt
+    over ranges of their names; a range's offset is the count of those before."""
+    last = (F.col("Branche") == TOTAL_ROW)
+    names = cells.select("section_no", "Branche").distinct()
+    # ranges by the first byte of the name keep the order of the names (UTF-8 sorts by bytes)
+    first_byte = F.conv(F.hex(F.substring(F.encode("Branche", "UTF-8"), 1, 1)), 16, 10).cast("int")
+    names = names.withColumn("_range", F.when(F.col("Branche").isNull(), -1).when(last, 256).otherwise(F.coalesce(first_byte, F.lit(0))))
+    within = F.row_number().over(Window.partitionBy("section_no", "_range").orderBy("Branche"))
+    sizes = names.groupBy("section_no", "_range").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("section_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = (names.withColumn("_within", within).join(sizes.withColumn("_before", before).drop("count"), ["section_no", "_range"])
+             .select(F.col("section_no").alias("_s"), F.col("Branche").alias("_b"), (F.col("_within") + F.col("_before")).cast("bigint").alias("row_no")))
+    return cells.join(ranks, (F.col("section_no") == F.col("_s")) & F.col("Branche").eqNullSafe(F.col("_b"))).drop("_s", "_b")
+
+
 def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None = None) -> DataFrame:
     """Long report: (section_no, table_title, row_no, Branche, col_name,
     value_double, value_text) for every section present in ``frames``."""
@@ -73,9 +90,7 @@ def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None =
         out = t if out is None else out.unionByName(t)
     title_of = F.create_map(*[F.lit(x) for no, t in titles for x in (no, t)])
     out = out.withColumn("table_title", sanitize_text(F.try_element_at(title_of, F.col("section_no"))))
-    order = Window.partitionBy("section_no").orderBy((F.col("Branche") == TOTAL_ROW).asc_nulls_first(),
-                                                     F.col("Branche").asc_nulls_first())
-    out = out.withColumn("row_no", F.dense_rank().over(order).cast("bigint"))
+    out = _ranked(out)
     out = out.withColumn("value_text", fmt_report(F.col("value_double")))
     if comments:
         rows = [(no, title, text) for no, (key, title, _, _) in enumerate(SECTIONS, start=1)
@@ -91,8 +106,7 @@ def report_cells(frames: dict[str, DataFrame], comments: dict[str, str] | None =
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
-    ordered = report.orderBy("section_no", "row_no", "col_name")
-    w = ordered.coalesce(1).write.mode("overwrite")
+    w = report.orderBy("section_no", "row_no", "col_name").write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

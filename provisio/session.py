@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,30 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a (small, aggregated) frame with a reliable checkpoint.
-
-    Used for per-cell aggregates that several downstream results reuse: the
-    big scan runs once, later stages read the checkpoint, and a lost executor
-    does not replay the policy scan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder inside the cluster's shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/provisio-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Fan a scan out over the cores when it has fewer partitions than the
-    session's default parallelism (one unsplittable file, e.g. a single
-    Parquet row group) and the rows feed CPU-heavy per-row work.
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a (small, aggregated) frame: it is written as Parquet
+    into the shared folder and read back.
 
-    On a cluster reading many files the scan already has far more partitions
-    than cores and the frame is returned unchanged, so no shuffle is added
-    where it would cost; counting partitions plans the scan but runs no job.
+    Used for per-cell aggregates that several downstream results reuse: the
+    big scan runs once, a lost executor does not replay it, and later joins
+    know the table's size, so the optimizer picks their strategy.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as planned
-        return df
-    return df.repartition(cores)
+    path = scratch_dir(df.sparkSession, "cells")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from provisio.plans import catalog
+import pytest
+
+from provisio.plans import catalog, pipeline
 from provisio.plans.pipeline import ReservingPipeline
 from provisio.plans.report import report_cells, write_report
 from provisio.sources import fixtures as fx
@@ -24,15 +26,16 @@ def test_pipeline_run_matches_registered_queries(spark):
     assert {"SANTE", "DOMMAGES CORPORELS"}.isdisjoint({r[0] for r in cu})     # hidden in the display
 
 
-def test_report_written_once(spark):
+def test_report_is_written_in_order(spark):
     st = catalog.policy_stage(spark, SF)
     rep = report_cells({"PE": st.pe, "PA": st.pa}, comments={"PE": "Production émise — base ≥ 0"})
     out = tempfile.mkdtemp(prefix="provisio-report-")
     write_report(rep, f"{out}/report")
-    files = [f for f in os.listdir(f"{out}/report") if f.endswith(".csv")]
-    assert len(files) == 1
     back = spark.read.option("header", True).csv(f"{out}/report")
     assert back.count() == rep.count()
+    names = sorted(f for f in os.listdir(f"{out}/report") if f.endswith(".csv"))
+    keys = [(int(r["section_no"]), int(r["row_no"]), r["col_name"]) for f in names for r in spark.read.option("header", True).csv(f"{out}/report/{f}").collect()]
+    assert keys == sorted(keys)
     comment = back.filter(F.col("col_name") == "comment").first()
     assert comment["value_text"] == "Production emise - base >= 0"
 
@@ -46,19 +49,35 @@ def test_sanitize_cells_and_derive_pn_acc(spark):
     assert prod.derive_pn_acc(df).first().PN_ACC == 105.0
 
 
-def test_broadcast_bound_fallback(spark, monkeypatch):
-    """Above the cell bound the reserve joins drop their broadcast hints and
-    the result is unchanged."""
-    from provisio.plans import pipeline
-
-    with_hints = catalog.QUERIES["psap_matrix"](spark, SF)
-    monkeypatch.setattr(pipeline, "MAX_BROADCAST_CELLS", 0)
+def test_reserve_joins_need_no_hints(spark):
+    """No hint in the plans, and the same result when nothing may be broadcast."""
     st, cl = catalog.both_stages(spark, SF)
-    assert not st.small and not cl.small
-    without = catalog.rounded(catalog.recap_matrix(pipeline.psap(st, cl), "PSAP", st.years))
-    hints = without._jdf.queryExecution().optimizedPlan().toString()
-    assert "BROADCAST" not in hints.upper().replace("BROADCASTHASHJOIN", "")
-    assert [tuple(r) for r in without.collect()] == [tuple(r) for r in with_hints.collect()]
+    psap = catalog.rounded(catalog.recap_matrix(pipeline.psap(st, cl), "PSAP", st.years, part="_merged"))
+    assert "ResolvedHint" not in psap._jdf.queryExecution().analyzed().toString()
+    want = [tuple(r) for r in psap.collect()]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = catalog.rounded(catalog.recap_matrix(pipeline.psap(st, cl), "PSAP", st.years, part="_merged"))
+        assert [tuple(r)[0] for r in again.collect()] == [r[0] for r in want]
+        for a, b in zip(again.collect(), want):
+            assert tuple(a)[1:] == pytest.approx(b[1:], abs=0.011)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["date_anomalies", "split_params", "loss_ratio_resolved", "pe_by_exercice_mapped", "format_numbers"])
+def test_simple_queries_run_nothing_before_their_action(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"lazy-{name}", name)
+    catalog.QUERIES[name](spark, SF)
+    assert list(tracker.getJobIdsForGroup(f"lazy-{name}")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_report_plan_reads_stored_cells(spark):
+    plan = catalog.QUERIES["report_cells"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "Scan ExistingRDD" not in plan.replace("Scan ExistingRDD[]", "")
 
 
 def test_policy_contract(spark):

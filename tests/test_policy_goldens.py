@@ -46,16 +46,15 @@ def test_prec_lines(spark, golden):
         assert r["PREC"] == pytest.approx(c[6], abs=1e-6), c[0]
 
 
-def test_ibnr_terms(spark, golden):
-    t = premium.ibnr_terms(EVAL, F.col("PN_ACC"), 0.72)
-    got = {r["Police"]: r for r in golden.select("Police", *[v.alias(k) for k, v in t.items()]).collect()}
+def test_ibnr_of_each_policy(spark, golden):
+    """Each policy as a branch of its own, through the aggregate that the method runs."""
+    cells = premium.policy_cells(golden.withColumn("Branche", F.col("Police")), EVAL, 0.72)
+    got = {r["Branche"]: r for r in cells.collect()}
     for c in CASES:
         r = got[c[0]]
-        assert r["M"] == pytest.approx(c[7], abs=1e-6), c[0]
-        assert r["LF"] == pytest.approx(c[8], abs=1e-6), c[0]
-        assert r["Prime_Acquise"] == pytest.approx(c[9], abs=1e-6), c[0]
-        assert r["IBNR"] == pytest.approx(c[10], abs=1e-6), c[0]
-        assert 0.0 <= r["M"] <= 1.0 and 0.05 <= r["LF"] <= 0.95
+        assert (r["Prime_Acquise"] or 0.0) == pytest.approx(c[9], abs=1e-6), c[0]
+        assert (r["IBNR"] or 0.0) == pytest.approx(c[10], abs=1e-6), c[0]
+        assert r["Charge_Theorique"] == pytest.approx(0.72 * c[9], abs=1e-6), c[0]
 
 
 def test_anomalies(spark, golden):

@@ -65,6 +65,17 @@ def test_cu_and_aggregation(spark):
     assert agg == {"AUTOMOBILE": 60.0, "X": 0.0}
 
 
+def test_an_existing_motor_branch_stays_its_own_row(spark):
+    cu = spark.createDataFrame([("AUTO RC", "2024", 50.0), ("AUTO AR", "2024", 10.0), ("AUTOMOBILE", "2024", 7.0), ("X", "2024", 1.0)],
+                               "Branche string, Exercice string, CU double")
+    m = [(r.Branche, r["2024"]) for r in recap_matrix(reserves.cu_aggregated(cu), "CU", ["2024"], part="_merged").collect()]
+    assert m == [("AUTOMOBILE", 7.0), ("AUTOMOBILE", 60.0), ("X", 1.0), ("TOTAL", 68.0)]
+    # what was paid is taken from either row, as the matrix join does
+    paid = spark.createDataFrame([("AUTOMOBILE", "2024", 5.0)], "Branche string, Exercice string, Total_Reglement double")
+    p = recap_matrix(reserves.psap_cells(cu, paid, None, ["2024"]), "PSAP", ["2024"], part="_merged").collect()
+    assert [(r.Branche, r["2024"]) for r in p] == [("AUTOMOBILE", 2.0), ("AUTOMOBILE", 55.0), ("X", 1.0), ("TOTAL", 58.0)]
+
+
 def test_psap_corporels_gate(spark):
     sap = spark.createDataFrame([("DOMMAGES CORPORELS", "2024", 5.0)], "Branche string, Exercice string, SAP double")
     ib = spark.createDataFrame([("2023", 2.0)], "Exercice string, IBNR double")
