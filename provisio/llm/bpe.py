@@ -28,7 +28,7 @@ from .chunks import ChunkPool
 from .common import flat, fresh_name, slices
 from .textvec import Spans, gather, words
 
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own split pattern, with line feeds as separators between the words given.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+|\n"
 NONE = np.int64(1) << 40

@@ -7,7 +7,8 @@ nodes; every chunk is searched by itself and held against some pivots of the gro
 chunks of a dense group together.  What is then still outside its group's largest component is held against all rows of
 the group, block by block.  So the work of a dense group grows with its size, and no pair that could matter is left out.
 
-`components` is the alternating large-star, small-star algorithm; every round is stored in the shared folder.
+`components` contracts runs of edges where they lie, then alternates large-star and small-star; every round is stored in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 EDGE = "a binary, b binary"
 PIVOTS = 48
+#: Edges that a task holds at once.
+RUN = 200_000
 
 
 def groups(batches, keys: list[str]):
@@ -66,10 +69,29 @@ def _edges(found: list[tuple], ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.binary()), pa.array([ids[j] for _, j in found], pa.binary())], names=["a", "b"])
 
 
-def linked(rows: DataFrame, measure: Callable[[list], Callable[[int, np.ndarray], np.ndarray]], chunk: int) -> DataFrame:
-    """Stored edges (a, b).  measure(payloads) -> similar(i, rows)."""
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    large = stored(sizes.where(F.col("size") > chunk).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")), "large-groups")
+def stars(n: int, edges: list[tuple[int, int]], ids: list[bytes]) -> list[tuple[int, int]]:
+    """Edges from each component's smallest id to its other rows."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        i, j = find(i), find(j)
+        if ids[i] > ids[j]:
+            i, j = j, i
+        root[j] = i
+    return [(r, i) for i in range(n) if (r := find(i)) != i and ids[r] != ids[i]]
+
+
+def linked(rows: DataFrame, measure: Callable[[list], Callable[[int, np.ndarray], np.ndarray]], chunk: int) -> tuple[DataFrame, DataFrame | None]:
+    """Stored edges (a, b): those of groups that are one local search, as stars around each component's smallest node, and
+    those of larger groups (None if there is no such group).  measure(payloads) -> similar(i, rows)."""
+    large = stored(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > chunk)
+                   .withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")), "large-groups", narrow=True)
     spread = F.xxhash64("node")
 
     def local(batches):
@@ -83,30 +105,31 @@ def linked(rows: DataFrame, measure: Callable[[list], Callable[[int, np.ndarray]
                 hit = np.flatnonzero(similar(p, members))
                 _, first = np.unique(label[hit], return_index=True)
                 out += [(p, int(members[h])) for h in hit[first]]
-            if out := [(i, j) for i, j in out if ids[i] != ids[j]]:
+            if out := stars(len(ids), out, ids):
                 yield _edges(out, ids)
 
     def dealt(df: DataFrame, keys: list[str], run) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, EDGE)
 
     cols = ["grp", "chunk", "role", "node", "payload"]
-    if large.isEmpty():
-        own = rows.withColumns({"chunk": F.lit(0), "role": F.lit(0)}).select(cols)
-        return stored(dealt(own, ["grp", "chunk"], local), "edges")
+    none = large.isEmpty()
+    small = rows if none else rows.join(large, "grp", "left_anti")
+    small_edges = stored(dealt(small.withColumns({"chunk": F.lit(0), "role": F.lit(0)}).select(cols), ["grp", "chunk"], local), "edges")
+    if none:
+        return small_edges, None
 
-    known = rows.join(large, "grp", "left").withColumn("chunk", F.coalesce(F.pmod(spread, F.col("chunks")), F.lit(0)).cast("int"))
-    own = known.withColumn("role", F.lit(0)).select(cols)
     big = rows.join(large, "grp").withColumn("chunk", F.pmod(spread, F.col("chunks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     drawn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < F.lit(float(PIVOTS << 30)) / F.col("size")
     pivots = big.where(drawn).withColumn("chunk", every).withColumn("role", F.lit(1)).select(cols)
-    first = stored(dealt(own.unionByName(pivots), ["grp", "chunk"], local), "edges")
+    first = stored(dealt(big.withColumn("role", F.lit(0)).select(cols).unionByName(pivots), ["grp", "chunk"], local), "edges")
 
-    label = components(first)
-    big = stored(big.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "large-group-rows")
+    big = stored(big.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node")), "large-group-rows")
     count = big.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = big.join(main, "grp").where("label <> main")
+    rest = stored(big.join(main, "grp").where("label <> main").drop("main"), "large-group-rest")
+    if rest.isEmpty():
+        return small_edges, first
     blocks = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int")
     left = rest.join(blocks, "grp").withColumn("block", block).withColumn("chunk", every).withColumn("role", F.lit(1))
@@ -116,7 +139,7 @@ def linked(rows: DataFrame, measure: Callable[[list], Callable[[int, np.ndarray]
     def against(batches):
         for t in groups(batches, ["grp", "chunk", "block"]):
             ids, role = t.column("node").to_pylist(), np.array(t.column("role").to_pylist())
-            names, label = np.unique(np.array([x.hex() for x in t.column("label").to_pylist()]), return_inverse=True)
+            _, label = np.unique(np.array([x.hex() for x in t.column("label").to_pylist()]), return_inverse=True)
             similar = measure(t.column("payload").to_pylist())
             out, members = [], np.flatnonzero(role == 0)
             for p in np.flatnonzero(role == 1).tolist():
@@ -128,30 +151,58 @@ def linked(rows: DataFrame, measure: Callable[[list], Callable[[int, np.ndarray]
                 yield _edges(out, ids)
 
     more = dealt(left.select(cols).unionByName(right.select(cols)), ["grp", "chunk", "block"], against)
-    return stored(first.unionByName(more), "edges")
+    return small_edges, stored(first.unionByName(more), "edges")
+
+
+def star_labels(edges: DataFrame) -> DataFrame:
+    """node, label of edges that are stars already, each node in one star."""
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, with the same components: runs of up to RUN rows of a task become stars around the smallest
+    node of each of their components."""
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= RUN:
+                yield one(held)
+                held, n = [], 0
+        if held:
+            yield one(held)
+
+    def one(held):
+        t = pa.Table.from_batches(held)
+        names: dict[bytes, int] = {}
+        pairs = [(names.setdefault(x, len(names)), names.setdefault(y, len(names))) for x, y in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)]
+        ids = list(names)
+        found = stars(len(ids), pairs, ids)
+        return pa.RecordBatch.from_arrays([pa.array([ids[j] for _, j in found], pa.binary()), pa.array([ids[i] for i, _ in found], pa.binary())], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u binary, v binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of an edge."""
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:  # neighbours above u, and u itself, get u's least neighbour
-            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:  # neighbours below u, and u itself, get the least of them
-            least = e.groupBy("u").agg(F.min("v").alias("m"))
-            moved = (e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .unionByName(least.select("u", F.col("m").alias("v"))))
-        return moved.where("u <> v").distinct()
-
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = mark(now)
-    while seen[0]:
-        now = stored(star(star(now, True), False), "stars")
-        if (again := mark(now)) == seen:
-            break
-        seen = again
-    least = now.select("v").distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(least.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    now = stored(contract(edges.select("a", "b").where("a <> b")).distinct(), "stars", narrow=True)
+
+    def star(e: DataFrame) -> DataFrame:
+        # neighbours above u, and u itself, get u's least neighbour; a node with many neighbours is pre-aggregated
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        above = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # neighbours below u, and u itself, get the least of them
+        below = above.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
+        return below.select(pairs.alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+
+    def settled(e: DataFrame) -> bool:
+        # every node hangs on one other, and that hangs on none
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+    while not settled(now):
+        now = stored(star(now), "stars", narrow=True)
+    return star_labels(now.select(F.col("v").alias("a"), F.col("u").alias("b")))

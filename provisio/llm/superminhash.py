@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, fresh_name, slices, stored
-from .grouping import components, linked
+from .grouping import components, linked, star_labels
 from .textvec import LOWER, U, Spans, mix, words
 
 SHINGLE, SLOTS, MISS = 5, 256, 1e-4
@@ -156,15 +156,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     full = signed.where("n_shingles > 0")
 
     # buckets of more than one node, each set of members once
-    member = full.select("node", F.explode("bands").alias("grp")).distinct()
-    bucket = (member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(3)).cast("decimal(38,0)")).alias("s"))
-              .where("n > 1").groupBy("n", "x", "s").agg(F.min("grp").alias("grp")).select("grp"))
-    node = full.groupBy("node").agg(F.first("signature").alias("payload"))
-    rows = stored(member.join(bucket, "grp", "left_semi").join(node, "node"), "buckets")
-    candidate = stored(components(linked(rows, signature_likeness(percent), SIGNATURE_CHUNK)), "candidates")
+    node = stored(full.groupBy("node").agg(F.first("signature").alias("payload"), F.first("bands").alias("bands"), F.min(doc_id).alias("least")), "nodes")
+    member = node.select("node", F.explode("bands").alias("grp"))
+    bucket = (member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(3))).alias("y"))
+              .where("n > 1").groupBy("n", "x", "y").agg(F.min("grp").alias("grp")).select("grp"))
+    rows = stored(member.join(bucket, "grp", "left_semi").join(node.select("node", "payload"), "node"), "buckets")
+    small, large = linked(rows, signature_likeness(percent), SIGNATURE_CHUNK)
+    candidate = components(small if large is None else small.unionByName(large))
 
     # one row of each candidate node brings its text back for the full set
-    first = full.join(candidate, "node").groupBy("node").agg(F.min(doc_id).alias(doc_id), F.first("label").alias("grp"))
+    first = candidate.join(node, "node").select("node", F.col("least").alias(doc_id), F.col("label").alias("grp"))
 
     def resolve(batches):
         for batch in batches:
@@ -177,9 +178,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     texts = source.join(first, source[doc_id].eqNullSafe(first[doc_id])).select("grp", "node", body)
     sets = stored(texts.mapInArrow(resolve, "grp binary, node binary, payload binary").dropDuplicates(["node"]), "sets")
-    label = components(linked(sets, set_link(percent), SET_CHUNK))
+    small, large = linked(sets, set_link(percent), SET_CHUNK)  # every node is in one group
+    label = star_labels(small) if large is None else star_labels(small).unionByName(components(large))
 
-    nodes = full.groupBy("node").agg(F.min(doc_id).alias("least")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = node.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component"))
     of_node = nodes.join(least, "label").select("node", "component")
     found = signed.select(doc_id, "n_shingles", "node").join(of_node, "node", "left")
