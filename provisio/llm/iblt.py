@@ -23,38 +23,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH, PER_TABLE, ROUNDS, DOUBLINGS, LONG_LINE, RANGE_ROWS = 12, 6, 8, 16, 300, 500
+WIDTH, TABLE_WIDTH, PER_TABLE, ROUNDS, DOUBLINGS, LONG_LINE, RANGE_ROWS = 12, 32, 6, 10, 14, 300, 500
 EMPTY = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
 
 
-def _place(d: str, table: str, width: str) -> str:
-    """The cell of digest d in a sub-table: each takes other bits."""
-    return f"pmod(shiftrightunsigned({d}, CAST(21 * ({table}) AS INT)) & 2097151L, {width})"
+def _item(sign: str, digest: str, check: str, width: str) -> str:
+    """An item: its sign, digest and check, and its cell in each of the three sub-tables, taken from other bits each."""
+    at = [f"CAST({t} * {width} + (shiftrightunsigned({digest}, {21 * t}) & 2097151L) % {width} AS INT)" for t in range(3)]
+    return f"named_struct('s', {sign}, 'd', {digest}, 'h', {check}, 'a', {at[0]}, 'b', {at[1]}, 'c', {at[2]})"
 
 
 def _cells(items: str, width: str) -> str:
-    """Sketch of items (s: sign, d: digest, h: check): an array of 3 * width cells."""
-    return (f"transform(sequence(0, 3 * {width} - 1), c -> aggregate(filter({items}, x -> {_place('x.d', f'c div {width}', width)} = c % {width}), {EMPTY}, "
-            f"(a, x) -> named_struct('n', a.n + x.s, 'k', a.k ^ x.d, 'h', a.h ^ x.h)))")
+    """Sketch of items: an array of 3 * width cells (n: number, k: digests, h: checks)."""
+    tables = [f"transform(sequence({t} * {width}, {t + 1} * {width} - 1), i -> aggregate(filter({items}, x -> x.{place} = i), {EMPTY}, "
+              "(a, x) -> named_struct('n', a.n + x.s, 'k', a.k ^ x.d, 'h', a.h ^ x.h)))" for t, place in enumerate("abc")]
+    return f"concat({', '.join(tables)})"
+
+
+def _filled(items: str) -> str:
+    """The cells of a sketch that items stand in, each with its place (i); the others are empty."""
+    places = f"array_distinct(flatten(transform({items}, x -> array(x.a, x.b, x.c))))"
+    return _rest(f"transform({places}, i -> aggregate(filter({items}, x -> x.a = i OR x.b = i OR x.c = i), named_struct('i', i, 'n', 0, 'k', 0L, 'h', 0L), "
+                 "(a, x) -> named_struct('i', a.i, 'n', a.n + x.s, 'k', a.k ^ x.d, 'h', a.h ^ x.h)))")
+
+
+def _rest(cells: str) -> str:
+    """Cells that aren't empty."""
+    return f"filter({cells}, c -> c.n <> 0 OR c.k <> 0L OR c.h <> 0L)"
 
 
 def _peel(cells: str, width: str) -> str:
-    """Peeling of a subtracted sketch: struct(cells, live, plus, minus); live: cells may still be peeled."""
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND xxhash64(c.k) = c.h), c -> named_struct('s', c.n, 'd', c.k, 'h', c.h)))"
-    taken = (f"transform(s.cells, (c, i) -> aggregate(filter(p, x -> {_place('x.d', f'i div {width}', width)} = i % {width}), c, "
-             "(a, x) -> named_struct('n', a.n - x.s, 'k', a.k ^ x.d, 'h', a.h ^ x.h)))")
+    """Peeling of a subtracted sketch's filled cells: struct(cells, live, plus, minus); live: cells may still be peeled."""
+    one = lambda n: f"transform(array_distinct(transform(filter(s.cells, c -> c.n = {n} AND xxhash64(c.k) = c.h), c -> c.k)), d -> {_item(n, 'd', 'xxhash64(d)', width)})"
+    pure = f"concat({one('1')}, {one('-1')})"
+    taken = _rest("transform(s.cells, c -> aggregate(filter(p, x -> x.a = c.i OR x.b = c.i OR x.c = c.i), c, "
+                  "(a, x) -> named_struct('i', a.i, 'n', a.n - x.s, 'k', a.k ^ x.d, 'h', a.h ^ x.h)))")
     step = (f"transform(array({pure}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'live', false, 'plus', s.plus, 'minus', s.minus), "
             f"named_struct('cells', {taken}, 'live', true, 'plus', s.plus + size(filter(p, x -> x.s > 0)), 'minus', s.minus + size(filter(p, x -> x.s < 0)))))[0]")
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'live', true, 'plus', 0, 'minus', 0), (s, r) -> if(s.live, {step}, s))"
 
 
-def _emptied(peeled: str) -> str:
-    return f"forall({peeled}.cells, c -> c.n = 0 AND c.k = 0L AND c.h = 0L)"
-
-
 def _told(peeled: str) -> str:
     """struct(ok, plus, minus) of a peeled sketch."""
-    return f"transform(array({peeled}), q -> named_struct('ok', {_emptied('q')}, 'plus', q.plus, 'minus', q.minus))[0]"
+    return f"transform(array({peeled}), q -> named_struct('ok', size(q.cells) = 0, 'plus', q.plus, 'minus', q.minus))[0]"
 
 
 def paragraphs(text: str) -> Column:
@@ -65,7 +76,7 @@ def paragraphs(text: str) -> Column:
 
 def sketch(digests: str, width: int = WIDTH) -> Column:
     """The cells of a set of digests."""
-    items = f"transform({digests}, d -> named_struct('s', 1, 'd', d, 'h', xxhash64(d)))"
+    items = f"transform({digests}, d -> {_item('1', 'd', 'xxhash64(d)', str(width))})"
     return F.expr(f"transform(array({items}), it -> {_cells('it', str(width))})[0]")
 
 
@@ -77,23 +88,27 @@ def fingerprint(digests: str, cells: str) -> Column:
 def difference(cells_a: str, cells_b: str) -> Column:
     """struct(ok, plus, minus) from two sketches of the base width."""
     cut = f"zip_with({cells_a}, {cells_b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-    return F.expr(_told(_peel(cut, str(WIDTH))))
+    placed = _rest(f"transform({cut}, (c, i) -> named_struct('i', i, 'n', c.n, 'k', c.k, 'h', c.h))")
+    return F.expr(_told(_peel(placed, str(WIDTH))))
 
 
 def _tables(a: str, b: str) -> str:
     """The signed digests of two sets dealt over small tables, in two steps: an array of arrays of items."""
     items = (f"concat(transform({a}, d -> named_struct('s', 1, 'd', d, 'h', xxhash64(d))), transform({b}, d -> named_struct('s', -1, 'd', d, 'h', xxhash64(d))))")
-    side = f"CAST(ceil(sqrt((size({a}) + size({b})) / {PER_TABLE})) AS INT)"
-    first = f"transform(sequence(0, {side}), i -> filter(it, x -> pmod(x.h & 4294967295L, {side} + 1) = i))"
-    return f"flatten(transform(transform(array({items}), it -> {first})[0], part -> transform(sequence(0, {side}), j -> filter(part, x -> pmod(shiftrightunsigned(x.h, 32), {side} + 1) = j))))"
+    side = f"greatest(1, CAST(ceil(sqrt((size({a}) + size({b})) / {PER_TABLE})) AS INT))"
+    first = f"transform(sequence(0, {side} - 1), i -> filter(it, x -> (x.h & 2147483647L) % {side} = i))"
+    return f"flatten(transform(transform(array({items}), it -> {first})[0], part -> transform(sequence(0, {side} - 1), j -> filter(part, x -> shiftrightunsigned(x.h, 32) % {side} = j))))"
 
 
 def larger(dealt: str) -> Column:
     """struct(ok, plus, minus) summed over the tables, each sketched wider until it empties."""
-    again = _told(_peel(_cells("it", f"({WIDTH} << k)"), f"({WIDTH} << k)"))
+    width = f"({TABLE_WIDTH} << k)"
+    own = f"transform(it, x -> {_item('x.s', 'x.d', 'x.h', width)})"
+    again = _told(_peel(f"transform(array({own}), j -> {_filled('j')})[0]", width))
     one = f"aggregate(sequence(0, {DOUBLINGS}), named_struct('ok', false, 'plus', 0, 'minus', 0), (r, k) -> if(r.ok, r, {again}))"
-    return F.expr(f"aggregate({dealt}, named_struct('ok', true, 'plus', 0, 'minus', 0), (t, it) -> if(size(it) = 0, t, "
-                  f"transform(array({one}), r -> named_struct('ok', t.ok AND r.ok, 'plus', t.plus + r.plus, 'minus', t.minus + r.minus))[0]))")
+    lone = "named_struct('ok', t.ok, 'plus', t.plus + if(it[0].s > 0, 1, 0), 'minus', t.minus + if(it[0].s < 0, 1, 0))"  # a single digest is a pure cell
+    return F.expr(f"aggregate({dealt}, named_struct('ok', true, 'plus', 0, 'minus', 0), (t, it) -> if(size(it) = 0, t, if(size(it) = 1, {lone}, "
+                  f"transform(array({one}), r -> named_struct('ok', t.ok AND r.ok, 'plus', t.plus + r.plus, 'minus', t.minus + r.minus))[0])))")
 
 
 def with_likeness(df: DataFrame, a: str, b: str, cells_a: str, cells_b: str, name: str) -> DataFrame:
