@@ -31,12 +31,12 @@ def main():
     sections = [
         ("Policy scan -> map literal -> one partial/final aggregation (policy_cells)",
          premium.policy_cells(map_policies(fx.policies_raw(spark, sf), p.mapping), p.date_eval)),
-        ("Claims scan (filter pushed) -> parse -> aggregation (claims_agg)",
+        ("Claims scan -> parse -> aggregation (claims_agg)",
          co.claims_agg(co.map_claims(fx.claims_raw(spark, sf), p.mapping))),
-        ("Row-level PREC: policies joined to the broadcast rate table (prec_lines)",
+        ("Row-level PREC: policies joined to the rate table (prec_lines)",
          premium.prec_lines(st.mapped, st.taux, p.date_eval)),
-        ("PE recap matrix over checkpointed cells (pe_recap_matrix)", catalog.QUERIES["pe_recap_matrix"](spark, sf)),
-        ("PSAP matrix over checkpointed cells (psap_matrix)", catalog.QUERIES["psap_matrix"](spark, sf)),
+        ("PE recap matrix over stored cells (pe_recap_matrix)", catalog.QUERIES["pe_recap_matrix"](spark, sf)),
+        ("PSAP matrix over stored cells (psap_matrix)", catalog.QUERIES["psap_matrix"](spark, sf)),
     ]
     out = ["# Physical plans (generated by tools/explain_plans.py)\n",
            f"Input: `{sf}`, `local[8]`. Plans are printed before execution (AQE may still coalesce or "
