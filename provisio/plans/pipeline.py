@@ -56,7 +56,8 @@ class PolicyStage:
     def taux(self) -> DataFrame:
         p = self.params
         last = self.years[-1] if self.years else None        # lexicographic max, as the method
-        return premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min)
+        # PREC, PA, split, CU and PSAP all join it: stored once instead of planned into each
+        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min))
 
     @cached_property
     def prec(self) -> DataFrame:
