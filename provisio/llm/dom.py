@@ -53,9 +53,11 @@ N_FEATURES = len(TAGS) + 1 + len(ABOVE) + 2 * len(WORDS) + NUMBERS
 
 
 class Page:
-    """Elements of a page (root first, parents before children) and its blocks: lists of (element, text)."""
+    """Elements of a page (root first, parents before children) and its blocks: lists of (element, text).  `marked`: the
+    page was written by main_text.lay_out, whose data-y attributes are its marks; any other page's mean nothing here."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = False):
+        self.marked = marked
         self.tag, self.parent, self.groups, self.mark = ["html"], [-1], [0], [None]
         self.blocks: list[list[tuple[int, str]]] = []
         self.links: list[int] = [0]
@@ -144,7 +146,7 @@ class Page:
                 for a in ATTR.finditer(attrs):
                     key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if key == "data-y":
-                        mark = int(value)
+                        mark = int(value) if self.marked else None
                     elif key == "style":
                         found |= (re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None) << GROUP["hidden"]
                     elif key == "hidden" or key == "aria-hidden":

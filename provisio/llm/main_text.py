@@ -146,7 +146,7 @@ def teaching_rows(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
     if not article:
         return np.zeros((0, 0), np.float32), np.zeros(0, np.float32)
     others += [article[0][:80], article[-1][-60:]]
-    rows = [(p.features()[1:], marked(p)[1:]) for k in range(LAYOUTS) for p in [Page(lay_out(article, others, seed + k))]]
+    rows = [(p.features()[1:], marked(p)[1:]) for k in range(LAYOUTS) for p in [Page(lay_out(article, others, seed + k), marked=True)]]
     y = told(page)
     rows.append((page.features()[y >= 0], y[y >= 0]))
     return np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows])

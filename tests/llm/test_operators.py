@@ -77,6 +77,16 @@ def test_main_text_of_unseen_layouts(spark, model):
     assert main_text.extract(pages.limit(0), model).count() == 0
 
 
+def test_marks_of_real_pages_mean_nothing(spark, model):
+    odd = [f'<div data-y="{v}"><p>Text of the page {i}.</p><p>And some more, as ever.</p></div>' for i, v in enumerate(["12.5", "", "50%", "0", "x"])]
+    assert all(m is None for h in odd for m in Page(h).mark)
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate(odd)], "page_id long, html string")
+    assert {r.page_id for r in main_text.extract(pages, model).collect()} == set(range(len(odd)))
+    assert main_text.learn(pages).chance(Page(odd[0]).features()).shape == (4,)
+    laid = main_text.lay_out(SENTENCES, ["Home", "News"], 1)
+    assert {0, 1} & set(Page(laid, marked=True).mark) and set(Page(laid).mark) == {None}
+
+
 def test_decoding_never_keeps_below_a_dropped_element():
     rng = np.random.default_rng(0)
     page = Page("<div><section><p>a</p><p>b</p></section><ul><li>c<li>d</ul></div><article><p>e</p></article>")
