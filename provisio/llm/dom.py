@@ -1,8 +1,8 @@
 """A small HTML reader for main-text extraction: elements that can be kept or dropped, the text blocks between them, and
 features of every such element.
 
-Elements are block-level tags and any tag with a class, id or role.  Comments, scripts, styles, the head and other parts
-that are never shown are skipped.  A block is the text between two block boundaries; each of its pieces knows the element
+Elements are block-level tags and any tag with a class, id or role.  Comments, scripts, styles, titles and other parts that
+are never shown are skipped up to their end tag; one that never ends costs only its tag (scripts and styles: the rest).  A block is the text between two block boundaries; each of its pieces knows the element
 it stands in.  Text in no element at all belongs to the root.
 """
 
@@ -18,7 +18,13 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template iframe svg object title textarea select option button math audio video canvas".split())
+UNSEEN = frozenset("script style noscript template iframe svg object title textarea select option button audio video canvas annotation annotation-xml".split())
+#: Unseen to the end of the page, if nothing ends them; of any other unseen element without an end only the tag goes.
+TO_END = frozenset(["script", "style"])
+#: Elements of SVG and MathML may close themselves.
+FOREIGN = frozenset(["svg", "math", "annotation", "annotation-xml"])
+#: What can stand in the head; any other tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 ENDS_P = BLOCK - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr".split())
@@ -26,6 +32,9 @@ ENDS_P = BLOCK - frozenset("body html caption dd dt legend li summary tbody td t
 CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
           "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
           "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"]))}
+END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I | re.A) for t in UNSEEN}
+#: An option ends with its end tag, or before the next option, the end of its list, or a block.
+END["option"] = re.compile(rf"</option(?=[\s/>])[^>]*>?|(?=</?(?:option|optgroup|select|datalist|{'|'.join(sorted(BLOCK))})[\s/>])", re.I | re.A)
 #: Attribute words by what they tell about an element.
 WORDS = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager skip tabs",
@@ -67,7 +76,7 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]  # open tags, each with the element its content belongs to
         count = {"html": 1}
         run: list[tuple[int, str]] = []
-        at, anchor, low = 0, 0, None
+        at, in_head, endless = 0, False, set()
 
         def flush():
             nonlocal run
@@ -93,7 +102,8 @@ class Page:
         while pos < end:
             m = TAG.search(source, pos)
             at = m.start() if m else end
-            if at > pos:
+            if at > pos and not (in_head and source[pos:at].isspace()):
+                in_head = False
                 text = source[pos:at]
                 text = html.unescape(text) if "&" in text else text
                 owner = stack[-1][1]
@@ -107,6 +117,7 @@ class Page:
             if not name:
                 continue
             tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            in_head = in_head and tag in IN_HEAD
             if closing:
                 if tag == "br":
                     run.append((stack[-1][1], " "))
@@ -122,12 +133,18 @@ class Page:
                 elif tag == "hr":
                     flush()
                 continue
-            if tag in UNSEEN or tag == "head":
-                low = low or source.lower()
-                stop = low.find("<body", pos) if tag == "head" else -1
-                closed = low.find(f"</{tag}", pos)
-                closed = min(x for x in (stop, closed, end) if x >= 0) if tag == "head" else closed
-                pos = end if closed < 0 else closed if closed == stop else (low.find(">", closed) + 1 or end) if closed < end else end
+            if tag in UNSEEN:
+                if tag in FOREIGN and attrs.endswith("/"):
+                    continue
+                ended = None if tag in endless else END[tag].search(source, pos)
+                if ended:
+                    pos = ended.end()
+                else:
+                    endless.add(tag)
+                    pos = end if tag in TO_END else pos
+                continue
+            if tag == "head":
+                in_head = True
                 continue
             if attrs.endswith("/") and tag not in BLOCK:
                 continue

@@ -87,6 +87,31 @@ def test_marks_of_real_pages_mean_nothing(spark, model):
     assert {0, 1} & set(Page(laid, marked=True).mark) and set(Page(laid).mark) == {None}
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><p>One.</p><p>Two.</p>", "One.\n\nTwo."),
+    ("<head><meta charset=x><title>t</title>plain text <b>on</b>", "plain text on"),
+    ("<head><title>t</title><header>Top</header><p>One.</p>", "Top\n\nOne."),
+    ("<head>\n<title>t</title>\n<style>p{}</style>\n</head>\n<body><p>One.</p>", "One."),
+    ("<p>A<datalist><option value=a><option value=b>bee</datalist>B</p><p>C</p>", "AB\n\nC"),
+    ("<option>lost<p>A</p>", "A"),
+    ("<select><option>x<option>y</select><p>A</p>", "A"),
+    ("<p>A<svg viewBox='0 0 1 1' />B <math/>C</p>", "AB C"),
+    ("<p>A<svg><title>x</title></SVG >B", "AB"),
+    ("<p>A<svg>B<iframe src=x>C<button>D", "ABCD"),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> be</p>", "let x=1 be"),
+    ("<p>A<script>var a = '</scripts>';</SCRIPT>B<style>p {", "AB"),
+    ("<head><title>İİİİİİİİ</title></head><body><p>İİİ<script>x</script>Iğdır<button>İ</button>dır</p>", "İİİIğdırdır"),
+])
+def test_unseen_parts_take_no_text_along(source, want):
+    page = Page(source)
+    assert page.text([True] * len(page.tag)) == want
+
+
+def test_many_unseen_tags_without_an_end():
+    page = Page("<p>" + "a<svg>" * 200_000)
+    assert page.text([True] * len(page.tag)) == "a" * 200_000
+
+
 def test_decoding_never_keeps_below_a_dropped_element():
     rng = np.random.default_rng(0)
     page = Page("<div><section><p>a</p><p>b</p></section><ul><li>c<li>d</ul></div><article><p>e</p></article>")
