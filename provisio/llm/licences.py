@@ -1,11 +1,15 @@
 r"""Licence scans by Dice coefficient over word bigrams (operator 9).
 
-Text is normalised (A-Z in lower case; every ASCII character but letters and digits is white space) and cut into segments
-at line ends and after sentence marks before white space.  A template is held against runs of whole segments: the Dice
-coefficient of the two bags of word bigrams, 2 * |both| / (|run| + |template|), must reach `least`.  Two bounds prune: a
-run's size must lie between least / (2 - least) and (2 - least) / least of the template's, and a template is only tried on
-a text that holds at least least / (2 - least) of its distinct bigrams; neither loses a match, as a smaller bag can't reach
-`least`.  Each licence is told with its best run (ties: first, then shortest).
+Text is normalised (A-Z in lower case; every ASCII character but letters and digits is white space).  A template is held
+against runs of words: the Dice coefficient of the two bags of word bigrams, 2 * |both| / (|run| + |template|), must reach
+`least`.  Runs begin and end at any word, so a notice is found inside a longer sentence and in text without line ends.
+Bounds prune: a run's size must lie between least / (2 - least) and (2 - least) / least of the template's, and run and
+template must share least / (2 - least) of the template's bigrams; none loses a match.  The best run begins and ends with a
+bigram of the template, as others at its ends only lower the coefficient.
+
+Licences are ranked by their best run of words.  A licence is told with a run of whole segments (cut at line ends and after
+sentence marks before white space) where one reaches `least`, else with its best run of words; of equal runs the first,
+then the shortest.
 
 Defined cases: null or empty text, or one of a single word, has no licence; text of any length is read whole; repeated
 rows are scanned each; an empty table gives an empty result; other columns play no part.
@@ -56,15 +60,13 @@ class Templates:
         self.size = np.array([int(n.sum()) for _, n in bags])
         self.need = np.ceil(self.size * least / (2 - least) - 1e-9).astype(int)
         self.most = np.floor(self.size * (2 - least) / least + 1e-9).astype(int)
-        # a bag of `need` bigrams may repeat some: so many distinct ones of the template it has at least
-        self.distinct = np.array([_fewest(np.sort(n)[::-1], need) for (_, n), need in zip(bags, self.need, strict=True)])
         pairs = np.concatenate([np.stack([k, np.full(len(k), i, U)], 1) for i, (k, _) in enumerate(bags)])
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         self.keys, first, self.count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
         self.first, self.owner = first, pairs[:, 1].astype(np.int64)
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[list[tuple[str, float, int, int]]]:
-        """Per text: (licence, dice, first byte, end byte) of each licence's best run."""
+        """Per text: (licence, dice, first byte, end byte) of each licence, the closest first."""
         out: list[list] = [[] for _ in range(len(offs) - 1)]
         start, end, doc, segment, key = bigrams(buf, offs)
         if len(key) == 0:
@@ -79,54 +81,75 @@ class Templates:
         pair = doc[where] * len(self.names) + own
         order = np.lexsort((where, pair))
         pair, where = pair[order], where[order]
-        cuts = np.flatnonzero(np.diff(pair, prepend=-1))
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pair)], strict=True):
-            if hi - lo < self.distinct[pair[lo] % len(self.names)]:
-                continue
+        lo = np.flatnonzero(np.diff(pair, prepend=-1))
+        hi = np.append(lo[1:], len(pair))
+        some = hi - lo >= self.need[pair[lo] % len(self.names)]
+        for lo, hi in zip(lo[some].tolist(), hi[some].tolist(), strict=True):
             d, t = divmod(int(pair[lo]), len(self.names))
-            best = self.best_run(t, where[lo:hi], int(np.searchsorted(doc, d)), int(np.searchsorted(doc, d, "right")), segment, key)
-            if best:
-                dice, a, b = best
-                out[d].append((self.names[t], dice, int(start[a] - offs[d]), int(end[b - 1] - offs[d])))
+            places = where[lo:hi]
+            earlier = self.earlier(t, key[places])
+            by_word = self.best_run(t, places, earlier, places, places + 2)
+            if by_word is None:
+                continue
+            w0, w1 = np.searchsorted(doc, [d, d + 1])
+            parts = segment[w0:w1]
+            firsts = np.unique(np.searchsorted(parts, segment[places]) + w0)  # segments that have hits
+            ends = np.unique(np.searchsorted(parts, segment[places + 1], "right") + w0)
+            by_segment = self.best_run(t, places, earlier, firsts, ends)
+            dice, a, b = by_segment or by_word
+            out[d].append((self.names[t], by_word[0], by_segment is not None, dice, int(start[a] - offs[d]), int(end[b - 1] - offs[d])))
         return [_best_each(x) for x in out]
 
-    def best_run(self, t: int, hits: np.ndarray, w0: int, w1: int, segment: np.ndarray, key: np.ndarray):
-        """(dice, first word, end word) of the best run of whole segments of one document, or None."""
-        if len(np.unique(key[hits])) < self.distinct[t]:
-            return None
-        own = segment[w0:w1]
-        bag, size = self.bags[t], int(self.size[t])
-        firsts = np.unique(np.searchsorted(own, segment[hits]) + w0)  # runs begin and end with segments that have hits
-        ends = np.unique(np.searchsorted(own, segment[hits + 1], "right") + w0)
+    def earlier(self, t: int, keys: np.ndarray) -> np.ndarray:
+        """Per hit the number of the hit with the same bigram as many hits back as the template has it, -1 if there is
+        none: in a run that begins after that one, the hit counts."""
+        order = np.argsort(keys, kind="stable")
+        same = keys[order]
+        back = np.arange(len(keys)) - np.array([self.bags[t][k] for k in same.tolist()])
+        out = np.full(len(keys), -1)
+        out[order] = np.where((back >= 0) & (same[back] == same), order[back], -1)
+        return out
+
+    def best_run(self, t: int, hits: np.ndarray, earlier: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
+        """(dice, first word, end word) of the best run from one of `firsts` to one of `ends` (both ascending), or None."""
+        size, need, most = int(self.size[t]), int(self.need[t]), int(self.most[t])
+        i = np.searchsorted(hits, firsts)
+        e = np.searchsorted(hits, firsts + most)
+        # the most that a run from each first word shares: its hits in reach, less those beyond the template's count
+        lo = np.searchsorted(e, np.arange(len(hits)), "right")
+        hi = np.searchsorted(i, earlier, "right")
+        over = (earlier >= 0) & (lo < hi)
+        beyond = np.cumsum(np.bincount(lo[over], minlength=len(firsts) + 1) - np.bincount(hi[over], minlength=len(firsts) + 1))[:-1]
+        both = e - i - beyond
         best = None
-        for a in firsts.tolist():
-            for b in ends[(ends - a - 1 >= self.need[t]) & (ends - a - 1 <= self.most[t])].tolist():
-                if np.searchsorted(hits, b - 1) - np.searchsorted(hits, a) < self.distinct[t]:
-                    continue
-                k, n = np.unique(key[a:b - 1], return_counts=True)
-                both = sum(min(c, bag.get(x, 0)) for x, c in zip(k.tolist(), n.tolist(), strict=True))
-                dice = 2 * both / (b - a - 1 + size)
-                if dice >= self.least and (best is None or dice > best[0]):
-                    best = dice, a, b
+        for k in np.flatnonzero(both >= need).tolist():
+            m, a = int(both[k]), int(firsts[k])
+            if best is not None and 2 * min(m, size) / (m + size) <= best[0]:
+                continue
+            to = ends[np.searchsorted(ends, a + need + 1):np.searchsorted(ends, a + most + 1, "right")]
+            if not len(to):
+                continue
+            shared = np.concatenate([[0], np.cumsum(earlier[i[k]:e[k]] < i[k])])
+            dice = 2 * shared[np.searchsorted(hits, to - 1) - i[k]] / (to - a - 1 + size)
+            j = int(np.argmax(dice))
+            if dice[j] >= self.least and (best is None or dice[j] > best[0]):
+                best = float(dice[j]), a, int(to[j])
         return best
 
 
-def _fewest(counts: np.ndarray, need: int) -> int:
-    """The fewest distinct bigrams whose counts in the template sum to `need`."""
-    return int(np.searchsorted(np.cumsum(counts), need)) + 1 if len(counts) else 1
-
-
 def _best_each(found: list[tuple]) -> list[tuple]:
-    best: dict[str, tuple] = {}
-    for x in found:
-        if x[0] not in best or (-x[1], x[2], x[3]) < (-best[x[0]][1], best[x[0]][2], best[x[0]][3]):
-            best[x[0]] = x
-    return sorted(best.values(), key=lambda x: (-x[1], x[0]))
+    """(licence, dice, first, end) of each licence, ranked by its best run of words."""
+    told: dict[str, tuple] = {}
+    rank: dict[str, float] = {}
+    for name, by_word, whole, dice, a, b in found:
+        rank[name] = max(by_word, rank.get(name, 0.0))
+        told[name] = min((not whole, -dice, a, b), told.get(name, (2,)))
+    return [(x, -told[x][1], *told[x][2:]) for x in sorted(told, key=lambda x: (-rank[x], told[x][1], x))]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """Per row: doc_id, best_licence (null if none), best_dice, and found: each licence with its coefficient and the place
-    of its run in code points."""
+    of its run in code points, the closest first."""
     body = fresh_name([doc_id], "body")
     texts = templates or TEMPLATES
     kind = docs.schema[doc_id].dataType.simpleString()

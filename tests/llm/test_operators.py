@@ -234,6 +234,56 @@ def test_licences(spark, awkward, nothing):
     assert licences.scan(awkward).count() == awkward.count() and licences.scan(nothing).count() == 0
 
 
+def brute_windows(text, templates, least):
+    """Licence -> best Dice over all runs of words."""
+    norm = lambda s: re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", s.lower()).split()
+    words, best = norm(text), {}
+    for name, forms in templates.items():
+        for form in forms:
+            b = norm(form)
+            b = collections.Counter(zip(b, b[1:], strict=False))
+            size = sum(b.values())
+            for i in range(len(words)):
+                left, both = b.copy(), 0
+                for j in range(i + 1, len(words)):
+                    if left[words[j - 1], words[j]] > 0:
+                        left[words[j - 1], words[j]] -= 1
+                        both += 1
+                    d = 2 * both / (j - i + size)
+                    if d >= least:
+                        best[name] = max(best.get(name, 0), d)
+    return best
+
+
+def test_licences_inside_longer_sentences(spark):
+    mit = licences.TEMPLATES["MIT"][0]
+    flat_mit = " ".join(re.findall(r"\w+", mit))
+    texts = ["Unless noted otherwise, all code here is licensed under the Apache License, Version 2.0.",
+             "The parser, written in 2019 by the team, is released under the MIT License.", "word " * 150 + flat_mit + " more" * 90,
+             "All of this work, unless it says so, is licensed under the Creative Commons Attribution 4.0 International License and nothing else", "of the software in the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        want = brute_windows(t, licences.TEMPLATES, licences.LEAST)
+        assert {f.licence: round(f.dice, 12) for f in got[i].found} == {k: round(d, 12) for k, d in want.items()}, i
+    assert [got[i].best_licence for i in range(5)] == ["Apache-2.0", "MIT", "MIT", "CC-BY-4.0", None]
+    run = got[2].found[0]
+    assert run.dice == 1 and texts[2][run.start:run.start + run.n_chars] == flat_mit
+
+
+def test_best_runs_against_all_runs_of_words():
+    rng = np.random.default_rng(9)
+    forms = {"A": ["a b a b c a b"], "B": ["c c c c a", "b a c"], "C": [" ".join(rng.choice(list("abc"), 12))]}
+    known = licences.Templates(forms, 0.8)
+    for n in [*range(30), *[60] * 60]:
+        t = "".join(str(w) + str(rng.choice([" ", " ", " ", ". ", "\n"])) for w in rng.choice(list("abcd"), n))
+        raw = t.encode()
+        got = known.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        words, segments = brute_windows(t, forms, 0.8), brute_scan(t, forms, 0.8)
+        assert {x[0]: round(x[1], 12) for x in got} == {k: round(segments.get(k, d), 12) for k, d in words.items()}, t
+        assert [x[0] for x in got] == sorted(words, key=lambda k: (-words[k], -segments.get(k, words[k]), k))
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 def test_quality_scores(spark, awkward, nothing):
     rng = np.random.default_rng(4)
