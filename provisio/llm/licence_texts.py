@@ -1,5 +1,7 @@
-"""Licence templates by SPDX-like id: full texts of short licences and the notices and phrases that name longer ones.
-Fixed values: the wording is the licences' own; placeholders for holders and years are left out."""
+"""Licence templates by SPDX-like id: full texts of short licences; bodies, notices and phrases of longer ones.  Fixed
+values: the wording is the licences' own; placeholders for holders and years are left out."""
+
+from . import licence_bodies as bodies
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -20,6 +22,9 @@ disclaimer in the documentation and/or other materials provided with the distrib
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
 products derived from this software without specific prior written permission."""
 
+_BSD_ADVERT = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by the organization."""
+
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
 INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
 IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
@@ -41,31 +46,58 @@ Unless required by applicable law or agreed to in writing, software distributed
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License."""
 
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+_GPL = """This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}
 License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} License for more details."""
+
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License {} which
+accompanies this distribution, and is available at {}"""
+
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
 
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+
+def _notice(kind: str, version: str, thing: str = "program") -> str:
+    return _GPL.format(thing, kind, version, thing, kind)
+
+
 _CC = "This work is licensed under the Creative Commons {} 4.0 International License."
 
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [_MIT, "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "BSD-2-Clause": [f"{_BSD_HEAD}\n{_BSD_TAIL}", "Licensed under the 2-Clause BSD License."],
     "BSD-3-Clause": [f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}", "Licensed under the 3-Clause BSD License."],
+    "BSD-4-Clause": [f"{_BSD_HEAD}\n{_BSD_ADVERT}\n{_BSD_THIRD.replace('3.', '4.', 1)}\n{_BSD_TAIL}", "Licensed under the 4-Clause BSD License."],
     "ISC": [_ISC, "Released under the ISC License."],
-    "Apache-2.0": [_APACHE, "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."],
-    "GPL-2.0": [_GPL.format(2), "This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": [_GPL.format(3), "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL v3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MPL-2.0": [_MPL],
+    "Apache-2.0": [bodies.APACHE_2, _APACHE, "Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."],
+    "GPL-2.0": [bodies.GPL_2, _notice("General Public", "2"), "This work is licensed under the GNU General Public License, version 2."],
+    "GPL-3.0": [bodies.GPL_3, _notice("General Public", "3"), "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL v3."],
+    "AGPL-3.0": [bodies.AGPL_3, _notice("Affero General Public", "3"), "This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": [bodies.LGPL_2_1, _notice("Lesser General Public", "2.1", "library"), _notice("Lesser General Public", "2.1"),
+                 "This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": [bodies.LGPL_3, _notice("Lesser General Public", "3"), _notice("Lesser General Public", "3", "library"),
+                 "This work is licensed under the GNU Lesser General Public License, version 3."],
+    "MPL-2.0": [bodies.MPL_2, _MPL],
+    "EPL-1.0": [_EPL.format("v1.0", "http://www.eclipse.org/legal/epl-v10.html")],
+    "EPL-2.0": [_EPL.format("v2.0", "https://www.eclipse.org/legal/epl-2.0")],
+    "BSL-1.0": [bodies.BSL_1, "Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": [_ZLIB],
+    "Unlicense": [bodies.UNLICENSE, bodies.UNLICENSE.split("\n\nTHE SOFTWARE")[0], "This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": [_CC.format("Attribution"), "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": [_CC.format("Attribution-ShareAlike"), "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": [_CC.format("Attribution-NonCommercial"), "Licensed under CC BY-NC 4.0."],
     "CC-BY-ND-4.0": [_CC.format("Attribution-NoDerivatives"), "Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-SA-4.0": [_CC.format("Attribution-NonCommercial-ShareAlike"), "Licensed under CC BY-NC-SA 4.0."],
     "CC-BY-NC-ND-4.0": [_CC.format("Attribution-NonCommercial-NoDerivatives"), "Licensed under CC BY-NC-ND 4.0."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0."],
+    "CC0-1.0": [bodies.CC0_1, "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0."],
 }

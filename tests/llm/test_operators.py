@@ -271,6 +271,26 @@ def test_licences_inside_longer_sentences(spark):
     assert run.dice == 1 and texts[2][run.start:run.start + run.n_chars] == flat_mit
 
 
+def test_every_template_is_told_as_its_own_licence(spark):
+    """In other words of a document, and with white space and punctuation lost."""
+    forms = [(name, text) for name, forms in licences.TEMPLATES.items() for form in forms
+             for text in (form, f"These are the terms of it, as they say: {form} And here it ends, more or less", "so it was told then " + " ".join(re.findall(r"\w+", form)) + " and nobody knew")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id int, text string").repartition(8)).collect()}
+    assert [(name, t[:80]) for i, (name, t) in enumerate(forms) if (got[i].best_licence, got[i].found[0].licence) != (name, name)] == []
+
+
+def test_notices_of_the_gpl_family(spark):
+    notice = lambda thing, kind, version: (
+        f"/* Copyright (C) 2020 Jane Doe\n * This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software\n"
+        f" * Foundation; either version {version} of the License, or (at your option) any later version.\n * This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        f" the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {kind} License for more details.\n"
+        f" * You should have received a copy of the GNU {kind} License along with this {thing}.  If not, see <https://www.gnu.org/licenses/>.\n */\nint main() {{}}")
+    want = {"GPL-2.0": ("program", "General Public", "2"), "GPL-3.0": ("program", "General Public", "3"), "AGPL-3.0": ("program", "Affero General Public", "3"),
+            "LGPL-2.1": ("library", "Lesser General Public", "2.1"), "LGPL-3.0": ("library", "Lesser General Public", "3")}
+    got = {r.doc_id: r.best_licence for r in licences.scan(spark.createDataFrame([(k, notice(*v)) for k, v in want.items()], "doc_id string, text string")).collect()}
+    assert got == {k: k for k in want}
+
+
 def test_best_runs_against_all_runs_of_words():
     rng = np.random.default_rng(9)
     forms = {"A": ["a b a b c a b"], "B": ["c c c c a", "b a c"], "C": [" ".join(rng.choice(list("abc"), 12))]}
