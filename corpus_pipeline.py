@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.  A link takes a similarity of 0.8 over
-    five-word shingles."""
-    return superminhash.keep_one(docs, percent=80)
+    five-word shingles.  Rows of one id with different texts are different documents."""
+    return superminhash.keep_one(docs, percent=80, unique_ids=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

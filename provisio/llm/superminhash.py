@@ -130,6 +130,11 @@ def set_link(percent: int):
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, doc_id, text, percent).select(doc_id, "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, node, label of its component (null without words), component_id, kept."""
     body = fresh_name([doc_id], "body")
     kind = docs.schema[doc_id].dataType
     source = docs.select(doc_id, F.col(text).alias(body))
@@ -183,15 +188,34 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     nodes = node.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = nodes.join(least, "label").select("node", "component")
+    of_node = nodes.join(least, "label").select("node", "label", "component")
     found = signed.select(doc_id, "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col(doc_id))
-    return found.select(doc_id, "n_shingles", component.alias("component_id"), F.col(doc_id).eqNullSafe(component).alias("kept"))
+    return found.select(doc_id, "n_shingles", "node", "label", component.alias("component_id"), F.col(doc_id).eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` less all but one of each group of near copies."""
-    kept = near_copies(docs, doc_id, **options).where("kept").select(F.col(doc_id).alias("kept_id")).distinct()
-    stay = docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi")
-    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty()
-    return stay if repeated else stay.where(F.col(doc_id).isNull()).unionByName(stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, unique_ids: bool = True) -> DataFrame:
+    """The rows of `docs` less all but one of each group of near copies: of the rows with the group's smallest id, those of
+    its first set, and of these the one with the least row hash.  Rows without a word all stay.  `unique_ids`: of what
+    stays, one row of each id."""
+    node, at = fresh_name(docs.columns, "node"), fresh_name(docs.columns, "at")
+    row_key = lambda n: F.concat(F.col(n), F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("")).cast("binary"))
+    kept = (_grouped(docs, doc_id, text, percent).where("kept AND n_shingles > 0").groupBy("label").agg(F.min(doc_id).alias(doc_id), F.min("node").alias(node))
+            .select(row_key(node).alias(at)))
+
+    def add_node(batches):
+        for batch in batches:
+            for part in slices(batch, text, 1 << 20):
+                keys = set_keys(shingle_sets(*flat(part.column(part.schema.get_field_index(text)))))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, node])
+
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    schema = docs.withColumn(node, F.lit(b"")).schema
+    known = docs.where(has_words).mapInArrow(add_node, schema).select(*docs.columns, row_key(node).alias(at))
+    # a shuffle for the join serves the grouping too
+    row_hash = F.xxhash64(*[F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    first = known.join(kept, at, "left_semi").groupBy(at).agg(F.min_by(F.struct(*docs.columns), row_hash).alias("row")).select("row.*")
+    stay = first.unionByName(docs.where(~has_words))
+    if not unique_ids:
+        return stay
+    return stay.where(F.col(doc_id).isNull()).unionByName(stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))

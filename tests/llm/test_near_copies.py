@@ -94,6 +94,19 @@ def test_awkward_rows(spark, awkward, rows, nothing):
     assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 8, 9, 11, 12] and ids.count(None) == 2
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark, awkward):
+    ids = [r.doc_id for r in superminhash.keep_one(awkward, unique_ids=False).select("doc_id").collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 8, 9, 11, 12, 12] and ids.count(None) == 2
+    t = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(None, t[0]), (None, t[0].upper()), (None, t[1]), (None, t[0]), (5, t[2]), (3, t[2]), (5, t[3]), (7, t[4]), (7, t[4]), (7, t[4] + " more"), (None, t[4]), (8, t[5]),
+            (None, ""), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, {"a": i}) for i, r in enumerate(rows)], "doc_id long, text string, node string, at int, row map<string,int>").repartition(4)
+    got = [(r.doc_id, (r.text or "").lower()) for r in superminhash.keep_one(docs, unique_ids=False).collect()]
+    assert sum(i == 7 for i, _ in got) == 1  # of three rows in one group
+    want = [(None, ""), (None, ""), (None, t[0]), (None, t[1]), (3, t[2]), (5, t[3]), (8, t[5]), (8, "")]
+    assert collections.Counter(x for x in got if x[0] != 7) == collections.Counter(want)
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.85, 0.95):
