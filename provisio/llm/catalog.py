@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, iblt, licences, main_text, packing, ppm_language, quality_net, superminhash, warc_bundles
+from . import (bpe, filter_audit, host_rules, iblt, licences, main_text, mixing, packing, ppm_language, quality_net, reversed_search,
+               superminhash, warc_bundles)
 from .common import table
 
 
@@ -64,6 +65,21 @@ def op10_quality_net(spark, sf_dir):
     return quality_net.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark, sf_dir):
+    """Every document's part in the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_reversed_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    """Every order and step of five filters, by language."""
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_host_rules": op2_host_rules,
@@ -75,6 +91,9 @@ QUERIES = {
     "op8_ppm_language": op8_ppm_language,
     "op9_licences": op9_licences,
     "op10_quality_net": op10_quality_net,
+    "op11_mixing": op11_mixing,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: The same by nested lists: words, equal lines, and word positions that any repeated window covers.
@@ -121,4 +140,72 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM l
 """
 
-ORACLES = {"op1_warc_bundles": OP1_SQL, "op2_host_rules": OP2_SQL}
+#: The levels by sorting: in the order of bound by share, a source stops if what those before it leave is above its bound.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS DOUBLE) AS solid,
+        CAST(length(regexp_replace(t, '[^\x21-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS DOUBLE) AS odd,
+        (CAST(CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 13) AS BIGINT) AS DOUBLE)
+         + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
+k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.1::DOUBLE, 1::DOUBLE - 4::DOUBLE * CASE WHEN solid > 0 THEN odd / solid ELSE 0::DOUBLE END) AS key FROM m),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS share, 3 * source_size AS bound FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(share) OVER () AS shares,
+        coalesce(sum(bound) OVER w, 0) AS bounds_before, coalesce(sum(share) OVER w, 0) AS shares_before FROM r
+      WINDOW w AS (ORDER BY bound::DOUBLE / share, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, (total - bounds_before)::DOUBLE / (shares - shares_before)::DOUBLE * share > bound AS stops FROM o),
+l AS (SELECT *, CAST(total - sum(CASE WHEN stops THEN bound ELSE 0 END) OVER () AS BIGINT) AS rest_words,
+        CAST(sum(CASE WHEN stops THEN 0 ELSE share END) OVER () AS BIGINT) AS rest_shares FROM p),
+g AS (SELECT source, source_size, CASE WHEN stops THEN bound::DOUBLE ELSE (share * rest_words)::DOUBLE / rest_shares::DOUBLE END AS target,
+        CAST(CASE WHEN stops THEN bound ELSE (share * rest_words) // rest_shares END AS BIGINT) AS words FROM l),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT doc_id, size, b.source AS source, source_size, target,
+       CAST(size * (words // greatest(source_size, 1)) + least(size, greatest(0, words % greatest(source_size, 1) - before)) AS BIGINT) AS taken
+FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY rid),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+i AS (SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+u AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+q AS (SELECT item, item_id, term, count(*) AS times FROM u GROUP BY ALL),
+s AS (SELECT item, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (rid), c GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+#: Every order and step counted anew from the documents' masks, without the walk.
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws
+           FROM (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents)),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+g AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM g a, g b, g c, g d, g e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS earlier
+      FROM (SELECT *, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLES = {"op1_warc_bundles": OP1_SQL, "op2_host_rules": OP2_SQL, "op11_mixing": OP11_SQL, "op12_reversed_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
