@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from provisio.params import ReservingParams
 from provisio.plans.pipeline import ReservingPipeline
-from provisio.plans.report import report_cells, write_report
-from provisio.operators import reserves
+from provisio.plans.report import write_report
 from provisio.sources import dimensions as dim
 from provisio.sources import production as prod
 
@@ -60,13 +59,9 @@ def run(spark: SparkSession, production: str, claims: str, params: ReservingPara
     for name, df in tables.items():
         safe = name.replace(" ", "_").lower()
         df.write.mode("overwrite").option("header", True).csv(f"{out}/tables/{safe}")
-    pol, clm = pipe.policy, pipe.claims
-    frames = {"PE": pol.pe, "Taux PREC": pol.taux, "PREC": pol.prec, "PA": pol.pa, "PA split": pol.pa_split,
-              "CU": pol.cu, "CU agrege": reserves.cu_aggregated(pol.cu), "Sinistres nombre": clm.cells,
-              "Sinistres cout": clm.cells, "Reglements": clm.cells, "SAP": clm.cells, "PSAP": pipe.psap()}
-    write_report(report_cells(frames, comments), f"{out}/report")
+    write_report(pipe.report(comments), f"{out}/report")
     return {"landed": landed, "tables": sorted(tables), "report": f"{out}/report",
-            "psap_total": pipe.psap().agg(F.sum("PSAP")).first()[0]}
+            "psap_total": pipe.psap.agg(F.sum("PSAP")).first()[0]}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -2,25 +2,27 @@
 
 ``createDataFrame`` over a Python list yields an RDD scan of unknown size,
 so joins against it are first planned as shuffles.  A literal array of
-structs exploded over a one-row range is planned with a known, tiny size and
+structs unfolded over a one-row range is planned with a known, tiny size and
 joins against it are broadcast statically.  Only driver-held parameters
-(bounded by their definition) go through here.
+(bounded by their definition) go through here; they travel as one literal, so
+that a plan is built in few calls however many rows there are.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     st: StructType = _parse_datatype_string(schema)
     if not rows:
         return spark.createDataFrame([], st)
-    names = [f.name for f in st.fields]
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
+    data = json.dumps([dict(zip(st.fieldNames(), r, strict=True)) for r in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), ArrayType(st), {"mode": "FAILFAST"}))).select(*st.fieldNames())
 
 
 def ratio_frame(spark: SparkSession, ratios: dict | DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions.dates import days_between
 from provisio.operators.literal import literal_frame, ratio_frame
+from provisio.operators.mapping import map_literal
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, FG_LOADING, IBNR_LF_BASE, IBNR_LF_EXPIRED, IBNR_LF_SLOPE,
     IBNR_LOSS_RATIO, NULL_EXERCICE, PLATFORM_SHARE_MISSING_CALC, PLATFORM_SHARE_OTHER_YEAR,
@@ -98,15 +99,47 @@ def taux_prec(pe_cells: DataFrame, loss_ratios: dict | DataFrame, frais_generaux
     lr = ratio_frame(pe_cells.sparkSession, loss_ratios)
     pe_last = (last_year_filter(pe_cells, last_exercice)
                .groupBy("Branche").agg(F.sum("PE").alias("PE_Total")))
-    total_pe = pe_last.agg(F.sum("PE_Total")).scalar()
+    total_pe = _total_of_year(pe_cells, last_exercice)
     out = lr.join(pe_last, "Branche", "left").na.fill({"PE_Total": 0.0})
-    fg = F.try_divide(F.col("PE_Total"), total_pe) * F.lit(float(frais_generaux))
-    out = out.withColumn("FG_Reparti", fg)
+    fg, rate = _rate(F.col("Loss_Ratio"), F.col("PE_Total"), total_pe, frais_generaux, taux_min)
+    return out.select("Branche", "Loss_Ratio", "PE_Total", fg.alias("FG_Reparti"), rate.alias("Taux_PREC")).orderBy("Branche")
+
+
+def _total_of_year(pe_cells: DataFrame, exercice: str | None) -> Column:
+    return last_year_filter(pe_cells, exercice).agg(F.sum("PE")).scalar()
+
+
+def _rate(ratio: Column, pe: Column, total_pe: Column, frais_generaux: float, taux_min: float) -> tuple[Column, Column]:
+    """The branch's share of the general expenses and its rate."""
+    fg = F.try_divide(pe, total_pe) * F.lit(float(frais_generaux))
+    loaded = ratio + F.try_divide(F.lit(FG_LOADING) * fg, pe)
     floor = F.lit(float(taux_min))
-    loaded = F.col("Loss_Ratio") + F.try_divide(F.lit(FG_LOADING) * F.col("FG_Reparti"), F.col("PE_Total"))
-    rate = (F.when(F.col("PE_Total") == 0, F.greatest(floor, F.col("Loss_Ratio")))
-            .otherwise(F.greatest(floor, loaded)))
-    return out.select("Branche", "Loss_Ratio", "PE_Total", "FG_Reparti", rate.alias("Taux_PREC")).orderBy("Branche")
+    return fg, F.when(pe == 0, F.greatest(floor, ratio)).otherwise(F.greatest(floor, loaded))
+
+
+def rated_cells(cells_df: DataFrame, loss_ratios: dict | DataFrame, frais_generaux: float, last_exercice: str | None,
+                taux_min: float = TAUX_PREC_MIN) -> DataFrame:
+    """The cells with the rate of their branch (``Taux_PREC``) and their ``PREC``.
+
+    A branch's cells are gathered into one row (its years), where the rate is
+    taken from the premium of the last year, and unfolded again: the rate table
+    is never joined back to the cells.  Ratios given as a dictionary are looked
+    up in a map literal, a table of ratios is joined to the branch rows."""
+    own = [c for c in cells_df.columns if c != "Branche"]
+    in_last = F.coalesce(F.col("Exercice"), F.lit(NULL_EXERCICE)) == F.lit(last_exercice)
+    branches = cells_df.groupBy("Branche").agg(
+        F.coalesce(F.sum(F.when(in_last, F.col("PE"))), F.lit(0.0)).alias("_pe"), F.collect_list(F.struct(*own)).alias("_cells"))
+    if isinstance(loss_ratios, DataFrame):
+        branches = branches.join(loss_ratios.select("Branche", F.col("Loss_Ratio").alias("_ratio")), "Branche", "left")
+    else:
+        ratio = F.lit(None).cast("double")
+        if loss_ratios:
+            ratio = F.try_element_at(map_literal({k: float(v) for k, v in loss_ratios.items()}), F.col("Branche"))
+        branches = branches.withColumn("_ratio", ratio)
+    _, rate = _rate(F.col("_ratio"), F.col("_pe"), _total_of_year(cells_df, last_exercice), frais_generaux, taux_min)
+    rate = F.when(F.col("_ratio").isNotNull(), rate).otherwise(F.lit(float(taux_min)))
+    out = branches.select("Branche", rate.alias("Taux_PREC"), F.inline("_cells"))
+    return out.withColumn("PREC", F.coalesce(F.col("PREC_base") * F.col("Taux_PREC"), F.lit(0.0)))
 
 
 def prec_cells(cells_df: DataFrame, taux: DataFrame, taux_min: float = TAUX_PREC_MIN) -> DataFrame:
@@ -173,24 +206,27 @@ def pa_split(pa: DataFrame, platform_shares: list, guarantee_shares: list, value
     coeff(type, year) = plat(year) * type.plat + off(year) * type.off; a year
     without shares gets 0/0 (its amount disappears); coefficients are not
     normalised.  Without both guarantee types the input is returned."""
+    parts = split_parts(F.col("Branche"), F.col("Exercice"), F.col(value), platform_shares, guarantee_shares)
+    if parts is None:
+        return pa
+    return pa.filter(F.col("Branche").isNotNull()).select("Exercice", F.explode(parts).alias("_p")).select(
+        F.col("_p.Branche").alias("Branche"), "Exercice", F.col("_p.v").alias(value))
+
+
+def split_parts(branch: Column, exercice: Column, amount: Column, platform_shares: list, guarantee_shares: list) -> Column | None:
+    """The rows of the split that a cell becomes, as an array of (Branche, v): two for the motor branch, itself for any
+    other.  None without both guarantee types."""
     types: dict = {}
     for t, p, h in guarantee_shares:
         types.setdefault(t, (float(p), float(h)))
     if AUTO_RC not in types or AUTO_AR not in types:
-        return pa
-    plat = {str(y): (float(p), float(h)) for y, p, h in platform_shares}
-    ex = F.col("Exercice")
-    if plat:
-        p_share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for y, (p, _) in sorted(plat.items()) for x in (y, p)]), ex),
-                             F.lit(PLATFORM_SHARE_MISSING_CALC[0]))
-        h_share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for y, (_, h) in sorted(plat.items()) for x in (y, h)]), ex),
-                             F.lit(PLATFORM_SHARE_MISSING_CALC[1]))
-    else:
-        p_share, h_share = F.lit(PLATFORM_SHARE_MISSING_CALC[0]), F.lit(PLATFORM_SHARE_MISSING_CALC[1])
-    pair = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(types[t][0]).alias("tp"), F.lit(types[t][1]).alias("th"))
-                     for t in (AUTO_RC, AUTO_AR)])
-    auto = pa.filter(F.col("Branche") == AUTO_BRANCH).select("Exercice", value, F.explode(pair).alias("s"))
-    coeff = p_share * F.col("s.tp") + h_share * F.col("s.th")
-    split_rows = auto.select(F.col("s.t").alias("Branche"), "Exercice", (F.col(value) * coeff).alias(value))
-    others = pa.filter(F.col("Branche") != AUTO_BRANCH)
-    return others.unionByName(split_rows)
+        return None
+    shares = {str(y): (float(p), float(h)) for y, p, h in platform_shares}
+
+    def share(i: int) -> Column:
+        missing = F.lit(PLATFORM_SHARE_MISSING_CALC[i])
+        return F.coalesce(F.try_element_at(map_literal({y: s[i] for y, s in shares.items()}), exercice), missing) if shares else missing
+
+    plat, off = share(0), share(1)
+    pair = [F.struct(F.lit(t).alias("Branche"), (amount * (plat * F.lit(types[t][0]) + off * F.lit(types[t][1]))).alias("v")) for t in (AUTO_RC, AUTO_AR)]
+    return F.when(branch == AUTO_BRANCH, F.array(*pair)).otherwise(F.array(F.struct(branch.alias("Branche"), amount.alias("v"))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.params import TOTAL_COL, TOTAL_ROW
-from provisio.session import materialize
+from provisio.session import materialize_observed
 
 KEYS = ["Branche", "Exercice"]
 
@@ -32,18 +32,24 @@ def years_of(cells_df: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
+def stored_with_years(cells_df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The cells as a stored table and their sorted years: one job, the years are
+    gathered from the rows while these are written."""
+    stored, told = materialize_observed(cells_df, years=F.collect_set("Exercice"))
+    return stored, sorted(told["years"])
+
+
 def recap_matrix(cells_df: DataFrame, value: str, years: list[str] | None = None,
                  branch: str = "Branche", part: str | None = None) -> DataFrame:
     """OP-A2: Branche x sorted years + Total column, TOTAL row last.
 
     ``cells_df`` holds one row per (branch, Exercice).  Missing cells are 0.
-    When ``years`` is not given the cells are stored first and the years read
-    from them, so the upstream scan still runs once.  Rows of one branch that
+    When ``years`` is not given the cells are stored and their years gathered by
+    the same job, so the upstream scan runs once.  Rows of one branch that
     differ in ``part`` stay rows of their own.
     """
     if years is None:
-        cells_df = materialize(cells_df)
-        years = years_of(cells_df)
+        cells_df, years = stored_with_years(cells_df)
     years = sorted(years)
     dtype = dict(cells_df.dtypes)[value]
     zero = F.lit(0).cast(dtype)

@@ -8,12 +8,13 @@ joins, and every lookup parameter is a map literal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.text import ustrip
 from provisio.operators.literal import literal_frame
-from provisio.operators.recap import KEYS, recap_matrix
+from provisio.operators.mapping import map_literal
+from provisio.operators.recap import recap_matrix
 from provisio.params import (
     AUTO_AR, AUTO_BRANCH, AUTO_RC, BODILY_BRANCH, HIDDEN_CU_BRANCHES, MANUAL_PSAP_BRANCHES, TOTAL_ROW,
 )
@@ -26,16 +27,17 @@ def _stripped_ratios(loss_ratios: dict) -> dict:
     return out
 
 
+def cu_ratio(branch: Column, loss_ratios: dict) -> Column:
+    """The loss ratio of a stripped branch, 0 without one."""
+    lr = _stripped_ratios(loss_ratios)
+    return F.coalesce(F.try_element_at(map_literal(lr), branch), F.lit(0.0)) if lr else F.lit(0.0)
+
+
 def cu_cells(pa: DataFrame, loss_ratios: dict, value: str = "PA") -> DataFrame:
     """OP-R6: CU = PA * LR(stripped branch), missing ratio -> 0."""
     b = ustrip(F.col("Branche"))
-    lr = _stripped_ratios(loss_ratios)
-    ratio = F.lit(0.0)
-    if lr:
-        ratio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(lr.items()) for x in kv]), b),
-                           F.lit(0.0))
     return (pa.withColumn("Branche", b).filter(F.col("Branche") != TOTAL_ROW)
-            .select("Branche", "Exercice", (F.col(value) * ratio).alias("CU")))
+            .select("Branche", "Exercice", (F.col(value) * cu_ratio(F.col("Branche"), loss_ratios)).alias("CU")))
 
 
 def cu_aggregated(cu: DataFrame) -> DataFrame:
@@ -68,23 +70,32 @@ def ibnr_pivot(ibnr: DataFrame, years: list[str]) -> DataFrame:
     return m.filter(F.col("Branche") != TOTAL_ROW)
 
 
-def _grid(branches: DataFrame, years: list[str]) -> DataFrame:
-    return branches.select("Branche", F.explode(F.array(*[F.lit(y) for y in sorted(years)])).alias("Exercice"))
+def _tagged(df: DataFrame, kind: str, value, branch=None, merged=None) -> DataFrame:
+    value = F.col(value) if isinstance(value, str) else value
+    return df.select((F.col("Branche") if branch is None else branch).alias("Branche"), "Exercice", value.cast("double").alias("v"),
+                     (F.lit(False) if merged is None else merged).alias("_merged"), F.lit(kind).alias("_kind"))
 
 
-def _per_year(value: str, kind: str, years: list[str]) -> list:
-    """The sums of one kind of tagged rows, a column per year."""
-    own = (F.col("_kind") == kind)
-    return [F.sum(F.when(own & (F.col("Exercice") == y), F.col(value))).alias(f"{kind}_{i}") for i, y in enumerate(years)]
+def has_kind(kind: str) -> Column:
+    """Whether a group of tagged rows has one of ``kind``."""
+    return F.bool_or(F.col("_kind") == kind).alias(f"has_{kind}")
 
 
-def _has(kind: str):
-    return F.max(F.when(F.col("_kind") == kind, F.lit(True))).alias(f"has_{kind}")
+def gathered() -> Column:
+    """The tagged rows of a group as one array (a branch's cells: a few per year)."""
+    return F.collect_list(F.struct("Exercice", "_kind", "v")).alias("_rows")
 
 
-def _tagged(df: DataFrame, kind: str, value: str, branch=None, merged=None) -> DataFrame:
-    return df.select((F.col("Branche") if branch is None else branch).alias("Branche"), "Exercice", F.col(value).cast("double").alias("v"),
-                     (F.lit(False) if merged is None else merged).alias("_merged"), F.lit(kind).alias("_kind"))
+def year_sum(year: Column, *kinds: str) -> Column:
+    """The sum of a year's gathered rows of some kinds, 0 without any."""
+    own = F.filter("_rows", lambda r: (r["Exercice"] == year) & r["_kind"].isin(*kinds))
+    return F.aggregate(own, F.lit(0.0), lambda a, r: a + F.coalesce(r["v"], F.lit(0.0)))
+
+
+def _unfolded(groups: DataFrame, years: list[str], *keep: str, **values) -> DataFrame:
+    """A row per group and year; a value is a function of the year."""
+    cells = F.transform(F.lit(sorted(years)).cast("array<string>"), lambda y: F.struct(y.alias("Exercice"), *[v(y).alias(n) for n, v in values.items()]))
+    return groups.select(*keep, F.inline(cells))
 
 
 def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str]) -> DataFrame:
@@ -92,14 +103,10 @@ def psap_corporels(sap_cells: DataFrame, ibnr: DataFrame, years: list[str]) -> D
 
     Empty unless both an IBNR and a SAP row exist for the branch.  One
     aggregate over the tagged rows of both sides."""
-    years = sorted(years)
     rows = _tagged(sap_cells.filter(F.col("Branche") == BODILY_BRANCH), "sap", "SAP").unionByName(
         _tagged(ibnr, "ibnr", "IBNR", branch=F.lit(BODILY_BRANCH)))
-    wide = rows.groupBy("Branche").agg(*_per_year("v", "sap", years), *_per_year("v", "ibnr", years), _has("sap"), _has("ibnr"))
-    zero = F.lit(0.0)
-    cells = [F.struct(F.lit(y).alias("Exercice"), F.coalesce(f"sap_{i}", zero).alias("SAP"), F.coalesce(f"ibnr_{i}", zero).alias("IBNR"))
-             for i, y in enumerate(years)]
-    return (wide.filter("has_sap AND has_ibnr").select(F.inline(F.array(*cells)))
+    both = rows.groupBy("Branche").agg(gathered(), has_kind("sap"), has_kind("ibnr")).filter("has_sap AND has_ibnr")
+    return (_unfolded(both, years, SAP=lambda y: year_sum(y, "sap"), IBNR=lambda y: year_sum(y, "ibnr"))
             .withColumn("PSAP", F.col("SAP") + F.col("IBNR")))
 
 
@@ -113,49 +120,58 @@ def psap_corporels_detail(corp: DataFrame) -> DataFrame:
             .orderBy("_g", "Exercice").drop("_g"))
 
 
+def manual_overrides(user_overrides: list, years: list[str]) -> list[tuple[str, str, float]]:
+    """OP-S8: (Branche, Exercice, PSAP) of every manual branch and year: the
+    given amounts (summed, 0 where none is given), or zeros for every manual
+    branch when none has any.  Parameters of the run, held by the driver."""
+    given = [(str(b), str(y), float(v)) for b, y, v in user_overrides if str(b) in MANUAL_PSAP_BRANCHES]
+    branches = sorted({b for b, _, _ in given}) or MANUAL_PSAP_BRANCHES
+    return [(b, y, float(sum(v for b2, y2, v in given if (b2, y2) == (b, y)))) for b in branches for y in sorted(years)]
+
+
 def assemble_overrides(spark, user_overrides: list, corp: DataFrame | None, years: list[str]) -> DataFrame:
-    """OP-R11 / OP-S8: manual branches (default zeros when none supplied) plus
-    the bodily-injury SAP + IBNR row; long (Branche, Exercice, PSAP)."""
-    rows = [(str(b), str(y), float(v)) for b, y, v in user_overrides if str(b) in MANUAL_PSAP_BRANCHES]
-    if not rows:
-        rows = [(b, y, 0.0) for b in MANUAL_PSAP_BRANCHES for y in sorted(years)]
-    manual = literal_frame(spark, rows, "Branche string, Exercice string, PSAP double")
-    manual = manual.filter(F.col("Exercice").isin(sorted(years)))
-    manual_grid = _grid(literal_frame(spark, sorted({(r[0],) for r in rows}), "Branche string"), years)
-    manual = (manual_grid.join(manual.groupBy(*KEYS).agg(F.sum("PSAP").alias("PSAP")), KEYS, "left")
-              .select(*KEYS, F.coalesce("PSAP", F.lit(0.0)).alias("PSAP")))
+    """OP-R11 / OP-S8: the manual branches plus the bodily-injury SAP + IBNR
+    row; long (Branche, Exercice, PSAP)."""
+    manual = literal_frame(spark, manual_overrides(user_overrides, years), "Branche string, Exercice string, PSAP double")
     if corp is None:
         return manual
     return manual.unionByName(corp.select(F.lit(BODILY_BRANCH).alias("Branche"), "Exercice", "PSAP"))
 
 
+def psap_groups(tagged: DataFrame, *keys: str) -> DataFrame:
+    """Tagged rows per branch: the rows, and whether the branch has CU or is replaced."""
+    return tagged.groupBy(*keys, "Branche", "_merged").agg(gathered(), *[has_kind(k) for k in ("cu", "over", "sap", "ibnr")])
+
+
+def _replaced() -> Column:
+    return F.col("has_over") | (F.col("has_sap") & F.col("has_ibnr"))
+
+
+def psap_kept() -> Column:
+    """Branches that PSAP shows: those replaced, as one row whatever rows they had, and those with CU."""
+    return (_replaced() & ~F.col("_merged")) | (~_replaced() & F.col("has_cu"))
+
+
+def psap_value(year: Column) -> Column:
+    """CU less paid (tagged as a negative amount) of a year, or what replaces it."""
+    corp = F.when(F.col("has_sap") & F.col("has_ibnr"), year_sum(year, "sap", "ibnr")).otherwise(F.lit(0.0))
+    return F.when(_replaced(), year_sum(year, "over") + corp).otherwise(year_sum(year, "cu", "paid"))
+
+
 def psap_cells(cu: DataFrame, paid: DataFrame, overrides: DataFrame | None, years: list[str]) -> DataFrame:
     """OP-R10: CU (AUTO RC+AR merged) - paid on the dense CU grid (negative
     allowed); override branches replace whole rows.
 
-    One aggregate: CU, paid and override rows are tagged, summed per branch
-    with a column per year, and the years are unfolded again."""
-    years = sorted(years)
-    total = F.col("Branche") != TOTAL_ROW
+    One aggregate: CU, paid and override rows are tagged and gathered per
+    branch, and the years are unfolded from there.  What was paid for the motor
+    branch counts for its merged row as well."""
+    own = F.col("Branche") != TOTAL_ROW
     split = F.col("Branche").isin([AUTO_RC, AUTO_AR])
-    rows = _tagged(cu.filter(total), "cu", "CU", F.when(split, F.lit(AUTO_BRANCH)).otherwise(F.col("Branche")), split)
-    settled = _tagged(paid.filter(total), "paid", "Total_Reglement")
-    also = settled.filter(F.col("Branche") == AUTO_BRANCH).withColumn("_merged", F.lit(True))   # for the merged row
-    rows = rows.unionByName(settled).unionByName(also)
-    kinds = ["cu", "paid"]
+    rows = _tagged(cu.filter(own), "cu", "CU", F.when(split, F.lit(AUTO_BRANCH)).otherwise(F.col("Branche")), split)
+    others = _tagged(paid.filter(own), "paid", -F.col("Total_Reglement"))
     if overrides is not None:
-        given = _tagged(overrides, "over", "PSAP")
-        rows = rows.unionByName(given).unionByName(given.filter(F.col("Branche") == AUTO_BRANCH).withColumn("_merged", F.lit(True)))
-        kinds.append("over")
-    wide = rows.groupBy("Branche", "_merged").agg(*[c for k in kinds for c in _per_year("v", k, years)], *[_has(k) for k in kinds])
-    zero, none = F.lit(0.0), F.lit(None).cast("boolean")
-    over = F.coalesce(F.col("has_over") if overrides is not None else none, F.lit(False))
-    cells = []
-    for i, y in enumerate(years):
-        value = F.coalesce(f"cu_{i}", zero) - F.coalesce(f"paid_{i}", zero)
-        if overrides is not None:
-            value = F.when(over, F.coalesce(f"over_{i}", zero)).otherwise(value)
-        cells.append(F.struct(F.lit(y).alias("Exercice"), value.alias("PSAP")))
-    # a replaced branch has one row, whatever rows it had
-    kept = wide.filter((over & ~F.col("_merged")) | (~over & F.coalesce(F.col("has_cu"), F.lit(False))))
-    return kept.select("Branche", "_merged", F.inline(F.array(*cells)))
+        others = others.unionByName(_tagged(overrides, "over", "PSAP"))
+    twice = F.when(F.col("Branche") == AUTO_BRANCH, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.unionByName(others.withColumn("_merged", F.explode(twice)))
+    groups = psap_groups(rows).filter(psap_kept())
+    return _unfolded(groups, years, "Branche", "_merged", PSAP=psap_value)

@@ -587,11 +587,7 @@ def _report_cells_sql() -> str:
 
 @register("report_cells", _report_cells_sql())
 def q_report_cells(spark, sf_dir):
-    st, cl = both_stages(spark, sf_dir)
-    frames = {"PE": st.pe, "Taux PREC": st.taux, "PREC": st.prec, "PA": st.pa, "PA split": st.pa_split,
-              "CU": st.cu, "CU agrege": reserves.cu_aggregated(st.cu), "Sinistres nombre": cl.cells,
-              "Sinistres cout": cl.cells, "Reglements": cl.cells, "SAP": cl.cells, "PSAP": pipeline.psap(st, cl)}
-    rep = report_ops.report_cells(frames)
+    rep = pipeline.reserving_report(*both_stages(spark, sf_dir))
     v = F.col("value_double")
     rep = rep.withColumn("value_double", F.when(F.col("col_name").isin("Loss_Ratio", "Taux_PREC"), micro(v)).otherwise(cents(v)))
     return rep.withColumn("value_text", fmt.fmt_report(F.col("value_double")))

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from provisio.operators import claims as claims_ops
 from provisio.operators import premium, reserves
 from provisio.operators.mapping import map_policies
-from provisio.operators.recap import recap_matrix, years_of
+from provisio.operators.recap import recap_matrix, stored_with_years, years_of
 from provisio.params import ReservingParams
+from provisio.plans.report import matrix_cells, render
 from provisio.session import materialize
 from provisio.sources.production import require_columns
 
@@ -38,30 +39,40 @@ class PolicyStage:
         self.mapped = map_policies(policies_raw, params.mapping)
 
     @cached_property
+    def _stored(self) -> tuple[DataFrame, list[str]]:
+        agg = premium.policy_cells(self.mapped, self.params.date_eval, self.params.ibnr_loss_ratio())
+        return stored_with_years(agg) if self.checkpoint else (agg, years_of(agg))
+
+    @property
     def cells(self) -> DataFrame:
-        return self._cut(premium.policy_cells(self.mapped, self.params.date_eval, self.params.ibnr_loss_ratio()))
+        return self._stored[0]
 
-    @cached_property
+    @property
     def years(self) -> list[str]:
-        return years_of(self.cells)
+        return self._stored[1]
+
+    @property
+    def last(self) -> str | None:
+        """The last year: the lexicographic maximum, as the method."""
+        return self.years[-1] if self.years else None
 
     @cached_property
     def pe(self) -> DataFrame:
         return self.cells.select("Branche", "Exercice", "PE")
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return materialize(df) if self.checkpoint else df
-
     @cached_property
     def taux(self) -> DataFrame:
         p = self.params
-        last = self.years[-1] if self.years else None        # lexicographic max, as the method
-        # PREC, PA, split, CU and PSAP all join it: stored once instead of planned into each
-        return self._cut(premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, last, p.taux_min))
+        return premium.taux_prec(self.cells, p.loss_ratios, p.frais_generaux, self.last, p.taux_min)
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        p = self.params
+        return premium.rated_cells(self.cells, p.loss_ratios, p.frais_generaux, self.last, p.taux_min)
 
     @cached_property
     def prec(self) -> DataFrame:
-        return premium.prec_cells(self.cells, self.taux, self.params.taux_min)
+        return self.rated.select("Branche", "Exercice", "PE", "PREC")
 
     @cached_property
     def pa(self) -> DataFrame:
@@ -92,13 +103,17 @@ class ClaimsStage:
         self.checkpoint = checkpoint
 
     @cached_property
-    def cells(self) -> DataFrame:
+    def _stored(self) -> tuple[DataFrame, list[str]]:
         agg = claims_ops.claims_agg(self.rows)
-        return materialize(agg) if self.checkpoint else agg
+        return stored_with_years(agg) if self.checkpoint else (agg, years_of(agg))
 
-    @cached_property
+    @property
+    def cells(self) -> DataFrame:
+        return self._stored[0]
+
+    @property
     def years(self) -> list[str]:
-        return years_of(self.cells)
+        return self._stored[1]
 
 
 def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: ReservingParams,
@@ -108,7 +123,7 @@ def build_stages(policies_raw: DataFrame, claims_raw: DataFrame, params: Reservi
     from concurrent.futures import ThreadPoolExecutor
 
     def ready(stage):
-        stage.years  # noqa: B018 - stores the cells and reads their years in this thread
+        stage.years  # noqa: B018 - stores the cells and gathers their years in this thread
         return stage
 
     with ThreadPoolExecutor(max_workers=2) as pool:
@@ -126,6 +141,16 @@ def psap(policy: PolicyStage, claims: ClaimsStage) -> DataFrame:
     return reserves.psap_cells(policy.cu, claims.cells, psap_overrides(policy, claims), policy.years)
 
 
+def reserving_report(policy: PolicyStage, claims: ClaimsStage, comments: dict[str, str] | None = None) -> DataFrame:
+    """OP-R12 / OP-S5: every section of the report in one plan: the policy
+    cells with their rates and the claims cells are read once each, every cell
+    gives its rows of all sections, and one aggregate gathers them."""
+    p, years = policy.params, policy.years
+    rows = matrix_cells(policy.rated, claims.cells, reserves.manual_overrides(p.psap_overrides, years), years,
+                        p.platform_shares, p.guarantee_shares, p.loss_ratios_split)
+    return render(rows, {"Taux PREC": policy.taux}, comments)
+
+
 class ReservingPipeline:
     """Runs every step of the method and returns the presented tables."""
 
@@ -137,8 +162,13 @@ class ReservingPipeline:
     def psap_overrides(self) -> DataFrame:
         return psap_overrides(self.policy, self.claims)
 
+    @cached_property
     def psap(self) -> DataFrame:
-        return psap(self.policy, self.claims)
+        """Stored: the presented table, its total and the caller read it."""
+        return materialize(psap(self.policy, self.claims))
+
+    def report(self, comments: dict[str, str] | None = None) -> DataFrame:
+        return reserving_report(self.policy, self.claims, comments)
 
     def run(self) -> dict[str, DataFrame]:
         pol, clm, years = self.policy, self.claims, self.policy.years
@@ -159,5 +189,5 @@ class ReservingPipeline:
             "Reglements": recap_matrix(clm.cells, "Total_Reglement", cyears),
             "SAP": recap_matrix(clm.cells, "SAP", cyears),
             "IBNR": pol.ibnr,
-            "PSAP": recap_matrix(self.psap(), "PSAP", years, part="_merged"),
+            "PSAP": recap_matrix(self.psap, "PSAP", years, part="_merged"),
         }
