@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -65,3 +66,22 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
         to = min(n, max(to, at + 1))
         yield batch.slice(at, to - at)
         at = to
+
+
+#: White space that ends a word, in UTF-8.
+SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are taken apart at once.
+PIECE = 1 << 22
+
+
+def pieces(data: bytes, gap: re.Pattern = SPACE_BYTE, size: int | None = None):
+    """A text in pieces of about `size` bytes, cut at gaps only (the gap's byte is left out), so that lists of its words stay
+    small however long it is."""
+    at, size = 0, size or PIECE
+    while len(data) - at > size:
+        end = gap.search(data, at + size)
+        if not end:
+            break
+        yield data[at:end.start()]
+        at = end.end()
+    yield data[at:] if at else data

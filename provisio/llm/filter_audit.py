@@ -19,7 +19,6 @@ play no part may have any name.  Very long texts are measured in pieces, so memo
 from __future__ import annotations
 
 import hashlib
-import re
 from itertools import permutations
 
 import numpy as np
@@ -28,31 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import pieces, slices, stored
 
 FILTERS = "ABCDE"
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
 UPPER = bytes(range(0x41, 0x5B))
 SYMBOLS = b"#$%&*|"
 CONTINUATION = bytes(range(0x80, 0xC0))
-#: Bytes of a text that are split into words at once.
-PIECE = 1 << 22
 #: Rows without an id are dealt over so many groups where they meet the labels (which they never match).
 SALTS = 1024
 
 
-def pieces(data: bytes, size: int = PIECE):
-    """The text in pieces of about `size` bytes, none of which ends inside a word."""
-    at = 0
-    while len(data) - at > size:
-        gap = SPACE.search(data, at + size)
-        if not gap:
-            break
-        yield data[at:gap.start()]
-        at = gap.end()
-    yield data[at:]
-
-
 def text_failures(data: bytes) -> int:
     """The bits of filters A to D that a UTF-8 text fails."""
     n_words, distinct = 0, set()

@@ -23,33 +23,54 @@ gives an empty result; columns that play no part may have any name.  Runs agree
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, slices, stored
 
 BUCKET_ROWS = 2048
 BLOCK = 1024
-SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
-NO_SYMBOL = r"[^\x21-\x40\x5B-\x60\x7B-\x7E]+"
+SPACES = bytes([0x20, *range(0x09, 0x0E)])
+SYMBOLS = bytes([*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+CONTINUATION = bytes(range(0x80, 0xC0))
 
 
-def n_words(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}", ""), WORD, "x")).cast("long")
+def n_words(data: bytes) -> int:
+    return sum(len(piece.split()) for piece in pieces(data))
 
 
-def symbol_weight(text: Column) -> Column:
+def symbol_weight(data: bytes) -> float:
     """1 less four times the share of digits, punctuation and symbols, 0.1 at least (1 for an empty text)."""
-    t = F.coalesce(text, F.lit(""))
-    solid, odd = F.length(F.regexp_replace(t, SPACE, "")).cast("double"), F.length(F.regexp_replace(t, NO_SYMBOL, "")).cast("double")
-    return F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(4.0) * F.coalesce(F.try_divide(odd, solid), F.lit(0.0)))
+    solid, other = len(data.translate(None, SPACES + CONTINUATION)), len(data.translate(None, SPACES + CONTINUATION + SYMBOLS))
+    return max(0.1, 1.0 - 4.0 * ((solid - other) / solid if solid else 0.0))
+
+
+def uniform(doc_id: Column, digest: Column, seed: int) -> Column:
+    """A number in (0, 1) from the row's id and its text's digest: the first 52 bits of a digest, and a half."""
+    own = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), digest))
+    return (F.conv(F.substring(own, 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def measured(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column | None) -> DataFrame:
+    """Per row: id, source, name (the source, never null), size, digest of the text, weight."""
+    given = weight is not None
 
+    def measure(batches):
+        for batch in batches:
+            for some in slices(batch, "body", 1 << 21):
+                texts = [t or b"" for t in some.column(4).cast(pa.binary()).to_pylist()]
+                own = some.column(3) if given else pa.array([symbol_weight(t) for t in texts], pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:3], pa.array([n_words(t) for t in texts], pa.int64()), pa.array([hashlib.md5(t).hexdigest() for t in texts]), own],
+                    names=["id", "source", "name", "size", "digest", "weight"])
 
-def uniform(doc_id: Column, text: Column, seed: int) -> Column:
-    """A number in (0, 1) from the row's id and text: the first 52 bits of a digest, and a half."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    of = F.col(source).cast("string")
+    rows = docs.select(F.col(doc_id).alias("id"), of.alias("source"), F.coalesce(F.concat(F.lit("="), of), F.lit("")).alias("name"),
+                       (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"), F.col(text).cast("string").alias("body"))
+    return rows.mapInArrow(measure, f"id {docs.schema[doc_id].dataType.simpleString()}, source string, name string, size long, digest string, weight double")
 
 
 def ranked(names: DataFrame, column: str) -> DataFrame:
@@ -87,11 +108,8 @@ def targets(sources: DataFrame, shares: tuple = (1, 2, 3), most: int = 3) -> Dat
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None,
         shares: tuple = (1, 2, 3), most: int = 3, seed: int = 11) -> DataFrame:
     """Per row: doc_id, size, source, source_size, target, taken."""
-    body = F.col(text).cast("string")
-    w = symbol_weight(body) if weight is None else weight
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))  # never null, so it can be joined
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), name.alias("name"), n_words(body).alias("size"),
-                       (-F.log(uniform(F.col(doc_id), body, seed)) / w).alias("key"))
+    key = -F.log(uniform(F.col("id"), F.col("digest"), seed)) / F.col("weight")
+    rows = measured(docs, doc_id, text, source, weight).select("id", "source", "name", "size", key.alias("key"))
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("name", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     of_source = stored(targets(sizes, shares, most), "mix-targets")

@@ -34,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import pieces, slices, stored
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
-PIECE = 1 << 22
 #: Bytes of item texts in one broadcast index.
 BLOCK_BYTES = 8 << 20
 #: Document-item scores held at once.
@@ -48,14 +47,9 @@ NO_ID = (1 << 63) - 1
 
 def terms_of(data: bytes) -> Counter:
     """How often each term occurs in a UTF-8 text."""
-    count, at = Counter(), 0
-    while len(data) - at > PIECE:
-        gap = GAP.search(data, at + PIECE)
-        if not gap:
-            break
-        count.update(TERM.findall(data[at:gap.start()].lower()))
-        at = gap.end()
-    count.update(TERM.findall(data[at:].lower() if at else data.lower()))
+    count = Counter()
+    for piece in pieces(data, GAP):
+        count.update(TERM.findall(piece.lower()))
     return count
 
 

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pytest
-from provisio.llm import filter_audit, mixing, reversed_search
+from provisio.llm import common, filter_audit, mixing, reversed_search
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,7 +73,7 @@ def test_targets(spark, sizes):
 def test_keys_sample_by_weight(spark):
     """Of equal sizes, rows of weight 4 come among the first tenth four times as often as those of weight 1."""
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a word").alias("text"), F.lit("s").alias("source"), (F.col("id") % 2 * 3 + 1).alias("w"))
-    key = docs.select("w", (-F.log(mixing.uniform(F.col("doc_id"), F.col("text"), 5)) / F.col("w")).alias("key"))
+    key = docs.select("w", (-F.log(mixing.uniform(F.col("doc_id"), F.md5("text"), 5)) / F.col("w")).alias("key"))
     first = key.orderBy("key").limit(1000).groupBy("w").count().collect()
     n = {r["w"]: r["count"] for r in first}
     assert 3.2 < n[4] / n[1] < 5
@@ -108,7 +108,7 @@ ITEMS = [(1, "The QUICK brown fox, the fox!"), (1, "another text"), (2, None), (
 def test_search_of_awkward_rows(spark, awkward, rows, monkeypatch, k, small):
     if small:  # many blocks, pieces and chunks
         monkeypatch.setattr(reversed_search, "BLOCK_BYTES", 60)
-        monkeypatch.setattr(reversed_search, "PIECE", 40)
+        monkeypatch.setattr(common, "PIECE", 40)
         monkeypatch.setattr(reversed_search, "SCORES", 3)
     items = spark.createDataFrame([(*i, "x", 1) for i in ITEMS], "item_id long, text string, doc_id string, rank int")
     got = reversed_search.search(awkward, items, k)
@@ -163,7 +163,7 @@ def plain_audit(rows, labels):
 
 
 def test_audit_of_awkward_rows(spark, awkward, rows, monkeypatch):
-    monkeypatch.setattr(filter_audit, "PIECE", 50)
+    monkeypatch.setattr(common, "PIECE", 50)
     labels = [(1, 1, 0), (2, 0, 1), (9, 1, 1), (12, None, 1), (12, 1, None), (None, 1, 1), (99, 1, 1), (7, 1, 0)]
     told = spark.createDataFrame([(*x, "x") for x in labels], "doc_id long, quality int, toxic int, part string")
     got = filter_audit.filter_interactions(awkward, told)
@@ -186,4 +186,4 @@ def test_walk_of_random_cells():
 def test_words_of_long_texts_in_pieces():
     t = ("Aé b\tc " * 900_000 + "x" * 9_000_000).encode()
     assert filter_audit.text_failures(t) == 0b0010 | (100 * t.count(b"A") > 3 * len(t.decode())) << 2
-    assert b" ".join(filter_audit.pieces(b"ab cd  ef", 1)).split() == b"ab cd ef".split()
+    assert b" ".join(common.pieces(b"ab cd  ef", size=1)).split() == b"ab cd ef".split()
