@@ -23,7 +23,8 @@ from provisio.params import ReservingParams
 from provisio.plans.pipeline import ReservingPipeline
 from provisio.plans.report import write_report
 from provisio.sources import dimensions as dim
-from provisio.sources import production as prod
+from provisio.sources import landing
+from provisio.sources.delivery import Delivery
 
 
 def load_params(path: str) -> ReservingParams:
@@ -38,22 +39,12 @@ def load_params(path: str) -> ReservingParams:
     return ReservingParams(**kw)
 
 
-def slot_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(year slot, CSV file) pairs under ``root/<Exercice=>YYYY/``."""
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-               .option("recursiveFileLookup", "true").load(root).select("path"))
-    out = []
-    for r in listing.collect():
-        folder = r["path"].rstrip("/").split("/")[-2]
-        out.append((folder.split("=")[-1], r["path"]))
-    return sorted(out)
-
-
 def run(spark: SparkSession, production: str, claims: str, params: ReservingParams, out: str,
         comments: dict | None = None) -> dict:
-    landed = prod.land_production(spark, slot_files(spark, production), f"{out}/landed")
-    policies = prod.read_landed(spark, landed)
-    claims_df = dim.read_claims_files(spark, slot_files(spark, claims), params.mapping)
+    landed = f"{out}/landed/production"
+    landing.land_changes(spark, Delivery.from_folders(spark, [production]), landed)     # a second run lands what has changed
+    policies = landing.read_changes_landed(spark, landed)
+    claims_df = dim.read_claims_files(spark, Delivery.from_folders(spark, [claims]), params.mapping)
     pipe = ReservingPipeline(policies, claims_df, params, claims_prepared=True)
     tables = pipe.run()
     for name, df in tables.items():

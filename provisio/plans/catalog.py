@@ -21,14 +21,19 @@ from provisio.operators import mapping as mapping_ops
 from provisio.operators import premium, reserves
 from provisio.operators import recap as recap_ops
 from provisio.operators.recap import recap_matrix
-from provisio.params import BODILY_BRANCH, HIDDEN_CU_BRANCHES
+from provisio.params import BODILY_BRANCH, HIDDEN_CU_BRANCHES, PARQUET_ROW_GROUP_ROWS
 from provisio.plans import oracle_sql as O
 from provisio.plans import pipeline
 from provisio.plans import report as report_ops
 from provisio.plans.pipeline import ClaimsStage, PolicyStage
+from provisio.session import materialize
+from provisio.operators.exact import exact_cells
+from provisio.operators.ordering import branch_order, numbered
 from provisio.sources import dimensions as dim
 from provisio.sources import fixtures as fx
+from provisio.sources import landing
 from provisio.sources import production as prod
+from provisio.sources.delivery import Delivery, fingerprint_of
 
 RATE_COLS = {"Loss_Ratio", "Taux_PREC", "Plateforme", "Hors", "M", "LF", "share"}
 
@@ -421,7 +426,6 @@ sd AS (SELECT b.Branche, y.Exercice, """ + O.cents("COALESCE(sc.Montant, 0)") +
        LEFT JOIN sc ON sc.Branche = b.Branche AND sc.Exercice = y.Exercice)""")
           + f"PIVOT sd ON {O.pivot_in(False)} USING first(Montant) GROUP BY Branche")
 def q_settlements_pivot(spark, sf_dir):
-    from provisio.session import materialize
     cells = materialize(dim.settlements_cells(fx.settlements_raw(spark, sf_dir)))
     return rounded(recap_ops.pivot_no_totals(cells, "Branche", "Montant", recap_ops.years_of(cells)))
 
@@ -628,11 +632,9 @@ def _write_text_files(spark, sf_dir, root: str):
     return roots
 
 
-def _landed_files(spark, roots):
-    """(slot year, file) pairs of the CSV files under slot=YYYY/ folders."""
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-               .option("recursiveFileLookup", "true").load(roots).select("path"))
-    return [(r["path"].split("slot=")[-1].split("/")[0], r["path"]) for r in listing.collect()]
+def _delivered(spark, roots) -> Delivery:
+    """The CSV files under slot=YYYY/ folders of the roots."""
+    return Delivery.from_folders(spark, roots)
 
 
 @register("landing_roundtrip", O.with_ctes(_RAW) + """
@@ -641,7 +643,7 @@ SELECT Exercice, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC,
 FROM policies_raw GROUP BY Exercice""")
 def q_landing_roundtrip(spark, sf_dir):
     root = prod.scratch_dir(spark, "landing")
-    files = _landed_files(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
+    files = _delivered(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
     target = prod.land_production(spark, files, f"{root}/out")
     landed = prod.read_landed(spark, target)
     return rounded(landed.groupBy("Exercice").agg(
@@ -660,16 +662,31 @@ def q_csv_encoding_fallback(spark, sf_dir):
     for name, enc, cond in (("latin1", "ISO-8859-1", F.col("slot") <= "1998"), ("utf8", "UTF-8", F.col("slot") > "1998")):
         raw.filter(cond).write.mode("overwrite").partitionBy("slot") \
             .option("header", True).option("encoding", enc).csv(f"{root}/{name}")
-    files = _landed_files(spark, [f"{root}/latin1", f"{root}/utf8"])
+    files = _delivered(spark, [f"{root}/latin1", f"{root}/utf8"])
     claims = dim.read_claims_files(spark, files, fx.FIXTURE_MAPPING)
     return rounded(claims_ops.claims_agg_sorted(claims))
 
 
-@register("fingerprint")
+_LINES = """
+fp_lines AS (SELECT CAST(Exercice AS VARCHAR) AS slot, Police, Branche, COALESCE(CAST(CAST(PN_ACC AS DECIMAL(18,2)) AS VARCHAR), '') AS amount FROM policies_raw),
+fp_numbered AS (SELECT slot, Police || ',' || Branche || ',' || amount AS line, row_number() OVER (PARTITION BY slot ORDER BY Police, Branche, amount) AS pos FROM fp_lines
+                UNION ALL SELECT DISTINCT slot, 'Police,Branche,PN_ACC', 0 FROM fp_lines),
+fp_hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM fp_numbered),
+fp_files AS (SELECT slot, md5(CAST(SUM(strlen(line) + 1) AS VARCHAR) || ':' || COUNT(*) || ':' || hex('Police,Branche,PN_ACC') || ':' ||
+                              CAST(CAST(SUM(h) AS HUGEINT) AS VARCHAR) || ':' || CAST(CAST(SUM(h * pos) AS HUGEINT) AS VARCHAR)) AS digest FROM fp_hashed GROUP BY slot),
+fp_own AS (SELECT md5(slot || ':production.csv:' || digest) AS m FROM fp_files)"""
+
+
+@register("fingerprint", O.with_ctes(_RAW, _LINES) + """
+SELECT substr(md5(COUNT(*) || ':' || CAST(CAST(SUM(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR) || ':' ||
+                  CAST(CAST(SUM(CAST('0x' || substr(m, 16, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR)), 1, 16) AS fingerprint, COUNT(*) AS files FROM fp_own""")
 def q_fingerprint(spark, sf_dir):
+    """OP-S10: the digest of a delivery of one file per slot, its lines in order; the writer's random file names are taken
+    for one name."""
     root = prod.scratch_dir(spark, "fingerprint")
-    files = _landed_files(spark, _write_text_files(spark, sf_dir, root))
-    return prod.fingerprint(spark, files)
+    raw = fx.policies_raw(spark, sf_dir).select(F.col("Exercice").alias("slot"), "Police", "Branche", F.col("PN_ACC").cast("decimal(18,2)").cast("string").alias("PN_ACC"))
+    raw.repartition("slot").sortWithinPartitions("slot", "Police", "Branche", "PN_ACC").write.partitionBy("slot").option("header", True).csv(root)
+    return fingerprint_of(_delivered(spark, [root]).facts.withColumn("name", F.lit("production.csv")))
 
 
 @register("claims_distinct_branches", O.with_ctes(CLAIMS) + "SELECT DISTINCT b AS Branche FROM claims_norm WHERE b IS NOT NULL")
@@ -760,7 +777,7 @@ def q_csv_quoted_cells(spark, sf_dir):
                      F.concat(F.lit('"'), "text", F.lit('", '), "lang", F.lit("\u00a0")).alias("cell"),
                      F.concat(F.lit('a ""'), "source", F.lit('"')).alias("other"))
     root = _write_csv(cells, prod.scratch_dir(spark, "quoted"))
-    back = prod.read_text_csv_detect(spark, [p for _, p in _landed_files(spark, [root])])
+    back = _delivered(spark, [root]).rows()
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "cell", "other")
 
 
@@ -777,17 +794,16 @@ def q_fingerprint_sensitivity(spark, sf_dir):
     versions = {"base": rows, "header": rows.withColumnRenamed("PN_ACC", "Prime"),
                 "body": rows.withColumn("PN_ACC", F.when(first, F.lit("-1")).otherwise(F.col("PN_ACC"))),
                 "line_order": raw.repartition("Exercice").sortWithinPartitions("Exercice", F.desc("Police"))}
-    files, info = {}, {}
+    facts = {}
     for name, df in versions.items():
         df.withColumnRenamed("Exercice", "slot").write.mode("overwrite").partitionBy("slot").option("header", True).csv(f"{root}/{name}")
-        files[name] = _landed_files(spark, [f"{root}/{name}"])
-        info[name] = prod.inspect_files(spark, [p for _, p in files[name]])
-    base = prod.fingerprint_from(files["base"], info["base"])
-    content = {name: sorted(v[3] for v in i.values()) for name, i in info.items()}
-    moved = {f"{key}.old": v for key, v in info["base"].items()}
-    told = {"same": prod.fingerprint(spark, files["base"]).first()["fingerprint"] == base,
-            "year": prod.fingerprint_from([(f"{y}x", p) for y, p in files["base"]], info["base"]) != base,
-            "name": prod.fingerprint_from([(y, f"{p}.old") for y, p in files["base"]], moved) != base,
+        facts[name] = _delivered(spark, [f"{root}/{name}"]).facts
+    of = lambda df: fingerprint_of(df).first()["fingerprint"]
+    base = of(facts["base"])
+    content = {name: of(f.withColumn("name", F.lit(""))) for name, f in facts.items()}
+    told = {"same": prod.fingerprint(spark, _delivered(spark, [f"{root}/base"])).first()["fingerprint"] == base,
+            "year": of(facts["base"].withColumn("slot", F.concat("slot", F.lit("x")))) != base,
+            "name": of(facts["base"].withColumn("name", F.concat("name", F.lit(".old")))) != base,
             **{name: content[name] != content["base"] for name in ("header", "body", "line_order")}}
     return raw.agg(F.count(F.lit(1)).alias("rows")).select(*[F.lit(told[k]).alias(k) for k in told], "rows")
 
@@ -799,7 +815,7 @@ ratio_branches AS (SELECT DISTINCT p_type AS Branche FROM part)"""
 
 @register("loss_ratio_file", O.with_ctes(_RATIOS) + """
 SELECT 'good' AS file, b.Branche, """ + O.micro("COALESCE(r.Loss_Ratio, 0.65)") + """ AS Loss_Ratio FROM ratio_branches b LEFT JOIN ratio_rows r ON b.Branche = r.Branche
-UNION ALL SELECT f.file, b.Branche, """ + O.micro("0.65") + """ FROM ratio_branches b CROSS JOIN (VALUES ('bad cell'), ('no column'), ('no file')) f(file)""")
+UNION ALL SELECT f.file, b.Branche, """ + O.micro("0.65") + """ FROM ratio_branches b CROSS JOIN (VALUES ('bad cell'), ('java number'), ('no column'), ('no file')) f(file)""")
 def q_loss_ratio_file(spark, sf_dir):
     """OP-S6: ratios from a file; one bad cell, a missing column or a missing file gives every branch the default."""
     part = fx.table(spark, sf_dir, "part")
@@ -808,7 +824,8 @@ def q_loss_ratio_file(spark, sf_dir):
               .select(F.concat(F.lit("\u00a0"), "p_type", F.lit(" ")).alias("Branche"), (F.col("n") / 100).cast("decimal(4,2)").cast("string").alias("Loss_Ratio")))
     root = prod.scratch_dir(spark, "ratios")
     bad = ratios.withColumn("Loss_Ratio", F.when(F.col("Branche").contains("SMALL"), F.lit("n/a")).otherwise(F.col("Loss_Ratio")))
-    paths = {"good": _write_csv(ratios, f"{root}/good"), "bad cell": _write_csv(bad, f"{root}/bad"),
+    java = ratios.withColumn("Loss_Ratio", F.when(F.col("Branche").contains("SMALL"), F.concat("Loss_Ratio", F.lit("d"))).otherwise(F.col("Loss_Ratio")))
+    paths = {"good": _write_csv(ratios, f"{root}/good"), "bad cell": _write_csv(bad, f"{root}/bad"), "java number": _write_csv(java, f"{root}/java"),
              "no column": _write_csv(ratios.withColumnRenamed("Loss_Ratio", "LR"), f"{root}/other"), "no file": f"{root}/none.csv"}
     out = None
     for name, path in paths.items():
@@ -822,7 +839,7 @@ WITH y AS (SELECT unnest(['1999', '2000', '2001', '2002']) AS Exercice),
 s AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS Exercice, sum(CAST(o_orderkey % 1000 AS BIGINT)) AS v FROM orders GROUP BY 1)
 SELECT 'good' AS file, 'SANTE' AS Branche, y.Exercice, """ + O.cents("CASE WHEN y.Exercice IN ('1999', '2000') THEN COALESCE(s.v, 0) ELSE 0 END") + """ AS PSAP
 FROM y LEFT JOIN s ON s.Exercice = y.Exercice
-UNION ALL SELECT f.file, 'SANTE', y.Exercice, """ + O.cents("0") + """ FROM y CROSS JOIN (VALUES ('no branch column'), ('no manual branch')) f(file)""")
+UNION ALL SELECT f.file, 'SANTE', y.Exercice, """ + O.cents("0") + """ FROM y CROSS JOIN (VALUES ('no branch column'), ('no manual branch'), ('java number')) f(file)""")
 def q_override_file(spark, sf_dir):
     """OP-S8: manual rows from a file, year headers as text or number; a file without its branch column gives zeros."""
     o = fx.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), (F.col("o_orderkey") % 1000).alias("v"))
@@ -830,7 +847,8 @@ def q_override_file(spark, sf_dir):
     rows = sums.select(F.explode(F.array(F.lit("SANTE"), F.lit("TRANSPORT"))).alias("Branche"), "1999", "`2000.0`")
     root, years = prod.scratch_dir(spark, "overrides"), ["1999", "2000", "2001", "2002"]
     paths = {"good": _write_csv(rows, f"{root}/good"), "no branch column": _write_csv(rows.withColumnRenamed("Branche", "B"), f"{root}/none"),
-             "no manual branch": _write_csv(rows.filter(F.col("Branche") == "TRANSPORT"), f"{root}/other")}
+             "no manual branch": _write_csv(rows.filter(F.col("Branche") == "TRANSPORT"), f"{root}/other"),
+             "java number": _write_csv(rows.withColumn("1999", F.concat(F.col("1999").cast("string"), F.lit("f"))), f"{root}/java")}
     out = None
     for name, path in paths.items():
         got = dim.read_overrides(spark, path, years).select(F.lit(name).alias("file"), "Branche", "Exercice", "PSAP")
@@ -852,7 +870,7 @@ FROM policies_raw GROUP BY Exercice""")
 def q_landing_sanitised(spark, sf_dir):
     """OP-F9 in the landing: text a file doesn't have becomes '', typed columns stay typed."""
     root = prod.scratch_dir(spark, "sanitised")
-    files = _landed_files(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
+    files = _delivered(spark, _write_text_files(spark, sf_dir, f"{root}/in"))
     landed = prod.read_landed(spark, prod.land_production(spark, files, f"{root}/out", sanitise=True))
     return landed.groupBy("Exercice").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("Intermediaire") == "", 1)).alias("empty_text"),
@@ -876,4 +894,153 @@ def q_claims_header_variants(spark, sf_dir):
         df = own.select(F.col("BRANCHE").alias(names[0]), F.col("REGLEMENT").alias(names[1]), F.col("COUT_TOTAL").alias(names[2]), "slot")
         df.write.mode("overwrite").partitionBy("slot").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{i}")
         roots.append(f"{root}/{i}")
-    return rounded(claims_ops.claims_agg_sorted(dim.read_claims_files(spark, _landed_files(spark, roots), fx.FIXTURE_MAPPING)))
+    return rounded(claims_ops.claims_agg_sorted(dim.read_claims_files(spark, _delivered(spark, roots), fx.FIXTURE_MAPPING)))
+
+
+# ---------------------------------------------------------------------------
+# Landing by change, contract, pruning, row groups, types, order, exact sums
+# ---------------------------------------------------------------------------
+_LATER = "1997"
+
+
+@register("landing_incremental", O.with_ctes(_RAW) + f"""
+SELECT Exercice, COUNT(*) AS rows, {O.cents(f"SUM(PN_ACC) + CASE WHEN Exercice = '{_LATER}' THEN COUNT(PN_ACC) ELSE 0 END")} AS PN_ACC,
+       CASE WHEN Exercice = '{_LATER}' THEN COUNT(*) ELSE 0 END AS rewritten, CASE WHEN Exercice = '{_LATER}' THEN 'landed' ELSE 'kept' END AS status
+FROM policies_raw GROUP BY Exercice""")
+def q_landing_incremental(spark, sf_dir):
+    """OP-S10: a delivery landed twice; in between, one slot's premiums have gone up by one.  Only its rows are written anew."""
+    root = prod.scratch_dir(spark, "changes")
+    raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    text(raw).write.partitionBy("slot").option("header", True).csv(f"{root}/in")
+    landing.land_changes(spark, _delivered(spark, [f"{root}/in"]), f"{root}/table")
+    file = F.col("_metadata.file_name").alias("file")
+    first = materialize(landing.read_changes_landed(spark, f"{root}/table").select(file).distinct())
+    text(raw.filter(F.col("slot") == _LATER).withColumn("PN_ACC", F.col("PN_ACC") + 1).drop("slot")).write.mode("overwrite").option("header", True).csv(f"{root}/in/slot={_LATER}")
+    touched = landing.land_changes(spark, _delivered(spark, [f"{root}/in"]), f"{root}/table")
+    now = landing.read_changes_landed(spark, f"{root}/table").select("Exercice", "PN_ACC", file)
+    now = now.join(first.withColumn("old", F.lit(True)), "file", "left")
+    cells = now.groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC"), F.count(F.when(F.col("old").isNull(), 1)).alias("rewritten"))
+    return rounded(cells.join(touched, cells.Exercice == touched.slot, "left").select("Exercice", "rows", "PN_ACC", "rewritten", F.coalesce("status", F.lit("kept")).alias("status")))
+
+
+@register("landing_rejections", O.with_ctes(_RAW) + """
+SELECT Exercice AS slot, CASE WHEN Exercice <= '1998' THEN 'Effet, PN_ACC' ELSE 'Branche' END AS missing,
+       CASE WHEN Exercice <= '1998' THEN 'Police, Branche, Echeance' ELSE 'Police, PN_ACC, Effet, Echeance' END AS found,
+       CASE WHEN Exercice <= '1998' THEN 'Police, Branche, Echeance, Prime' ELSE 'Police, Effet, Echeance, PN_ACC' END AS available, COUNT(*) AS rows
+FROM policies_raw WHERE Exercice <= '1996' OR Exercice > '1998' GROUP BY Exercice""")
+def q_landing_rejections(spark, sf_dir):
+    """OP-S14: what the files of a delivery lack, as rows; a layout that has all is not among them."""
+    root = prod.scratch_dir(spark, "rejections")
+    raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
+    raw = raw.select("slot", *[F.col(c).cast("string").alias(c) for c in raw.columns if c != "slot"]).repartition("slot")
+    early, late, y = F.col("slot") <= "1996", F.col("slot") > "1998", "slot"
+    layouts = [raw.filter(early).select(y, "Police", "Branche", "Echeance", F.col("PN_ACC").alias("Prime")), raw.filter(late).select(y, "Police", "Effet", "Echeance", "PN_ACC"),
+               raw.filter(~early & ~late)]
+    for i, df in enumerate(layouts):
+        df.write.partitionBy("slot").option("header", True).csv(f"{root}/{i}")
+    given = _delivered(spark, [f"{root}/{i}" for i in range(len(layouts))])
+    bad = given.rejections(["Police", "Branche", "Effet", "PN_ACC", "Echeance"])
+    order = lambda c: F.array_join(F.filter(F.lit(["Effet", "PN_ACC", "Branche"]).cast("array<string>"), lambda x: F.array_contains(F.split(F.col(c), ", "), x)), ", ")
+    rows = given.facts.select("slot", F.col("name").alias("file"), (F.col("lines") - 1).alias("n"))
+    told = bad.withColumn("missing", order("missing")).withColumn("found", F.array_join(F.filter(F.lit(["Police", "Branche", "PN_ACC", "Effet", "Echeance"]).cast("array<string>"),
+                                                                                         lambda x: F.array_contains(F.split(F.col("found"), ", "), x)), ", "))
+    return told.join(rows, ["slot", "file"]).groupBy("slot", "missing", "found", "available").agg(F.sum("n").cast("bigint").alias("rows"))
+
+
+@register("last_year_landed", O.with_ctes(_RAW) + """
+SELECT Exercice, Branche, COUNT(*) AS rows, """ + O.cents("SUM(PN_ACC)") + """ AS PN_ACC FROM policies_raw
+WHERE Exercice = (SELECT max(Exercice) FROM policies_raw) GROUP BY ALL""")
+def q_last_year_landed(spark, sf_dir):
+    """OP-P1 / OP-S9: the last year of the landed table, found while the query runs; other partitions aren't read."""
+    path = f"{prod.scratch_dir(spark, 'last-year')}/table"
+    prod.write_production(fx.policies_raw(spark, sf_dir), path)
+    last = prod.last_year_landed(prod.read_landed(spark, path))
+    return rounded(last.groupBy("Exercice", "Branche").agg(F.count(F.lit(1)).alias("rows"), F.sum("PN_ACC").alias("PN_ACC")))
+
+
+@register("landed_row_groups", O.with_ctes(_RAW) + """
+SELECT Exercice, COUNT(*) AS rows, CAST(0 AS BIGINT) AS groups_over_limit, true AS groups_hold_all FROM policies_raw GROUP BY Exercice""")
+def q_landed_row_groups(spark, sf_dir):
+    """OP-S4: the landed files' footers, read back: no row group over 100 000 rows, and their rows are all rows."""
+    path = f"{prod.scratch_dir(spark, 'groups')}/table"
+    prod.write_production(fx.policies_raw(spark, sf_dir), path)
+    groups = prod.row_groups(spark, path).groupBy("Exercice").agg(
+        F.sum("rows").alias("in_groups"), F.count(F.when(F.col("rows") > PARQUET_ROW_GROUP_ROWS, 1)).alias("groups_over_limit"))
+    rows = prod.read_landed(spark, path).groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(groups, "Exercice").select("Exercice", "rows", "groups_over_limit", (F.col("rows") == F.col("in_groups")).alias("groups_hold_all"))
+
+
+@register("union_supertypes", O.with_ctes(_RAW) + """
+SELECT Exercice, COUNT(*) AS rows, min(extra) AS min_extra, max(extra) AS max_extra, """ + O.cents("SUM(n)") + """ AS n, max(t) AS last
+FROM (SELECT Exercice, CASE WHEN Exercice <= '1996' THEN CAST(length(Police) AS VARCHAR) WHEN Exercice <= '1998' THEN CAST(length(Police) + 0.5::DOUBLE AS VARCHAR)
+                            ELSE CAST(Effet AS VARCHAR) END AS extra,
+             CASE WHEN Exercice <= '1996' THEN CAST(length(Branche) AS DOUBLE) WHEN Exercice <= '1998' THEN 1::DOUBLE ELSE PN_ACC END AS n,
+             CASE WHEN Exercice <= '1996' THEN CAST(Effet AS TIMESTAMP) WHEN Exercice <= '1998' THEN CAST(Effet AS TIMESTAMP) + INTERVAL 7 HOUR END AS t FROM policies_raw)
+GROUP BY Exercice""")
+def q_union_supertypes(spark, sf_dir):
+    """OP-U1: columns that files of three kinds hold in three types: whole numbers, fractions and dates meet as text,
+    whole numbers, truth values and fractions as fractions, dates and times as times."""
+    raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot").select("slot", "Police", "Branche", "Effet", "PN_ACC")
+    early, late = F.col("slot") <= "1996", F.col("slot") > "1998"
+    a = raw.filter(early).select("*", F.length("Police").alias("Extra"), F.length("Branche").cast("bigint").alias("n"), F.col("Effet").alias("t"))
+    b = raw.filter(~early & ~late).select("*", (F.length("Police") + F.lit(0.5)).alias("extra"), (F.length("Branche") > 0).alias("N"),
+                                          (F.col("Effet").cast("timestamp_ntz") + F.expr("INTERVAL 7 HOUR")).alias("t"))
+    c = raw.filter(late).select("*", F.col("Effet").alias("EXTRA"), F.col("PN_ACC").alias("n"))
+    u = prod.union_production([(F.col("slot"), d) for d in (a, b, c)])
+    return rounded(u.groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"), F.min("extra").alias("min_extra"), F.max("extra").alias("max_extra"),
+                                             F.sum("n").alias("n"), F.max("t").alias("last")))
+
+
+@register("recap_ordered", O.with_ctes(BASE) + """
+SELECT row_number() OVER (ORDER BY (Branche = 'TOTAL'), Branche NULLS FIRST) AS row_no, Branche, Total FROM (
+  SELECT CASE WHEN grouping(Branche) = 1 THEN 'TOTAL' ELSE Branche END AS Branche, """ + O.cents("SUM(PE)") + """ AS Total FROM pe_cells GROUP BY ROLLUP (Branche))""")
+def q_recap_ordered(spark, sf_dir):
+    """OP-O1: the lines of the PE matrix, numbered in their order."""
+    st = policy_stage(spark, sf_dir)
+    return numbered(rounded(recap_matrix(st.pe, "PE", st.years)).select("Branche", "Total"), branch_order())
+
+
+@register("claims_ordered", O.with_ctes(CLAIMS) + """
+SELECT row_number() OVER (ORDER BY Branche NULLS FIRST, Exercice NULLS FIRST) AS row_no, Branche, Exercice, Nombre_Sinistres, """ + O.cents("SAP") + """ AS SAP FROM claims_cells""")
+def q_claims_ordered(spark, sf_dir):
+    """OP-O2: the claims cells, numbered by (Branche, Exercice)."""
+    cells = rounded(claims_stage(spark, sf_dir).cells).select("Branche", "Exercice", "Nombre_Sinistres", "SAP")
+    return numbered(cells, [F.col("Branche").asc_nulls_first(), F.col("Exercice").asc_nulls_first()])
+
+
+@register("policies_ordered", O.with_ctes(_RAW) + """
+SELECT row_number() OVER (ORDER BY Exercice, Branche, Police) AS row_no, Exercice, Branche, Police FROM policies_raw""")
+def q_policies_ordered(spark, sf_dir):
+    """OP-O2 over rows: every policy, numbered by (Exercice, Branche, Police), dealt over ranges of this order."""
+    rows = fx.policies_raw(spark, sf_dir).select("Exercice", "Branche", "Police")
+    return numbered(rows, [F.col(c).asc_nulls_first() for c in rows.columns])
+
+
+@register("pe_exact_total", O.with_ctes(_RAW) + """
+SELECT Branche, Exercice, CAST(SUM(CAST(PN_ACC AS DECIMAL(18,4))) * 10000 AS BIGINT) AS PE_units, COUNT(*) AS Nb, true AS same FROM policies_raw GROUP BY Branche, Exercice
+UNION ALL SELECT 'TOTAL', 'TOTAL', CAST(SUM(CAST(PN_ACC AS DECIMAL(18,4))) * 10000 AS BIGINT), COUNT(*), true FROM policies_raw""")
+def q_pe_exact_total(spark, sf_dir):
+    """OP-A1 / OP-A3: premiums in units of 1/10000, per cell and in all, summed over three partitionings that agree to the last unit."""
+    raw = fx.policies_raw(spark, sf_dir).select("Police", "Branche", "Exercice", "PN_ACC")
+    dealt = [raw, raw.repartition(5, "Police"), raw.repartitionByRange(3, "PN_ACC")]
+    cells = None
+    for i, df in enumerate(dealt):
+        own = exact_cells(df, {"PE": "PN_ACC"}).withColumn("way", F.lit(i))
+        cells = own if cells is None else cells.unionByName(own)
+    cells = cells.groupingSets([["Branche", "Exercice", "way"], ["way"]], "Branche", "Exercice", "way").agg(
+        F.sum("PE").alias("PE"), F.sum("Nb").alias("Nb"), F.grouping("Branche").alias("all"))
+    name = lambda c: F.when(F.col("all") == 1, F.lit("TOTAL")).otherwise(F.col(c)).alias(c)
+    units = (F.col("PE") * 10000).cast("bigint")
+    return cells.select(name("Branche"), name("Exercice"), units.alias("u"), "Nb").groupBy("Branche", "Exercice").agg(
+        F.max("u").alias("PE_units"), F.max("Nb").cast("bigint").alias("Nb"), ((F.min("u") == F.max("u")) & (F.count(F.lit(1)) == len(dealt))).alias("same"))
+
+
+@register("claims_exact_agg", O.with_ctes(CLAIMS) + """
+SELECT Branche, Exercice, CAST(SUM(CAST(Total_Reglement AS DECIMAL(18,4))) * 10000 AS BIGINT) AS paid_units,
+       CAST(SUM(CAST(Cout_Total AS DECIMAL(18,4))) * 10000 AS BIGINT) AS cost_units, COUNT(*) AS Nb FROM claims GROUP BY Branche, Exercice""")
+def q_claims_exact_agg(spark, sf_dir):
+    """OP-A8: paid and cost per cell, exactly, in units of 1/10000."""
+    rows = claims_ops.map_claims(fx.claims_raw(spark, sf_dir), fx.FIXTURE_MAPPING)
+    cells = exact_cells(rows, {"paid": "Total_Reglement", "cost": "Cout_Total"})
+    return cells.select("Branche", "Exercice", *[(F.col(c) * 10000).cast("bigint").alias(f"{c}_units") for c in ("paid", "cost")], "Nb")

@@ -10,13 +10,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provisio.functions.amounts import number
 from provisio.functions.text import ustrip
 from provisio.operators.literal import literal_frame, ratio_frame
 from provisio.params import DEFAULT_LOSS_RATIO, MANUAL_PSAP_BRANCHES
 from provisio.operators.claims import normalize_claims
 from provisio.operators.mapping import map_branch
 from provisio.session import materialize
-from provisio.sources.production import FILE_COL, SLOT_COL, read_slotted_groups, read_text_csv
+from provisio.sources.delivery import SLOT_COL, Delivery, read_text_csv
+
 
 def loss_ratio_frame(df: DataFrame) -> DataFrame | None:
     """OP-S6 core: requires Branche and Loss_Ratio; Branche stripped; the
@@ -24,7 +26,7 @@ def loss_ratio_frame(df: DataFrame) -> DataFrame | None:
     if not {"Branche", "Loss_Ratio"}.issubset(df.columns):
         return None
     ordered = df.select(ustrip(F.col("Branche").cast("string")).alias("Branche"),
-                        F.col("Loss_Ratio").cast("string").try_cast("double").alias("Loss_Ratio"),
+                        number(F.col("Loss_Ratio")).alias("Loss_Ratio"),
                         F.monotonically_increasing_id().alias("_pos"))
     # a cell that is no number counts even when a later row replaces it
     return ordered.groupBy("Branche").agg(F.max_by("Loss_Ratio", "_pos").alias("last"), F.bool_and(F.col("Loss_Ratio").isNotNull()).alias("good")).select(
@@ -77,7 +79,7 @@ def overrides_long(df: DataFrame, years: list[str]) -> DataFrame:
             year_cols[key] = c
     kept = df.filter(F.col("Branche").isin(MANUAL_PSAP_BRANCHES))
     vals = [F.struct(F.lit(y).alias("Exercice"),
-                     (F.col(f"`{year_cols[y]}`").cast("string").try_cast("double") if y in year_cols else F.lit(0.0))
+                     (number(F.col(f"`{year_cols[y]}`")) if y in year_cols else F.lit(0.0))
                      .alias("PSAP")) for y in sorted(years)]
     return kept.select("Branche", F.explode(F.array(*vals)).alias("v")).select(
         "Branche", "v.Exercice", F.coalesce("v.PSAP", F.lit(0.0)).alias("PSAP"))
@@ -94,19 +96,19 @@ def read_overrides(spark: SparkSession, path: str, years: list[str]) -> DataFram
     except (AnalysisException, ValueError):
         return zeros
     cells = [F.col(f"`{c}`") for c in raw.columns if (c[:-2] if c.endswith(".0") else c) in years]
-    bad = [F.coalesce(F.length(c) > 0, F.lit(False)) & c.try_cast("double").isNull() for c in cells]
+    bad = [F.coalesce(F.length(c) > 0, F.lit(False)) & number(c).isNull() for c in cells]
     told = raw.filter(F.col("Branche").isin(MANUAL_PSAP_BRANCHES)).agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(b).alias(f"b{i}") for i, b in enumerate(bad)]).first()
     return zeros if not told["n"] or any(told[f"b{i}"] for i in range(len(bad))) else found
 
 
-def read_claims_files(spark: SparkSession, files: list[tuple[str, str]], mapping: dict) -> DataFrame:
-    """OP-S2 from files: [(year slot, path)], text read with encoding
-    fallback; files of one slot share a scan when their headers agree."""
-    if not files:
+def read_claims_files(spark: SparkSession, files: list[tuple[str, str]] | Delivery, mapping: dict) -> DataFrame:
+    """OP-S2 from files, as [(year slot, path)] or a delivery: text read with
+    encoding fallback, headers resolved once per layout, one projection for all."""
+    if isinstance(files, list) and not files:
+        raise ValueError("claims: at least one file is needed")
+    given = files if isinstance(files, Delivery) else Delivery.from_list(spark, files)
+    if not given.layouts:
         raise ValueError("claims: at least one file is needed")
-    out = None
-    for g in read_slotted_groups(spark, files):                    # one scan per (encoding, layout)
-        n = normalize_claims(g.drop(FILE_COL), keep=(SLOT_COL,))    # headers resolved per layout
-        n = n.withColumn("Branche", map_branch(F.col("Branche"), mapping)).withColumnRenamed(SLOT_COL, "Exercice")
-        out = n if out is None else out.unionByName(n)
-    return out
+    names, rows = given.claims()
+    n = normalize_claims(rows.select(*names, SLOT_COL), keep=(SLOT_COL,))
+    return n.withColumn("Branche", map_branch(F.col("Branche"), mapping)).withColumnRenamed(SLOT_COL, "Exercice")

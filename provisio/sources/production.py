@@ -1,8 +1,8 @@
 """Production landing (OP-S1, S3, S4, S9..S14, OP-F5..F9, OP-U1).
 
-Files arrive per year slot.  Each file is read as all-text (no type or NA
-inference), normalised with column expressions, tagged with its slot year
-(any source ``Exercice`` is dropped) and unioned by name.  The landed table
+Files arrive per year slot (see ``delivery``).  Each is read as all-text (no
+type or NA inference), normalised with column expressions, tagged with its slot
+year (any source ``Exercice`` is dropped) and unioned by name.  The landed table
 is written as zstd Parquet partitioned by ``Exercice`` so later filters on
 the year prune partitions.  Header-level decisions (which columns exist,
 which look like dates) are schema metadata and run on the driver; every
@@ -11,8 +11,9 @@ value-level step runs on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provisio.functions.amounts import production_amount
 from provisio.functions.dates import DATE_MIN_PARSED_SHARE, name_suggests_date, parse_date
@@ -20,128 +21,21 @@ from provisio.functions.text import clean_branch, clean_year
 from provisio.operators.literal import literal_frame
 from provisio.params import PARQUET_COMPRESSION, PARQUET_ROW_GROUP_ROWS
 from provisio.session import scratch_dir  # noqa: F401 - part of this module's interface
+from provisio.sources.delivery import FILE_COL, NEVER_NULL, SLOT_COL, Delivery, fingerprint_of, read_text_csv  # noqa: F401
 
 AMOUNT_COLUMNS = ["PN_ACC", "Prime_Nette", "Accessoires"]
 PRODUCTION_REQUIRED = ["Exercice", "Police", "Client", "Branche", "Categorie", "Intermediaire", "PN_ACC", "Effet", "Echeance"]
 #: what every landed table must have, whatever the file (OP-S14)
 LANDING_REQUIRED = ["Exercice", "Police", "Branche", "PN_ACC", "Effet", "Echeance"]
-ENCODINGS = ("UTF-8", "ISO-8859-1")
-BOM = "\ufeff"
-NEVER_NULL = "\u0001<null>\u0001"  # no text cell is ever read as null
 
-
-# ---------------------------------------------------------------------------
-# Reading
-# ---------------------------------------------------------------------------
-def norm_path(p: str) -> str:
-    """Comparable form of a file path or URI ('file:/a//b' -> '/a/b')."""
-    import re as _re
-    if p.startswith("file:"):
-        p = p[len("file:"):]
-    return _re.sub(r"/+", "/", p.rstrip("/"))
-
-
-def _norm_path_col(c):
-    return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
-
-
-def inspect_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple]:
-    """One text pass over every file: UTF-8 validity of all lines, the first
-    line, whether a quoted cell spans lines (a line with an odd number of
-    quotes), and a content digest of the file's length, its first line and the
-    sum of its lines' hashes, plain and weighted by line number.  Files stay
-    splittable: line numbers are summed per block and put together per file,
-    so the digest doesn't depend on how files were split.  One row per file
-    reaches the driver, which holds the list of files anyway.
-
-    Returns {normalised path: (uri, encoding, header text, digest, multi-line)}."""
-    h = F.xxhash64("value").bitwiseAND(F.lit(0x7FFFFFFF)).cast("decimal(38,0)")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.col("_metadata.file_size").alias("size"), "value", h.alias("h"), (quotes % 2 == 1).alias("odd"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
-    number = F.col("pos").cast("decimal(38,0)")
-    blocks = lines.groupBy("path", "start", "size").agg(
-        F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"), F.min_by(F.col("value").cast("binary"), "pos").alias("first"),
-        F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.sum(F.col("h") * number).alias("hp"),
-        F.min(number).alias("p0"), F.bool_or("odd").alias("odd"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.withColumn("weighted", F.col("hp") + (before - F.col("p0")) * F.col("h"))
-    files = placed.groupBy("path", "size").agg(
-        F.bool_and("utf8").alias("utf8"), F.min_by("first", "start").alias("header"), F.sum("n").alias("n"), F.sum("h").alias("h"),
-        F.sum("weighted").alias("weighted"), F.bool_or("odd").alias("odd"))
-    out = {}
-    for r in files.collect():
-        enc = ENCODINGS[0] if r["utf8"] else ENCODINGS[1]
-        raw = bytes(r["header"] or b"")
-        out[norm_path(r["path"])] = (r["path"], enc, raw.decode("utf-8" if r["utf8"] else "latin-1"),
-                                     f"{r['size']}:{r['n']}:{raw.hex()}:{r['h']}:{r['weighted']}", r["odd"])
-    return out
-
-
-def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """OP-S3: per file, UTF-8 when every line is valid UTF-8, else Latin-1."""
-    return {v[0]: v[1] for v in inspect_files(spark, paths).values()}
-
-
-def _strip_bom(df: DataFrame) -> DataFrame:
-    first = df.columns[0] if df.columns else None
-    if first and first.startswith(BOM):
-        df = df.withColumnRenamed(first, first[len(BOM):])
-    return df
-
-
-FILE_COL = "__file"
-SLOT_COL = "__slot"
-
-
-def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", sep: str = ",",
-                  with_file: bool = False, multi_line: bool = False) -> DataFrame:
-    """All-string CSV, header on, empty stays '' (no NA inference), a quote in
-    a quoted cell is doubled; with ``with_file`` a normalised source-file
-    column is added.  ``multi_line`` is for files whose quoted cells span
-    lines: such a file is read by one task."""
-    df = (spark.read.option("header", True).option("encoding", encoding).option("sep", sep)
-          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-          .option("inferSchema", False).option("emptyValue", "").option("nullValue", NEVER_NULL)
-          .option("mode", "PERMISSIVE").csv(paths))
-    # all-text contract: folder partition values (e.g. Exercice=2024) come back typed by discovery
-    cols = [F.col(f"`{c}`").cast("string").alias(c) if t != "string" else F.col(f"`{c}`") for c, t in df.dtypes]
-    if with_file:
-        cols.append(_norm_path_col(F.col("_metadata.file_path")).alias(FILE_COL))
-    return _strip_bom(df.select(*cols))
-
-
-def read_slotted_groups(spark: SparkSession, files: list[tuple[str, str]], sep: str = ",",
-                        info: dict | None = None) -> list[DataFrame]:
-    """Files of any number of year slots, one all-text scan per (encoding,
-    header layout, quoting): files sharing a layout share a scan whatever
-    their slot, files with another column order never share one (CSV columns
-    are positional).  Each frame carries the source file and its slot year,
-    joined from a table of the files, so a plan doesn't grow with their number.
-    ``info`` (from ``inspect_files``) is reused when the caller has it."""
-    info = info if info is not None else inspect_files(spark, [p for _, p in files])
-    slots = spark.createDataFrame([(norm_path(p), str(y)) for y, p in files], f"{FILE_COL} string, {SLOT_COL} string")
-    groups: dict[tuple[str, str, bool], list[str]] = {}
-    for key, (uri, enc, header, _digest, multi) in info.items():
-        # a header may itself span lines, so its first line tells no layout
-        groups.setdefault((enc, f"{header}\n{key}" if multi else header, multi), []).append(uri)
-    frames = []
-    for (enc, _header, multi), uris in sorted(groups.items()):
-        df = read_text_csv(spark, sorted(uris), enc, sep, with_file=True, multi_line=multi)
-        frames.append(df.join(slots, FILE_COL, "left").select(*df.columns, SLOT_COL))
-    return frames
+def delivery(spark: SparkSession, files: list[tuple[str, str]] | Delivery, sep: str = ",") -> Delivery:
+    """Files by (slot, path), or a delivery as it is."""
+    return files if isinstance(files, Delivery) else Delivery.from_list(spark, files, sep)
 
 
 def read_text_csv_detect(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """OP-S3 with fallback: per-file encoding, one scan per (encoding, layout)."""
-    frames = read_slotted_groups(spark, [("", p) for p in paths], sep)
-    out = None
-    for f in frames:
-        f = f.drop(FILE_COL, SLOT_COL)
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return out
+    """OP-S3 with fallback: per-file encoding and layout."""
+    return Delivery.from_list(spark, [("", p) for p in paths], sep).rows().drop(FILE_COL, SLOT_COL)
 
 
 # ---------------------------------------------------------------------------
@@ -195,7 +89,8 @@ def coerce_dates_by_file(df: DataFrame, file_col: str = FILE_COL, skip: tuple[st
         return df                      # no decision pass needed
     n = F.count(F.lit(1))
     parsed = [F.count(parse_date(F.col(f"`{c}`"))) for c in cands]
-    stats = df.groupBy(file_col).agg(*[((k > 0) & (k >= DATE_MIN_PARSED_SHARE * n)).alias(f"__ok{i}") for i, k in enumerate(parsed)])
+    has = [F.count(F.col(f"`{c}`")) > 0 for c in cands]         # a file without the column has no say
+    stats = df.groupBy(file_col).agg(*[F.when(h, (k > 0) & (k >= DATE_MIN_PARSED_SHARE * n)).alias(f"__ok{i}") for i, (h, k) in enumerate(zip(has, parsed))])
     told = stats.agg(*[f(f"__ok{i}").alias(f"{f.__name__}{i}") for i in range(len(cands)) for f in (F.bool_and, F.bool_or)]).first()
     mixed = [i for i in range(len(cands)) if told[f"bool_or{i}"] and not told[f"bool_and{i}"]]
     if mixed:
@@ -262,35 +157,77 @@ def derive_pn_acc(df: DataFrame) -> DataFrame:
     return df.withColumn("PN_ACC", pn)
 
 
+WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+
+
+def common_type(types: list[T.DataType]) -> T.DataType:
+    """OP-U1: the type that columns of one name are widened to.  Whole numbers
+    take the widest of them, whole numbers and fractions are doubles, a truth
+    value among numbers is a number, dates and times are times; whatever else
+    differs has only its text in common."""
+    found = [t for t in dict.fromkeys(types) if not isinstance(t, T.NullType)]
+    if len(found) <= 1:
+        return found[0] if found else T.StringType()
+    numbers = [t for t in found if isinstance(t, T.NumericType)]
+    if numbers and all(isinstance(t, (T.NumericType, T.BooleanType)) for t in found):
+        return max(numbers, key=WHOLE.index) if all(t in WHOLE for t in numbers) else T.DoubleType()
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in found):
+        return T.TimestampType() if T.TimestampType() in found else T.TimestampNTZType()
+    if any(isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for t in found):
+        raise ValueError(f"no common type of {', '.join(t.simpleString() for t in found)}")
+    return T.StringType()
+
+
+def widened(frames: list[DataFrame]) -> list[DataFrame]:
+    """The frames with every column that they share (whatever the case of its
+    name) brought to its common type, so that a union by name never leaves the
+    choice to the engine."""
+    seen: dict[str, list[T.DataType]] = {}
+    for df in frames:
+        for f in df.schema:
+            seen.setdefault(f.name.lower(), []).append(f.dataType)
+    target = {n: common_type(ts) for n, ts in seen.items()}
+
+    def cast(f: T.StructField) -> Column:
+        c, to = F.col(f"`{f.name}`"), target[f.name.lower()]
+        if f.dataType == to:
+            return c
+        if to in WHOLE or isinstance(to, T.DoubleType):
+            c = c.cast("int") if isinstance(f.dataType, T.BooleanType) else c
+        elif isinstance(to, T.StringType) and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(f.name)
+        return c.cast(to).alias(f.name)
+
+    return [df.select(*[cast(f) for f in df.schema]) for df in frames]
+
+
 def union_production(files: list[tuple[str | Column, DataFrame]]) -> DataFrame:
     """OP-S1 / OP-U1: normalise each file, replace Exercice by its slot year,
-    union by name (missing columns null).  Types are canonical before the
-    union, so no run-time widening is needed.
+    widen columns whose types differ, union by name (missing columns null).
 
     The slot is a year string, or a column expression when one delivery
     carries several slots (e.g. a folder partitioned by slot)."""
-    out = None
+    frames = []
     for year, df in files:
         slot = F.lit(str(year)) if isinstance(year, str) else year.cast("string")
         n = normalize_production(df.withColumn("__slot", slot))
         if "Exercice" in n.columns:
             n = n.drop("Exercice")
-        n = n.withColumnRenamed("__slot", "Exercice")
+        frames.append(n.withColumnRenamed("__slot", "Exercice"))
+    out = None
+    for n in widened(frames):
         out = n if out is None else out.unionByName(n, allowMissingColumns=True)
     return out
 
 
-def read_production_files(spark: SparkSession, files: list[tuple[str, str]], info: dict | None = None) -> DataFrame:
-    """OP-S1 from CSV files: [(year slot, path)] -> normalised union.
+def read_production_files(spark: SparkSession, files: list[tuple[str, str]] | Delivery) -> DataFrame:
+    """OP-S1 from CSV files, as [(year slot, path)] or a delivery: normalised union.
 
-    One inspection pass (encoding, header; reused when given), one scan per
-    (encoding, layout); the per-file date rule needs an aggregate only for
+    One inspection pass (encoding, header, digest; kept with the delivery), one
+    scan per way of quoting; the per-file date rule needs an aggregate only for
     date-named columns other than Effet/Echeance, which are parsed anyway.
     The slot year replaces any source Exercice."""
-    text = None
-    for g in read_slotted_groups(spark, files, info=info):
-        text = g if text is None else text.unionByName(g, allowMissingColumns=True)
-    typed = coerce_dates_by_file(text, skip=("Effet", "Echeance"))
+    typed = coerce_dates_by_file(delivery(spark, files).rows(), skip=("Effet", "Echeance"))
     if "Exercice" in typed.columns:
         typed = typed.drop("Exercice")
     return normalize_production(typed).withColumnRenamed(SLOT_COL, "Exercice").drop(FILE_COL)
@@ -299,75 +236,89 @@ def read_production_files(spark: SparkSession, files: list[tuple[str, str]], inf
 # ---------------------------------------------------------------------------
 # Sink and fingerprint
 # ---------------------------------------------------------------------------
-def write_production(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """OP-S4: zstd Parquet partitioned by Exercice, ~100k-row groups (by bytes).
-    Rows are dealt by year first, large years over several tasks and small
-    ones together (rebalanced at run time), so a year has few, full files."""
+def write_production(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
+    """OP-S4: zstd Parquet partitioned by Exercice, row groups of 100 000 rows
+    at most (the writer counts rows, and bytes as always).  Rows are dealt by
+    year first, large years over several tasks and small ones together
+    (rebalanced at run time), so a year has few, full files."""
     (df.hint("rebalance", "Exercice").write.mode(mode).partitionBy("Exercice")
      .option("compression", PARQUET_COMPRESSION)
-     .option("parquet.block.size", str(PARQUET_ROW_GROUP_ROWS * 256))
-     .parquet(path))
+     .option("parquet.block.row.count.limit", str(PARQUET_ROW_GROUP_ROWS))
+     .options(**options).parquet(path))
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
+def read_landed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """OP-S9: scan a landed table with ``Exercice`` kept as text (partition
     values such as '2024' would otherwise be inferred as integers)."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    inferred = spark.read.parquet(path).schema
-    schema = StructType([StructField(f.name, StringType(), True) if f.name == "Exercice" else f for f in inferred])
-    return spark.read.schema(schema).parquet(path)
-
-
-def _digest(parts: list[str]) -> str:
-    import hashlib
-    return hashlib.md5("|".join(sorted(parts)).encode("utf-8")).hexdigest()[:16]
-
-
-def fingerprint_from(files: list[tuple[str, str]], info: dict) -> str:
-    """Digest over (year slot, file name, content digest) of every file; an empty file has no content digest."""
-    return _digest([f"{y}:{p.rstrip('/').split('/')[-1]}:{info[norm_path(p)][3] if norm_path(p) in info else 'empty'}" for y, p in files])
-
-
-def fingerprint(spark: SparkSession, files: list[tuple[str, str]], content: bool = True) -> DataFrame:
-    """OP-S10: deterministic digest over (year slot, file name, content).
-
-    Content is digested per file on the executors (see ``inspect_files``, the
-    same pass that finds encodings and headers); one row per file returns and
-    the digest of the sorted rows is taken on the driver.  With ``content=False`` only
-    file metadata (length, modification time) is used and no data is read."""
+    known = schema or spark.read.parquet(path).schema
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) if f.name == "Exercice" else f for f in known])
+    return spark.read.schema(text).parquet(path)
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(Exercice, file, row_group, rows): the row groups of a landed table, from
+    the footers.  An audit: Spark hands a task whole files, one after another."""
+    def read(batches):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                part, name, data = (batch.column(i)[at].as_py() for i in range(3))
+                meta = pq.ParquetFile(io.BytesIO(data)).metadata
+                n = meta.num_row_groups
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()),
+                                                  pa.array([meta.row_group(i).num_rows for i in range(n)], pa.int64())], names=["Exercice", "file", "row_group", "rows"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"([^/=]+)/[^/]*$", 1), F.regexp_extract("path", r"[^/]*$", 0), "content").mapInArrow(
+        read, "Exercice string, file string, row_group int, rows long")
+
+
+def last_year_landed(landed: DataFrame) -> DataFrame:
+    """OP-P1 on the landed table: its last year, told while the query runs; the
+    scan of the rows reads that partition alone."""
+    last = landed.agg(F.max("Exercice")).scalar()
+    return landed.filter(F.col("Exercice") == last)
+
+
+def fingerprint(spark: SparkSession, files: list[tuple[str, str]] | Delivery, content: bool = True) -> DataFrame:
+    """OP-S10: digest over (year slot, file name, content) of every file, as one
+    row.  Files are digested and summed on the executors (see ``delivery``).
+    With ``content=False`` only file metadata (length, modification time) is
+    used and no data is read."""
+    given = delivery(spark, files)
     if content:
-        fp = fingerprint_from(files, inspect_files(spark, [p for _, p in files]))
-    else:
-        meta = (spark.read.format("binaryFile").load([p for _, p in files])
-                .select("path", "length", F.col("modificationTime").cast("string").alias("mtime")).collect())
-        by_key = {norm_path(r["path"]): f"{r['length']}:{r['mtime']}" for r in meta}
-        fp = _digest([f"{y}:{p.rstrip('/').split('/')[-1]}:{by_key[norm_path(p)]}" for y, p in files])
-    return literal_frame(spark, [(fp, len(files))], "fingerprint string, files bigint")
+        return fingerprint_of(given.facts)
+    return fingerprint_of(given.listed.withColumn("digest", F.concat_ws(":", "size", "modified")))
 
 
-def land_production(spark: SparkSession, files: list[tuple[str, str]], root: str, by_content: bool = True,
+def land_production(spark: SparkSession, files: list[tuple[str, str]] | Delivery, root: str, by_content: bool = True,
                     required: list[str] = LANDING_REQUIRED, sanitise: bool = False) -> str:
     """Idempotent landing: the target folder is named by the fingerprint and
     the conversion is skipped when it already holds a landed table (its
     ``_SUCCESS`` marker is written last, so a job lost mid-write re-lands).
     A file set that lacks a required column is refused before anything is
     written (OP-S14); ``sanitise`` turns missing text cells into '' (OP-F9).
-    With ``by_content=False`` nothing is read when the table is there already."""
-    info = inspect_files(spark, [p for _, p in files]) if by_content else None
-    fp = fingerprint_from(files, info) if by_content else fingerprint(spark, files, content=False).first()["fingerprint"]
-    target = f"{root.rstrip('/')}/production_{fp}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    With ``by_content=False`` nothing is read when the table is there already.
+    ``landing.land_changes`` replaces only what changed instead."""
+    given = delivery(spark, files)
+    target = f"{root.rstrip('/')}/production_{fingerprint(spark, given, by_content).first()['fingerprint']}"
+    if not exists(spark, target + "/_SUCCESS"):
         # the inspection pass that produced the fingerprint also gives encodings and headers
-        rows = read_production_files(spark, files, info=info)
+        rows = read_production_files(spark, given)
         require_columns(rows, required, "production")
         write_production(sanitize_cells(rows) if sanitise else rows, target)
     return target
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 # ---------------------------------------------------------------------------
 # Gates and stats
 # ---------------------------------------------------------------------------

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from provisio.operators.claims import map_claims
-from provisio.sources.production import NEVER_NULL, scratch_dir
+from provisio.session import scratch_dir
+from provisio.sources.delivery import NEVER_NULL
 
 
 def claims_stream(spark: SparkSession, source: str, header: list[str], mapping: dict, multi_line: bool = False) -> DataFrame:
@@ -28,8 +29,8 @@ def claims_stream(spark: SparkSession, source: str, header: list[str], mapping:
 
 
 def land_claims(spark: SparkSession, source: str, header: list[str], mapping: dict, target: str,
-                checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    stream = claims_stream(spark, source, header, mapping)
+                checkpoint: str | None = None, available_now: bool = True, multi_line: bool = False) -> StreamingQuery:
+    stream = claims_stream(spark, source, header, mapping, multi_line)
     writer = (stream.writeStream.format("parquet").option("path", target)
               .option("checkpointLocation", checkpoint or scratch_dir(spark, "claims-stream"))
               .partitionBy("Exercice").outputMode("append"))
@@ -54,10 +55,10 @@ def production_stream(spark: SparkSession, source: str, header: list[str], multi
 
 
 def land_production_stream(spark: SparkSession, source: str, header: list[str], target: str,
-                           checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                           checkpoint: str | None = None, available_now: bool = True, multi_line: bool = False) -> StreamingQuery:
     """OP-S1 + OP-S4 incrementally: new yearly files appended to the landed
     Parquet table partitioned by Exercice."""
-    writer = (production_stream(spark, source, header).writeStream.format("parquet").option("path", target)
+    writer = (production_stream(spark, source, header, multi_line).writeStream.format("parquet").option("path", target)
               .option("checkpointLocation", checkpoint or scratch_dir(spark, "production-stream"))
               .partitionBy("Exercice").outputMode("append"))
     if available_now:
@@ -66,7 +67,7 @@ def land_production_stream(spark: SparkSession, source: str, header: list[str],
 
 
 def maintain_claims_cells(spark: SparkSession, source: str, header: list[str], mapping: dict, target: str,
-                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+                          checkpoint: str | None = None, available_now: bool = True, multi_line: bool = False) -> StreamingQuery:
     """OP-A8 maintained incrementally: paid, cost and count per (Branche,
     Exercice) kept in streaming state (partial aggregation per micro-batch,
     state keyed by cell).  After each batch the per-cell table (branches x
@@ -75,7 +76,7 @@ def maintain_claims_cells(spark: SparkSession, source: str, header: list[str], m
     is being replaced."""
     from pyspark.sql import functions as F
 
-    cells = (claims_stream(spark, source, header, mapping)
+    cells = (claims_stream(spark, source, header, mapping, multi_line)
              .groupBy("Branche", "Exercice")
              .agg(F.sum("Total_Reglement").alias("Total_Reglement"), F.sum("Cout_Total").alias("Cout_Total"),
                   F.count(F.lit(1)).alias("Nombre_Sinistres")))

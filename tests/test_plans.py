@@ -1,6 +1,8 @@
 """Plan shape: broadcasts where bounded, no Python UDFs, pushed filters, one
 shuffle per scan; invariants that must hold whatever the partitioning."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,58 @@ def test_last_year_filter_prunes_partitions(spark):
     part = re.search(r"PartitionFilters: \[([^\]]*)\]", sp).group(1)
     assert "Exercice" in part and "2001" in part
     assert last.count() == fx.policies_raw(spark, SF).filter(F.col("Exercice") == "2001").count()
+
+
+def test_last_year_is_found_while_the_query_runs(spark, tmp_path):
+    from provisio.sources import production as prod
+    path = f"{tmp_path}/t"
+    prod.write_production(fx.policies_raw(spark, SF), path)
+    last = prod.last_year_landed(prod.read_landed(spark, path)).select("Police", "Exercice")
+    rows = last.collect()
+    want = fx.policies_raw(spark, SF)
+    year = want.agg(F.max("Exercice")).first()[0]
+    assert {r.Exercice for r in rows} == {year} and len(rows) == want.filter(F.col("Exercice") == year).count()
+    scan = last._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*Exercice#\d+ = (Reused)?Subquery", scan)      # a run-time partition filter
+
+
+def test_row_groups_of_a_landed_table(spark, tmp_path, monkeypatch):
+    from provisio.sources import production as prod
+    monkeypatch.setattr(prod, "PARQUET_ROW_GROUP_ROWS", 250)
+    rows = fx.policies_raw(spark, SF)
+    prod.write_production(rows, f"{tmp_path}/t")
+    groups = prod.row_groups(spark, f"{tmp_path}/t").collect()
+    assert max(r.rows for r in groups) <= 250 and sum(r.rows for r in groups) == rows.count()
+    assert len(groups) > len({r.file for r in groups})
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_numbered_rows(spark, ranges):
+    from provisio.operators.ordering import branch_order, numbered
+    names = [None, "TOTAL", "B", "é", "A", "a", "", "Z"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "Branche string, i int").repartition(3)
+    got = [r.Branche for r in sorted(numbered(df, branch_order(), n_ranges=ranges).collect(), key=lambda r: r.row_no)]
+    assert got == [None, "", "A", "B", "Z", "a", "é", "TOTAL"]
+    assert sorted(r.row_no for r in numbered(spark.range(1000).repartition(4), [F.col("id").desc()], n_ranges=ranges).collect()) == list(range(1, 1001))
+    assert numbered(df.limit(0), branch_order()).count() == 0
+
+
+def test_exact_sums_of_any_partitioning(spark):
+    from decimal import Decimal
+
+    from provisio.operators.exact import exact_cells
+    rows = [("A", "2024", x) for x in [0.1] * 1000 + [1e9, -1e9, 0.00005, None, float("inf"), float("nan")]]
+    df = spark.createDataFrame(rows, "Branche string, Exercice string, v double")
+    sums = {exact_cells(df.repartition(n), {"s": "v"}).first().s for n in (1, 2, 5)}
+    assert sums == {Decimal("100.0001")}
+
+
+@pytest.mark.parametrize("name, before", [("pe_recap_matrix", 1), ("prec_recap_matrix", 1), ("claims_sap_matrix", 1), ("report_cells", 2)])
+def test_one_job_before_the_action(spark, name, before):
+    """The cells are stored and their years gathered by one job (one per table of cells); nothing else runs until a result is asked for."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    n = store.executionsCount()
+    catalog.QUERIES[name](spark, SF)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert store.executionsCount() - n == before

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.sources import dimensions as dim
+from provisio.sources import landing
 from provisio.sources import production as prod
+from provisio.sources.delivery import Delivery, safe_names
 
 
 @pytest.fixture()
@@ -54,8 +56,8 @@ def test_production_landing_roundtrip(spark, tmp):
 def test_encoding_detection(spark, tmp):
     a = _write(f"{tmp}/enc/a.csv", "Branche\nCafé\n", "latin-1")
     b = _write(f"{tmp}/enc/b.csv", "Branche\nCafé\n", "utf-8")
-    enc = {prod.norm_path(k): v for k, v in prod.detect_encodings(spark, [a, b]).items()}
-    assert enc[a] == "ISO-8859-1" and enc[b] == "UTF-8"
+    utf8 = {r.path: r.utf8 for r in Delivery.from_list(spark, [("", a), ("", b)]).facts.collect()}
+    assert utf8 == {a: False, b: True}
     got = sorted(r[0] for r in prod.read_text_csv_detect(spark, [a, b]).collect())
     assert got == ["Café", "Café"]
 
@@ -102,6 +104,8 @@ def test_loss_ratio_file(spark, tmp):
     read = lambda path: {r.Branche: r.Loss_Ratio for r in dim.read_loss_ratios(spark, path, names).collect()}
     assert read(f) == {"AUTO": 0.6, "SANTE": 0.7, "VOYAGE": 0.65}
     default = {"AUTO": 0.65, "SANTE": 0.65, "VOYAGE": 0.65}
+    assert read(_write(f"{tmp}/java.csv", "Branche,Loss_Ratio\nAUTO,0.7d\nSANTE,0.7\n")) == default       # Java's number, not the method's
+    assert read(_write(f"{tmp}/odd.csv", "Branche,Loss_Ratio\nAUTO, 1_0.5 \nSANTE,+inf\n")) == {"AUTO": 10.5, "SANTE": float("inf"), "VOYAGE": 0.65}
     assert read(_write(f"{tmp}/bad.csv", "Branch,LR\nAUTO,0.5\n")) == default
     assert read(_write(f"{tmp}/cell.csv", "Branche,Loss_Ratio\nAUTO,x\nAUTO,0.5\nSANTE,0.7\n")) == default   # one bad cell
     assert read(f"{tmp}/nowhere.csv") == default
@@ -121,7 +125,7 @@ def test_override_and_settlement_files(spark, tmp):
 
 def test_override_file_falls_back_to_zeros(spark, tmp):
     zeros = {("SANTE", "2024"): 0.0, ("SANTE", "2025"): 0.0}
-    for name, text in (("a", "B,2024\nSANTE,1\n"), ("b", "Branche,2024\nAUTO,1\n"), ("c", "Branche,2024\nSANTE,x\n")):
+    for name, text in (("a", "B,2024\nSANTE,1\n"), ("b", "Branche,2024\nAUTO,1\n"), ("c", "Branche,2024\nSANTE,x\n"), ("d", "Branche,2024\nSANTE,1f\n")):
         path = _write(f"{tmp}/{name}.csv", text)
         assert {(r.Branche, r.Exercice): r.PSAP for r in dim.read_overrides(spark, path, ["2024", "2025"]).collect()} == zeros
     assert dim.read_overrides(spark, f"{tmp}/none.csv", ["2024"]).count() == 1
@@ -134,22 +138,22 @@ def test_quoted_cells(spark, tmp):
     got = {(r.Branche, r.Montant) for r in prod.read_text_csv_detect(spark, [a, b]).collect()}
     assert got == {('AUTO "VIP" x', "10"), ("two\nlines", "20"), ("a, b", "30"), ("plain", "40"), ('say "hi"', "50")}
     assert prod.read_text_csv_detect(spark, [c]).columns == ["Bran\nche", "Montant"]
-    info = prod.inspect_files(spark, [a, b])
-    assert {k.rsplit("/", 1)[-1]: v[4] for k, v in info.items()} == {"a.csv": True, "b.csv": False}
+    assert {r.name: r.quoted for r in Delivery.from_list(spark, [("", a), ("", b)]).facts.collect()} == {"a.csv": True, "b.csv": False}
 
 
 def test_fingerprint_tells_header_from_body_and_line_order(spark, tmp):
-    digest = lambda text: prod.inspect_files(spark, [_write(f"{tmp}/d/{abs(hash(text))}.csv", text)])
-    base, swapped, moved = (next(iter(digest(t).values()))[3] for t in ("A,B\n1,2\n", "1,2\nA,B\n", "A,B\n1,2\n3,4\n"))
-    other = next(iter(digest("A,B\n3,4\n1,2\n").values()))[3]
+    of = lambda path: Delivery.from_list(spark, [("", path)]).facts.first().digest
+    digest = lambda text: of(_write(f"{tmp}/d/{abs(hash(text))}.csv", text))
+    base, swapped, moved = (digest(t) for t in ("A,B\n1,2\n", "1,2\nA,B\n", "A,B\n1,2\n3,4\n"))
+    other = digest("A,B\n3,4\n1,2\n")
     assert len({base, swapped, moved, other}) == 4
     # block sizes make no difference
     path = _write(f"{tmp}/d/long.csv", "A,B\n" + "".join(f"{i},{i * 7}\n" for i in range(4000)))
-    whole = next(iter(prod.inspect_files(spark, [path]).values()))[3]
+    whole = of(path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
-        assert next(iter(prod.inspect_files(spark, [path]).values()))[3] == whole
+        assert of(path) == whole
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -194,8 +198,7 @@ def test_mixed_layouts_in_one_slot(spark, tmp):
     a = _write(f"{tmp}/mix/2024/a.csv", "Police,Branche,PN_ACC,Effet,Echeance\nA,X,10,01/01/2024,31/12/2024\n")
     b = _write(f"{tmp}/mix/2024/b.csv", "Echeance,Effet,PN_ACC,Branche,Police\n31/12/2024,01/01/2024,20,Y,B\n")
     c = _write(f"{tmp}/mix/2023/c.csv", "Police,Branche,PN_ACC,Effet,Echeance\nC,X,5,01/01/2023,31/12/2023\n")
-    groups = prod.read_slotted_groups(spark, [("2024", a), ("2024", b), ("2023", c)])
-    assert len(groups) == 2                                   # a and c share a layout across slots
+    assert len(Delivery.from_list(spark, [("2024", a), ("2024", b), ("2023", c)]).layouts) == 2   # a and c share a layout across slots
     rows = {r.Police: r for r in prod.read_production_files(spark, [("2024", a), ("2024", b), ("2023", c)]).collect()}
     assert (rows["A"].PN_ACC, rows["B"].PN_ACC, rows["C"].PN_ACC) == (10.0, 20.0, 5.0)
     assert (rows["A"].Branche, rows["B"].Branche) == ("X", "Y")
@@ -206,9 +209,9 @@ def test_mixed_layouts_in_one_slot(spark, tmp):
 def test_date_rule_per_file(spark, tmp):
     a = _write(f"{tmp}/dr/a.csv", "Police,Date souscription\nA,01/02/2024\nB,03/04/2024\n")
     b = _write(f"{tmp}/dr/b.csv", "Police,Date souscription\nC,inconnue\nD,?\n")
-    g = prod.read_slotted_groups(spark, [("2024", a), ("2024", b)])
-    assert len(g) == 1
-    out = prod.coerce_dates_by_file(g[0])
+    given = Delivery.from_list(spark, [("2024", a), ("2024", b)])
+    assert len(given.layouts) == 1
+    out = prod.coerce_dates_by_file(given.rows())
     got = {r.Police: r["Date souscription"] for r in out.collect()}
     assert dict(out.dtypes)["Date souscription"] == "string"  # accepted by one file only
     assert got == {"A": "2024-02-01", "B": "2024-04-03", "C": "inconnue", "D": "?"}
@@ -220,3 +223,108 @@ def test_claims_file_with_unresolvable_headers(spark, tmp):
         dim.read_claims_files(spark, [("2024", bad)], {})
     msg = str(e.value)
     assert "Colonnes manquantes: BRANCHE" in msg and "Reglement='Reglement'" in msg and "Colonnes disponibles" in msg
+
+
+def test_one_scan_reads_every_layout_and_encoding(spark, tmp):
+    """Layouts of other orders, widths, encodings and spellings, a blank and a doubled header, short and long rows."""
+    texts = {"2020/a.csv": ("Police,Branche,Zone\nA,Café,1\nB,x\n", "utf-8"), "2021/b.csv": ("branche,Police\nÉté,C,beyond\n", "latin-1"),
+             "2021/c.csv": ("Zone,,Police,Police\n9,8,D,E\n", "utf-8"), "slot=2022/d.csv": ("\ufeffPolice,Branche\nF,\"é, \"\"q\"\"\"\n", "utf-8"),
+             "2022/empty.csv": ("", "utf-8"), "2022/head.csv": ("Police,Branche\n", "utf-8"), "2023/lines.csv": ("Branche,Police\n\"deux\nlignes ü\",G\n", "latin-1")}
+    for name, (text, enc) in texts.items():
+        _write(f"{tmp}/in/{name}", text, enc)
+    given = Delivery.from_folders(spark, [f"{tmp}/in"])
+    df = given.rows()
+    assert df.columns == ["Branche", "Police", "Zone", "_c1", "Police2", "Police3", "__file", "__slot"]
+    got = {
+        (r["__slot"], r["Police"], r["Branche"], r["Zone"], r["_c1"], r["Police2"], r["Police3"]) for r in df.collect()}
+    assert got == {("2020", "A", "Café", "1", None, None, None), ("2020", "B", "x", None, None, None, None), ("2021", "C", "Été", None, None, None, None),
+                   ("2021", None, None, "9", "8", "D", "E"), ("2022", "F", 'é, "q"', None, None, None, None), ("2023", "G", "deux\nlignes ü", None, None, None, None)}
+    scans = df._jdf.queryExecution().optimizedPlan().toString().count("csv")
+    assert scans == 2                                       # one for cells without line feeds, one for those with
+    assert "empty.csv" not in {r.name for r in given.facts.collect()}
+    named = Delivery.from_list(spark, [("2022", f"{tmp}/in/2022/empty.csv"), ("2020", f"{tmp}/in/2020/a.csv")])
+    assert {r.name: (r.size, r.lines) for r in named.facts.collect()} == {"empty.csv": (0, 0), "a.csv": (34, 3)}
+    assert {r["Police"] for r in named.rows().collect()} == {"A", "B"}
+    # one layout in folders: nothing has to be joined
+    only = Delivery.from_folders(spark, [f"{tmp}/in/2020"])
+    assert "Join" not in only.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["__slot"] for r in only.rows().collect()} == {"2020"}
+
+
+def test_names_of_a_header():
+    assert safe_names(["a", "", "A", "b"]) == ["a0", "_c1", "A2", "b"]
+
+
+def test_rejections_are_rows(spark, tmp):
+    _write(f"{tmp}/in/2023/good.csv", "Police,Branche,PN_ACC,Effet,Echeance\nA,X,1,2024-01-01,2024-12-31\n")
+    _write(f"{tmp}/in/2024/bad.csv", "Police,PN_ACC\nA,1\n")
+    _write(f"{tmp}/in/2024/none.csv", "\n")
+    given = Delivery.from_folders(spark, [f"{tmp}/in"])
+    got = {tuple(r) for r in given.rejections(["Police", "Branche", "PN_ACC", "Effet"]).collect()}
+    assert got == {("2024", "bad.csv", "Branche, Effet", "Police, PN_ACC", "Police, PN_ACC"), ("2024", "none.csv", "Police, Branche, PN_ACC, Effet", "", "")}
+    claims = {r.file: (r.missing, r.found) for r in given.rejections().collect()}
+    assert claims == {"good.csv": ("REGLEMENT, COUT_TOTAL", "Branche=Branche"), "bad.csv": ("BRANCHE, REGLEMENT, COUT_TOTAL", ""), "none.csv": ("BRANCHE, REGLEMENT, COUT_TOTAL", "")}
+
+
+def _policies(n, start=0, extra="", value=""):
+    return f"Police,Branche,PN_ACC,Effet,Echeance{extra}\n" + "".join(f"P{start + i},X,{i + 1},2024-01-01,2024-12-31{value}\n" for i in range(n))
+
+
+def test_landing_replaces_changed_slots_only(spark, tmp):
+    root, target = f"{tmp}/in", f"{tmp}/table"
+    for y in (2021, 2022, 2023):
+        _write(f"{root}/{y}/a.csv", _policies(y - 2018, y))
+    land = lambda: {r.slot: r.status for r in landing.land_changes(spark, Delivery.from_folders(spark, [root]), target).collect()}
+    rows = lambda: {(r.Exercice, r.n, r.s) for r in landing.read_changes_landed(spark, target).groupBy("Exercice").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("PN_ACC").alias("s")).collect()}
+    files = lambda y: set(os.listdir(f"{target}/Exercice={y}"))
+    assert land() == {"2021": "landed", "2022": "landed", "2023": "landed"}
+    assert rows() == {("2021", 3, 6.0), ("2022", 4, 10.0), ("2023", 5, 15.0)}
+    first = {y: files(y) for y in (2021, 2022, 2023)}
+    assert land() == {} and {y: files(y) for y in first} == first
+    # another file in one slot, with a column of its own
+    _write(f"{root}/2022/b.csv", _policies(1, 9, ",Zone", ",nord"))
+    assert land() == {"2022": "landed"}
+    assert rows() == {("2021", 3, 6.0), ("2022", 5, 11.0), ("2023", 5, 15.0)}
+    assert files(2021) == first[2021] and files(2023) == first[2023] and files(2022) != first[2022]
+    zones = landing.read_changes_landed(spark, target).groupBy("Zone").count().collect()
+    assert {r.Zone: r["count"] for r in zones} == {None: 12, "nord": 1}
+    # a slot goes, one comes, one has no row left
+    os.remove(f"{root}/2023/a.csv")
+    _write(f"{root}/2021/a.csv", _policies(0))
+    _write(f"{root}/2024/a.csv", _policies(2))
+    assert land() == {"2021": "removed", "2023": "removed", "2024": "landed"}
+    assert rows() == {("2022", 5, 11.0), ("2024", 2, 3.0)}
+    # a column of dates turns to text: all partitions have to follow
+    _write(f"{root}/2024/b.csv", _policies(1, 0, ",Date souscription", ",01/02/2024"))
+    assert land() == {"2024": "landed"} and dict(landing.read_changes_landed(spark, target).dtypes)["Date souscription"] == "date"
+    _write(f"{root}/2022/c.csv", _policies(1, 0, ",Date souscription", ",inconnue"))
+    assert land() == {"2022": "landed", "2024": "landed"}
+    got = {(r.Exercice, r["Date souscription"]) for r in landing.read_changes_landed(spark, target).collect()}
+    assert got == {("2022", None), ("2022", "inconnue"), ("2024", None), ("2024", "2024-02-01")}
+    with pytest.raises(ValueError, match="Effet"):
+        _write(f"{root}/2025/a.csv", "Police,Branche,PN_ACC,Echeance\nA,X,1,2024-12-31\n")
+        os.remove(f"{root}/2022/b.csv")
+        for y in (2022, 2024):
+            _write(f"{root}/{y}/a.csv", "Police,Branche,PN_ACC,Echeance\nA,X,1,2024-12-31\n")
+            for x in "bc":
+                if os.path.exists(f"{root}/{y}/{x}.csv"):
+                    os.remove(f"{root}/{y}/{x}.csv")
+        land()
+    assert {r[0] for r in rows()} == {"2022", "2024"}      # what was landed is still there
+
+
+def test_common_types(spark):
+    from pyspark.sql import types as T
+    t = prod.common_type
+    assert t([T.IntegerType(), T.LongType(), T.BooleanType()]) == T.LongType() and t([T.IntegerType(), T.DoubleType()]) == T.DoubleType()
+    assert t([T.DateType(), T.TimestampNTZType()]) == T.TimestampNTZType() and t([T.DateType(), T.IntegerType()]) == T.StringType()
+    assert t([T.NullType()]) == T.StringType() and t([T.DecimalType(10, 2), T.LongType()]) == T.DoubleType()
+    with pytest.raises(ValueError, match="no common type"):
+        t([T.BinaryType(), T.StringType()])
+    a = spark.sql("SELECT 'A' AS Police, 1 AS x, true AS b, DATE '2024-05-06' AS d")
+    b = spark.sql("SELECT 'B' AS Police, 2.5D AS X, 7L AS b, TIMESTAMP_NTZ '2024-05-06 07:08:09' AS d")
+    c = spark.sql("SELECT 'C' AS Police, DATE '2023-01-02' AS x, NULL AS b")
+    u = prod.union_production([("2020", a), ("2021", b), ("2022", c)])
+    assert dict(u.dtypes) == {"Police": "string", "x": "string", "b": "bigint", "d": "timestamp_ntz", "Exercice": "string"}
+    assert {(r.Police, r.x, r.b, str(r.d)) for r in u.collect()} == {("A", "1", 1, "2024-05-06 00:00:00"), ("B", "2.5", 7, "2024-05-06 07:08:09"), ("C", "2023-01-02", None, "None")}
