@@ -1,6 +1,6 @@
 """Encoding by distinct chunks: a batch's text is cut into chunks that a tokenizer treats independently, each distinct
-chunk is encoded once, and the ids of the whole batch are gathered from a pool.  The pool belongs to one task and starts
-anew when it passes its limit, so memory is bounded; results never depend on it."""
+chunk is encoded once, and the ids of the whole batch are gathered from a pool, which knows chunks by their bytes.  The
+pool belongs to one task and starts anew when it passes its limits, so memory is bounded; results never depend on it."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from itertools import chain
 
 import numpy as np
 
-from .textvec import Spans, gather
+from .textvec import distinct, gather
 
-MAX_CHUNKS = 300_000
+MAX_CHUNKS, MAX_BYTES = 300_000, 64 << 20
 
 
 class ChunkPool:
@@ -22,26 +22,28 @@ class ChunkPool:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
+        self.held = 0
         self.start, self.length, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.used = 0
 
     def ids(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks end to end, and how many each chunk has."""
+        """The ids of all chunks end to end, and how many each has."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        hashes, first, inverse = np.unique(Spans(buf).hash(start, end), return_index=True, return_inverse=True)
-        if len(self.seen) + len(hashes) > self.max_chunks and self.seen:
+        first, inverse = distinct(buf, start, end)
+        if self.seen and (len(self.seen) + len(first) > self.max_chunks or self.held > MAX_BYTES):
             self.clear()
-        keys = hashes.tolist()
+        data = buf.tobytes()
+        keys = [data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         at = [self.seen.get(k, -1) for k in keys]
         new = [i for i, x in enumerate(at) if x < 0]
         if new:
-            data = buf.tobytes()
-            got = self.encode([data[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            got = self.encode([keys[i] for i in new])
             n0 = len(self.seen)
             for i, k in enumerate(new):
                 at[k] = self.seen[keys[k]] = n0 + i
+                self.held += len(keys[k])
             self._add(n0, *got)
         at = np.array(at)[inverse]
         length = self.length[at]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import flat, fresh_name, slices, stored
-from .textvec import SPACE, U, Spans, count_in, lines, mix, words
+from .textvec import SPACE, U, Spans, count_in, distinct, lines, mix, words
 
 WINDOW = 8
 #: A host's rows meet its verdict in so many groups.
@@ -38,7 +38,6 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n_docs = len(offs) - 1
     lo, hi = offs[:-1], offs[1:]
     start, end, doc = words(buf, offs)
-    spans = Spans(buf)
     per_doc = lambda d: np.bincount(d, minlength=n_docs).astype(np.int64)
     out = {"n_words": per_doc(doc),
            "word_chars": count_in(~SPACE[buf] & ((buf & 0xC0) != 0x80), lo, hi),
@@ -47,13 +46,13 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     l_start, l_end, l_doc = lines(buf, offs)
     full = count_in(~SPACE[buf], l_start, l_end) > 0
     l_start, l_end, l_doc = l_start[full], l_end[full], l_doc[full]
-    _, first = np.unique(mix(spans.hash(l_start, l_end) ^ salt[l_doc]), return_index=True)
+    _, first = np.unique(l_doc * (len(l_doc) + 1) + distinct(buf, l_start, l_end)[1], return_index=True)
     out["n_lines"] = per_doc(l_doc)
     out["n_dup_lines"] = out["n_lines"] - per_doc(l_doc[first])
     out["n_repeat_words"] = np.zeros(n_docs, np.int64)
     n = len(start) - WINDOW + 1
     if n > 0:
-        h = spans.hash(start, end)
+        h = Spans(buf).hash(start, end)
         key = np.zeros(n, U)
         for j in range(WINDOW):
             key = key * U(0x2545F4914F6CDD1D) + h[j:n + j]

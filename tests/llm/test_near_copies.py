@@ -150,3 +150,11 @@ def test_components(spark):
         root[b] = a
     assert got == {name(x): name(find(x)) for p in pairs if p[0] != p[1] for x in p}
     assert grouping.components(spark.createDataFrame([], grouping.EDGE)).count() == 0
+
+
+def test_regular_long_words_are_different_words(spark):
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, a), (2, b), (3, a), (4, f"x {a} y z w"), (5, f"x {b} y z w")]
+    got = superminhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter(map(tuple, got.collect())) == brute_components(rows)

@@ -46,6 +46,54 @@ def test_span_hash_tells_spans_apart_and_not_places():
     assert h[0] == h[2] and len(set(h.tolist())) == 3
 
 
+def thue_morse(n, one="a", two="b"):
+    """A text and its mirror that agree under any polynomial modulo a power of two, once they are long enough."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((one, two)[b] for b in bits), "".join((two, one)[b] for b in bits)
+
+
+THUE = [t for n in (64, 128, 1024, 2048, 4096, 65536) for t in thue_morse(n)]
+
+
+def test_regular_texts_do_not_collide():
+    buf, offs = flat(pa.array(THUE * 2))
+    first, kind = textvec.distinct(buf, offs[:-1], offs[1:])
+    assert len(first) == len(THUE) and (kind[:len(THUE)] == kind[len(THUE):]).all()
+    assert len(set(textvec.Spans(buf).hash(offs[:len(THUE)], offs[1:len(THUE) + 1]).tolist())) == len(THUE)
+    assert [brute_measure("\n".join(THUE[:6]))[4], int(host_rules.measure(*flat(pa.array(["\n".join(THUE[:6])])))["n_dup_lines"][0])] == [0, 0]
+
+
+def test_ids_of_regular_texts_equal_the_library():
+    for enc, tok in ((_byte(), _byte().whole), _word()):
+        ids, at = enc.encode(*flat(pa.array(THUE)))
+        assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(THUE))] == [tok.encode(t, add_special_tokens=False).ids for t in THUE]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=200), max_size=12), st.sampled_from([0, 7, 64]))
+def test_long_spans_hash_as_polynomials(texts, pad):
+    """Against whole numbers, over several blocks, with spans of equal bytes at different places."""
+    data = b"".join(texts) + b"x" * pad
+    data = data * (1 + 140_000 // max(1, len(data)))
+    buf = np.frombuffer(data, np.uint8)
+    start = np.array([0, 1, 65_500, len(data) // 2]) % max(1, len(data))
+    end = np.minimum(len(data), start + np.array([70, 300, 66_000, 65_536]))
+    got = textvec.Spans(buf)._polynomial(start, end)
+    for s, e, h in zip(start.tolist(), end.tolist(), got.tolist(), strict=True):
+        want, power = 0, 1
+        for c in data[s:e]:
+            want, power = (want + (c + 1) * power) % textvec.PRIME, power * textvec.BASE % textvec.PRIME
+        assert h == want
+
+
+def test_spans_with_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(textvec.Spans, "hash", lambda self, start, end: (end - start) % 2)
+    texts = ["ab", "cd", "ab", "abcd", "x", "y", "x", "", "abcd" * 30, "abce" * 30, "abcd" * 30]
+    buf, offs = flat(pa.array(texts))
+    first, kind = textvec.distinct(buf, offs[:-1], offs[1:])
+    assert len(first) == len(set(texts)) and [texts[i] for i in first[kind]] == texts
+
+
 def test_host_prior():
     assert host_rules.beta_prior(0, 0, 0, 0, 0) == (0.0, float("inf"))
     # hosts alike but for chance: everything is shrunk to the mean
