@@ -8,13 +8,18 @@ it stands in.  Text in no element at all belongs to the root.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
 
 import numpy as np
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)|<!--|<[!?]")
+SPECIAL = re.compile("[>\"']")
+#: Tags whose quotes don't close that a page may have before its tag ends are looked up in a table.
+FAILED = 8
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +66,64 @@ NUMBERS = 17
 N_FEATURES = len(TAGS) + 1 + len(ABOVE) + 2 * len(WORDS) + NUMBERS
 
 
+class Tags:
+    """The tags of a source one after another: (start, end, name, whether it closes, attributes); a name is None for comments and
+    declarations.  A tag ends at the first `>` outside quotes, or at the first of all if its quotes don't close.
+
+    The work is linear whatever the source: beyond the last `>` nothing can be a tag, so none is looked for there, and a page
+    on which quotes again and again don't close (each such tag is read to the end in vain) gets a table of where tags end."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">") + 1
+        self.failed, self.table = 0, None
+
+    def after(self, pos: int):
+        if pos >= self.last:
+            return self.comment_at_the_end(pos)
+        if self.failed > FAILED:
+            return self.looked_up(pos)
+        m = TAG.search(self.source, pos, self.last)
+        if not m:
+            return self.comment_at_the_end(pos)
+        if m[5]:
+            self.failed += 1
+            return m.start(), m.end(), m[5], m[4], m[6]
+        end = len(self.source) if m.end() == self.last and self.source.startswith("<!--", m.start()) and not self.source.endswith("-->", m.start() + 4, self.last) else m.end()
+        return m.start(), end, m[2], m[1], m[3] or ""
+
+    def comment_at_the_end(self, pos: int):
+        at = self.source.find("<!--", max(pos, self.last))
+        return None if at < 0 else (at, len(self.source), None, "", "")
+
+    def looked_up(self, pos: int):
+        if self.table is None:
+            self.fill()
+        m = OPEN.search(self.source, pos, self.last)
+        if not m:
+            return self.comment_at_the_end(pos)
+        if m[2] is None:
+            if m[0] == "<!--":
+                end = self.source.find("-->", m.end())
+                return m.start(), len(self.source) if end < 0 else end + 3, None, "", ""
+            return m.start(), self.source.find(">", m.end()) + 1, None, "", ""
+        k = bisect.bisect_left(self.at, m.end())
+        end = self.table[k] if k < len(self.at) and self.table[k] >= 0 else self.source.find(">", m.end())
+        return m.start(), end + 1, m[2], m[1], self.source[m.end():end]
+
+    def fill(self) -> None:
+        """For every `>` and quote, where the first `>` outside quotes is if none is open there (-1: nowhere)."""
+        self.at = [m.start() for m in SPECIAL.finditer(self.source)]
+        self.table = [-1] * (len(self.at) + 1)
+        quote = {'"': len(self.at), "'": len(self.at)}  # the next quote of each kind
+        for k in range(len(self.at) - 1, -1, -1):
+            c = self.source[self.at[k]]
+            if c == ">":
+                self.table[k] = self.at[k]
+            else:
+                self.table[k] = self.table[quote[c] + 1] if quote[c] < len(self.at) else -1
+                quote[c] = k
+
+
 class Page:
     """Elements of a page (root first, parents before children) and its blocks: lists of (element, text).  `marked`: the
     page was written by main_text.lay_out, whose data-y attributes are its marks; any other page's mean nothing here."""
@@ -92,16 +155,18 @@ class Page:
                     flush()
 
         def close_until(kinds, stop):
+            if not any(count.get(k) for k in kinds):
+                return None
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in kinds:
                     return pop(i)
                 if stack[i][0] in stop:
                     return None
 
-        pos, end = 0, len(source)
+        pos, end, tags = 0, len(source), Tags(source)
         while pos < end:
-            m = TAG.search(source, pos)
-            at = m.start() if m else end
+            m = tags.after(pos)
+            at = m[0] if m else end
             if at > pos and not (in_head and source[pos:at].isspace()):
                 in_head = False
                 text = source[pos:at]
@@ -112,11 +177,10 @@ class Page:
                     self.links[owner] += len(text.split()) and len(text)
             if not m:
                 break
-            pos = m.end()
-            name = m[2] or m[5]
+            _, pos, name, closing, attrs = m
             if not name:
                 continue
-            tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            tag = name.lower()
             in_head = in_head and tag in IN_HEAD
             if closing:
                 if tag == "br":

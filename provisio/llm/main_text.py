@@ -7,11 +7,12 @@ dropped element decides (dom.Page.decode).  Blocks of the kept elements are join
 No page is labelled, so the model learns from pages laid out anew: `max_pages` pages, drawn by hash, give their text
 blocks to a layout writer, which wraps some as article in varied ways and others as menus, headers, footers, sidebars,
 notices, adverts, forms, related links and reader comments, and marks which is which.  A page's own blocks count as
-article if they stand in paragraphs; the page itself teaches what its article, nav, footer, aside and form tags tell.  The trees are fitted on the driver from a bounded
-number of element rows.
+article if they stand in paragraphs; the page itself teaches what its article, nav, footer, aside and form tags tell.  The
+trees are fitted on the driver from a bounded number of element rows.
 
-Defined cases: null or empty html gives the empty text; a page of any length is read whole; text without any element is
-kept; repeated rows are extracted each; an empty table gives an empty result; other columns play no part.
+Defined cases: null or empty html gives the empty text; a page of any length is read whole, in time that grows with its
+length whatever its markup (see dom.Tags); text without any element is kept; repeated rows are extracted each and teach
+once; of equally likely choices an element is kept; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import fresh_name
 from .dom import Page
 
 MAX_PAGES, LAYOUTS = 200, 4
+#: Longer pages don't teach, and no page teaches with more element rows.
+MAX_CHARS, MAX_ROWS = 1 << 18, 4000
 
 
 def _attrs(rng: random.Random, words: list[str]) -> str:
@@ -152,20 +155,26 @@ def teaching_rows(source: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows])
 
 
-def learn(pages: DataFrame, page_html: str = "html", max_pages: int = MAX_PAGES) -> BoostedTrees:
-    """Trees learned from new layouts of about `max_pages` pages, drawn by hash (all, if there are fewer)."""
-    rows = pages.where(F.length(page_html) > 0).select(F.col(page_html).alias("body"), F.xxhash64(page_html, F.monotonically_increasing_id()).alias("draw"))
-    n = rows.count()
+def learn(pages: DataFrame, page_html: str = "html", max_pages: int = MAX_PAGES, max_chars: int = MAX_CHARS, max_rows: int = MAX_ROWS) -> BoostedTrees:
+    """Trees learned from new layouts of about `max_pages` different pages (all, if there are fewer), drawn by a hash of the
+    page itself, so the same pages teach however they lie in files.  Pages over `max_chars` don't teach, and a page gives
+    `max_rows` elements at most, evenly spread: what reaches the driver is bounded by these three numbers."""
+    rows = pages.where(F.length(page_html).between(1, max_chars)).select(F.col(page_html).alias("body"), F.xxhash64(page_html).alias("draw"))
+    n = rows.select("draw").distinct().count()
     share = min(1.0, max_pages / max(1, n))
 
     def run(batches):
         for batch in batches:
             for source, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = teaching_rows(source, seed)
+                if len(y) > max_rows:
+                    some = np.linspace(0, len(y) - 1, max_rows).astype(np.int64)
+                    x, y = x[some], y[some]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([x.astype("<f4").tobytes()], pa.binary()), pa.array([y.astype("<f4").tobytes()], pa.binary())], names=["seed", "x", "y"])
 
-    got = rows.where(F.pmod("draw", F.lit(1 << 30)) < F.lit(share * (1 << 30))).mapInArrow(run, "seed long, x binary, y binary").toArrow().to_pylist()
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < F.lit(share * (1 << 30))).dropDuplicates(["draw"])
+    got = drawn.select("body", "draw").mapInArrow(run, "seed long, x binary, y binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["seed"], r["x"]))
     if not got:
         return BoostedTrees()

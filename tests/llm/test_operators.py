@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 import zstandard
-from provisio.llm import iblt, licences, main_text, ppm_language, quality_net, warc_bundles
+from provisio.llm import dom, iblt, licences, main_text, ppm_language, quality_net, warc_bundles
 from provisio.llm.dom import Page
 
 
@@ -133,6 +135,43 @@ def test_reader_of_broken_markup():
             assert [" ".join("".join(t for _, t in b).split()) for b in page.blocks] == want
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<!", "<?x ", '<a ">"', "<a x='", '<a x=\'">', "<!--", "</", "</a ", "<svg ", "<option>", '<div class="', "<li><b>", "<a" + "b" * 50, "<p><"])
+@pytest.mark.parametrize("tail", ["", ">", '">', "-->x"])
+def test_reading_is_linear_in_malformed_pages(unit, tail):
+    source = unit * ((1 << 20) // len(unit)) + tail
+    began = time.process_time()
+    Page(source)
+    assert time.process_time() - began < 12
+
+
+def test_tag_ends_from_the_table_are_those_of_the_pattern(monkeypatch):
+    rng = random.Random(5)
+    bits = ["<", ">", '"', "'", "a", "/", " ", "=", "<!--", "-->", "<!", "<b ", "</b>", "x", "<p c='", '">']
+
+    def read(source):
+        tags, pos, out = dom.Tags(source), 0, []
+        while pos < len(source) and (m := tags.after(pos)):
+            out.append(m)
+            pos = m[1]
+        return [(a, b, n, c or "", x if n else "") for a, b, n, c, x in out]
+
+    for _ in range(4000):
+        source = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        monkeypatch.setattr(dom, "FAILED", 10 ** 9)
+        want = read(source)
+        monkeypatch.setattr(dom, "FAILED", -1)
+        assert read(source) == want, source
+
+
+def test_teaching_is_bounded_and_independent_of_files(spark):
+    pages = [(i, site(i)) for i in range(30)] + [(100 + i, site(3)) for i in range(40)] + [(200, site(7) * 400)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    a, b = main_text.learn(df.repartition(2)), main_text.learn(df.repartition(7, "page_id"))
+    x = Page(site(99)).features()
+    assert np.array_equal(a.chance(x), b.chance(x))
+    assert np.array_equal(main_text.learn(df.limit(0)).chance(x), main_text.learn(df.where("page_id = 200"), max_chars=10).chance(x))
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 def paragraphs(t):
     out = set()
