@@ -102,13 +102,14 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS) -> ContextTrees:
-    """Count the grams of a bounded sample of the learnable rows of each language."""
-    rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("body"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """Count the grams of a bounded sample of the learnable texts of each language.  Texts are drawn by a hash of themselves
+    and copies count once, so the same rows teach the same trees however they lie in files."""
+    rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("body"), F.xxhash64(text).alias("own"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "own").distinct().groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(max_docs / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("body", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod("own", F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches):
         held: dict[str, list] = {}
@@ -130,7 +131,7 @@ def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
         codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    got = rows.where(draw < share).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where(draw < share).dropDuplicates(["lang", "own"]).select("lang", "body").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     lang_of, code, n = np.array(got.column("lang").to_pylist(), object), got.column("code").to_numpy().astype(np.uint64), got.column("n").to_numpy()
     names = sorted(set(lang_of.tolist()))
     return ContextTrees(names, [code[lang_of == x] for x in names], [n[lang_of == x] for x in names])

@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, fresh_name, slices, stored
-from .grouping import groups
 from .textvec import LOWER, U, Spans, mix, words
 
 BUCKETS, DIM, NONZERO, REACH, BLOCKS = 8192, 64, 6, 2, 16
+FAN_IN, DECAY = 64, 1e-4
 MAX_LABELS = 20_000
 #: Byte classes of shapes: letters (upper, lower and beyond ASCII), digits; other bytes stand for themselves.
 CLASS = np.arange(256, dtype=np.uint8)
@@ -84,24 +84,32 @@ def context_sums(texts: DataFrame) -> np.ndarray:
             for part in slices(batch, batch.schema.names[0], 1 << 20):
                 own.add(*flat(part.column(0)))
         flat_sums = own.sums.reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * BLOCKS, pa.int32()),
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId() // FAN_IN] * BLOCKS, pa.int32()),
                                           pa.array([x.astype("<i8").tobytes() for x in flat_sums], pa.binary())], names=["block", "part", "sums"])
 
     def total(batches):
-        for t in groups(batches, ["block", "part"]):
-            whole = 0
-            for x in t.column("sums"):
-                whole = whole + np.frombuffer(x.as_py(), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([whole.tobytes()], pa.binary())], names=["block", "part", "sums"])
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1] // FAN_IN], pa.int32()), pa.array([whole.tobytes()], pa.binary())], names=["block", "part", "sums"])
+
+        own, whole = None, np.zeros(0)
+        for batch in batches:
+            for key, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2), strict=True):
+                if key != own:
+                    if own is not None:
+                        yield row()
+                    own, whole = key, 0
+                whole = whole + np.frombuffer(x.as_buffer(), "<i8")
+        if own is not None:
+            yield row()
 
     schema = "block int, part int, sums binary"
     parts = texts.mapInArrow(count, schema)
-    for keys in (["block", "part"], ["block"]):
+    for keys in (["block", "part"], ["block", "part"], ["block"]):  # sums of FAN_IN tasks, of FAN_IN of these, of what there is: 64 tasks or 200 000
         parts = parts.repartition(*keys).sortWithinPartitions("block", "part").mapInArrow(total, schema)
-    got = parts.collect()
-    if not got:
-        return np.zeros((2, BUCKETS, DIM + 1), np.int64)
-    return np.concatenate([np.frombuffer(r["sums"], "<i8") for r in sorted(got, key=lambda r: r["block"])]).reshape(2, BUCKETS, DIM + 1)
+    whole = np.zeros((BLOCKS, 2 * BUCKETS * (DIM + 1) // BLOCKS), np.int64)
+    for r in parts.collect():
+        whole[r["block"]] += np.frombuffer(r["sums"], "<i8")
+    return whole.reshape(2, BUCKETS, DIM + 1)
 
 
 class DocumentVectors:
@@ -140,6 +148,15 @@ class DocumentVectors:
         return out
 
 
+def gradients(w: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss and half DECAY times the squared weights, by both layers' weights and biases."""
+    h = np.tanh(x @ w[0] + w[1])
+    p = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
+    d = (p - y) / len(y)
+    dh = np.outer(d, w[2]) * (1 - h * h)
+    return [x.T @ dh + DECAY * w[0], dh.sum(axis=0), h.T @ d + DECAY * w[2], d.sum(keepdims=True)]
+
+
 class Net:
     """Two layers and a temperature."""
 
@@ -164,11 +181,7 @@ class Net:
             order = rng.permutation(len(own_y))
             for lo in range(0, len(order), 256):
                 rows = order[lo:lo + 256]
-                h = np.tanh(own_x[rows] @ w[0] + w[1])
-                p = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
-                d = (p - own_y[rows]) / len(rows)
-                dh = np.outer(d, w[2]) * (1 - h * h)
-                grads = [own_x[rows].T @ dh + 1e-4 * w[0], dh.sum(axis=0), h.T @ d + 1e-4 * w[2], d.sum(keepdims=True)]
+                grads = gradients(w, own_x[rows], own_y[rows])
                 step += 1
                 rate = 3e-3 * (1 - epoch / epochs)
                 for a, g, ma, va in zip(w, grads, m, v, strict=True):
