@@ -176,8 +176,15 @@ def test_teaching_is_bounded_and_independent_of_files(spark):
 def paragraphs(t):
     out = set()
     for line in (t or "").split("\n"):
-        out |= {u.strip(" ") for u in (re.split(r"(?<=[.!?]) +", line) if len(line) > 300 else [line])} - {""}
-    return out
+        at = 0
+        for i in range(1, len(line) + 1):  # a cut before i
+            gap = re.match(" *", line[i:])[0]
+            after = line[i + len(gap):i + len(gap) + 1]
+            if line[i - 1] in "。！？；、，を的" or gap and (line[i - 1] in ".!?;…" or line[i - 1] in "dy" and after and after in "abw"):
+                out.add(line[at:i].strip(" "))
+                at = i
+        out.add(line[at:].strip(" "))
+    return out - {""}
 
 
 def likeness(a, b):
@@ -204,6 +211,30 @@ def test_fingerprints(spark, monkeypatch):
     assert got[7].fingerprint == got[1 + 3 * 16].fingerprint and len({r.fingerprint for r in got.values()}) == len({frozenset(paragraphs(t)) for t in texts})
 
 
+CUT = [("One. Two. " + "word " * n, "One. Two. " + "tree " * n) for n in (20, 55, 56, 57, 58, 140, 400)]
+
+
+def test_likeness_does_not_depend_on_length(spark):
+    """Two texts that share two sentences share them at any length, and half a text without marks is still half of it."""
+    rows = [(2 * i + k, t) for i, pair in enumerate(CUT) for k, t in enumerate(reversed(pair))]
+    near = {r.doc_id: r.near_next for r in iblt.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(near[2 * i + 1] > 0 and abs(near[2 * i + 1] - likeness(*pair)) < 1e-12 for i, pair in enumerate(CUT))
+    plain = ["the dog ran away and then it had been caught by a boy who would always be kind and warm to every animal he had around him " * 3,
+             "私は本を読むのが好きで毎日新しい本を買って夜に読みます、友達も本を読みます" * 4, "今天天气很好，我们去公园玩。他说的话我不太明白，但是没关系。" * 3]
+    alone = {i: iblt.edited_likeness(spark.createDataFrame([(2, t), (1, "0 " * len(t))], "doc_id long, text string")).where("doc_id = 2").first().near_edited for i, t in enumerate(plain)}
+    assert all(v > 0 for v in alone.values())
+
+
+def test_tables_that_never_empty_are_compared_as_sets(spark, monkeypatch):
+    texts = ["\n".join(f"line {i * k}" for i in range(60)) for k in (1, 2, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: (r.near_edited, r.near_next) for r in iblt.edited_likeness(df).collect()}
+    monkeypatch.setattr(iblt, "DOUBLINGS", 0)
+    monkeypatch.setattr(iblt, "TABLE_WIDTH", 1)
+    assert {r.doc_id: (r.near_edited, r.near_next) for r in iblt.edited_likeness(df).collect()} == want
+    assert all(0 < a < 1 and 0 < b < 1 for a, b in want.values())
+
+
 def test_fingerprints_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert iblt.edited_likeness(spark.createDataFrame([], schema)).count() == 0
