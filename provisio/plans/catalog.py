@@ -926,7 +926,7 @@ def q_landing_incremental(spark, sf_dir):
 
 @register("landing_rejections", O.with_ctes(_RAW) + """
 SELECT Exercice AS slot, CASE WHEN Exercice <= '1998' THEN 'Effet, PN_ACC' ELSE 'Branche' END AS missing,
-       CASE WHEN Exercice <= '1998' THEN 'Police, Branche, Echeance' ELSE 'Police, PN_ACC, Effet, Echeance' END AS found,
+       CASE WHEN Exercice <= '1998' THEN 'Police, Branche, Echeance' ELSE 'Police, Effet, PN_ACC, Echeance' END AS found,
        CASE WHEN Exercice <= '1998' THEN 'Police, Branche, Echeance, Prime' ELSE 'Police, Effet, Echeance, PN_ACC' END AS available, COUNT(*) AS rows
 FROM policies_raw WHERE Exercice <= '1996' OR Exercice > '1998' GROUP BY Exercice""")
 def q_landing_rejections(spark, sf_dir):
@@ -941,11 +941,8 @@ def q_landing_rejections(spark, sf_dir):
         df.write.partitionBy("slot").option("header", True).csv(f"{root}/{i}")
     given = _delivered(spark, [f"{root}/{i}" for i in range(len(layouts))])
     bad = given.rejections(["Police", "Branche", "Effet", "PN_ACC", "Echeance"])
-    order = lambda c: F.array_join(F.filter(F.lit(["Effet", "PN_ACC", "Branche"]).cast("array<string>"), lambda x: F.array_contains(F.split(F.col(c), ", "), x)), ", ")
     rows = given.facts.select("slot", F.col("name").alias("file"), (F.col("lines") - 1).alias("n"))
-    told = bad.withColumn("missing", order("missing")).withColumn("found", F.array_join(F.filter(F.lit(["Police", "Branche", "PN_ACC", "Effet", "Echeance"]).cast("array<string>"),
-                                                                                         lambda x: F.array_contains(F.split(F.col("found"), ", "), x)), ", "))
-    return told.join(rows, ["slot", "file"]).groupBy("slot", "missing", "found", "available").agg(F.sum("n").cast("bigint").alias("rows"))
+    return bad.join(rows, ["slot", "file"]).groupBy("slot", "missing", "found", "available").agg(F.sum("n").cast("bigint").alias("rows"))
 
 
 @register("last_year_landed", O.with_ctes(_RAW) + """
@@ -1044,3 +1041,44 @@ def q_claims_exact_agg(spark, sf_dir):
     rows = claims_ops.map_claims(fx.claims_raw(spark, sf_dir), fx.FIXTURE_MAPPING)
     cells = exact_cells(rows, {"paid": "Total_Reglement", "cost": "Cout_Total"})
     return cells.select("Branche", "Exercice", *[(F.col(c) * 10000).cast("bigint").alias(f"{c}_units") for c in ("paid", "cost")], "Nb")
+
+
+@register("date_coerce_files", """
+WITH t AS (
+  SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS slot,
+         CASE WHEN year(o_orderdate) % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'sans date' ELSE strftime(o_orderdate, '%d/%m/%Y') END
+              WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'ref ' || o_orderkey END AS txt FROM orders),
+p AS (SELECT *, COALESCE(CAST(try_strptime(txt, '%d/%m/%Y') AS DATE), CAST(try_strptime(txt, '%Y-%m-%d') AS DATE)) AS d FROM t),
+s AS (SELECT slot, COUNT(d) > 0 AND COUNT(d) >= 0.4 * COUNT(*) AS ok FROM p GROUP BY slot)
+SELECT o_orderkey, p.slot, CASE WHEN ok THEN strftime(d, '%Y-%m-%d') ELSE txt END AS souscription FROM p JOIN s ON p.slot = s.slot""")
+def q_date_coerce_files(spark, sf_dir):
+    """OP-F8 over delivered files: a date column that some files accept and others don't is text, with ISO dates where it is
+    accepted; a file that accepts it loses what isn't a date."""
+    root = prod.scratch_dir(spark, "date-files")
+    o, k = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")), F.col("o_orderkey")
+    even = F.when(k % 3 == 0, F.lit("sans date")).otherwise(F.date_format("d", "dd/MM/yyyy"))
+    odd = F.when(k % 4 == 0, F.date_format("d", "yyyy-MM-dd")).otherwise(F.concat(F.lit("ref "), k.cast("string")))
+    y = F.year("d")
+    rows = o.select(y.cast("string").alias("slot"), k.cast("string").alias("Police"), F.when(y % 2 == 0, even).otherwise(odd).alias("Date de souscription"))
+    rows.repartition("slot").write.partitionBy("slot").option("header", True).csv(root)
+    typed = prod.coerce_dates_by_file(_delivered(spark, [root]).rows())
+    return typed.select(F.col("Police").cast("bigint").alias("o_orderkey"), F.col("__slot").alias("slot"), F.col("Date de souscription").alias("souscription"))
+
+
+@register("claims_rejections", O.with_ctes(f"claims_raw AS ({fx.CLAIMS_RAW_SQL})") + """
+SELECT Exercice AS slot, CASE WHEN Exercice <= '1996' THEN 'COUT_TOTAL' ELSE 'BRANCHE, REGLEMENT' END AS missing,
+       CASE WHEN Exercice <= '1996' THEN 'Branche=BRANCHE, Total_Reglement=REGLEMENT' ELSE 'Cout_Total=Coût  total' END AS found,
+       CASE WHEN Exercice <= '1996' THEN 'BRANCHE, REGLEMENT' ELSE 'Branche produit, Coût  total' END AS available, COUNT(*) AS rows
+FROM claims_raw WHERE Exercice <= '1996' OR Exercice > '1998' GROUP BY Exercice""")
+def q_claims_rejections(spark, sf_dir):
+    """OP-S14 of claims: what each file lacks of the contract, what was found and what there is, as rows."""
+    root = prod.scratch_dir(spark, "claims-rejections")
+    raw = fx.claims_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot").repartition("slot")
+    early, late = F.col("slot") <= "1996", F.col("slot") > "1998"
+    layouts = [raw.filter(early).select("slot", "BRANCHE", "REGLEMENT"), raw.filter(late).select("slot", F.col("BRANCHE").alias("Branche produit"), F.col("COUT_TOTAL").alias("Coût  total")),
+               raw.filter(~early & ~late)]
+    for i, df in enumerate(layouts):
+        df.write.partitionBy("slot").option("header", True).csv(f"{root}/{i}")
+    given = _delivered(spark, [f"{root}/{i}" for i in range(len(layouts))])
+    rows = given.facts.select("slot", F.col("name").alias("file"), (F.col("lines") - 1).alias("n"))
+    return given.rejections().join(rows, ["slot", "file"]).groupBy("slot", "missing", "found", "available").agg(F.sum("n").cast("bigint").alias("rows"))

@@ -89,6 +89,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that lie in fewer splits than the cluster has cores are dealt out by the key of the join that follows, so that
+    their work isn't one task's; a table of many splits stays as it lies and is shuffled only if its joins ask for it."""
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(key) if splits < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def policies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production rows: Police, Branche (observed), Exercice, Effet, Echeance, PN_ACC."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -134,8 +141,7 @@ def claims_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text claims rows: BRANCHE, Exercice, REGLEMENT, COUT_TOTAL."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
-    # the join's own partitioning, asked for before it: the rows' text work is spread even from one unsplittable file
-    li = li.repartition("l_partkey")
+    li = spread(li, "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey)
     ln = F.col("l_linenumber")
