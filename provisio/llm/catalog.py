@@ -140,6 +140,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM l
 """
 
+#: Shingles as texts, pairs by joining them, and what each row reaches over links.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i : i + 4], ' ') AS shingle
+      FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY a.rid, b.rid),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT rid AS x, rid AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x AS rid, min(w.doc_id) AS least FROM r JOIN w ON w.rid = r.y GROUP BY r.x),
+f AS (SELECT doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE least END AS component_id
+      FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid))
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM f
+"""
+
 #: The levels by sorting: in the order of bound by share, a source stops if what those before it leave is above its bound.
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -208,4 +225,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
 """
 
-ORACLES = {"op1_warc_bundles": OP1_SQL, "op2_host_rules": OP2_SQL, "op11_mixing": OP11_SQL, "op12_reversed_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES = {"op1_warc_bundles": OP1_SQL, "op2_host_rules": OP2_SQL, "op7_superminhash": OP7_SQL, "op11_mixing": OP11_SQL, "op12_reversed_search": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -1,9 +1,11 @@
 """The corpus pipeline against brute force: what each stage lets go, and the packed pieces."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .test_near_copies import brute_sets, changed
@@ -67,3 +69,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, awkward, rows, tmp_path):
+    """Null and repeated ids, extra columns with names that the operators use: every stage keeps the columns and loses what
+    it says it loses."""
+    docs = awkward.withColumn("n_chars", F.length("text").cast("long")).withColumn("label", F.lit("x")).withColumn("row", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns, name
+        got = Counter((r.doc_id, r.text, r.lang, r.source) for r in left.collect())
+        assert not got - Counter(rows), name
+        if name == "language_id":
+            assert got == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+        if name == "quality_rules":
+            assert all(brute_measure(t)[0] >= 20 for _, t, _, _ in got)
+        if name == "near_dedup":  # the least id of each group; rows without a word are left alone
+            assert got[9, rows[8][1], "de", "a"] == 1 and got[1, rows[0][1], "en", "a"] == 1 and (2, rows[1][1], "en", "a") not in got
+            assert got[None, rows[11][1], "en", "c"] == 1 and got[None, None, None, None] == 1 and got[3, None, "en", "a"] == 1
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    check_pieces(stage(spark, docs, str(tmp_path)).collect(), [(r[0], r[1]) for r in rows], Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
