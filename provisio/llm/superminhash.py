@@ -31,6 +31,8 @@ from .textvec import LOWER, U, Spans, mix, words
 SHINGLE, SLOTS, MISS = 5, 256, 1e-4
 #: Rows of a group in one task: signatures take 256 bytes each, sets some kilobytes.
 SIGNATURE_CHUNK, SET_CHUNK = 4096, 1024
+#: Elements whose permutations are held at once, 256 bytes each.
+BLOCK = 1 << 16
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -59,23 +61,26 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash signatures, one row per set; an empty set keeps `slots` everywhere."""
+    """SuperMinHash signatures, one row per set; an empty set keeps `slots` everywhere.  Elements are worked off in blocks, so
+    a set of any size takes as much memory as a block; what earlier blocks have found lets later ones stop sooner."""
     n_sets = len(sets)
     best = np.full(n_sets * slots, float(slots))
     item = np.concatenate(sets) if sets else np.zeros(0, U)
     owner = np.repeat(np.arange(n_sets), [len(s) for s in sets])
-    order = np.tile(np.arange(slots, dtype=np.uint16 if slots > 256 else np.uint8), (len(item), 1))
-    live = np.arange(len(item))
-    for j in range(slots):
-        draw = mix(item[live] + U((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        at = (j + ((mix(draw) >> U(32)) * U(slots - j) >> U(32))).astype(np.int64)
-        slot = order[live, at]
-        order[live, at] = order[live, j]
-        np.minimum.at(best, owner[live] * slots + slot, j + (draw >> U(11)).astype(np.float64) * 2.0 ** -53)
-        open_sets = best.reshape(n_sets, slots).max(axis=1) >= j + 1
-        live = live[open_sets[owner[live]]]
-        if not len(live):
-            break
+    for lo in range(0, len(item), BLOCK):  # a slot's minimum over all is that over the blocks
+        part, own = item[lo:lo + BLOCK], owner[lo:lo + BLOCK]
+        order = np.tile(np.arange(slots, dtype=np.uint16 if slots > 256 else np.uint8), (len(part), 1))
+        live = np.arange(len(part))
+        for j in range(slots):
+            open_sets = best.reshape(n_sets, slots).max(axis=1) >= j
+            live = live[open_sets[own[live]]]
+            if not len(live):
+                break
+            draw = mix(part[live] + U((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            at = (j + ((mix(draw) >> U(32)) * U(slots - j) >> U(32))).astype(np.int64)
+            slot = order[live, at]
+            order[live, at] = order[live, j]
+            np.minimum.at(best, own[live] * slots + slot, j + (draw >> U(11)).astype(np.float64) * 2.0 ** -53)
     return best.reshape(n_sets, slots)
 
 

@@ -158,3 +158,13 @@ def test_regular_long_words_are_different_words(spark):
     rows = [(1, a), (2, b), (3, a), (4, f"x {a} y z w"), (5, f"x {b} y z w")]
     got = superminhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert collections.Counter(map(tuple, got.collect())) == brute_components(rows)
+
+
+def test_signatures_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 3, 400, 0, 2500, 40)]
+    want = superminhash.signatures(sets)
+    for size in (1, 7, 300):
+        monkeypatch.setattr(superminhash, "BLOCK", size)
+        assert np.array_equal(superminhash.signatures(sets), want)
+    assert (want[0] == superminhash.SLOTS).all() and (want[5] < superminhash.SLOTS).all()
