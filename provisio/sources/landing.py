@@ -50,8 +50,8 @@ def landed_schema(spark: SparkSession, target: str) -> T.StructType | None:
 
 
 def read_changes_landed(spark: SparkSession, target: str) -> DataFrame:
-    """OP-S9 of a table landed by ``land_changes``: its schema is the manifest's,
-    as partitions landed earlier may lack columns that came later."""
+    """OP-S9 of a table landed by ``land_changes``: its schema is the manifest's;
+    a column that came later is null in the partitions landed before."""
     return read_landed(spark, target, landed_schema(spark, target))
 
 

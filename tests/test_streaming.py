@@ -56,3 +56,17 @@ def test_restart_without_new_files_is_idempotent(spark):
         q.awaitTermination(120)
     rows = [(r.Branche, r.Exercice, r.Nombre_Sinistres, r.SAP) for r in read_cells(spark, f"{root}/cells").collect()]
     assert rows == [("AUTO", "2023", 1, 50.0)]
+
+
+def test_streamed_cells_may_hold_line_feeds(spark):
+    root = tempfile.mkdtemp(prefix="provisio-lines-")
+    _write(f"{root}/in/Exercice=2023/a.csv", "BRANCHE,GARANTIE,REGLEMENT,COUT_TOTAL\nAUTO,\"RC\net vol\",100,150\n\"SANTE\n\",x,\"1\n000\",5\n")
+    q = maintain_claims_cells(spark, f"{root}/in", HEADER, {}, f"{root}/cells", f"{root}/ck", multi_line=True)
+    q.awaitTermination(120)
+    rows = {(r.Branche, r.Exercice, r.Nombre_Sinistres, r.Total_Reglement) for r in read_cells(spark, f"{root}/cells").collect()}
+    assert rows == {("AUTO", "2023", 1, 100.0), ("SANTE", "2023", 1, 1000.0)}
+    header = ["Police", "Branche", "PN_ACC", "Effet", "Echeance"]
+    _write(f"{root}/prod/Exercice=2024/a.csv", "Police,Branche,PN_ACC,Effet,Echeance\n\"P\n1\",AUTO,5,01/02/2024,31/01/2025\n")
+    q = land_production_stream(spark, f"{root}/prod", header, f"{root}/out", f"{root}/ck2", multi_line=True)
+    q.awaitTermination(120)
+    assert [(r.Police, r.PN_ACC) for r in prod.read_landed(spark, f"{root}/out").collect()] == [("P\n1", 5.0)]

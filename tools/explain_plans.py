@@ -13,7 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from provisio.operators import claims as co  # noqa: E402
 from provisio.operators import premium  # noqa: E402
 from provisio.operators.mapping import map_policies  # noqa: E402
-from provisio.plans import catalog  # noqa: E402
+from provisio.plans import catalog, pipeline  # noqa: E402
 from provisio.session import build_session  # noqa: E402
 from provisio.sources import fixtures as fx  # noqa: E402
 
@@ -37,6 +37,8 @@ def main():
          premium.prec_lines(st.mapped, st.taux, p.date_eval)),
         ("PE recap matrix over stored cells (pe_recap_matrix)", catalog.QUERIES["pe_recap_matrix"](spark, sf)),
         ("PSAP matrix over stored cells (psap_matrix)", catalog.QUERIES["psap_matrix"](spark, sf)),
+        ("The whole report in one plan (reserving_report)", pipeline.reserving_report(*catalog.both_stages(spark, sf))),
+        ("The last year of a landed table, found at run time (last_year_landed)", catalog.QUERIES["last_year_landed"](spark, sf)),
     ]
     out = ["# Physical plans (generated by tools/explain_plans.py)\n",
            f"Input: `{sf}`, `local[8]`. Plans are printed before execution (AQE may still coalesce or "
