@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions.amounts import amount_parse_failed, claims_amount
 from provisio.functions.text import resolve_claims_columns, ustrip
+from provisio.operators.exact import exact_cells
 from provisio.operators.mapping import map_branch
 
 
@@ -36,8 +37,13 @@ def map_claims(df: DataFrame, mapping: dict) -> DataFrame:
     return n.withColumn("Branche", map_branch(F.col("Branche"), mapping))
 
 
-def claims_agg(claims: DataFrame) -> DataFrame:
-    """OP-A8: paid, cost and count per (Branche, Exercice); SAP = cost - paid."""
+def claims_agg(claims: DataFrame, exact: bool = False) -> DataFrame:
+    """OP-A8: paid, cost and count per (Branche, Exercice); SAP = cost - paid.
+    ``exact`` sums amounts as decimals and takes SAP from these."""
+    if exact:
+        cells = exact_cells(claims, {"paid": "Total_Reglement", "cost": "Cout_Total"})
+        return cells.select("Branche", "Exercice", F.col("paid").cast("double").alias("Total_Reglement"), F.col("cost").cast("double").alias("Cout_Total"),
+                            F.col("Nb").alias("Nombre_Sinistres"), (F.col("cost") - F.col("paid")).cast("double").alias("SAP"))
     return (claims.groupBy("Branche", "Exercice")
             .agg(F.sum("Total_Reglement").alias("Total_Reglement"),
                  F.sum("Cout_Total").alias("Cout_Total"),

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCALE = 4
-#: 14 digits before the point per row; a sum has room for 10 more digits, 10^10 rows of the largest amount
-PRECISION = 18
+#: 24 digits before the point per row, and room for 10^10 rows of the largest amount in the sum
+PRECISION = 28
 
 
 def exact_sum(c: Column | str, scale: int = SCALE) -> Column:

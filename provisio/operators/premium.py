@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions.dates import days_between
+from provisio.operators.exact import exact_sum
 from provisio.operators.literal import literal_frame, ratio_frame
 from provisio.operators.mapping import map_literal
 from provisio.params import (
@@ -47,10 +48,11 @@ def unexpired_weight(pe: Column, total: Column, remaining: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(pe * F.try_divide(remaining, total))
 
 
-def policy_cells(policies: DataFrame, date_eval: date, ibnr_loss_ratio: float = IBNR_LOSS_RATIO) -> DataFrame:
+def policy_cells(policies: DataFrame, date_eval: date, ibnr_loss_ratio: float = IBNR_LOSS_RATIO, exact: bool = False) -> DataFrame:
     """Single aggregation of mapped policy rows into per-cell measures:
     PE, PREC_base (= sum PE*remaining/total), Prime_Acquise, Charge_Theorique,
-    IBNR, Nb (rows).
+    IBNR, Nb (rows).  ``exact`` sums the premiums as decimals, so that PE is
+    the same whatever the partitioning.
 
     The per-row terms are staged in projections (durations, then maturity,
     then the weighted amounts) so each is computed once per row inside the
@@ -71,7 +73,7 @@ def policy_cells(policies: DataFrame, date_eval: date, ibnr_loss_ratio: float =
                  (F.col("pe") * F.col("M")).alias("earned"), lag.alias("LF"))
     t = t.select(*k, "pe", "unexpired", "earned", (F.col("earned") * F.lit(float(ibnr_loss_ratio))).alias("charge"), "LF")
     return t.groupBy(*k).agg(
-        F.sum("pe").alias("PE"),
+        (exact_sum("pe").cast("double") if exact else F.sum("pe")).alias("PE"),
         F.sum("unexpired").alias("PREC_base"),
         F.sum("earned").alias("Prime_Acquise"),
         F.sum("charge").alias("Charge_Theorique"),

@@ -75,6 +75,7 @@ class ReservingParams:
     platform_shares: list = field(default_factory=lambda: list(PLATFORM_SHARE_DEFAULTS))
     guarantee_shares: list = field(default_factory=lambda: list(GUARANTEE_SHARE_DEFAULTS))
     psap_overrides: list = field(default_factory=list)   # [(Branche, Exercice, amount)]
+    exact_amounts: bool = False                          # premiums and claims summed as decimals
 
     def ibnr_loss_ratio(self) -> float:
         return float(self.loss_ratios_split.get(BODILY_BRANCH, IBNR_LOSS_RATIO))

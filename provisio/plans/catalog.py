@@ -1082,3 +1082,20 @@ def q_claims_rejections(spark, sf_dir):
     given = _delivered(spark, [f"{root}/{i}" for i in range(len(layouts))])
     rows = given.facts.select("slot", F.col("name").alias("file"), (F.col("lines") - 1).alias("n"))
     return given.rejections().join(rows, ["slot", "file"]).groupBy("slot", "missing", "found", "available").agg(F.sum("n").cast("bigint").alias("rows"))
+
+
+@register("delivery_layouts", O.with_ctes(f"claims_raw AS ({fx.CLAIMS_RAW_SQL})") + """
+SELECT CASE CAST(Exercice AS INTEGER) % 3 WHEN 0 THEN 'BRANCHE, REGLEMENT, COUT_TOTAL' WHEN 1 THEN 'Branche, Total  Règlement, Coût  Total'
+            ELSE 'branche, Montant reglement net, Cout total brut' END AS names,
+       CAST(Exercice AS INTEGER) % 3 <> 1 AS utf8, COUNT(DISTINCT Exercice) AS files, COUNT(*) + COUNT(DISTINCT Exercice) AS lines
+FROM claims_raw GROUP BY 1, 2""")
+def q_delivery_layouts(spark, sf_dir):
+    """OP-F1..F3 over a delivery: its layouts, one row each however many files share it; the accented one is Latin-1."""
+    root = prod.scratch_dir(spark, "layouts")
+    raw = fx.claims_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot").withColumn("BRANCHE", F.translate("BRANCHE", "\u00a0", "_"))
+    raw = raw.withColumn("REGLEMENT", F.translate("REGLEMENT", "\u00a0", " ")).withColumn("COUT_TOTAL", F.translate("COUT_TOTAL", "\u00a0", " ")).repartition("slot")
+    for i, names in enumerate(_SPELLINGS):
+        own = raw.filter(F.col("slot").cast("int") % len(_SPELLINGS) == i)
+        df = own.select("slot", *[F.col(c).alias(n) for c, n in zip(_SPELLINGS[0], names)])
+        df.write.partitionBy("slot").option("header", True).option("encoding", "ISO-8859-1" if i == 1 else "UTF-8").csv(f"{root}/{i}")
+    return _delivered(spark, [f"{root}/{i}" for i in range(len(_SPELLINGS))]).layout_table()

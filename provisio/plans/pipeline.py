@@ -40,7 +40,7 @@ class PolicyStage:
 
     @cached_property
     def _stored(self) -> tuple[DataFrame, list[str]]:
-        agg = premium.policy_cells(self.mapped, self.params.date_eval, self.params.ibnr_loss_ratio())
+        agg = premium.policy_cells(self.mapped, self.params.date_eval, self.params.ibnr_loss_ratio(), self.params.exact_amounts)
         return stored_with_years(agg) if self.checkpoint else (agg, years_of(agg))
 
     @property
@@ -99,12 +99,13 @@ class ClaimsStage:
 
     def __init__(self, claims_raw: DataFrame, params: ReservingParams, checkpoint: bool = True,
                  prepared: bool = False):
+        self.params = params
         self.rows = claims_raw if prepared else claims_ops.map_claims(claims_raw, params.mapping)
         self.checkpoint = checkpoint
 
     @cached_property
     def _stored(self) -> tuple[DataFrame, list[str]]:
-        agg = claims_ops.claims_agg(self.rows)
+        agg = claims_ops.claims_agg(self.rows, self.params.exact_amounts)
         return stored_with_years(agg) if self.checkpoint else (agg, years_of(agg))
 
     @property

@@ -150,6 +150,13 @@ class Delivery:
         """The distinct layouts, all that the driver holds of the files."""
         return self._layouts[0]
 
+    def layout_table(self) -> DataFrame:
+        """(names, utf8, files, lines) of every layout: what a delivery is made of, whatever the number of its files."""
+        names = literal_frame(self.spark, [(x.key, ", ".join(x.names)) for x in self.layouts], "layout string, names string")
+        made = self.facts.filter(F.col("layout").isNotNull()).groupBy("layout").agg(
+            F.first("utf8").alias("utf8"), F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"))
+        return made.join(names, "layout").select("names", "utf8", "files", "lines")
+
     # -- what the files hold -------------------------------------------------
     def cells(self, positions: dict[str, list]) -> DataFrame:
         """(file, slot, cells, pos) of every row: its cells by place, and the

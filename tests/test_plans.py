@@ -149,3 +149,17 @@ def test_one_job_before_the_action(spark, name, before):
     catalog.QUERIES[name](spark, SF)
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     assert store.executionsCount() - n == before
+
+
+def test_a_run_with_exact_amounts_is_the_same_bit_for_bit(spark):
+    from dataclasses import replace
+
+    from provisio.plans.pipeline import ClaimsStage, PolicyStage
+    p = replace(fx.fixture_params(), exact_amounts=True)
+    raw, claims = fx.policies_raw(spark, SF), fx.claims_raw(spark, SF)
+    cells = [sorted(map(tuple, PolicyStage(df, p).pe.collect())) for df in (raw, raw.repartition(7), raw.repartitionByRange(3, "PN_ACC"))]
+    assert cells[0] == cells[1] == cells[2] and len(cells[0]) > 10
+    sums = [sorted(map(tuple, ClaimsStage(df, p).cells.collect())) for df in (claims, claims.repartition(7), claims.coalesce(1))]
+    assert sums[0] == sums[1] == sums[2]
+    plain = {(r.Branche, r.Exercice): r.SAP for r in ClaimsStage(claims, fx.fixture_params()).cells.collect()}
+    assert all(plain[b, y] == pytest.approx(sap, abs=1e-4) for b, y, *_, sap in sums[0])
