@@ -969,7 +969,7 @@ def q_landed_row_groups(spark, sf_dir):
 
 
 @register("union_supertypes", O.with_ctes(_RAW) + """
-SELECT Exercice, COUNT(*) AS rows, min(extra) AS min_extra, max(extra) AS max_extra, """ + O.cents("SUM(n)") + """ AS n, max(t) AS last
+SELECT Exercice, COUNT(*) AS rows, min(extra) AS min_extra, max(extra) AS max_extra, """ + O.cents("SUM(n)") + """ AS n, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last
 FROM (SELECT Exercice, CASE WHEN Exercice <= '1996' THEN CAST(length(Police) AS VARCHAR) WHEN Exercice <= '1998' THEN CAST(length(Police) + 0.5::DOUBLE AS VARCHAR)
                             ELSE CAST(Effet AS VARCHAR) END AS extra,
              CASE WHEN Exercice <= '1996' THEN CAST(length(Branche) AS DOUBLE) WHEN Exercice <= '1998' THEN 1::DOUBLE ELSE PN_ACC END AS n,
@@ -986,7 +986,7 @@ def q_union_supertypes(spark, sf_dir):
     c = raw.filter(late).select("*", F.col("Effet").alias("EXTRA"), F.col("PN_ACC").alias("n"))
     u = prod.union_production([(F.col("slot"), d) for d in (a, b, c)])
     return rounded(u.groupBy("Exercice").agg(F.count(F.lit(1)).alias("rows"), F.min("extra").alias("min_extra"), F.max("extra").alias("max_extra"),
-                                             F.sum("n").alias("n"), F.max("t").alias("last")))
+                                             F.sum("n").alias("n"), F.date_format(F.max("t"), "yyyy-MM-dd HH:mm:ss").alias("last")))
 
 
 @register("recap_ordered", O.with_ctes(BASE) + """
