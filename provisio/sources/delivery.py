@@ -40,6 +40,11 @@ def norm_path_col(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
 
 
+def row_path_col() -> Column:
+    """The comparable path of a row's file.  Spark gives it as a URI, with blanks and the like as %20; a plus is a plus."""
+    return norm_path_col(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def safe_names(header: list[str]) -> list[str]:
     """Column names of a header, as the CSV reader gives them: a blank one is named by its place, and of names that agree
     but for case each gets its place appended."""
@@ -101,7 +106,7 @@ class Delivery:
         h = F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("decimal(38,0)")
         odd = lambda c: (F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))) % 2 == 1
         lines = self.spark.read.options(**self.options).text(self.paths).select(
-            norm_path_col(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start"),
+            row_path_col().alias("path"), F.col("_metadata.file_block_start").alias("start"),
             "value", h.alias("h"), odd(F.col("value")).alias("odd"),
             F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
         number = F.col("pos").cast("decimal(38,0)")
@@ -126,7 +131,8 @@ class Delivery:
         """The files of some slots; Spark is pointed at their folders alone."""
         facts = self.facts.filter(F.col("slot").isin(slots))
         where = F.regexp_extract("uri", r"^(.*)/[^/]*$", 1) if self.by_folder else F.col("uri")
-        paths = sorted(r["at"] for r in facts.select(where.alias("at")).distinct().collect())
+        # what was found is meant as it stands, not as a pattern
+        paths = sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", r["at"]) for r in facts.select(where.alias("at")).distinct().collect())
         return Delivery(self.spark, paths, self.listed.filter(F.col("slot").isin(slots)), self.options if self.by_folder else {}, self.sep, self.by_folder, facts)
 
     @cached_property
@@ -178,7 +184,7 @@ class Delivery:
             rows = (self.spark.read.schema(schema).options(**self.options).option("header", True).option("enforceSchema", True)
                     .option("encoding", encoding).option("sep", self.sep).option("quote", '"').option("escape", '"').option("multiLine", quoted)
                     .option("emptyValue", "").option("nullValue", NEVER_NULL).option("mode", "PERMISSIVE").csv(self.paths))
-            rows = rows.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), norm_path_col(F.col("_metadata.file_path")).alias(FILE_COL))
+            rows = rows.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), row_path_col().alias(FILE_COL))
             if one and self.by_folder and len(quotings) == 1:                          # nothing that a file has to be asked for
                 rows = rows.select(FILE_COL, F.regexp_extract(FILE_COL, SLOT_OF_PATH, 1).alias(SLOT_COL), "cells",
                                    F.array(*[F.lit(p).cast("int") for p in positions[one.key]]).alias("pos"))
@@ -263,7 +269,7 @@ def read_text_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8"
     # all-text contract: folder partition values (e.g. Exercice=2024) come back typed by discovery
     cols = [F.col(f"`{c}`").cast("string").alias(c) if t != "string" else F.col(f"`{c}`") for c, t in df.dtypes]
     if with_file:
-        cols.append(norm_path_col(F.col("_metadata.file_path")).alias(FILE_COL))
+        cols.append(row_path_col().alias(FILE_COL))
     df = df.select(*cols)
     first = df.columns[0] if df.columns else None
     return df.withColumnRenamed(first, first[len(BOM):]) if first and first.startswith(BOM) else df

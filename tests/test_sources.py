@@ -328,3 +328,19 @@ def test_common_types(spark):
     u = prod.union_production([("2020", a), ("2021", b), ("2022", c)])
     assert dict(u.dtypes) == {"Police": "string", "x": "string", "b": "bigint", "d": "timestamp_ntz", "Exercice": "string"}
     assert {(r.Police, r.x, r.b, str(r.d)) for r in u.collect()} == {("A", "1", 1, "2024-05-06 00:00:00"), ("B", "2.5", 7, "2024-05-06 07:08:09"), ("C", "2023-01-02", None, "None")}
+
+
+def test_files_and_folders_of_any_name(spark, tmp):
+    _write(f"{tmp}/in/2020/a b é%20+#&.csv", "Police,Branche,PN_ACC,Effet,Echeance\nA,X,1,2024-01-01,2024-12-31\n")
+    _write(f"{tmp}/in/2021 bis/c[1].csv", "Branche,Police,PN_ACC,Effet,Echeance\nY,B,2,2024-01-01,2024-12-31\n")
+    _write(f"{tmp}/in/{{x}}*/d?.csv", "Branche,Police,PN_ACC,Effet,Echeance\nZ,C,3,2024-01-01,2024-12-31\n")
+    given = Delivery.from_folders(spark, [f"{tmp}/in"])
+    want = {("2020", "A", "X"), ("2021 bis", "B", "Y"), ("{x}*", "C", "Z")}
+    assert {r.slot: r.lines for r in given.facts.collect()} == {s: 2 for s, _, _ in want}
+    rows = lambda g: {(r["__slot"], r["Police"], r["Branche"]) for r in g.rows().collect()}
+    assert rows(given) == want
+    for slot in ("2020", "2021 bis", "{x}*"):
+        assert rows(given.only([slot])) == {w for w in want if w[0] == slot}
+    assert rows(Delivery.from_list(spark, [("z", f"{tmp}/in/2020/a b é%20+#&.csv")])) == {("z", "A", "X")}
+    assert {r.slot for r in landing.land_changes(spark, given, f"{tmp}/out").collect()} == {s for s, _, _ in want}
+    assert landing.read_changes_landed(spark, f"{tmp}/out").count() == 3
