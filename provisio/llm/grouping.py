@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -189,12 +189,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(contract(edges.select("a", "b").where("a <> b")).distinct(), "stars", narrow=True)
 
     def star(e: DataFrame) -> DataFrame:
-        # neighbours above u, and u itself, get u's least neighbour; a node with many neighbours is pre-aggregated
+        # neighbours above u, and u itself, get u's least neighbour, then neighbours below u, and u itself, the least of
+        # them.  Minima are taken before rows meet and written, so a node with very many neighbours is met in plain joins
+        # alone, whose rows Spark deals over several tasks
+        least_of = lambda t, name: stored(t.groupBy("u").agg(F.min("v").alias("m")), name, narrow=True)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        above = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # neighbours below u, and u itself, get the least of them
-        below = above.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        above = both.join(least_of(both, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        above = stored(above, "above", narrow=True)
+        below = above.join(least_of(above, "least"), "u")
         pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
         return below.select(pairs.alias("p")).select("p.u", "p.v").where("u <> v").distinct()
 
