@@ -63,17 +63,21 @@ class ContextSums:
         word, shape, doc = tokens(buf, offs)
         if not len(word):
             return
-        own = self.index[0][word].astype(np.int32) + self.index[1][shape]
-        around = np.zeros((len(own), DIM + 1), np.int32)
-        around[:, DIM] = 1
+        # REACH empty rows around every document, so that neighbours are plain sums of shifted rows; entries of an index vector
+        # are NONZERO at most, so eight bits hold the sum of a few
+        place = np.arange(len(word)) + REACH * (1 + doc)
+        own = np.zeros((len(word) + REACH * (int(doc[-1]) + 2), DIM), np.int8)
+        own[place] = self.index[0][word] + self.index[1][shape]
+        near = np.zeros_like(own)
         for k in range(1, REACH + 1):
-            same = (doc[k:] == doc[:-k])[:, None]
-            around[k:, :DIM] += own[:-k] * same
-            around[:-k, :DIM] += own[k:] * same
+            near[k:] += own[:-k]
+            near[:-k] += own[k:]
         for table, bucket in zip(self.sums, (word, shape), strict=True):
             order = np.argsort(bucket, kind="stable")
             first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            table[bucket[order][first]] += np.add.reduceat(around[order], first, dtype=np.int64)
+            at = bucket[order][first]
+            table[at, :DIM] += np.add.reduceat(near[place[order]], first, dtype=np.int32)
+            table[at, DIM] += np.diff(first, append=len(order))
 
 
 def context_sums(texts: DataFrame) -> np.ndarray:
@@ -122,8 +126,8 @@ class DocumentVectors:
             v = s[:, :DIM] / np.maximum(n, 1)[:, None]
             v -= s[:, :DIM].sum(axis=0) / max(1.0, n.sum())
             v[n == 0] = 0
-            self.table.append((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32))
             self.weight.append(np.log1p(n.sum() / (1 + n)).astype(np.float32))
+            self.table.append((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32) * self.weight[-1][:, None])
         self.size = 2 * DIM + 4
 
     def pool(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -136,13 +140,18 @@ class DocumentVectors:
         at, count = doc[first], np.bincount(doc, minlength=n).astype(np.float32)
         for k, bucket in enumerate((word, shape)):
             w = self.weight[k][bucket]
-            v = self.table[k][bucket]
             total = np.add.reduceat(w, first)
-            out[at, k * DIM:(k + 1) * DIM] = np.add.reduceat(v * w[:, None], first, axis=0) / total[:, None]
+            if k:  # a document has few shapes, each many times
+                pair, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
+                start = np.flatnonzero(np.diff(pair // BUCKETS, prepend=-1))
+                v = self.table[k][pair % BUCKETS] * times[:, None].astype(np.float32)
+            else:
+                start, v = first, self.table[k][bucket]  # weighted already
+            out[at, k * DIM:(k + 1) * DIM] = np.add.reduceat(v, start, axis=0) / total[:, None]
             out[:, 2 * DIM + k] = np.linalg.norm(out[:, k * DIM:(k + 1) * DIM], axis=1)
             if not k:  # how alike neighbours are
                 alike = np.zeros(len(doc), np.float32)
-                alike[1:] = (v[1:] * v[:-1]).sum(axis=1) * (doc[1:] == doc[:-1])
+                alike[1:] = np.einsum("ij,ij->i", v[1:], v[:-1]) / (w[1:] * w[:-1]) * (doc[1:] == doc[:-1])
                 out[at, 2 * DIM + 2] = np.add.reduceat(alike, first) / count[at]
         out[:, 2 * DIM + 3] = np.log1p(count)
         return out

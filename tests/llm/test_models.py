@@ -148,10 +148,10 @@ def test_pooling_by_definition():
         if len(own):
             for k, bucket in enumerate((word, shape)):
                 w = pooled.weight[k][bucket[own]].astype(float)
-                v = pooled.table[k][bucket[own]].astype(float)
+                v = pooled.table[k][bucket[own]].astype(float) / w[:, None]
                 want[k * d:(k + 1) * d] = sum(a * b for a, b in zip(w, v, strict=True)) / w.sum()
                 want[2 * d + k] = math.sqrt(sum(x * x for x in want[k * d:(k + 1) * d]))
-            v = pooled.table[0][word[own]].astype(float)
+            v = pooled.table[0][word[own]].astype(float) / pooled.weight[0][word[own]].astype(float)[:, None]
             want[2 * d + 2] = sum(float(a @ b) for a, b in zip(v[1:], v[:-1], strict=True)) / len(own)
             want[2 * d + 3] = math.log1p(len(own))
         assert np.allclose(got[i], want, atol=1e-4)
