@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 
 from .chunks import ChunkPool
 from .common import flat, fresh_name, slices
-from .textvec import distinct, gather, words
+from .textvec import distinct, first_of_each, gather, words
 
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own split pattern, with line feeds as separators between the words given.
@@ -126,7 +126,8 @@ class ForcedBpe:
         f_start = np.flatnonzero(cut)
         f_end = np.append(f_start[1:], len(buf))
         # a fragment is its bytes and whether it ends its word
-        _, first, inverse = np.unique(2 * distinct(buf, f_start, f_end)[1] + last[f_end - 1], return_index=True, return_inverse=True)
+        kinds, kind = distinct(buf, f_start, f_end)
+        first, inverse = first_of_each(2 * kind + last[f_end - 1], 2 * len(kinds))
         ids, length = self.merge(np.where(last, self.final[buf], self.plain[buf]), f_start[first], f_end[first])
         start = np.cumsum(length) - length
         word = owner[np.searchsorted(ends, f_start, "right")]

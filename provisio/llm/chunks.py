@@ -35,15 +35,16 @@ class ChunkPool:
         if self.seen and (len(self.seen) + len(first) > self.max_chunks or self.held > MAX_BYTES):
             self.clear()
         data = buf.tobytes()
-        keys = [data[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        at = [self.seen.get(k, -1) for k in keys]
+        known, spans = self.seen.get, list(zip(start[first].tolist(), end[first].tolist(), strict=True))
+        at = [known(data[s:e], -1) for s, e in spans]
         new = [i for i, x in enumerate(at) if x < 0]
         if new:
-            got = self.encode([keys[i] for i in new])
+            keys = [data[s:e] for s, e in map(spans.__getitem__, new)]
+            got = self.encode(keys)
             n0 = len(self.seen)
-            for i, k in enumerate(new):
-                at[k] = self.seen[keys[k]] = n0 + i
-                self.held += len(keys[k])
+            for i, (k, own) in enumerate(zip(new, keys, strict=True)):
+                at[k] = self.seen[own] = n0 + i
+                self.held += len(own)
             self._add(n0, *got)
         at = np.array(at)[inverse]
         length = self.length[at]

@@ -147,6 +147,14 @@ def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return first, kind
 
 
+def first_of_each(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of small codes (below n): where each that occurs does so first, and the number of its kind for each place."""
+    first = np.full(n, -1)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    used = first >= 0
+    return first[used], (np.cumsum(used) - 1)[code]
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document number of each word, in order."""
     n = len(buf)

@@ -94,6 +94,15 @@ def test_spans_with_one_hash_are_told_apart_by_their_bytes(monkeypatch):
     assert len(first) == len(set(texts)) and [texts[i] for i in first[kind]] == texts
 
 
+def test_first_of_each_kind():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60):
+        code = rng.integers(0, n, 40)
+        first, kind = textvec.first_of_each(code, n)
+        _, want, inverse = np.unique(code, return_index=True, return_inverse=True)
+        assert np.array_equal(first, want) and np.array_equal(kind, inverse)
+
+
 def test_host_prior():
     assert host_rules.beta_prior(0, 0, 0, 0, 0) == (0.0, float("inf"))
     # hosts alike but for chance: everything is shrunk to the mean
