@@ -26,7 +26,7 @@ from provisio.plans import oracle_sql as O
 from provisio.plans import pipeline
 from provisio.plans import report as report_ops
 from provisio.plans.pipeline import ClaimsStage, PolicyStage
-from provisio.session import materialize
+from provisio.session import materialize, unsorted_folders
 from provisio.operators.exact import exact_cells
 from provisio.operators.ordering import branch_order, numbered
 from provisio.sources import dimensions as dim
@@ -626,12 +626,17 @@ def _write_text_files(spark, sf_dir, root: str):
     roots = []
     for k, d in enumerate(_deliveries(spark, sf_dir)):
         path = f"{root}/layout{k}"
-        d.select(*[F.col(c).cast("string").alias(c) for c in d.columns]) \
-            .write.mode("overwrite").partitionBy("slot").option("header", True).csv(path)
+        _write_slots(d.select(*[F.col(c).cast("string").alias(c) for c in d.columns]), path)
         roots.append(path)
     return roots
 
 
+def _write_slots(df: DataFrame, path: str, by: str = "slot", **options) -> None:
+    """CSV files below a folder per slot; rows are written as they come."""
+    with unsorted_folders(df.sparkSession):
+        df.write.mode("overwrite").partitionBy(by).option("header", True).options(**options).csv(path)
+
+
 def _delivered(spark, roots) -> Delivery:
     """The CSV files under slot=YYYY/ folders of the roots."""
     return Delivery.from_folders(spark, roots)
@@ -685,7 +690,7 @@ def q_fingerprint(spark, sf_dir):
     for one name."""
     root = prod.scratch_dir(spark, "fingerprint")
     raw = fx.policies_raw(spark, sf_dir).select(F.col("Exercice").alias("slot"), "Police", "Branche", F.col("PN_ACC").cast("decimal(18,2)").cast("string").alias("PN_ACC"))
-    raw.repartition("slot").sortWithinPartitions("slot", "Police", "Branche", "PN_ACC").write.partitionBy("slot").option("header", True).csv(root)
+    _write_slots(raw.repartition("slot").sortWithinPartitions("slot", "Police", "Branche", "PN_ACC"), root)
     return fingerprint_of(_delivered(spark, [root]).facts.withColumn("name", F.lit("production.csv")))
 
 
@@ -704,7 +709,7 @@ def q_claims_cells_stream(spark, sf_dir):
     from provisio.streaming.landing import maintain_claims_cells, read_cells
     root = prod.scratch_dir(spark, "claims-stream")
     raw = fx.claims_raw(spark, sf_dir)
-    raw.write.mode("overwrite").partitionBy("Exercice").option("header", True).csv(f"{root}/in")
+    _write_slots(raw, f"{root}/in", "Exercice")
     q = maintain_claims_cells(spark, f"{root}/in", ["BRANCHE", "REGLEMENT", "COUT_TOTAL"], fx.FIXTURE_MAPPING,
                               f"{root}/cells", f"{root}/checkpoint")
     q.awaitTermination()                      # an availableNow query ends by itself
@@ -788,15 +793,16 @@ _DELIVERED = "SELECT true AS same, true AS year, true AS name, true AS header, t
 def q_fingerprint_sensitivity(spark, sf_dir):
     """OP-S10: which changes of the delivered files change their digest: each but a second look at the same files."""
     root = prod.scratch_dir(spark, "fingerprint")
-    raw = fx.policies_raw(spark, sf_dir).select("Exercice", "Police", "Branche", F.col("PN_ACC").cast("string").alias("PN_ACC"))
+    # joined and dealt by year once; each version puts the same dealt rows in its order, a task at a time
+    raw = materialize(fx.policies_raw(spark, sf_dir).select("Exercice", "Police", "Branche", F.col("PN_ACC").cast("string").alias("PN_ACC")).hint("rebalance", "Exercice"))
     first = F.col("Police") == raw.agg(F.min("Police")).first()[0]
-    rows = raw.repartition("Exercice").sortWithinPartitions("Exercice", "Police")
+    rows = raw.sortWithinPartitions("Exercice", "Police")
     versions = {"base": rows, "header": rows.withColumnRenamed("PN_ACC", "Prime"),
                 "body": rows.withColumn("PN_ACC", F.when(first, F.lit("-1")).otherwise(F.col("PN_ACC"))),
-                "line_order": raw.repartition("Exercice").sortWithinPartitions("Exercice", F.desc("Police"))}
+                "line_order": raw.sortWithinPartitions("Exercice", F.desc("Police"))}
     facts = {}
     for name, df in versions.items():
-        df.withColumnRenamed("Exercice", "slot").write.mode("overwrite").partitionBy("slot").option("header", True).csv(f"{root}/{name}")
+        _write_slots(df.withColumnRenamed("Exercice", "slot"), f"{root}/{name}")
         facts[name] = _delivered(spark, [f"{root}/{name}"]).facts
     of = lambda df: fingerprint_of(df).first()["fingerprint"]
     base = of(facts["base"])
@@ -1060,7 +1066,7 @@ def q_date_coerce_files(spark, sf_dir):
     odd = F.when(k % 4 == 0, F.date_format("d", "yyyy-MM-dd")).otherwise(F.concat(F.lit("ref "), k.cast("string")))
     y = F.year("d")
     rows = o.select(y.cast("string").alias("slot"), k.cast("string").alias("Police"), F.when(y % 2 == 0, even).otherwise(odd).alias("Date de souscription"))
-    rows.repartition("slot").write.partitionBy("slot").option("header", True).csv(root)
+    _write_slots(rows.repartition("slot"), root)
     typed = prod.coerce_dates_by_file(_delivered(spark, [root]).rows())
     return typed.select(F.col("Police").cast("bigint").alias("o_orderkey"), F.col("__slot").alias("slot"), F.col("Date de souscription").alias("souscription"))
 

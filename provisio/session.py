@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -73,6 +75,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/provisio-{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def unsorted_folders(spark: SparkSession, most: int = 64) -> Iterator[None]:
+    """Writes by folder keep a file open per folder, up to ``most`` in a task,
+    instead of sorting the task's rows by folder first, so that a task's
+    memory doesn't grow with its rows.  Rows of further folders are sorted as
+    ever."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of a (small, aggregated) frame: it is written as Parquet
     into the shared folder and read back.

@@ -40,9 +40,14 @@ def norm_path_col(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^file:", ""), r"/+", "/")
 
 
-def row_path_col() -> Column:
+def row_path_col(uri: str = "_metadata.file_path") -> Column:
     """The comparable path of a row's file.  Spark gives it as a URI, with blanks and the like as %20; a plus is a plus."""
-    return norm_path_col(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    return norm_path_col(F.url_decode(F.replace(F.col(uri), F.lit("+"), F.lit("%2B"))))
+
+
+def slot_of_path_col(path: str) -> Column:
+    """``SLOT_OF_PATH`` as plain text functions, for columns of many rows."""
+    return F.substring_index(F.substring_index(F.substring_index(path, "/", -2), "/", 1), "=", -1)
 
 
 def safe_names(header: list[str]) -> list[str]:
@@ -103,17 +108,7 @@ class Delivery:
         hashes, plain and weighted by line number.  Files stay splittable: line
         numbers are counted per block and put together per file, so the digest
         doesn't depend on how files were split."""
-        h = F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("decimal(38,0)")
-        odd = lambda c: (F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))) % 2 == 1
-        lines = self.spark.read.options(**self.options).text(self.paths).select(
-            row_path_col().alias("path"), F.col("_metadata.file_block_start").alias("start"),
-            "value", h.alias("h"), odd(F.col("value")).alias("odd"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
-        number = F.col("pos").cast("decimal(38,0)")
-        blocks = lines.groupBy("path", "start").agg(
-            F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"), F.min_by(F.struct(F.col("value").cast("binary").alias("v"), "odd"), "pos").alias("first"),
-            F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.sum(F.col("h") * number).alias("hp"),
-            F.min(number).alias("p0"), F.bool_or("odd").alias("odd"))
+        blocks = self._blocks()
         before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         placed = blocks.withColumn("weighted", F.col("hp") + (before - F.col("p0")) * F.col("h"))
         read = placed.groupBy("path").agg(
@@ -127,6 +122,26 @@ class Delivery:
             F.when(F.col("first").isNotNull(), F.md5(F.concat_ws(":", F.col("utf8").cast("string"), F.hex("first.v"), own))).alias("layout"))
         return materialize(files)
 
+    def _blocks(self) -> DataFrame:
+        """What ``facts`` needs of every block of a file, by hashing alone."""
+        h = F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("bigint")
+        odd = lambda c: (F.octet_length(c) - F.octet_length(F.replace(c, F.lit('"'), F.lit("")))) % 2 == 1
+        lines = self.spark.read.options(**self.options).text(self.paths).select(
+            F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("start"),
+            "value", h.alias("h"), odd(F.col("value")).alias("odd"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
+        exact = lambda c: c.cast("decimal(38,0)")
+        product = F.col("h") * F.col("pos")           # below 2^61; its halves are summed apart, so that no sum leaves 63 bits
+        # The first line is text, which Spark's hash aggregate doesn't hold: with plain aggregates alone it would sort all
+        # lines of a task.  A collected set makes it keep an object per block instead, whatever the number of lines.
+        return lines.groupBy("at", "start").agg(
+            F.collect_set(F.when(F.expr("is_valid_utf8(value)"), F.lit(None)).otherwise(F.lit(True))).alias("broken"),
+            F.min_by(F.struct(F.col("value").cast("binary").alias("v"), "odd"), "pos").alias("first"),
+            F.count(F.lit(1)).alias("n"), F.sum("h").alias("h"), F.sum(F.shiftright(product, 32)).alias("high"),
+            F.sum(product.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"), F.min("pos").alias("p0"), F.bool_or("odd").alias("odd")).select(
+            row_path_col("at").alias("path"), "start", (F.size("broken") == 0).alias("utf8"), "first", "n", exact(F.col("h")).alias("h"),
+            exact(exact(F.col("high")) * F.lit(1 << 32) + F.col("low")).alias("hp"), exact(F.col("p0")).alias("p0"), "odd")
+
     def only(self, slots: list[str]) -> Delivery:
         """The files of some slots; Spark is pointed at their folders alone."""
         facts = self.facts.filter(F.col("slot").isin(slots))
@@ -186,7 +201,7 @@ class Delivery:
                     .option("emptyValue", "").option("nullValue", NEVER_NULL).option("mode", "PERMISSIVE").csv(self.paths))
             rows = rows.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), row_path_col().alias(FILE_COL))
             if one and self.by_folder and len(quotings) == 1:                          # nothing that a file has to be asked for
-                rows = rows.select(FILE_COL, F.regexp_extract(FILE_COL, SLOT_OF_PATH, 1).alias(SLOT_COL), "cells",
+                rows = rows.select(FILE_COL, slot_of_path_col(FILE_COL).alias(SLOT_COL), "cells",
                                    F.array(*[F.lit(p).cast("int") for p in positions[one.key]]).alias("pos"))
             else:
                 rows = rows.join(of_file.filter(F.col("quoted") == quoted), FILE_COL)
