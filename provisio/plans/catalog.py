@@ -939,12 +939,12 @@ def q_landing_rejections(spark, sf_dir):
     """OP-S14: what the files of a delivery lack, as rows; a layout that has all is not among them."""
     root = prod.scratch_dir(spark, "rejections")
     raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
-    raw = raw.select("slot", *[F.col(c).cast("string").alias(c) for c in raw.columns if c != "slot"]).repartition("slot")
+    raw = raw.select("slot", *[F.col(c).cast("string").alias(c) for c in raw.columns if c != "slot"])
     early, late, y = F.col("slot") <= "1996", F.col("slot") > "1998", "slot"
     layouts = [raw.filter(early).select(y, "Police", "Branche", "Echeance", F.col("PN_ACC").alias("Prime")), raw.filter(late).select(y, "Police", "Effet", "Echeance", "PN_ACC"),
                raw.filter(~early & ~late)]
     for i, df in enumerate(layouts):
-        df.write.partitionBy("slot").option("header", True).csv(f"{root}/{i}")
+        _write_slots(df, f"{root}/{i}")
     given = _delivered(spark, [f"{root}/{i}" for i in range(len(layouts))])
     bad = given.rejections(["Police", "Branche", "Effet", "PN_ACC", "Echeance"])
     rows = given.facts.select("slot", F.col("name").alias("file"), (F.col("lines") - 1).alias("n"))
