@@ -918,7 +918,7 @@ def q_landing_incremental(spark, sf_dir):
     root = prod.scratch_dir(spark, "changes")
     raw = fx.policies_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
     text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    text(raw).write.partitionBy("slot").option("header", True).csv(f"{root}/in")
+    _write_slots(text(raw), f"{root}/in")
     landing.land_changes(spark, _delivered(spark, [f"{root}/in"]), f"{root}/table")
     file = F.col("_metadata.file_name").alias("file")
     first = materialize(landing.read_changes_landed(spark, f"{root}/table").select(file).distinct())
