@@ -58,7 +58,8 @@ def test_rows_are_written_by_folder_without_a_sort(spark):
     assert spark.read.option("header", True).csv(f"{root}/in").agg(F.countDistinct("id"), F.count("id")).first()[:] == (100, 100)
 
 
-@pytest.mark.parametrize("name, kept_out", [("fingerprint_sensitivity", ["Join", "Exchange"]), ("landing_rejections", ["hashpartitioning(slot"])])
+@pytest.mark.parametrize("name, kept_out", [("fingerprint_sensitivity", ["Join", "Exchange"]), ("landing_rejections", ["hashpartitioning(slot"]),
+                                            ("claims_rejections", ["hashpartitioning(slot"])])
 def test_no_version_is_joined_or_dealt_anew(spark, tables, monkeypatch, name, kept_out):
     plans, write = [], catalog._write_slots
     monkeypatch.setattr(catalog, "_write_slots", lambda df, *a, **k: (plans.append(plan(df)), write(df, *a, **k))[1])
