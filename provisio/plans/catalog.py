@@ -1103,5 +1103,5 @@ def q_delivery_layouts(spark, sf_dir):
     for i, names in enumerate(_SPELLINGS):
         own = raw.filter(F.col("slot").cast("int") % len(_SPELLINGS) == i)
         df = own.select("slot", *[F.col(c).alias(n) for c, n in zip(_SPELLINGS[0], names)])
-        df.write.partitionBy("slot").option("header", True).option("encoding", "ISO-8859-1" if i == 1 else "UTF-8").csv(f"{root}/{i}")
+        _write_slots(df, f"{root}/{i}", encoding="ISO-8859-1" if i == 1 else "UTF-8")
     return _delivered(spark, [f"{root}/{i}" for i in range(len(_SPELLINGS))]).layout_table()
