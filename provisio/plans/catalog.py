@@ -898,7 +898,7 @@ def q_claims_header_variants(spark, sf_dir):
     for i, names in enumerate(_SPELLINGS):
         own = raw.filter(F.col("slot").cast("int") % len(_SPELLINGS) == i)
         df = own.select(F.col("BRANCHE").alias(names[0]), F.col("REGLEMENT").alias(names[1]), F.col("COUT_TOTAL").alias(names[2]), "slot")
-        df.write.mode("overwrite").partitionBy("slot").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{i}")
+        _write_slots(df, f"{root}/{i}", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         roots.append(f"{root}/{i}")
     return rounded(claims_ops.claims_agg_sorted(dim.read_claims_files(spark, _delivered(spark, roots), fx.FIXTURE_MAPPING)))
 
