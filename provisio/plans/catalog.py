@@ -665,8 +665,7 @@ def q_csv_encoding_fallback(spark, sf_dir):
     root = prod.scratch_dir(spark, "claims-csv")
     raw = fx.claims_raw(spark, sf_dir).withColumnRenamed("Exercice", "slot")
     for name, enc, cond in (("latin1", "ISO-8859-1", F.col("slot") <= "1998"), ("utf8", "UTF-8", F.col("slot") > "1998")):
-        raw.filter(cond).write.mode("overwrite").partitionBy("slot") \
-            .option("header", True).option("encoding", enc).csv(f"{root}/{name}")
+        _write_slots(raw.filter(cond), f"{root}/{name}", encoding=enc)
     files = _delivered(spark, [f"{root}/latin1", f"{root}/utf8"])
     claims = dim.read_claims_files(spark, files, fx.FIXTURE_MAPPING)
     return rounded(claims_ops.claims_agg_sorted(claims))

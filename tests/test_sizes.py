@@ -71,7 +71,7 @@ def test_no_version_is_joined_or_dealt_anew(spark, tables, monkeypatch, name, ke
         assert {r.slot: r.rows for r in rows} == {str(y): 70 for y in (1994, 1995, 1996, 1999, 2000, 2001)}
 
 
-@pytest.mark.parametrize("name", ["claims_header_variants", "delivery_layouts", "landing_incremental"])
+@pytest.mark.parametrize("name", ["csv_encoding_fallback", "claims_header_variants", "delivery_layouts", "landing_incremental"])
 def test_slots_are_written_by_the_one_helper(spark, tables, monkeypatch, name):
     told, write = [], catalog._write_slots
     monkeypatch.setattr(catalog, "_write_slots", lambda *a, **k: (told.append(a[1]), write(*a, **k))[1])
